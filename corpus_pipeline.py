@@ -1,3 +1,71 @@
-"""Corpus pipeline: one function a stage."""
+"""Corpus pipeline: quality, boilerplate lines, near-duplicates, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row the stage before kept, and gives the columns of documents
+but for the last, which gives packed pieces.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackworks.llm import decontamination, lines, near_duplicates, packing, quality
+from trackworks.llm.queries import tokenizer_path
+from trackworks.llm.shared import own_name, stored
+
+#: Documents with a lower quality score are rejected.
+LEAST_QUALITY = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of a quality score under LEAST_QUALITY."""
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    q = own_name(docs, "quality")
+    return quality.score_quality(docs, model, out=q).filter(F.col(f"`{q}`.score") >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source's boilerplate lines out of the texts; n_chars follows."""
+    done = lines.without_boilerplate(docs, "source")
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: five words, similarity 0.8."""
+    return near_duplicates.deduplicated(docs, percent=80, shingle=5)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts benchmark passages out, and drops documents that are mostly such; n_chars follows."""
+    done = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all that is left into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0, payload="crc32")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("line dedup", line_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all of `documents`, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{i}")
+    return docs
+
+
+#: Tokenizing and fitted models aren't SQL; tests/llm has a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackworks.llm import chat, decontamination, lines, near_duplicates, packing, secrets, url_filters
+from trackworks.llm import chat, decontamination, embeddings, lines, near_duplicates, packing, quality, secrets, toxicity, url_filters
 
 #: Where the public tokenizer files are; None takes the installed package's.
 TOKENIZER_DIR: str | None = None
@@ -74,6 +74,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), count("random"), F.sha2(joined(F.filter("s", lambda x: x["kind"] != "random")), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels), out="q")
+    return scored.select("doc_id", F.col("q.score").alias("score"), F.col("q.text_view").alias("text_score"), F.col("q.meta_view").alias("meta_score"), (F.col("q.score") >= 0.5).alias("kept"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), percent=85)
 
@@ -111,6 +117,26 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.col("crc32").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
+OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id x, vec_id y FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x vec_id, min(y) component_id FROM r GROUP BY 1),
+n AS (SELECT x vec_id, count(*) n_links FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, usable=~held_out), out="t")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("t.score").alias("score"), (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.size("t.spans").cast("long").alias("n_spans"))
+
+
 #: The conversation that tries the template.
 PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
@@ -147,9 +173,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op3_secrets": op3_secrets,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
 SQL: dict[str, str] = {
@@ -157,5 +186,6 @@ SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op5_minhash_near_dedup": OP5_SQL,
     "op6_url_filter": OP6_SQL,
+    "op8_embedding_near_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }
