@@ -21,46 +21,61 @@ from pyspark.sql import functions as F
 from trackworks.llm.shared import slices, stored
 
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+
+
+class _Known(dict):
+    """Ids by word; a word that isn't there yet is encoded on its first use."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str):
+        self[word] = found = self.make(word)
+        return found
 
 
 class Encoder:
-    """Ids of a tokenizer whose pieces never span white space: words are encoded once and remembered."""
+    """Ids of a BPE tokenizer that drops white space and folds case: words are encoded once and remembered.
+
+    A word of letters, perhaps with closing marks, goes to the tokenizer's model at once, after its own normalizer and
+    byte alphabet; any other goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
-        self.cores: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """A word as letters and closing marks, letters in lower case where the tokenizer's own folding gives the same."""
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.alphabet = _Known(lambda c: level.pre_tokenize_str(chr(c))[0][0])
+        self.known = _Known(self._word)
+        self.cores = _Known(self._core)
+        self.known[""] = ()
+
+    def _word(self, word: str) -> tuple[int, ...]:
         core = word.rstrip(".,;:!?")
-        if core.isalpha() and "Σ" not in core and "İ" not in core:
-            return core.lower(), word[len(core) :]
-        return word, ""
+        # where lower() differs from folding each character alone, the tokenizer does it
+        if core.isalpha() and "\u03a3" not in core and "\u0130" not in core:
+            tail = word[len(core) :]
+            return self.cores[core.lower()] + (self.cores[tail] if tail else ())
+        return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def learn(self, words: set[str]) -> None:
-        parts = {w: self._parts(w) for w in words}
-        new = list({p for two in parts.values() for p in two if p and p not in self.cores})
-        self.cores.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        self.cores[""] = ()
-        self.known.update((w, self.cores[a] + self.cores[b]) for w, (a, b) in parts.items())
+    def _core(self, core: str) -> tuple[int, ...]:
+        if not core.isascii():
+            core = self.normalizer.normalize_str(core).translate(self.alphabet)
+        return tuple(t.id for t in self.model.tokenize(core))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) + len(self.cores) > CACHE_WORDS:
-            self.known, self.cores = {"": ()}, {}
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*chunks).difference(self.known)
-        if new:
-            self.learn(new)
+            self.known.clear(), self.cores.clear()
+            self.known[""] = ()
         get = self.known.__getitem__
-        return [np.fromiter(itertools.chain.from_iterable(map(get, c)), dtype=np.uint32) for c in chunks]
+        return [np.fromiter(itertools.chain.from_iterable(map(get, t.replace("\n", " ").split(" "))), dtype=np.uint32) for t in texts]
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
