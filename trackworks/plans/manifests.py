@@ -132,8 +132,8 @@ def b12(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "event_id", "value", "event_type").filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & (F.coalesce("event_type", F.lit("")) != "error")).drop("event_type")
 
 
-@query("b13_elapsed_text", """SELECT event_id, ((epoch_ms(ts) // 1000) % 20000)::BIGINT AS seconds, (((epoch_ms(ts) // 1000) % 20000) // 60)::VARCHAR || ':' || lpad((((epoch_ms(ts) // 1000) % 20000) % 60)::VARCHAR, 2, '0') AS clock,
-  CASE WHEN (epoch_ms(ts) // 1000) % 20000 < 60 THEN ((epoch_ms(ts) // 1000) % 20000)::VARCHAR || 's' WHEN (epoch_ms(ts) // 1000) % 20000 < 3600 THEN (((epoch_ms(ts) // 1000) % 20000) // 60)::VARCHAR || 'm' ELSE (((epoch_ms(ts) // 1000) % 20000) // 3600)::VARCHAR || 'h' END AS age FROM events""")
+@query("b13_elapsed_text", """SELECT event_id, ((date_diff('second', TIMESTAMP '1970-01-01', date_trunc('second', ts))) % 20000)::BIGINT AS seconds, (((date_diff('second', TIMESTAMP '1970-01-01', date_trunc('second', ts))) % 20000) // 60)::VARCHAR || ':' || lpad((((date_diff('second', TIMESTAMP '1970-01-01', date_trunc('second', ts))) % 20000) % 60)::VARCHAR, 2, '0') AS clock,
+  CASE WHEN (date_diff('second', TIMESTAMP '1970-01-01', date_trunc('second', ts))) % 20000 < 60 THEN ((date_diff('second', TIMESTAMP '1970-01-01', date_trunc('second', ts))) % 20000)::VARCHAR || 's' WHEN (date_diff('second', TIMESTAMP '1970-01-01', date_trunc('second', ts))) % 20000 < 3600 THEN (((date_diff('second', TIMESTAMP '1970-01-01', date_trunc('second', ts))) % 20000) // 60)::VARCHAR || 'm' ELSE (((date_diff('second', TIMESTAMP '1970-01-01', date_trunc('second', ts))) % 20000) // 3600)::VARCHAR || 'h' END AS age FROM events""")
 def b13(spark: SparkSession, d: str) -> DataFrame:
     s = F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp"))) % 20000
     e = table(spark, d, "events", "event_id", "ts").select("event_id", C.clock(s).alias("clock"), C.age_text(s).alias("age"))
