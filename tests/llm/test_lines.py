@@ -6,10 +6,11 @@ from trackworks.llm import lines as L
 def test_site_relative_share(spark, make_docs):
     a = make_docs(*[(i, f"head \nbody {i}\n\nfoot" if i < 5 else f"head\nbody {i}") for i in range(10)], source="a")
     b = make_docs(*[(100 + i, f"page {i}" if i else "head\npage 0") for i in range(10)], source="b")
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in L.without_boilerplate(a.unionByName(b), "source", max_share=0.5, min_pages=3, removed="n_removed").collect()}
-    assert got[0] == ("body 0\n\nfoot", 1)  # foot is on half of the pages only
-    assert got[7] == ("body 7", 1)
-    assert got[100] == ("head\npage 0", 0)
+    for broadcast in (1000, 0):
+        got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in L.without_boilerplate(a.unionByName(b), "source", max_share=0.5, min_pages=3, removed="n_removed", broadcast_lines=broadcast).collect()}
+        assert got[0] == ("body 0\n\nfoot", 1)  # foot is on half of the pages only
+        assert got[7] == ("body 7", 1)
+        assert got[100] == ("head\npage 0", 0)
 
 
 def test_nulls_empty_texts_repeats_and_extra_columns(spark, make_docs):

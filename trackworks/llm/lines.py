@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackworks.llm.shared import own_name
+from trackworks.llm.shared import own_name, stored
 
 #: A line of a site is boilerplate if more than this share of the site's pages has it, on at least MIN_PAGES pages.
 MAX_SHARE, MIN_PAGES = 0.02, 3
+#: Boilerplate lines of all sites (16 bytes each) up to which they are broadcast; more are joined by site.
+BROADCAST_LINES = 500_000
 
 
 def _key(line: Column) -> Column:
@@ -31,15 +33,20 @@ def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", ma
     return counts.join(totals, "site").filter(F.col("n") > max_share * F.col("pages")).groupBy("site").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, removed: str | None = None) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, removed: str | None = None, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """`docs` with each site's boilerplate lines taken out of the texts; no row goes.
 
     Lines end at a line feed and are compared without outer spaces; blank lines stay. The other lines keep their order.
     A null text stays null, an empty one empty; rows without a site are a site of their own. Rows that repeat are pages
     that repeat. `removed` names a further column for the number of lines taken out. Other columns stay as they are.
+
+    The lines found are written first, so that their number is known: up to BROADCAST_LINES they are broadcast and texts
+    aren't shuffled; beyond it they are joined by site, where adaptive execution splits a hot one.
     """
     site, lines = own_name(docs, "site_key"), own_name(docs, "site_lines")
-    found = boilerplate_lines(docs, site_col, text_col, max_share, min_pages).select(F.col("site").alias(site), F.col("lines").alias(lines))
+    found = stored(boilerplate_lines(docs, site_col, text_col, max_share, min_pages).select(F.col("site").alias(site), F.col("lines").alias(lines)), "boilerplate")
+    if (found.agg(F.sum(F.size(lines))).first()[0] or 0) <= broadcast_lines:
+        found = F.broadcast(found)
     df = docs.withColumn(site, F.coalesce(F.col(site_col).cast("string"), F.lit(""))).join(found, site, "left")
     said = F.split(F.col(text_col), "\n")
     kept = F.filter(said, lambda x: ~F.array_contains(F.col(lines), _key(x)) | (F.trim(x) == ""))
