@@ -1 +1 @@
-
+"""Text parsing functions."""
