@@ -99,3 +99,18 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str
     )
     w = Window.partitionBy(*keys).orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
     return u.withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").drop("_v", "_side")
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """For each row of left the value of right's row of the key nearest in `at`; of equals the earlier one, then the smallest value.
+
+    The last row at or before it and the first at or after it come from one window each over a union: no range join.
+    """
+    cols = [c for c in left.columns if c not in (*keys, at)]
+    r = right.groupBy(*keys, at).agg(F.min(value).alias("_v"))
+    u = left.select(*keys, at, *cols, F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_o")).unionByName(r.select(*keys, at, "_v", F.lit(0).alias("_o")), allowMissingColumns=True)
+    both = F.when(F.col("_o") == 0, F.struct(F.col(at).alias("t"), F.col("_v").alias("v")))
+    w = Window.partitionBy(*keys)
+    x = u.withColumns({"_b": F.last(both, True).over(w.orderBy(at, "_o").rowsBetween(Window.unboundedPreceding, 0)), "_a": F.last(both, True).over(w.orderBy(F.col(at).desc(), "_o").rowsBetween(Window.unboundedPreceding, 0))}).filter("_o = 1")
+    later = F.col("_b").isNull() | (F.col("_a").isNotNull() & (F.col("_a.t") - F.col(at) < F.col(at) - F.col("_b.t")))
+    return x.withColumn(value, F.when(later, F.col("_a.v")).otherwise(F.col("_b.v"))).drop("_v", "_o", "_a", "_b")

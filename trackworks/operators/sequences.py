@@ -124,3 +124,45 @@ def coverage(spans: DataFrame, key: str, window: float) -> DataFrame:
     x = spans.filter("end > start").select(key, "start", "end", w.alias("window"))
     part = F.least("end", (F.col("window") + 1) * window) - F.greatest("start", F.col("window") * window)
     return x.groupBy(key, "window").agg((F.sum(part) / window).alias("cov"))
+
+
+def stratified_picks(df: DataFrame, key: str, at: str, score: str, low: float, high: float, bins: int, min_gap: float, keep: int = 1000) -> DataFrame:
+    """By key the best position of each equal bin of [low, high), filled up to `bins` with others at least min_gap from all picks.
+
+    Columns: key, at, filled (false for a bin's own best). A key with fewer picks than bins has unfilled ones.
+    """
+    width = (high - low) / bins
+    b = F.floor((F.col(at) - low) / width)
+    x = df.filter((F.col(at) >= low) & (F.col(at) < high)).withColumn("_b", b)
+    order = [F.col(score).desc(), F.col(at)]
+    x = x.withColumns({"_first": F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) == 1, "_r": F.row_number().over(Window.partitionBy(key).orderBy(*order))})
+    best = F.array_sort(F.collect_list(F.when(F.col("_first"), F.col(at).cast("double"))))
+    rest = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_first") & (F.col("_r") <= keep), F.struct("_r", F.col(at).cast("double").alias("at"))))), lambda s: s["at"])
+    g = x.groupBy(key).agg(best.alias("best"), rest.alias("rest"))
+    more = F.aggregate("rest", F.array().cast("array<double>"), lambda a, p: F.when((F.size("best") + F.size(a) < bins) & ~F.exists(F.concat(F.col("best"), a), lambda y: F.abs(y - p) < min_gap), F.concat(a, F.array(p))).otherwise(a))
+    picks = F.concat(F.transform("best", lambda p: F.struct(p.alias("at"), F.lit(False).alias("filled"))), F.transform(more, lambda p: F.struct(p.alias("at"), F.lit(True).alias("filled"))))
+    return g.select(key, F.inline(picks)).withColumnRenamed("at", at)
+
+
+def covering_picks(df: DataFrame, item: str, cls: str, least: int, max_rounds: int = 200) -> DataFrame:
+    """Items picked one at a time until each class has `least` picked items that hold it (or all it has), scarcest class first.
+
+    A round is one query; only the class counts and the picked item's id come to the driver, so at most classes x least
+    rounds are made.
+    """
+    df = df.select(item, cls).distinct()
+    have = {r[cls]: r["n"] for r in df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()}
+    need = {c: min(least, n) for c, n in have.items()}
+    picked: list = []
+    for _ in range(max_rounds):
+        short = sorted((c for c in need if need[c] > 0), key=lambda c: (have[c], str(c)))
+        if not short:
+            break
+        left = df if not picked else df.filter(~F.col(item).isin(picked))
+        wanted = F.col(cls).isin(short)
+        holds = left.groupBy(item).agg(F.bool_or(F.col(cls) == short[0]).alias("h"), F.count_if(wanted).alias("n"), F.collect_set(cls).alias("c"))
+        best = holds.filter("h").orderBy(F.col("n").desc(), item).limit(1).collect()[0]
+        picked.append(best[item])
+        for c in best["c"]:
+            need[c] -= 1
+    return df.sparkSession.createDataFrame([(p, k) for k, p in enumerate(picked)], f"{item} {df.schema[item].dataType.simpleString()}, pick int")
