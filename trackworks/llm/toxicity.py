@@ -15,18 +15,20 @@ from trackworks.llm.shared import Words, alnum_words, ascii_fold, own_name, pass
 #: Labelled documents of each class that the model is fitted on at most, taken in the order of a hash of their ids.
 SAMPLE_PER_CLASS = 1500
 #: Bytes of text that the sample may have; documents beyond it are left out of the fit.
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 12 << 20
 #: A word or affix marks tokens as toxic if so many toxic sample documents have it, so many times as often as others.
 LEAST_DOCS, LEAST_ODDS = 4, 15.0
 PREFIXES, SUFFIXES = (4, 5, 6), (4,)
 _BITS = (18, 16, 16, 16, 16)
 SEGMENT = 64
+#: Tokens whose messages the fit holds at a time.
+FIT_TOKENS = 100_000
 
 
 def token_features(w: Words) -> np.ndarray:
     """Rows of feature numbers, a column a token: the word, its first 4, 5 and 6 bytes and its last 4."""
     n = w.end - w.start
-    out = np.zeros((len(_BITS), len(n)), np.int64)
+    out = np.zeros((len(_BITS), len(n)), np.int32)
     out[0] = w.hash >> np.uint64(64 - _BITS[0])
     c = random_words(23, 16)
     for k, (size, tail) in enumerate([*((p, False) for p in PREFIXES), *((s, True) for s in SUFFIXES)], 1):
@@ -35,9 +37,9 @@ def token_features(w: Words) -> np.ndarray:
         h = np.full(len(long), np.uint64(size * 2 + tail))
         for j in range(size):
             h = h + (w.data[at + j].astype(np.uint64) + np.uint64(1)) * c[j]
-        out[k, long] = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS[k])).astype(np.int64) | 1
+        out[k, long] = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS[k])).astype(np.int32) | 1
     # tables lie one after the other
-    out += np.concatenate([[0], np.cumsum([1 << b for b in _BITS])[:-1]])[:, None]
+    out += np.concatenate([[0], np.cumsum([1 << b for b in _BITS])[:-1]]).astype(np.int32)[:, None]
     return out
 
 
@@ -115,38 +117,48 @@ class Crf:
 
     def fit(self, feats: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, l2: float = 1e-3) -> None:
         """Adam on the mean log-likelihood; toxic tokens are few, so they weigh more in the step sizes than in the sum."""
-        n = len(y)
         used = np.unique(feats)
-        to = np.zeros(len(self.w), np.int64)
-        to[used] = np.arange(len(used))
-        local = to[feats]
+        to = np.zeros(len(self.w), np.int32)
+        to[used] = np.arange(len(used), dtype=np.int32)
         theta = np.concatenate([self.w[used], [self.bias], self.a])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        inner = np.ones(n, bool)
-        inner[first[:-1][first[:-1] < n]] = False
-        later = np.flatnonzero(inner)
-        begins = np.flatnonzero(~inner)
         pos = max(1.0, y.sum())
+        cuts = np.unique([*np.searchsorted(first, np.arange(0, first[-1], FIT_TOKENS)), len(first) - 1])
         for k in range(1, rounds + 1):
-            w, a = theta[: len(used)], theta[len(used) + 1 :]
-            s = theta[len(used)] + sum(w[row] for row in local)
-            f, b = Chain.ratios(s, first, a)
-            p = Chain.marginals(f, b)
-            d = y - p
             g = np.zeros_like(theta)
-            for row in local:
-                g[: len(used)] += np.bincount(row, weights=d, minlength=len(used))
-            g[len(used)] = d.sum()
-            r, e = f[later - 1], np.exp(np.clip(s[later], -30, 30)) * b[later]
-            pair = np.stack([np.ones(len(later)), np.exp(a[0]) * e, np.exp(a[1]) * r, np.exp(a[2]) * r * e])
-            pair /= pair.sum(0)
-            was, now = y[later - 1], y[later]
-            g[len(used) + 1 :] = [((1 - was) * now - pair[1]).sum(), (was * (1 - now) - pair[2]).sum(), (was * now - pair[3]).sum(), (y[begins] - p[begins]).sum()]
+            for t0, t1 in zip(cuts[:-1], cuts[1:], strict=True):  # some texts at a time, to keep arrays small
+                a, b = first[t0], first[t1]
+                self._add_gradient(g, theta, to, feats[:, a:b], first[t0 : t1 + 1] - a, y[a:b])
             g = g / pos - l2 * np.concatenate([theta[: len(used)], np.zeros(5)])
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         self.w[used], self.bias, self.a = theta[: len(used)], theta[len(used)], theta[len(used) + 1 :]
 
+    @staticmethod
+    def _add_gradient(g: np.ndarray, theta: np.ndarray, to: np.ndarray, feats: np.ndarray, first: np.ndarray, y: np.ndarray) -> None:
+        """Adds the gradient of some texts' log-likelihood to g."""
+        n, size = len(y), len(theta) - 5
+        if not n:
+            return
+        w, a = theta[:size], theta[size + 1 :]
+        s = np.full(n, theta[size])
+        for row in feats:
+            s += w[to[row]]
+        f, b = Chain.ratios(s, first, a)
+        p = Chain.marginals(f, b)
+        d = y - p
+        for row in feats:
+            g[:size] += np.bincount(to[row], weights=d, minlength=size)
+        g[size] += d.sum()
+        inner = np.ones(n, bool)
+        inner[first[:-1][first[:-1] < n]] = False
+        later, begins = np.flatnonzero(inner), np.flatnonzero(~inner)
+        r, e = f[later - 1], np.exp(np.clip(s[later], -30, 30)) * b[later]
+        pair = np.stack([np.ones(len(later)), np.exp(a[0]) * e, np.exp(a[1]) * r, np.exp(a[2]) * r * e])
+        pair /= pair.sum(0)
+        was, now = y[later - 1], y[later]
+        g[size + 1 :] += [((1 - was) * now - pair[1]).sum(), (was * (1 - now) - pair[2]).sum(), (was * now - pair[3]).sum(), (y[begins] - p[begins]).sum()]
+
 
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """By text: log of the expected number of toxic tokens, the largest marginal, and the expected share."""
@@ -159,54 +171,68 @@ def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sample_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and offsets of the words of many texts, and two least hashes of each text's shingles (0: it has none)."""
+    feats, sizes, least = [np.zeros((len(_BITS), 0), np.int32)], [], [np.zeros((0, 2), np.uint64)]
+    for b in slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], "text"):
+        w = Words(b.column(0), ascii_fold(), alnum_words())
+        feats.append(token_features(w))
+        sizes.append(np.diff(w.first))
+        h, at = w.runs(5)
+        begin = np.searchsorted(at, w.first)
+        full = np.flatnonzero(np.diff(begin))
+        own = np.zeros((b.num_rows, 2), np.uint64)
+        if len(full):
+            for j, c in enumerate(random_words(29, 2)):
+                own[full, j] = np.minimum.reduceat(h * c, begin[full])
+        least.append(own)
+    return np.concatenate(feats, 1), np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int64), np.concatenate(least)
+
+
 class Model:
     """The fitted field and the regression on its marginals; `scores` and `spans` are what it says of texts."""
 
     def __init__(self, texts: list[str], labels: np.ndarray, class_rows: tuple[int, int]) -> None:
-        w = Words(pa.array(texts, pa.string()), ascii_fold(), alnum_words())
-        feats, doc = token_features(w), w.text_of()
+        feats, first, least = _sample_features(texts)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
         self.crf, self.top = Crf(), None
         self.prior = (class_rows[1] + 1) / (sum(class_rows) + 2)
-        if not len(w.hash) or labels.min(initial=1) == labels.max(initial=0):
+        if not len(doc) or labels.min(initial=1) == labels.max(initial=0):
             return
-        y = self._token_labels(w, feats, doc, labels)
-        self.crf.fit(feats, w.first, y.astype(float))
+        y = self._token_labels(feats, doc, least, labels)
+        self.crf.fit(feats, first, y.astype(float))
         self.crf.w = self.crf.w.astype(np.float32)
-        p = self._marginals(w)
+        p = self._marginals(feats, first)
         weight = np.where(labels == 1, class_rows[1] / max(1, labels.sum()), class_rows[0] / max(1, (1 - labels).sum()))
-        self.top = Logistic(document_features(p, w.first), labels, weight)
+        self.top = Logistic(document_features(p, first), labels, weight)
 
     @staticmethod
-    def _token_labels(w: Words, feats: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    def _token_labels(feats: np.ndarray, doc: np.ndarray, least: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """A token is toxic if its text is labelled so and a feature of it marks toxic texts; near copies count once."""
-        h, at = w.runs(5)
-        owner = np.searchsorted(w.first, at, side="right") - 1
         once = np.ones(len(labels), bool)
-        for j in range(2):
-            least: dict[int, int] = {}
-            order = np.argsort(h * random_words(29, 2)[j], kind="stable")
-            d, i = np.unique(owner[order], return_index=True)
-            for text, x in zip(d.tolist(), h[order][i].tolist(), strict=True):
-                if least.setdefault(x, text) != text:
-                    once[text] = False
+        for column in least.T:
+            known = np.flatnonzero(column)
+            _, kept = np.unique(column[known], return_index=True)
+            once[np.setdiff1d(known, known[kept])] = False
         y = np.zeros(len(doc), bool)
         n1, n0 = max(1, int((labels[once] == 1).sum())), max(1, int((labels[once] == 0).sum()))
         for row in feats:
-            pairs = np.unique(np.stack([row, doc], 1)[once[doc]], axis=0)
-            c1, c0 = (np.bincount(pairs[labels[pairs[:, 1]] == k, 0], minlength=int(row.max()) + 1) for k in (1, 0))
+            pairs = np.unique(row[once[doc]] * np.int64(len(labels)) + doc[once[doc]])  # a feature and a text, once
+            f, t = np.divmod(pairs, len(labels))
+            c1, c0 = (np.bincount(f[labels[t] == k], minlength=int(row.max()) + 1) for k in (1, 0))
             marks = (c1 >= LEAST_DOCS) & ((c1 + 0.1) / n1 >= LEAST_ODDS * (c0 + 0.1) / n0)
             y |= marks[row]
         return y & (labels[doc] == 1)
 
-    def _marginals(self, w: Words) -> np.ndarray:
-        return Chain.marginals(*Chain.ratios(self.crf.scores(token_features(w)), w.first, self.crf.a)) if len(w.hash) else np.empty(0)
+    def _marginals(self, feats: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return Chain.marginals(*Chain.ratios(self.crf.scores(feats), first, self.crf.a)) if feats.shape[1] else np.empty(0)
 
     def read(self, column: pa.Array, least: float = 0.5) -> tuple[np.ndarray, list[list[dict]]]:
         """Scores of texts and their toxic spans (byte offsets, end exclusive, mean marginal)."""
         w = Words(column, ascii_fold(), alnum_words())
         if self.top is None:
             return np.full(len(column), self.prior), [[] for _ in range(len(column))]
-        p = self._marginals(w)
+        p = self._marginals(token_features(w), w.first)
         score = self.top.predict(document_features(p, w.first))
         hot = np.flatnonzero(p >= least)
         text = np.searchsorted(w.first, hot, side="right") - 1
