@@ -79,3 +79,47 @@ def banded(df: DataFrame, value: str, bands: list[tuple[str, float, float | None
 def normal(u: Column, v: Column) -> Column:
     """A standard normal from two uniform draws."""
     return F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2.0 * 3.141592653589793 * v)
+
+
+def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, seed: int, rounds: int = 2) -> DataFrame:
+    """Coherent pairs for items: in each round an item draws a pair of classes it still lacks, then an anchor of that pair.
+
+    items: item and `classes` (array). anchors: song, class_a, class_b, start, end. Rows: item, round, song, class_a,
+    class_b, start, end, reason (null, or no_anchor where no pair of the item's classes is left with one). A song is
+    drawn once an item. Rounds are unrolled; each is one join on (pair, rank), never items x anchors.
+    """
+    pair = ["class_a", "class_b"]
+    key = F.concat_ws(":", F.col("song").cast("string"), *pair, F.col("start").cast("string"))
+    ranked = anchors.withColumn("_rank", F.row_number().over(Window.partitionBy(*pair).orderBy(draw(seed, key, "anchor"), "song", "start")) - 1)
+    counts = anchors.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"))
+    # as many rows as there are pairs of classes: one array
+    dim = counts.agg(F.array_sort(F.collect_list(F.struct(*pair, "_n"))).alias("_pairs"))
+    left = items.select(item, F.col("classes").alias("_left"), F.array().cast(f"array<{anchors.schema['song'].dataType.simpleString()}>").alias("_songs"))
+    out = None
+    for r in range(rounds):
+        x = left.join(F.broadcast(dim), how="left")
+        fits = F.filter("_pairs", lambda p: F.array_contains("_left", p["class_a"]) & F.array_contains("_left", p["class_b"]))
+        x = x.withColumn("_fits", F.coalesce(fits, F.array().cast(dim.schema["_pairs"].dataType)))
+        u = draw(seed, F.col(item), f"pair{r}")
+        chosen = F.get("_fits", F.floor(u * F.size("_fits")).cast("int"))
+        x = x.withColumn("_p", F.when(F.size("_fits") > 0, chosen))
+        x = x.select(item, "_left", "_songs", F.col("_p.class_a").alias("class_a"), F.col("_p.class_b").alias("class_b"), F.floor(draw(seed, F.col(item), f"rank{r}") * F.col("_p._n")).alias("_rank"))
+        x = x.join(ranked, [*pair, "_rank"], "left").withColumn("_again", F.coalesce(F.array_contains("_songs", F.col("song")), F.lit(False)))
+        ok = F.col("song").isNotNull() & ~F.col("_again")
+        picked = x.select(item, F.lit(r).alias("round"), *[F.when(ok, F.col(c)).alias(c) for c in ("song", *pair, "start", "end")], F.when(F.col("_again"), "song_again").when(F.col("song").isNull(), "no_anchor").alias("reason"))
+        out = picked if out is None else out.unionByName(picked)
+        left = x.select(item, F.when(ok, F.array_except("_left", F.array(*pair))).otherwise(F.col("_left")).alias("_left"), F.when(ok, F.concat("_songs", F.array("song"))).otherwise(F.col("_songs")).alias("_songs"))
+    return out
+
+
+def realised(picks: DataFrame, blocks: DataFrame, item: str, file: str, length: int, samples: str = "samples") -> DataFrame:
+    """The mixture of an item: windows of `length` samples of its picks' files from `start`, each times `gain`, summed by position.
+
+    blocks: file, first (frame of the first sample), samples. Blocks are matched by frame number, so that a window may
+    span several and no file is put together.
+    """
+    x = picks.select(item, file, "start", "gain").join(blocks.select(file, "first", samples), file)
+    overlap = (F.col("first") < F.col("start") + length) & (F.col("first") + F.size(samples) > F.col("start"))
+    x = x.filter(overlap).select(item, "gain", (F.col("first") - F.col("start")).alias("_shift"), F.posexplode(samples).alias("_p", "_x"))
+    x = x.withColumn("pos", (F.col("_p") + F.col("_shift")).cast("int")).filter((F.col("pos") >= 0) & (F.col("pos") < length))
+    return x.groupBy(item, "pos").agg(F.sum(F.col("gain") * F.col("_x")).alias("v"))

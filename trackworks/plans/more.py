@@ -228,3 +228,28 @@ def b17(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(F.regexp_replace("p_type", " ", "_"), F.lit("/"), F.regexp_replace("p_brand", "#", "·"))
     names = F.array_distinct(F.transform(L.credits(line, ["PROMO_BURNISHED_TIN", "ECONOMY_PLATED_STEEL", "STANDARD"], ["Brand"]), lambda x: x["instrument"]))
     return p.select("p_partkey", F.size(names).alias("n"), line.alias("credit"))
+
+
+@query("g12_cluster_fill")
+def g12(spark: SparkSession, d: str) -> DataFrame:
+    from trackworks.operators import sampling
+
+    items = table(spark, d, "events", "user_id", "event_type").groupBy(F.col("user_id").alias("item")).agg(F.sort_array(F.collect_set("event_type")).alias("classes"))
+    return sampling.cluster_fill(items, "item", _anchors(spark, d).withColumnRenamed("file_id", "song"), 31)
+
+
+_ITEM = C.draw_sql(32, "vec_id", "start")
+
+
+@query("g14_realised_plan", f"""WITH {_FB}, p AS (SELECT vec_id AS item, label AS song, floor({_ITEM} * 200)::BIGINT AS start, 1 + vec_id % 3 AS gain FROM embeddings WHERE label IS NOT NULL
+UNION ALL SELECT vec_id, (label + 1) % 10, floor({_ITEM} * 300)::BIGINT, 1 FROM embeddings WHERE label IS NOT NULL)
+SELECT item, (fr - start)::INTEGER AS pos, round(sum(gain * v), 6) AS v FROM p JOIN fr ON fr.song = p.song AND fr >= start AND fr < start + 32 GROUP BY 1, 2""")
+def g14(spark: SparkSession, d: str) -> DataFrame:
+    from trackworks.operators import sampling
+
+    e = table(spark, d, "embeddings", "vec_id", "label").filter("label is not null")
+    u = C.draw(32, F.col("vec_id"), "start")
+    a = e.select(F.col("vec_id").alias("item"), F.col("label").alias("song"), F.floor(u * 200).alias("start"), (1 + F.col("vec_id") % 3).alias("gain"))
+    b = e.select(F.col("vec_id").alias("item"), ((F.col("label") + 1) % 10).alias("song"), F.floor(u * 300).alias("start"), F.lit(1).cast("long").alias("gain"))
+    blocks = file_blocks(spark, d).withColumnRenamed("start", "first")
+    return sampling.realised(a.unionByName(b), blocks, "item", "song", 32).withColumn("v", F.round("v", 6))
