@@ -15,7 +15,7 @@ from trackworks.llm.shared import Words, alnum_words, ascii_fold, own_name, pass
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
 _FILTER_BITS = 22
 
 
