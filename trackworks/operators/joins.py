@@ -23,17 +23,30 @@ def resumable(work: DataFrame, done: DataFrame, key: str, todo: str = "todo", ca
     return work.join(have, key, "left").withColumn("ops", F.when(F.col("_done"), cached).otherwise(todo)).drop("_done")
 
 
-def prefix_offsets(df: DataFrame, order: str, n: str, out: str, parts: int = 64) -> DataFrame:
-    """Exclusive running sum of n in the order of a unique column.
+def range_part(df: DataFrame, order: str, parts: int) -> Column:
+    """The number of the part of a numeric column's range that a row is in; parts are about equally full.
 
-    Rows are range-partitioned into parts, summed within each, and offset by the sums of the parts before: no task
-    sorts the whole table.
+    Bounds are at most parts - 1 numbers, taken first and then fixed, so that a row's part is the same wherever it is
+    asked for. Equal values are in one part.
     """
-    ranged = df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
+    at = [i / parts for i in range(1, parts)]
+    bounds = sorted(set(df.agg(F.percentile_approx(order, F.array(*map(F.lit, at)), F.lit(2000))).first()[0] or []))
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)))
+
+
+def prefix_offsets(df: DataFrame, order: str, n: str, out: str, parts: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Exclusive running sum of n in the order of a numeric column (and `ties` where it repeats).
+
+    Rows are summed within parts of the column's range and offset by the sums of the parts before: no task sorts the
+    whole table.
+    """
+    ranged = df.withColumn("_part", range_part(df, order, parts))
     sums = ranged.groupBy("_part").agg(F.sum(n).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     base = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    local = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("_part").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     own = ranged.withColumn("_local", F.coalesce(F.sum(n).over(local), F.lit(0)))
     return own.join(F.broadcast(base), "_part").withColumn(out, F.col("_base") + F.col("_local")).drop("_part", "_base", "_local")
 

@@ -72,15 +72,17 @@ def mahalanobis(x: str, y: str) -> "F.Column":
 def ks_statistic(df: DataFrame, label: str, a, b, value: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value: one row.
 
-    Counts of distinct values are summed up in range partitions, then offset by the partitions before, so no task
-    sorts the whole table.
+    Counts of distinct values are summed up within parts of the value's range, then offset by the parts before, so no
+    task sorts the whole table.
     """
     from pyspark.sql import Window
 
+    from trackworks.operators.joins import range_part
+
     c = df.filter(F.col(label).isin(a, b) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(label) == a).alias("na"), F.count_if(F.col(label) == b).alias("nb"))
-    r = c.repartitionByRange(16, "v").withColumn("_part", F.spark_partition_id())
+    r = c.withColumn("_part", range_part(c, "v", 64))
     sums = r.groupBy("_part").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     base = sums.select("_part", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("ba"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("bb"), F.sum("sa").over(Window.partitionBy()).alias("ta"), F.sum("sb").over(Window.partitionBy()).alias("tb"))
     own = Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     x = r.withColumns({"ca": F.sum("na").over(own), "cb": F.sum("nb").over(own)}).join(F.broadcast(base), "_part")

@@ -218,3 +218,13 @@ def i2(spark: SparkSession, d: str) -> DataFrame:
 def i3(spark: SparkSession, d: str) -> DataFrame:
     n = history(spark, d).groupBy((F.col("run") % 10).alias("line"), "run").agg(F.countDistinct("epoch").alias("n_epochs"))
     return S.top_by(n, ["line"], [F.col("n_epochs").desc(), "run"])
+
+
+@query("i3_cut_histories", f"WITH {_T}, n AS (SELECT run % 10 AS line, run, count(DISTINCT epoch) n, max(epoch) m FROM t GROUP BY 1, 2), l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY line ORDER BY n DESC, run) = 1) SELECT run, epoch::INTEGER AS epoch, class, round(score, 6) AS score FROM t JOIN l USING (run) WHERE epoch <= (SELECT min(m) FROM l)")
+def i3_cut(spark: SparkSession, d: str) -> DataFrame:
+    t = history(spark, d)
+    n = t.groupBy((F.col("run") % 10).alias("line"), "run").agg(F.countDistinct("epoch").alias("n"), F.max("epoch").alias("m"))
+    longest = S.top_by(n, ["line"], [F.col("n").desc(), "run"])
+    last = longest.agg(F.min("m").alias("cut"))
+    j = t.join(longest.select("run"), "run").join(F.broadcast(last)).filter("epoch <= cut")  # one row
+    return j.select("run", "epoch", "class", F.round("score", 6).alias("score"))

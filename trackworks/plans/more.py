@@ -66,7 +66,7 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.vec_id AS file_a, b.vec_id AS file_b, floor({C.draw_sql(21, 'a.vec_id', 'offset')} * 64)::BIGINT AS "offset" FROM r a JOIN r b ON b.r = (a.r + 1) % a.n WHERE a.label <> b.label""")
 def f24(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings", "vec_id", "label").filter("label is not null").withColumns({"u": C.draw(21, F.col("vec_id"), "chance"), "one": F.lit(1)})
-    r = joins.prefix_offsets(e.withColumn("o", F.struct("u", "vec_id")), "o", "one", "r")
+    r = joins.prefix_offsets(e, "u", "one", "r", ties=("vec_id",))
     n = r.agg(F.count(F.lit(1)).alias("n"))
     a = r.join(F.broadcast(n)).select(F.col("vec_id").alias("file_a"), F.col("label").alias("la"), ((F.col("r") + 1) % F.col("n")).alias("r"))  # one row
     j = a.join(r.select("r", F.col("vec_id").alias("file_b"), F.col("label").alias("lb")), "r").filter("la <> lb")
