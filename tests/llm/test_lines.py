@@ -14,13 +14,22 @@ def test_site_relative_share(spark, make_docs):
 
 
 def test_nulls_empty_texts_repeats_and_extra_columns(spark, make_docs):
-    d = make_docs((1, None), (2, ""), (3, "x\ny"), (3, "x\ny"), (4, "x")).withColumn("source", F.lit(None).cast("string")).withColumn("site_key", F.lit(1)).withColumn("n_removed", F.lit(9))
+    d = make_docs((1, None), (2, ""), (3, "x\nyyy"), (3, "x\nyyy"), (4, "x")).withColumn("source", F.lit(None).cast("string")).withColumn("site_key", F.lit(1)).withColumn("n_removed", F.lit(9))
     rows = L.without_boilerplate(d, "source", max_share=0.5, min_pages=2, removed="n_removed").collect()
-    assert sorted((r["doc_id"], r["text"], r["_n_removed"], r["n_removed"]) for r in rows if r["text"] is not None) == [(2, "", 0, 9), (3, "y", 1, 9), (3, "y", 1, 9), (4, "", 1, 9)]
+    assert sorted((r["doc_id"], r["text"], r["_n_removed"], r["n_removed"]) for r in rows if r["text"] is not None) == [(2, "", 0, 9), (3, "yyy", 1, 9), (3, "yyy", 1, 9), (4, "x", 0, 9)]
     assert [r["_n_removed"] for r in rows if r["text"] is None] == [0]
     assert L.without_boilerplate(d.limit(0), "source").count() == 0
 
 
 def test_a_long_line_is_one_line(spark, make_docs):
-    d = make_docs(*["z" * 200_000 + f"\nown {i}" for i in range(4)])
-    assert {r["text"] for r in L.without_boilerplate(d, "source").collect()} == {f"own {i}" for i in range(4)}
+    own = [f"own {i} " + "y" * 200_000 for i in range(4)]
+    d = make_docs(*["z" * 200_000 + f"\n{t}" for t in own])
+    assert {r["text"] for r in L.without_boilerplate(d, "source").collect()} == set(own)
+
+
+def test_copies_are_left_whole_but_other_pages_lose_the_shared_line(spark, make_docs):
+    copy = "\n".join(f"line {i} of the page" for i in range(10))
+    d = make_docs(*[copy] * 5, copy + "\nchanged", "line 3 of the page\n" + "an own text that is long enough")
+    got = {r["doc_id"]: r["text"] for r in L.without_boilerplate(d, "source").collect()}
+    assert all(got[i] == copy for i in range(1, 6)) and got[6] == copy + "\nchanged"
+    assert got[7] == "an own text that is long enough"

@@ -9,6 +9,8 @@ from trackworks.llm.shared import own_name, stored
 
 #: A line of a site is boilerplate if more than this share of the site's pages has it, on at least MIN_PAGES pages.
 MAX_SHARE, MIN_PAGES = 0.02, 3
+#: A page that would lose more than this percentage of its characters is a copy of others, not boilerplate, and is left whole.
+MAX_LOSS_PERCENT = 80
 #: Boilerplate lines of all sites (16 bytes each) up to which they are broadcast; more are joined by site.
 BROADCAST_LINES = 500_000
 
@@ -36,6 +38,9 @@ def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", ma
 def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, removed: str | None = None, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """`docs` with each site's boilerplate lines taken out of the texts; no row goes.
 
+    A page that would lose over MAX_LOSS_PERCENT of its characters keeps them all: in large groups of copies every line
+    is frequent, and these are for near-deduplication to judge.
+
     Lines end at a line feed and are compared without outer spaces; blank lines stay. The other lines keep their order.
     A null text stays null, an empty one empty; rows without a site are a site of their own. Rows that repeat are pages
     that repeat. `removed` names a further column for the number of lines taken out. Other columns stay as they are.
@@ -49,9 +54,11 @@ def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text",
         found = F.broadcast(found)
     df = docs.withColumn(site, F.coalesce(F.col(site_col).cast("string"), F.lit(""))).join(found, site, "left")
     said = F.split(F.col(text_col), "\n")
-    kept = F.filter(said, lambda x: ~F.array_contains(F.col(lines), _key(x)) | (F.trim(x) == ""))
-    new = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    names = [F.when(F.col(text_col).isNull(), F.lit(None)).otherwise(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    kept, new = own_name(df, "kept_lines"), own_name(df, "kept_text")
+    df = df.withColumn(kept, F.when(F.col(lines).isNotNull(), F.filter(said, lambda x: ~F.array_contains(F.col(lines), _key(x)) | (F.trim(x) == ""))))
+    df = df.withColumn(new, F.array_join(kept, "\n"))
+    cut = F.coalesce(100 * F.length(new) >= (100 - MAX_LOSS_PERCENT) * F.length(text_col), F.lit(False))
+    names = [F.when(cut, F.col(new)).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if removed:
-        names.append(F.coalesce(F.when(F.col(lines).isNotNull() & F.col(text_col).isNotNull(), F.size(said) - F.size(kept)), F.lit(0)).cast("long").alias(own_name(docs, removed)))
+        names.append(F.when(cut, F.size(said) - F.size(kept)).otherwise(0).cast("long").alias(own_name(docs, removed)))
     return df.select(*names)

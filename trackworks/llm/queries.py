@@ -59,10 +59,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""WITH d AS (SELECT doc_id, source, text, coalesce(source, '') site, string_split(text, chr(10)) ls FROM documents),
 n AS (SELECT site, count(*) pages FROM d GROUP BY 1),
 k AS (SELECT site, l, count(*) c FROM (SELECT site, unnest(list_distinct(list_transform(coalesce(ls, ['']), lambda x: trim(x)))) l FROM d) WHERE l <> '' GROUP BY 1, 2),
-bad AS (SELECT site, list(l) bl FROM k JOIN n USING (site) WHERE c >= {lines.MIN_PAGES} AND c > {lines.MAX_SHARE} * pages GROUP BY 1)
-SELECT doc_id, source, CASE WHEN bl IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(bl, trim(x))), chr(10)) END AS text,
-  coalesce(CASE WHEN bl IS NULL THEN 0 ELSE len(list_filter(ls, lambda x: trim(x) <> '' AND list_contains(bl, trim(x)))) END, 0)::BIGINT AS n_removed
-FROM d LEFT JOIN bad USING (site)"""
+bad AS (SELECT site, list(l) bl FROM k JOIN n USING (site) WHERE c >= {lines.MIN_PAGES} AND c > {lines.MAX_SHARE} * pages GROUP BY 1),
+x AS (SELECT *, list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(bl, trim(x))) kl FROM d LEFT JOIN bad USING (site)),
+y AS (SELECT *, coalesce(bl IS NOT NULL AND 100 * length(array_to_string(kl, chr(10))) >= {100 - lines.MAX_LOSS_PERCENT} * length(text), false) cut FROM x)
+SELECT doc_id, source, CASE WHEN cut THEN array_to_string(kl, chr(10)) ELSE text END AS text, CASE WHEN cut THEN len(ls) - len(kl) ELSE 0 END::BIGINT AS n_removed FROM y"""
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
