@@ -110,14 +110,14 @@ def d24(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("d23_density_ranking", f"""{_P}, x AS (SELECT run, song, class, score / 1000 x, song / 1000.0 y FROM cell), g AS (SELECT run, avg(x) mx, avg(y) my, var_samp(x) vx, var_samp(y) vy, covar_samp(x, y) c FROM x WHERE run IN ('F', 'O') GROUP BY 1),
-l AS (SELECT x.*, g.run r, round(-0.5 * ((vy * (x - mx) * (x - mx) - 2 * c * (x - mx) * (y - my) + vx * (y - my) * (y - my)) / (vx * vy - c * c)) - 0.5 * ln(vx * vy - c * c), 6) ll FROM x, g)
-SELECT run, song, class, round(sum(CASE WHEN r = 'F' THEN ll ELSE -ll END), 5) AS log_odds FROM l WHERE run = 'P' GROUP BY 1, 2, 3""")
+l AS (SELECT x.*, g.run r, (-0.5 * ((vy * (x - mx) * (x - mx) - 2 * c * (x - mx) * (y - my) + vx * (y - my) * (y - my)) / (vx * vy - c * c)) - 0.5 * ln(vx * vy - c * c)) ll FROM x, g)
+SELECT run, song, class, round(sum(CASE WHEN r = 'F' THEN ll ELSE -ll END), 6) AS log_odds FROM l WHERE run = 'P' GROUP BY 1, 2, 3""")
 def d23(spark: SparkSession, d: str) -> DataFrame:
     s = cells(spark, d).select("run", "song", "class", (F.col("score") / 1000).alias("x"), (F.col("song") / F.lit(1000.0)).alias("y"))
     g = rollups.gaussian_fit(s.filter("run in ('F', 'O')"), ["run"], "x", "y").withColumnRenamed("run", "r")
-    ll = F.round(-0.5 * rollups.mahalanobis("x", "y") - 0.5 * F.log(F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy")), 6)
+    ll = -0.5 * rollups.mahalanobis("x", "y") - 0.5 * F.log(F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy"))
     j = s.filter("run = 'P'").join(F.broadcast(g)).withColumn("ll", ll)  # two rows of parameters
-    return j.groupBy("run", "song", "class").agg(F.round(F.sum(F.when(F.col("r") == "F", F.col("ll")).otherwise(-F.col("ll"))), 5).alias("log_odds"))
+    return j.groupBy("run", "song", "class").agg(F.round(F.sum(F.when(F.col("r") == "F", F.col("ll")).otherwise(-F.col("ll"))), 6).alias("log_odds"))
 
 
 @query("h9_summary_crosscheck", f"{_P} SELECT run, class, abs(sum(score) / count(*) - avg(score)) < 1e-6 AS same FROM p GROUP BY 1, 2")
