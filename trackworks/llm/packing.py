@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackworks.llm.shared import slices, stored
+from trackworks.llm.shared import release_memory, slices, stored
 
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 
 
 class _Known(dict):
@@ -70,10 +70,13 @@ class Encoder:
             core = self.normalizer.normalize_str(core).translate(self.alphabet)
         return tuple(t.id for t in self.model.tokenize(core))
 
+    def forget(self) -> None:
+        self.known.clear(), self.cores.clear()
+        self.known[""] = ()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) + len(self.cores) > CACHE_WORDS:
-            self.known.clear(), self.cores.clear()
-            self.known[""] = ()
+            self.forget()
         get = self.known.__getitem__
         return [np.fromiter(itertools.chain.from_iterable(map(get, t.replace("\n", " ").split(" "))), dtype=np.uint32) for t in texts]
 
@@ -165,6 +168,8 @@ def _pieces(path: str, capacity: int, end: int, payload: str):
                 [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(body, pa.list_(pa.int32()) if payload == "ids" else pa.int64()), pa.array(np.full(len(rank), task), pa.int32()), pa.array(rank)],
                 names=["doc_id", "piece", "start", "length", payload, "task", "rank"],
             )
+        encoder.forget()
+        release_memory()
 
     return run
 

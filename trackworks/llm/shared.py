@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel works on at a time; a longer text is worked on alone and whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,8 +56,26 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, o - (o[0] if len(o) else 0)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, and what they keep adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The rows of `batches` in pieces of about SLICE_BYTES of `text`, so that arrays stay small; never part of a row."""
+    """The rows of `batches` in pieces of about SLICE_BYTES of `text`, so that arrays stay small; never part of a row.
+
+    When all is read, freed memory is given back.
+    """
+    try:
+        yield from _slices(batches, text)
+    finally:
+        release_memory()
+
+
+def _slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
