@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackworks.functions.logs import line_events
 from trackworks.registry import registry
 from trackworks.session import table
 from trackworks.sources import files
-from trackworks.sources.scratch import drained, scratch
+from trackworks.sources.scratch import drained, scratch, settled
 from trackworks.streaming import logs
 
 query = registry.query
@@ -59,3 +60,29 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, max(value) AS peak_level FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE value > 20)""")
 def j6(spark: SparkSession, d: str) -> DataFrame:
     return drained(logs.activity_sessions(readings(spark, d), "ts", "user_id", "value", 20.0, "6 hours", "10 minutes"), "sessions")
+
+
+_LINES = r"""l AS (SELECT 'run' || (user_id % 7) AS run, CASE event_type WHEN 'click' THEN 'Instr s' || user_id || ' si_sdr: ' || printf('%.3f', value) WHEN 'purchase' THEN 'Train epoch: ' || user_id WHEN 'error' THEN 'warning: non-finite grads: ' || (event_id % 9) WHEN 'view' THEN 'Metric avg si_sdr : ' || printf('%.3f', value) ELSE 'other' END AS line FROM events),
+e AS (SELECT run, CASE WHEN line LIKE 'Instr%' THEN 'class_value' WHEN line LIKE 'Train%' THEN 'epoch' WHEN line LIKE 'Metric%' THEN 'average' ELSE 'non_finite' END AS kind, regexp_extract(line, '(-?[\d.]+)$', 1)::DOUBLE AS value FROM l WHERE line <> 'other')"""
+
+
+def log_folder(spark: SparkSession, d: str) -> str:
+    """A folder of log files, a folder a run, written from the events."""
+    t = F.col("event_type")
+    line = F.when(t == "click", F.format_string("Instr s%d si_sdr: %.3f", "user_id", "value")).when(t == "purchase", F.format_string("Train epoch: %d", "user_id")).when(t == "error", F.format_string("warning: non-finite grads: %d", F.col("event_id") % 9)).when(t == "view", F.format_string("Metric avg si_sdr : %.3f", "value")).otherwise("other")
+    path = scratch(spark, "logs")
+    e = table(spark, d, "events", "event_id", "user_id", "event_type", "value")
+    e.select(F.concat(F.lit("run"), (F.col("user_id") % 7).cast("string")).alias("run"), line.alias("line")).write.partitionBy("run").text(path)
+    return path
+
+
+@query("j1_log_stream", f"WITH {_LINES} SELECT run, kind, value FROM e")
+def j1(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.readStream.schema("value string, run string").text(log_folder(spark, d)).select("run", F.col("value").alias("line"))
+    return drained(line_events(lines).select("run", "kind", "value"), "events")
+
+
+@query("j2_running_digest", f"""WITH {_LINES} SELECT run, max(CASE WHEN kind = 'epoch' THEN value END)::BIGINT AS epoch, max(CASE WHEN kind = 'average' THEN value END) AS best, count(CASE WHEN kind = 'average' THEN 1 END) AS n_evals, coalesce(sum(CASE WHEN kind = 'non_finite' THEN value END), 0) AS non_finite, false AS done FROM e GROUP BY 1""")
+def j2(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.readStream.schema("value string, run string").text(log_folder(spark, d)).select("run", F.col("value").alias("line"))
+    return settled(logs.running_digest(line_events(lines)), "digest")

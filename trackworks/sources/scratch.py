@@ -26,3 +26,15 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     if q.exception():
         raise q.exception()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def settled(stream: DataFrame, name: str) -> DataFrame:
+    """The last state of an aggregate that a stream keeps (complete mode), written as Parquet by each batch."""
+    spark = stream.sparkSession
+    out = scratch(spark, name)
+    put = lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")
+    q = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
