@@ -27,8 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source's boilerplate lines out of the texts; n_chars follows."""
-    done = lines.without_boilerplate(docs, "source")
+    """Takes each source's boilerplate lines out of all texts, exact copies counted once; n_chars follows."""
+    done = lines.without_boilerplate(docs, "source", every_page=True)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -33,3 +33,14 @@ def test_copies_are_left_whole_but_other_pages_lose_the_shared_line(spark, make_
     got = {r["doc_id"]: r["text"] for r in L.without_boilerplate(d, "source").collect()}
     assert all(got[i] == copy for i in range(1, 6)) and got[6] == copy + "\nchanged"
     assert got[7] == "an own text that is long enough"
+
+
+def test_every_page_loses_the_lines_and_copies_count_once(spark, make_docs):
+    head = " ".join(["a line that all pages of the site have"] * 5)
+    copy = "\n".join(f"line {i} of the page" for i in range(10))
+    d = make_docs(*[f"{head}\nown {i}" for i in range(6)], *[copy] * 5, head, None)
+    for broadcast in (1000, 0):
+        rows = L.without_boilerplate(d, "source", removed="n_removed", broadcast_lines=broadcast, every_page=True).collect()
+        got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows}
+        assert [got[i + 1] for i in range(6)] == [(f"own {i}", 1) for i in range(6)]
+        assert [got[i] for i in range(7, 12)] == [(copy, 0)] * 5 and got[12] == ("", 1) and got[13] == (None, 0)

@@ -43,3 +43,9 @@ def test_planted_cases(spark, make_docs):
     assert deduped >= set(range(20)) and not deduped & {100, 101, 102, 103, 104, 200}
     left = {r["doc_id"]: r["text"] for r in P.decontamination_stage(spark, docs, SF).collect()}
     assert all(left[i] == t for i, t in enumerate(clean)) and item not in left.get(300, "")
+
+
+def test_line_stage_takes_boilerplate_from_short_pages_too(spark, make_docs):
+    head = " ".join(["a line that all pages of the site have"] * 5)
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.line_stage(spark, make_docs(*[f"{head}\nown {i}" for i in range(6)]), SF).collect()}
+    assert left == {i + 1: (f"own {i}", 5) for i in range(6)}

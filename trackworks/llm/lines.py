@@ -21,25 +21,29 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b"))
 
 
-def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """(site, lines): keys of each site's lines that occur on more than `max_share` of its pages and on `min_pages`.
 
-    Pages of a site are all its rows; a line counts once a page. Lines are hashed before they are shuffled and counted
+    Pages of a site are all its rows, or with `copies_once` its different texts (by 128 bits of the whole text); a line
+    counts once a page. Lines are hashed before they are shuffled and counted
     before and after, so a site with most pages is as many small sums. A site has at most its mean number of different
     lines a page, divided by max_share, of such lines, which bounds the array.
     """
     pages = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    totals = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    page = [F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("page")] if copies_once else []
+    once = (lambda df: df.distinct()) if copies_once else (lambda df: df)
+    totals = once(pages.select("site", *page)).groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     line = F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _key)))
-    counts = pages.select("site", line.alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    counts = once(pages.select("site", *page, line.alias("line"))).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     return counts.join(totals, "site").filter(F.col("n") > max_share * F.col("pages")).groupBy("site").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, removed: str | None = None, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, removed: str | None = None, broadcast_lines: int = BROADCAST_LINES, every_page: bool = False) -> DataFrame:
     """`docs` with each site's boilerplate lines taken out of the texts; no row goes.
 
     A page that would lose over MAX_LOSS_PERCENT of its characters keeps them all: in large groups of copies every line
-    is frequent, and these are for near-deduplication to judge.
+    is frequent, and these are for near-deduplication to judge. With `every_page` the lines go from every page, whatever
+    is left of it, and exact copies count as one page instead, so that their number alone makes no line frequent.
 
     Lines end at a line feed and are compared without outer spaces; blank lines stay. The other lines keep their order.
     A null text stays null, an empty one empty; rows without a site are a site of their own. Rows that repeat are pages
@@ -49,7 +53,7 @@ def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text",
     aren't shuffled; beyond it they are joined by site, where adaptive execution splits a hot one.
     """
     site, lines = own_name(docs, "site_key"), own_name(docs, "site_lines")
-    found = stored(boilerplate_lines(docs, site_col, text_col, max_share, min_pages).select(F.col("site").alias(site), F.col("lines").alias(lines)), "boilerplate")
+    found = stored(boilerplate_lines(docs, site_col, text_col, max_share, min_pages, every_page).select(F.col("site").alias(site), F.col("lines").alias(lines)), "boilerplate")
     if (found.agg(F.sum(F.size(lines))).first()[0] or 0) <= broadcast_lines:
         found = F.broadcast(found)
     df = docs.withColumn(site, F.coalesce(F.col(site_col).cast("string"), F.lit(""))).join(found, site, "left")
@@ -57,7 +61,7 @@ def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text",
     kept, new = own_name(df, "kept_lines"), own_name(df, "kept_text")
     df = df.withColumn(kept, F.when(F.col(lines).isNotNull(), F.filter(said, lambda x: ~F.array_contains(F.col(lines), _key(x)) | (F.trim(x) == ""))))
     df = df.withColumn(new, F.array_join(kept, "\n"))
-    cut = F.coalesce(100 * F.length(new) >= (100 - MAX_LOSS_PERCENT) * F.length(text_col), F.lit(False))
+    cut = F.col(kept).isNotNull() if every_page else F.coalesce(100 * F.length(new) >= (100 - MAX_LOSS_PERCENT) * F.length(text_col), F.lit(False))
     names = [F.when(cut, F.col(new)).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if removed:
         names.append(F.when(cut, F.size(said) - F.size(kept)).otherwise(0).cast("long").alias(own_name(docs, removed)))
