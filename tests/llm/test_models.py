@@ -93,3 +93,18 @@ def test_quality_of_odd_rows(tables, make_docs):
     flat = Q.fit_quality(docs, labels.filter("quality = 1"))
     assert flat.views is None and Q.score_quality(make_docs("a"), flat).first()["quality"]["score"] == 1.0
     assert Q.fit_quality(docs.limit(0), labels.limit(0)).prior == 0.5
+
+
+def test_quality_scores_mean_the_same_above_and_below_the_cap(tables):
+    docs, _ = tables
+    labels = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) != 0).cast("int").alias("quality"))  # four fifths, whatever the text
+    for per_class in (100_000, 100):
+        model = Q.fit_quality(docs, labels, per_class=per_class)
+        assert model.views is not None
+        mean = Q.score_quality(docs, model).agg(F.avg("quality.score")).first()[0]
+        assert 0.7 < mean < 0.9, (per_class, mean)
+
+
+def test_quality_prior_is_the_share_of_all_labels():
+    y = np.array([1] * 4 + [0])
+    assert Q.CoTrained(np.zeros((5, 1)), np.zeros((5, 1)), y, (1.0, 10.0)).prior == 40 / 41

@@ -78,11 +78,16 @@ def metadata_view(size: np.ndarray, *names: list[str]) -> np.ndarray:
 class CoTrained:
     """Two classifiers and how their calibrated logits are put together."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> None:
-        """Rows of y 0 or 1 are labelled, others (-1) are the pool. A fifth of the labelled rows calibrates only."""
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, class_weight: tuple[float, float] = (1.0, 1.0)) -> None:
+        """Rows of y 0 or 1 are labelled, others (-1) are the pool. A fifth of the labelled rows calibrates only.
+
+        class_weight: how many labels a labelled row of class 0 and of class 1 stands for, so that scores are
+        probabilities under the labels' own proportions and not the sample's.
+        """
         self.views: list[Logistic] | None = None
         known = np.flatnonzero(y >= 0)
-        self.prior = float(y[known].mean()) if len(known) else 0.5
+        weight = np.where(y == 1, class_weight[1], class_weight[0]).astype(float)
+        self.prior = float(np.average(y[known], weights=weight[known])) if len(known) else 0.5
         held = known[::5]
         train = np.setdiff1d(known, held)
         pool = np.flatnonzero(y < 0)
@@ -104,9 +109,9 @@ class CoTrained:
                 own[1 - k] = (np.append(rows, free[sure]), np.append(labels, p[sure] >= 0.5))
         self.views = [Logistic(x[rows], labels) for x, (rows, labels) in zip(views, own, strict=True)]
         logits = [m.logit(x[held])[:, None] for m, x in zip(self.views, views, strict=True)]
-        self.calibration = [Logistic(z, y[held]) for z in logits]
+        self.calibration = [Logistic(z, y[held], weight[held]) for z in logits]
         both = np.hstack([c.logit(z)[:, None] for c, z in zip(self.calibration, logits, strict=True)])
-        self.top = Logistic(both, y[held])
+        self.top = Logistic(both, y[held], weight[held])
 
     def predict(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, and the calibrated probabilities of the two views."""
@@ -130,18 +135,20 @@ def _inputs(docs: DataFrame, text_col: str, size_col: str, meta_cols: tuple[str,
     return docs.withColumns(new | {n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, meta_cols, strict=True)}), text, size, names
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", meta_cols: tuple[str, ...] = ("lang", "source"), label_col: str = "quality") -> CoTrained:
-    """Co-train on at most SAMPLE_PER_CLASS labelled rows a class and a pool of at most POOL others.
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", meta_cols: tuple[str, ...] = ("lang", "source"), label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> CoTrained:
+    """Co-train on at most `per_class` labelled rows a class and a pool of at most POOL others.
 
     All of the sample's ids are chosen by a hash: the labelled ones from `labels`, the pool from ids of `docs` without a
     label. Only rows of numbers reach the driver. Null ids and labels teach nothing; of an id with two labels the
-    smaller counts. Where a class is missing, every document scores the share of good labels.
+    smaller counts. Where a class is missing, every document scores the share of good labels. Labels of each class are
+    counted, and a sampled row weighs as many as it stands for, so that a score means the same at every size.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
     first = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
     ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
+    counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pool = first(ids.join(y, "id", "left_anti"), POOL).withColumn("y", F.lit(-1))
-    chosen = stored(first(y.filter("y = 1"), SAMPLE_PER_CLASS).unionByName(first(y.filter("y = 0"), SAMPLE_PER_CLASS)).unionByName(pool), "sample")
+    chosen = stored(first(y.filter("y = 1"), per_class).unionByName(first(y.filter("y = 0"), per_class)).unionByName(pool), "sample")
     df, text, size, names = _inputs(docs.select(id_col, text_col, size_col, *[c for c in meta_cols]), text_col, size_col, meta_cols)
     rows = df.select(F.col(id_col).alias("id"), text, size, *names).join(F.broadcast(chosen), "id")
 
@@ -155,7 +162,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not found:
         return CoTrained(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, int))
     stack = lambda k: np.stack([np.frombuffer(r[k], np.float32) for r in found])
-    return CoTrained(stack("t"), stack("m"), np.array([r["y"] for r in found]))
+    return CoTrained(stack("t"), stack("m"), np.array([r["y"] for r in found]), tuple(max(1.0, counts.get(c, 0) / per_class) for c in (0, 1)))
 
 
 def score_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", size_col: str = "n_chars", meta_cols: tuple[str, ...] = ("lang", "source"), out: str = "quality") -> DataFrame:
