@@ -46,3 +46,21 @@ def test_redaction_repeats_and_clashes(make_docs):
     rows = S.redacted(d, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
     assert sorted((r["doc_id"], r["text"] or "", r["secrets"]) for r in rows) == [(1, "a [secret] b", 1), (1, "a [secret] b", 1), (2, "", 1), (3, "plain", 1)]
     assert found(make_docs()) == {}
+
+
+def test_names_with_values_parameters_and_padding(make_docs):
+    texts = [f"CLIENT_CRED={KEY}", f"AWS_SECRET_ACCESS_KEY={KEY}", f"https://h.org/?sig={KEY}&x=1", f"AccountKey={KEY}==", f"{KEY}= y", f"a={KEY}=b", f"é ={KEY}===", "internationalization_and_localization2=plain"]
+    at = [(12, 12), (22, 22), (19, 19), (11, 13), (0, 1), (2, 2), (3, 3)]
+    got = found(make_docs(*texts))
+    for i, (start, extra) in enumerate(at, 1):
+        pad = extra - start
+        assert got[i] == [("random", start, start + len(KEY) + pad)], texts[i - 1]
+    assert got[8] == []
+
+
+def test_a_token_that_reaches_beyond_another_span_is_kept(make_docs):
+    digits = "04dbebab91ab85687d33eeaaf9ac699e"
+    got = found(make_docs(f"x {digits}{KEY} y", f"token={digits}{KEY}", f"é token={KEY}=="))
+    assert got[1] == [("hex", 2, 34), ("random", 2, 34 + len(KEY))]
+    assert [k for k, _, _ in got[2]] == ["assign", "hex"]
+    assert got[3] == [("assign", 2, 10 + len(KEY))]

@@ -17,7 +17,8 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 # longer runs of the same class are the same match, so the least lengths can be part of the patterns
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+# an equals sign may stand before a string, as in name=value, and belongs to it only as padding at the end
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 #: Hex digits of common digests: md5, sha1, sha224, sha256, sha384, sha512.
@@ -49,6 +50,15 @@ def random_spans(text: str, n_tokens, most: float = MAX_CHARS_PER_TOKEN) -> list
     return found
 
 
+def within(span: tuple[int, int, int], base: list[tuple[int, int, int]]) -> bool:
+    """Whether the sorted `base` spans together cover all of `span`."""
+    at = span[0]
+    for a, _, b in base:
+        if a <= at < b:
+            at = b
+    return at >= span[2]
+
+
 def load_counter(path: str, pattern: str):
     """Counts tokens of a string under a tiktoken vocabulary file."""
     import tiktoken
@@ -67,7 +77,7 @@ def _scan(path: str, pattern: str, most: float, text: str, out: str):
             rows = []
             for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
                 base = base_spans(t)
-                own = [x for x in random_spans(t, count, most) if not any(a < x[2] and x[0] < b for a, _, b in base)]
+                own = [x for x in random_spans(t, count, most) if not within(x, base)]
                 rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + own)])
             yield with_columns(batch, drop=[text], **{out: pa.array(rows, span)})
 
@@ -79,7 +89,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
 
     kinds: assign (name, sign, value of 8+ characters), access (key ids), hex (32+ digits) and random: strings of 20+
     characters of at most `max_chars_per_token` characters a token under the tiktoken `vocabulary` (split by `pattern`),
-    that aren't known digests, UUIDs or numbers and don't overlap another kind's span. Null and empty texts have none.
+    that aren't known digests, UUIDs or numbers and aren't all within spans of other kinds. Null and empty texts have none.
     Each row is judged alone, so repeated rows and ids don't matter; other columns stay, and a clash puts underscores
     before `out`.
     """
