@@ -77,3 +77,10 @@ def test_words_encode_as_texts():
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     t = Tokenizer.from_file(PATH)
     assert [x.tolist() for x in P.Encoder(PATH).encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_letters_that_normalize_to_a_letter_and_a_mark():
+    letters = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)]) if c.isalpha() and not 0x3400 <= ord(c) < 0xD7A4]
+    texts = ["\u0938\u095c\u0915", "\u09b8\u09dc\u0995.", "\ufb2a\u05dc\u05d5\u05dd", "ΟΔΟΣ ΣΑΣ. İstanbul", *[f"a{c}b {c}!" for c in letters]]
+    t = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in P.Encoder(PATH).encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]

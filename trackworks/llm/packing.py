@@ -39,8 +39,9 @@ class _Known(dict):
 class Encoder:
     """Ids of a BPE tokenizer that drops white space and folds case: words are encoded once and remembered.
 
-    A word of letters, perhaps with closing marks, goes to the tokenizer's model at once, after its own normalizer and
-    byte alphabet; any other goes through the whole tokenizer.
+    A word that is letters alone once normalized, perhaps with closing marks, goes to the tokenizer's model at once, after
+    its own normalizer and byte alphabet; any other goes through the whole tokenizer. (Some letters normalize to a letter
+    and a mark, where the tokenizer splits.)
     """
 
     def __init__(self, path: str) -> None:
@@ -59,15 +60,15 @@ class Encoder:
 
     def _word(self, word: str) -> tuple[int, ...]:
         core = word.rstrip(".,;:!?")
-        # where lower() differs from folding each character alone, the tokenizer does it
-        if core.isalpha() and "\u03a3" not in core and "\u0130" not in core:
+        folded = core.lower() if core.isascii() else self.normalizer.normalize_str(core)
+        if core.isalpha() and folded.isalpha():
             tail = word[len(core) :]
-            return self.cores[core.lower()] + (self.cores[tail] if tail else ())
+            return self.cores[folded] + (self.cores[tail] if tail else ())
         return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _core(self, core: str) -> tuple[int, ...]:
         if not core.isascii():
-            core = self.normalizer.normalize_str(core).translate(self.alphabet)
+            core = core.translate(self.alphabet)
         return tuple(t.id for t in self.model.tokenize(core))
 
     def forget(self) -> None:
