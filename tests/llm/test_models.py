@@ -108,3 +108,15 @@ def test_quality_scores_mean_the_same_above_and_below_the_cap(tables):
 def test_quality_prior_is_the_share_of_all_labels():
     y = np.array([1] * 4 + [0])
     assert Q.CoTrained(np.zeros((5, 1)), np.zeros((5, 1)), y, (1.0, 10.0)).prior == 40 / 41
+
+
+def test_toxicity_sample_is_not_crowded_out_by_a_long_text(spark, tables):
+    docs, labels = (t.select(*c) for t, c in zip(tables, (("doc_id", "text"), ("doc_id", "toxic")), strict=True))
+    early = spark.range(10**9, 10**9 + 500_000).orderBy(F.xxhash64("id")).first()["id"]  # first of all in hash order
+    long = spark.range(1).select(F.lit(early).alias("doc_id"), F.expr("repeat('word ', 2000000)").alias("text"))
+    plain = T.fit_toxicity(docs, labels)
+    model = T.fit_toxicity(docs.unionByName(long), labels.unionByName(long.select("doc_id", F.lit(1).alias("toxic").cast(labels.schema["toxic"].dataType))))
+    assert model.top is not None and np.allclose(model.crf.w, plain.crf.w)
+    only = labels.filter("toxic = 0").unionByName(long.select("doc_id", F.lit(1).alias("toxic").cast(labels.schema["toxic"].dataType)))
+    with pytest.raises(ValueError, match="nothing to fit"):
+        T.fit_toxicity(docs.unionByName(long), only)

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackworks.llm.logistic import Logistic
-from trackworks.llm.shared import Words, alnum_words, ascii_fold, own_name, passed_through, random_words, slices, with_columns
+from trackworks.llm.shared import Words, alnum_words, ascii_fold, own_name, passed_through, random_words, slices, stored, with_columns
 
 #: Labelled documents of each class that the model is fitted on at most, taken in the order of a hash of their ids.
 SAMPLE_PER_CLASS = 1500
 #: Bytes of text that the sample may have; documents beyond it are left out of the fit.
 SAMPLE_BYTES = 12 << 20
+#: Texts of more bytes are sampled only after all others of their class, shortest first, so that they crowd out none.
+LONG_TEXT_BYTES = 256 << 10
 #: A word or affix marks tokens as toxic if so many toxic sample documents have it, so many times as often as others.
 LEAST_DOCS, LEAST_ODDS = 4, 15.0
 PREFIXES, SUFFIXES = (4, 5, 6), (4,)
@@ -247,26 +249,33 @@ class Model:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Fit on at most `per_class` labelled rows of each class (those of `labels` where `usable` holds).
 
-    The ids are chosen from `labels` alone, so that only these rows' texts are looked up and reach the driver. Null
-    labels, ids and texts teach nothing; of an id with two labels the larger counts. Without rows of both classes the
-    model scores every text with the share of toxic labels.
+    The ids are chosen from labels and sizes of texts, so that only these rows' texts reach the driver. Null labels, ids
+    and texts teach nothing; of an id with two labels the larger counts. Without labelled texts of both classes the model
+    scores every text with the share of toxic labels. If all texts of a class are too long for its half of SAMPLE_BYTES,
+    that is an error.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     if usable is not None:
         known = known.join(labels.filter(usable).select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = known.filter("y = 1").orderBy(F.xxhash64("id"), "id").limit(per_class).unionByName(known.filter("y = 0").orderBy(F.xxhash64("id"), "id").limit(per_class))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").filter("text is not null")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    sizes = texts.select("id", F.octet_length("text").alias("size")).join(known, "id").groupBy("id", "y").agg(F.max("size").alias("size"))
+    sizes = sizes.select("id", "y", F.when(F.col("size") > LONG_TEXT_BYTES, F.col("size")).otherwise(0).alias("long"))
+    first = lambda y: sizes.filter(F.col("y") == y).orderBy("long", F.xxhash64("id"), "id").limit(per_class)
+    chosen = stored(first(1).unionByName(first(0)), "sample")
+    rows = texts.join(F.broadcast(chosen), "id")
     size = F.sum(F.octet_length("text")).over(_by_class())
     rows = rows.withColumn("so_far", size).filter(F.col("so_far") <= SAMPLE_BYTES // 2).select("id", "text", "y").orderBy("id", "text").collect()
+    if len({r["y"] for r in rows}) < 2 and (lost := {r["y"] for r in chosen.select("y").distinct().collect()} - {r["y"] for r in rows}):
+        raise ValueError(f"every labelled text of class {lost} has more than {SAMPLE_BYTES // 2} bytes, so there is nothing to fit on")
     return Model([r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=int), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def _by_class():
     from pyspark.sql import Window
 
-    return Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy("y").orderBy("long", F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
 
 
 _KIND = "struct<score:double,spans:array<struct<start:bigint,end:bigint,p:double>>>"
