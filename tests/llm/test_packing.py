@@ -84,3 +84,35 @@ def test_letters_that_normalize_to_a_letter_and_a_mark():
     texts = ["\u0938\u095c\u0915", "\u09b8\u09dc\u0995.", "\ufb2a\u05dc\u05d5\u05dd", "ΟΔΟΣ ΣΑΣ. İstanbul", *[f"a{c}b {c}!" for c in letters]]
     t = Tokenizer.from_file(PATH)
     assert [x.tolist() for x in P.Encoder(PATH).encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ascii_texts_with_a_table_that_is_always_full():
+    rng = random.Random(12)
+    printable = [chr(c) for c in range(32, 127)] + list("'s't're've'm'll'd") * 2 + list(" etaoin") * 4
+    texts = ["".join(rng.choice(printable) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(chr(rng.randrange(128)) for _ in range(40)) for _ in range(500)] + ["<|endoftext|> It's <|ENDOFTEXT|>.", "A" * 5000 + "!", "x" * 300 + " y.z. ..."]
+    t = Tokenizer.from_file(PATH)
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    encoder = P.Encoder(PATH, places=16)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert [x.tolist() for x in P.Encoder(PATH).encode(["", "a", ""])] == [[], t.encode("a", add_special_tokens=False).ids, []]
+
+
+def test_pieces_carry_the_ids_and_fill_gapless(spark, make_docs):
+    rng = random.Random(5)
+    docs = make_docs(*[" ".join(rng.choice(["alpha", "Beta.", "gamma", "12", "é!"]) for _ in range(rng.choice([0, 3, 40, 700]))) for _ in range(60)], None)
+    t = Tokenizer.from_file(PATH)
+    want = {r["doc_id"]: t.encode(r["text"] or "", add_special_tokens=False).ids + [0] for r in docs.collect()}
+    got, bins = {}, {}
+    for r in P.pack_documents(docs.repartition(7), PATH, capacity=100).orderBy("doc_id", "piece").collect():
+        own = got.setdefault(r["doc_id"], [])
+        assert r["start"] == len(own) and r["length"] == len(r["ids"]) and r["piece"] == r["start"] // 100
+        own += r["ids"]
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got == want
+    for own in bins.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and sum(own[-1]) <= 100
+    lengths = [n for own in bins.values() for _, n in own]
+    assert len(bins) == len(plain_best_fit(lengths, 100))

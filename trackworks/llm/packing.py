@@ -9,42 +9,84 @@ rank among pieces of that length, which every task counts for itself and one sma
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackworks.llm.shared import release_memory, slices, stored
+from trackworks.llm.shared import release_memory, slices, stored, string_hashes
 
-#: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 600_000
+#: Places of the table of words that a task remembers (25 bytes and two a place and id), and the most ids of a word in it.
+TABLE_PLACES, TABLE_IDS = 1 << 21, 10
+#: Bytes of text encoded at a time: the more, the fewer look-ups, as each different word of them takes one.
+ENCODE_BYTES = 2 << 20
+_MARKS = "([A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,;:!?]+)( |$)"
+_CONTRACTIONS_AND_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
-class _Known(dict):
-    """Ids by word; a word that isn't there yet is encoded on its first use."""
+class _Made(dict):
+    """Values by key; one that isn't there yet is made on its first use."""
 
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
 
-    def __missing__(self, word: str):
-        self[word] = found = self.make(word)
+    def __missing__(self, key):
+        self[key] = found = self.make(key)
         return found
 
 
+class WordTable:
+    """Ids of words by two 64-bit hashes, in arrays of a fixed size.
+
+    A word has two places; a new one that finds both taken takes over the first, so the table never grows.
+    """
+
+    def __init__(self, places: int, width: int, kind: type) -> None:
+        self.mask = np.uint64(places - 1)
+        self.a, self.b = np.zeros(places, np.uint64), np.zeros(places, np.uint64)
+        self.n, self.ids = np.zeros(places, np.uint8), np.zeros((places, width), kind)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 where it isn't known. Unused places hold no ids, so they never match."""
+        one, two = (a & self.mask).astype(np.int64), (b & self.mask).astype(np.int64)
+        at = np.where((self.a[two] == a) & (self.b[two] == b) & (self.n[two] > 0), two, -1)
+        return np.where((self.a[one] == a) & (self.b[one] == b) & (self.n[one] > 0), one, at)
+
+    def put(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, flat: np.ndarray, start: np.ndarray) -> None:
+        own = np.flatnonzero((n > 0) & (n <= self.ids.shape[1]))
+        one, two = (a[own] & self.mask).astype(np.int64), (b[own] & self.mask).astype(np.int64)
+        at = np.where((self.n[one] > 0) & (self.n[two] == 0), two, one)
+        at, last = np.unique(at[::-1], return_index=True)  # of words that want one place, one gets it
+        own = own[len(own) - 1 - last]
+        self.a[at], self.b[at], self.n[at] = a[own], b[own], n[own]
+        for j in range(self.ids.shape[1]):
+            has = n[own] > j
+            self.ids[at[has], j] = flat[start[own[has]] + j]
+
+
+def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] numbers, then start[1], ...: where the parts of a flat array lie."""
+    end = np.cumsum(n)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - n), n)
+
+
 class Encoder:
-    """Ids of a BPE tokenizer that drops white space and folds case: words are encoded once and remembered.
+    """Ids of a BPE tokenizer that drops white space, folds case, and splits letters, single digits and other marks.
 
-    A word that is letters alone once normalized, perhaps with closing marks, goes to the tokenizer's model at once, after
-    its own normalizer and byte alphabet; any other goes through the whole tokenizer. (Some letters normalize to a letter
-    and a mark, where the tokenizer splits.)
+    The different words of a stretch of text are found by Arrow, and each is encoded once and remembered in a table of
+    bounded size. Words of the first 768 characters, where normalizing is folding case, are split here and go to the
+    tokenizer's model at once; so do words that are letters alone once normalized. Any other word goes through the whole
+    tokenizer. (Some letters normalize to a letter and a mark, where the tokenizer splits.)
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, places: int = TABLE_PLACES) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,33 +95,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.alphabet = _Known(lambda c: level.pre_tokenize_str(chr(c))[0][0])
-        self.known = _Known(self._word)
-        self.cores = _Known(self._core)
-        self.known[""] = ()
-
-    def _word(self, word: str) -> tuple[int, ...]:
+        self.alphabet = _Made(lambda c: level.pre_tokenize_str(chr(c))[0][0])
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.table = WordTable(places, TABLE_IDS, self.kind)
+        self.cores = _Made(self._core)
+
+    def _word(self, word: str) -> list[int]:
+        if word.isascii() and "<|" not in word:  # special tokens begin with it
+            folded = word.lower()
+            if folded.isalpha():
+                return self.cores[folded]
+            ids: list[int] = []
+            for part in _CONTRACTIONS_AND_RUNS.findall(folded):
+                ids += self.cores[part]
+            return ids
         core = word.rstrip(".,;:!?")
-        folded = core.lower() if core.isascii() else self.normalizer.normalize_str(core)
+        folded = core.lower() if core < "\u0300" and max(core, default="") < "\u0300" else self.normalizer.normalize_str(core)
         if core.isalpha() and folded.isalpha():
             tail = word[len(core) :]
-            return self.cores[folded] + (self.cores[tail] if tail else ())
-        return tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def _core(self, core: str) -> tuple[int, ...]:
-        if not core.isascii():
-            core = core.translate(self.alphabet)
-        return tuple(t.id for t in self.model.tokenize(core))
-
-    def forget(self) -> None:
-        self.known.clear(), self.cores.clear()
-        self.known[""] = ()
+            return self.cores[folded] + (self.cores[tail] if tail else [])
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _core(self, core: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(core if core.isascii() and core.isprintable() else core.translate(self.alphabet))]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text's after the other's, and n+1 offsets."""
+        for space in "\n\t\r":
+            texts = pc.replace_substring(texts, space, " ")
+        special = pc.match_substring(texts, "<|")
+        texts = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+        # marks that end a word are words of their own, so that a word is encoded once whatever follows it
+        texts = pc.replace_substring_regex(texts, _MARKS, r"\1 \2\3")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        known = words.dictionary
+        a, b = string_hashes(known)
+        at = self.table.find(a, b)
+        hit, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        made = [self._word(w) for w in known.take(pa.array(new)).to_pylist()]
+        self.cores.clear()
+        n = np.empty(len(known), np.int64)
+        n[hit], n[new] = self.table.n[at[hit]], [len(x) for x in made]
+        rows = self.table.ids[at[hit]]
+        flat = np.concatenate([rows[np.arange(TABLE_IDS) < n[hit][:, None]], np.fromiter(itertools.chain.from_iterable(made), self.kind)])
+        order = np.concatenate([hit, new])
+        offsets = np.concatenate([[0], np.cumsum(n[order])])
+        self.table.put(a[new], b[new], n[new], flat, offsets[len(hit) : -1])
+        place = np.empty(len(known), np.int32)
+        place[order] = np.arange(len(known), dtype=np.int32)
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat)).take(pa.array(place[words.indices.to_numpy()]))
+        ends = split.offsets.to_numpy()
+        return lists.flatten().to_numpy(), lists.offsets.to_numpy()[ends - ends[0]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) + len(self.cores) > CACHE_WORDS:
-            self.forget()
-        get = self.known.__getitem__
-        return [np.fromiter(itertools.chain.from_iterable(map(get, t.replace("\n", " ").split(" "))), dtype=np.uint32) for t in texts]
+        ids, o = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[x:y] for x, y in zip(o[:-1], o[1:], strict=True)]
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -152,24 +223,31 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 def _pieces(path: str, capacity: int, end: int, payload: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, counts, task = Encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for batch in slices(batches, "text"):
-            ids = encoder.encode(batch.column(1).to_pylist())
-            row, piece, start, length, body = [], [], [], [], []
-            for i, x in enumerate(ids):
-                x = np.append(x, np.uint32(end))
-                for p, at in enumerate(range(0, len(x), capacity)):
-                    part = x[at : at + capacity]
-                    row.append(i), piece.append(p), start.append(at), length.append(len(part))
-                    body.append(part.astype("<i4") if payload == "ids" else zlib.crc32(part.astype("<u4").tobytes()))
+        for batch in slices(batches, "text", ENCODE_BYTES):
+            ids, o = encoder.encode_column(batch.column(1))
+            each = np.diff(o)
+            body = np.full(len(ids) + len(each), end, np.uint32)  # each document's ids and its end
+            body[np.arange(len(ids)) + np.repeat(np.arange(len(each)), each)] = ids
+            each, begin = each + 1, o[:-1] + np.arange(len(each))
+            pieces = -(-each // capacity)
+            row = np.repeat(np.arange(len(each)), pieces)
+            piece = ragged(np.zeros(len(each), np.int64), pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, each[row] - start)
+            order = np.argsort(length, kind="stable")
+            sizes, first = np.unique(length[order], return_index=True)
             rank = np.empty(len(length), np.int64)
-            for k, n in enumerate(length):
-                rank[k] = counts[n]
-                counts[n] += 1
+            rank[order] = np.arange(len(length)) - np.repeat(first, np.diff(np.append(first, len(length)))) + counts[length[order]]
+            counts[sizes] += np.diff(np.append(first, len(length)))
+            if payload == "ids":
+                out = pa.ListArray.from_arrays(pa.array(np.append(begin[row] + start, len(body)), pa.int32()), pa.array(body.astype(np.int32)))
+            else:
+                out = pa.array([zlib.crc32(body[x : x + y]) for x, y in zip((begin[row] + start).tolist(), length.tolist(), strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(body, pa.list_(pa.int32()) if payload == "ids" else pa.int64()), pa.array(np.full(len(rank), task), pa.int32()), pa.array(rank)],
+                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), out, pa.array(np.full(len(rank), task), pa.int32()), pa.array(rank)],
                 names=["doc_id", "piece", "start", "length", payload, "task", "rank"],
             )
-        encoder.forget()
+        del encoder
         release_memory()
 
     return run

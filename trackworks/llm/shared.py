@@ -64,25 +64,25 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The rows of `batches` in pieces of about SLICE_BYTES of `text`, so that arrays stay small; never part of a row.
+def slices(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches` in pieces of about `size` bytes of `text`, so that arrays stay small; never part of a row.
 
     When all is read, freed memory is given back.
     """
     try:
-        yield from _slices(batches, text)
+        yield from _slices(batches, text, size)
     finally:
         release_memory()
 
 
-def _slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         _, o = raw(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(o, o[at] + SLICE_BYTES, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(o, o[at] + size, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
 
@@ -105,6 +105,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def string_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each string or binary value."""
+    b, o = raw(column)
+    n = np.diff(o)
+    full = np.flatnonzero(n)
+    place = np.arange(len(b)) - np.repeat(o[:-1], n)
+    out = []
+    for seed in (31, 37):
+        table = random_words(seed, max(64, int(n.max(initial=0))))
+        h = n.astype(np.uint64) * table[0]
+        if len(full):
+            h[full] += np.add.reduceat((b.astype(np.uint64) + np.uint64(1)) * table[place], o[:-1][full])
+        out.append(mixed(h))
+    return out[0], out[1]
+
+
 class Words:
     """Words of many texts at once.
 
