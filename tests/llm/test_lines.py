@@ -16,7 +16,7 @@ def test_site_relative_share(spark, make_docs):
 def test_nulls_empty_texts_repeats_and_extra_columns(spark, make_docs):
     d = make_docs((1, None), (2, ""), (3, "x\nyyy"), (3, "x\nyyy"), (4, "x")).withColumn("source", F.lit(None).cast("string")).withColumn("site_key", F.lit(1)).withColumn("n_removed", F.lit(9))
     rows = L.without_boilerplate(d, "source", max_share=0.5, min_pages=2, removed="n_removed").collect()
-    assert sorted((r["doc_id"], r["text"], r["_n_removed"], r["n_removed"]) for r in rows if r["text"] is not None) == [(2, "", 0, 9), (3, "yyy", 1, 9), (3, "yyy", 1, 9), (4, "x", 0, 9)]
+    assert sorted((r["doc_id"], r["text"], r["_n_removed"], r["n_removed"]) for r in rows if r["text"] is not None) == [(2, "", 0, 9), (3, "yyy", 1, 9), (3, "yyy", 1, 9), (4, "", 1, 9)]
     assert [r["_n_removed"] for r in rows if r["text"] is None] == [0]
     assert L.without_boilerplate(d.limit(0), "source").count() == 0
 
@@ -27,12 +27,19 @@ def test_a_long_line_is_one_line(spark, make_docs):
     assert {r["text"] for r in L.without_boilerplate(d, "source").collect()} == set(own)
 
 
-def test_copies_are_left_whole_but_other_pages_lose_the_shared_line(spark, make_docs):
-    copy = "\n".join(f"line {i} of the page" for i in range(10))
-    d = make_docs(*[copy] * 5, copy + "\nchanged", "line 3 of the page\n" + "an own text that is long enough")
-    got = {r["doc_id"]: r["text"] for r in L.without_boilerplate(d, "source").collect()}
-    assert all(got[i] == copy for i in range(1, 6)) and got[6] == copy + "\nchanged"
-    assert got[7] == "an own text that is long enough"
+def test_a_page_may_end_empty(spark, make_docs):
+    frame = "\n".join(f"line {i} of the frame" for i in range(6))
+    d = make_docs(*[f"{frame}\nown {i}" for i in range(30)], frame)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in L.without_boilerplate(d, "source", removed="n_removed").collect()}
+    assert got == {i + 1: (f"own {i}", 6) for i in range(30)} | {31: ("", 6)}
+
+
+def test_many_lines_of_a_site_and_clashing_names(spark, make_docs):
+    frame = [f"frame line {i}" for i in range(300)]
+    d = make_docs(*["\n".join([*frame, f"own {i}"]) for i in range(4)]).withColumns({"kept_lines": F.lit(1), "site_lines": F.lit(2), "line": F.lit(3), "site": F.lit(4)})
+    for broadcast in (1000, 0):
+        rows = L.without_boilerplate(d, "source", broadcast_lines=broadcast).collect()
+        assert sorted(r["text"] for r in rows) == [f"own {i}" for i in range(4)] and all((r["kept_lines"], r["site_lines"], r["line"], r["site"]) == (1, 2, 3, 4) for r in rows)
 
 
 def test_every_page_loses_the_lines_and_copies_count_once(spark, make_docs):
@@ -40,7 +47,7 @@ def test_every_page_loses_the_lines_and_copies_count_once(spark, make_docs):
     copy = "\n".join(f"line {i} of the page" for i in range(10))
     d = make_docs(*[f"{head}\nown {i}" for i in range(6)], *[copy] * 5, head, None)
     for broadcast in (1000, 0):
-        rows = L.without_boilerplate(d, "source", removed="n_removed", broadcast_lines=broadcast, every_page=True).collect()
+        rows = L.without_boilerplate(d, "source", removed="n_removed", broadcast_lines=broadcast, copies_once=True).collect()
         got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows}
         assert [got[i + 1] for i in range(6)] == [(f"own {i}", 1) for i in range(6)]
         assert [got[i] for i in range(7, 12)] == [(copy, 0)] * 5 and got[12] == ("", 1) and got[13] == (None, 0)

@@ -9,10 +9,10 @@ from trackworks.llm.shared import own_name, stored
 
 #: A line of a site is boilerplate if more than this share of the site's pages has it, on at least MIN_PAGES pages.
 MAX_SHARE, MIN_PAGES = 0.02, 3
-#: A page that would lose more than this percentage of its characters is a copy of others, not boilerplate, and is left whole.
-MAX_LOSS_PERCENT = 80
 #: Boilerplate lines of all sites (16 bytes each) up to which they are broadcast; more are joined by site.
 BROADCAST_LINES = 500_000
+#: Lines that a look-up compares with on average.
+_PER_BUCKET = 4
 
 
 def _key(line: Column) -> Column:
@@ -22,12 +22,12 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
-    """(site, lines): keys of each site's lines that occur on more than `max_share` of its pages and on `min_pages`.
+    """(site, line): keys of each site's lines that occur on more than `max_share` of its pages and on `min_pages`.
 
     Pages of a site are all its rows, or with `copies_once` its different texts (by 128 bits of the whole text); a line
-    counts once a page. Lines are hashed before they are shuffled and counted
-    before and after, so a site with most pages is as many small sums. A site has at most its mean number of different
-    lines a page, divided by max_share, of such lines, which bounds the array.
+    counts once a page. Lines are hashed before they are shuffled and counted before and after, so a site with most
+    pages is as many small sums. Rows without a site are one of their own; null and empty texts are pages without lines.
+    A site has at most its mean number of different lines a page, divided by max_share, of such lines.
     """
     pages = docs.select(F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     page = [F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).alias("page")] if copies_once else []
@@ -35,34 +35,46 @@ def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", ma
     totals = once(pages.select("site", *page)).groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     line = F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _key)))
     counts = once(pages.select("site", *page, line.alias("line"))).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(totals, "site").filter(F.col("n") > max_share * F.col("pages")).groupBy("site").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return counts.join(totals, "site").filter(F.col("n") > max_share * F.col("pages")).select("site", "line")
 
 
-def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, removed: str | None = None, broadcast_lines: int = BROADCAST_LINES, every_page: bool = False) -> DataFrame:
-    """`docs` with each site's boilerplate lines taken out of the texts; no row goes.
+def _tables(found: DataFrame) -> DataFrame:
+    """(site, lines): an array of buckets for each site, so that a look-up compares with a few lines and not with all."""
+    sizes = found.groupBy("site").agg(F.ceil(F.count(F.lit(1)) / _PER_BUCKET).cast("int").alias("buckets"))
+    own = found.join(sizes, "site").select("site", F.pmod(F.col("line.a"), F.col("buckets")).cast("int").alias("bucket"), "line")
+    every = sizes.select("site", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.lit(None).cast(found.schema["line"].dataType).alias("line"))
+    by_bucket = own.unionByName(every).groupBy("site", "bucket").agg(F.collect_list("line").alias("lines"))  # nulls aren't collected
+    return by_bucket.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "lines"))), lambda x: x["lines"]).alias("lines"))
 
-    A page that would lose over MAX_LOSS_PERCENT of its characters keeps them all: in large groups of copies every line
-    is frequent, and these are for near-deduplication to judge. With `every_page` the lines go from every page, whatever
-    is left of it, and exact copies count as one page instead, so that their number alone makes no line frequent.
+
+def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, removed: str | None = None, broadcast_lines: int = BROADCAST_LINES, copies_once: bool = False) -> DataFrame:
+    """`docs` with each site's boilerplate lines taken out of every text, whatever is left of it; no row goes.
+
+    With `copies_once` exact copies count as one page, so that their number alone makes no line frequent.
 
     Lines end at a line feed and are compared without outer spaces; blank lines stay. The other lines keep their order.
     A null text stays null, an empty one empty; rows without a site are a site of their own. Rows that repeat are pages
-    that repeat. `removed` names a further column for the number of lines taken out. Other columns stay as they are.
+    that repeat. A text or line of any length is read whole. An empty table gives an empty table. `removed` names a
+    further column for the number of lines taken out. Other columns stay as they are, whatever their names.
 
     The lines found are written first, so that their number is known: up to BROADCAST_LINES they are broadcast and texts
     aren't shuffled; beyond it they are joined by site, where adaptive execution splits a hot one.
     """
     site, lines = own_name(docs, "site_key"), own_name(docs, "site_lines")
-    found = stored(boilerplate_lines(docs, site_col, text_col, max_share, min_pages, every_page).select(F.col("site").alias(site), F.col("lines").alias(lines)), "boilerplate")
-    if (found.agg(F.sum(F.size(lines))).first()[0] or 0) <= broadcast_lines:
-        found = F.broadcast(found)
-    df = docs.withColumn(site, F.coalesce(F.col(site_col).cast("string"), F.lit(""))).join(found, site, "left")
+    found = stored(boilerplate_lines(docs, site_col, text_col, max_share, min_pages, copies_once), "boilerplate")
+    tables = _tables(found).select(F.col("site").alias(site), F.col("lines").alias(lines))
+    if found.count() <= broadcast_lines:
+        tables = F.broadcast(tables)
+    df = docs.withColumn(site, F.coalesce(F.col(site_col).cast("string"), F.lit(""))).join(tables, site, "left")
     said = F.split(F.col(text_col), "\n")
-    kept, new = own_name(df, "kept_lines"), own_name(df, "kept_text")
-    df = df.withColumn(kept, F.when(F.col(lines).isNotNull(), F.filter(said, lambda x: ~F.array_contains(F.col(lines), _key(x)) | (F.trim(x) == ""))))
-    df = df.withColumn(new, F.array_join(kept, "\n"))
-    cut = F.col(kept).isNotNull() if every_page else F.coalesce(100 * F.length(new) >= (100 - MAX_LOSS_PERCENT) * F.length(text_col), F.lit(False))
-    names = [F.when(cut, F.col(new)).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    kept = own_name(df, "kept_lines")
+
+    def is_boilerplate(x: Column) -> Column:
+        return F.array_contains(F.get(F.col(lines), F.pmod(F.xxhash64(F.trim(x)), F.size(lines)).cast("int")), _key(x))
+
+    df = df.withColumn(kept, F.when(F.col(lines).isNotNull(), F.filter(said, lambda x: (F.trim(x) == "") | ~is_boilerplate(x))))
+    cut = F.col(kept).isNotNull() & (F.size(kept) < F.size(said))
+    names = [F.when(cut, F.array_join(kept, "\n")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if removed:
         names.append(F.when(cut, F.size(said) - F.size(kept)).otherwise(0).cast("long").alias(own_name(docs, removed)))
     return df.select(*names)

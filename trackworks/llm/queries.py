@@ -14,6 +14,8 @@ TOKENIZER_DIR: str | None = None
 
 #: op6's rules.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: op6's block list, as the tables have none: addresses (host and path) of pages whose id this divides.
+LISTED_PAGES = 7
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,10 +61,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""WITH d AS (SELECT doc_id, source, text, coalesce(source, '') site, string_split(text, chr(10)) ls FROM documents),
 n AS (SELECT site, count(*) pages FROM d GROUP BY 1),
 k AS (SELECT site, l, count(*) c FROM (SELECT site, unnest(list_distinct(list_transform(coalesce(ls, ['']), lambda x: trim(x)))) l FROM d) WHERE l <> '' GROUP BY 1, 2),
-bad AS (SELECT site, list(l) bl FROM k JOIN n USING (site) WHERE c >= {lines.MIN_PAGES} AND c > {lines.MAX_SHARE} * pages GROUP BY 1),
-x AS (SELECT *, list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(bl, trim(x))) kl FROM d LEFT JOIN bad USING (site)),
-y AS (SELECT *, coalesce(bl IS NOT NULL AND 100 * length(array_to_string(kl, chr(10))) >= {100 - lines.MAX_LOSS_PERCENT} * length(text), false) cut FROM x)
-SELECT doc_id, source, CASE WHEN cut THEN array_to_string(kl, chr(10)) ELSE text END AS text, CASE WHEN cut THEN len(ls) - len(kl) ELSE 0 END::BIGINT AS n_removed FROM y"""
+bad AS (SELECT site, list(l) bl FROM k JOIN n USING (site) WHERE c >= {lines.MIN_PAGES} AND c > {lines.MAX_SHARE} * pages GROUP BY 1)
+SELECT doc_id, source, CASE WHEN bl IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(bl, trim(x))), chr(10)) END AS text,
+  coalesce(CASE WHEN bl IS NULL THEN 0 ELSE len(list_filter(ls, lambda x: trim(x) <> '' AND list_contains(bl, trim(x)))) END, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN bad USING (site)"""
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +102,15 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return url_filters.judge_urls(pages, URL_RULES, url_filters.repeated_addresses(pages)).drop("url")
+    listed = url_filters.addresses(pages.filter(F.col("page_id") % LISTED_PAGES == 0))
+    return url_filters.judge_urls(pages, URL_RULES, listed).drop("url")
 
 
-OP6_SQL = """WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+OP6_SQL = f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) path FROM pages),
 rules(verdict, rule, rh, rp) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'), ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
 j AS (SELECT p.page_id, p.host, p.path, arg_max(struct_pack(v := verdict, r := rule), len(rh) * 1000 + len(rp)) w FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1, 2, 3),
-k AS (SELECT host || path a FROM p WHERE host || path <> '' GROUP BY 1 HAVING count(*) >= 2)
+k AS (SELECT DISTINCT host || path a FROM p WHERE host || path <> '' AND page_id % {LISTED_PAGES} = 0)
 SELECT p.page_id, p.host, p.path, w.r AS rule, coalesce(w.v, CASE WHEN p.host || p.path IN (SELECT a FROM k) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN j ON j.page_id = p.page_id AND j.host = p.host AND j.path = p.path"""
 
