@@ -1,13 +1,16 @@
 """Quality and toxicity: held-out accuracy, exact inference, odd rows."""
 
+import copy
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trackworks.llm import quality as Q
 from trackworks.llm import toxicity as T
+from trackworks.llm.logistic import Logistic
 
 SF = "/root/testdata/sf0.01"
 
@@ -107,7 +110,60 @@ def test_quality_scores_mean_the_same_above_and_below_the_cap(tables):
 
 def test_quality_prior_is_the_share_of_all_labels():
     y = np.array([1] * 4 + [0])
-    assert Q.CoTrained(np.zeros((5, 1)), np.zeros((5, 1)), y, (1.0, 10.0)).prior == 40 / 41
+    assert Q.CoTrained(np.zeros((5, 1)), np.zeros((5, 1)), y, None, (1.0, 10.0)).prior == 40 / 41
+
+
+def plain_step(m, z, y, gradient, hessian):
+    """One Newton step in a loop over rows."""
+    g, h = np.array(gradient, float), np.array(hessian, float)
+    ridge = np.array([1.0] * (z.shape[1] - 1) + [1e-3])
+    for row, label in zip(z, y, strict=True):
+        p = 1 / (1 + np.exp(-np.clip(row @ m.w, -30, 30)))
+        g = g + row * (p - label)
+        h = h + np.outer(row, row) * p * (1 - p)
+    return m.w - np.linalg.solve(h + np.diag(ridge), g + ridge * m.w)
+
+
+def test_quality_is_that_of_co_training_row_by_row(tables):
+    """All rows of the pool teach: the fit in Spark gives the weights of a plain loop over every row."""
+    docs, labels = tables
+    labels = labels.filter("doc_id % 2 = 0")  # half of the labelled rows join the pool
+    model = Q.fit_quality(docs, labels)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_chars", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    said = {r["doc_id"]: r["quality"] for r in labels.filter("quality in (0, 1)").collect()}
+    text = Q.text_view(pa.array([r["text"] for r in rows])).astype(float)
+    meta = Q.metadata_view(np.array([r["n_chars"] for r in rows], float), [r["lang"] for r in rows], [r["source"] for r in rows]).astype(float)
+    y = np.array([said.get(r["doc_id"], -1) for r in rows])
+    assert (y < 0).sum() > 200
+    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    train = known[np.arange(len(known)) % 5 != 0]
+    students = [Logistic(x[train], y[train].astype(float)) for x in (text, meta)]
+    for _ in range(Q.ROUNDS):
+        sure = [m.predict(x[pool]) for m, x in zip(students, (text, meta), strict=True)]
+        for _ in range(Q.STEPS):
+            weights = []
+            for k, x in enumerate((text, meta)):
+                m, g, h = students[k], 0, 0
+                for c, rows_ in ((0, pool[sure[1 - k] <= 1 - Q.CONFIDENT]), (1, pool[sure[1 - k] >= Q.CONFIDENT])):
+                    share = (y[train] == c).sum() / max(1, len(rows_))
+                    for z in m.design(x[rows_]):
+                        p = 1 / (1 + np.exp(-np.clip(z @ m.w, -30, 30)))
+                        g, h = g + share * z * (p - c), h + share * np.outer(z, z) * p * (1 - p)
+                weights.append(plain_step(m, m.design(x[train]), y[train], g, h))
+            for k, w in enumerate(weights):
+                students[k] = copy.copy(students[k])
+                students[k].w = w
+    for mine, plain in zip(model.views, students, strict=True):
+        assert np.allclose(mine.w, plain.w, atol=1e-6)
+
+
+def test_a_repeated_id_adds_no_rows_to_the_sample(spark, tables):
+    docs, labels = tables
+    again = docs.filter("doc_id < 40")
+    for _ in range(3):
+        again = again.unionByName(again)
+    once, twice = Q.fit_quality(docs, labels), Q.fit_quality(docs.unionByName(again), labels)
+    assert once.top is not None and twice.prior == once.prior and len(twice.top.w) == len(once.top.w)
 
 
 def test_toxicity_sample_is_not_crowded_out_by_a_long_text(spark, tables):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 
@@ -15,7 +17,7 @@ class Logistic:
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, steps: int = 25) -> None:
         self.mean, self.scale = x.mean(0), x.std(0)
         self.scale[self.scale < 1e-9] = 1
-        z = self._design(x)
+        z = self.design(x)
         w = np.ones(len(y)) if weight is None else weight
         self.w = np.zeros(z.shape[1])
         ridge = np.full(z.shape[1], l2)
@@ -29,11 +31,23 @@ class Logistic:
             if np.abs(step).max() < 1e-8:
                 break
 
-    def _design(self, x: np.ndarray) -> np.ndarray:
+    def stepped(self, x: np.ndarray, y: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, l2: float = 1.0) -> Logistic:
+        """One Newton step further on these rows and others, of which only gradient and Hessian are given."""
+        z = self.design(x)
+        p = sigmoid(z @ self.w)
+        ridge = np.full(z.shape[1], l2)
+        ridge[-1] = 1e-3
+        g = z.T @ (p - y) + ridge * self.w + gradient
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge) + hessian
+        new = copy.copy(self)
+        new.w = self.w - np.linalg.solve(h, g)
+        return new
+
+    def design(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self._design(x) @ self.w
+        return self.design(x) @ self.w
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.logit(x))

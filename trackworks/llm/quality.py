@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackworks.llm.logistic import Logistic
+from trackworks.llm.logistic import Logistic, sigmoid
 from trackworks.llm.shared import Words, ascii_fold, own_name, passed_through, raw, slices, spaced_words, stored, with_columns
 
-#: Labelled rows of each class, and rows without a label, that the classifiers are fitted on at most, by a hash of ids.
-SAMPLE_PER_CLASS, POOL = 4000, 8000
-#: Rounds, pseudo-labels a class that a view may hand over a round, and the probability it must give them.
-ROUNDS, PER_ROUND, CONFIDENT = 4, 400, 0.95
+#: Labelled rows of each class that the classifiers are fitted on at most, by a hash of ids.
+SAMPLE_PER_CLASS = 4000
+#: Rounds, Newton steps a round, and the probability from which on a view's label of an unlabelled row counts.
+ROUNDS, STEPS, CONFIDENT = 3, 2, 0.95
+#: Rows whose views a task holds as numbers at a time.
+VIEW_ROWS = 4096
 META_BUCKETS = 32
 _PUNCT = [b for b in range(33, 127) if not chr(b).isalnum()]
 
@@ -75,39 +78,71 @@ def metadata_view(size: np.ndarray, *names: list[str]) -> np.ndarray:
     return out
 
 
+class Sums:
+    """What a Newton step needs of a view's rows in the pool: their number, gradient and Hessian, by pseudo-label."""
+
+    def __init__(self, width: int) -> None:
+        self.n, self.g, self.h = np.zeros(2), np.zeros((2, width)), np.zeros((2, width, width))
+
+    def add(self, student: Logistic, x: np.ndarray, teacher: np.ndarray) -> None:
+        """Rows of the pool that the other view, by its probabilities `teacher`, is sure of."""
+        for c, sure in enumerate((teacher <= 1 - CONFIDENT, teacher >= CONFIDENT)):
+            z = student.design(x[sure])
+            p = sigmoid(z @ student.w)
+            self.n[c] += len(z)
+            self.g[c] += z.T @ (p - c)
+            self.h[c] += (z * (p * (1 - p))[:, None]).T @ z
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.n, self.g.ravel(), self.h.ravel()])
+
+    @classmethod
+    def unpacked(cls, flat: np.ndarray, width: int) -> Sums:
+        s = cls(width)
+        s.n, s.g, s.h = flat[:2], flat[2 : 2 + 2 * width].reshape(2, width), flat[2 + 2 * width :].reshape(2, width, width)
+        return s
+
+
+def pool_sums(students: list[Logistic], teachers: list[Logistic], views: tuple[np.ndarray, np.ndarray]) -> list[Sums]:
+    """Each view's sums over some rows of the pool, labelled by what the other view is sure of."""
+    said = [t.predict(x) for t, x in zip(teachers, views, strict=True)]
+    out = []
+    for k, (m, x) in enumerate(zip(students, views, strict=True)):
+        out.append(Sums(len(m.w)))
+        out[k].add(m, x, said[1 - k])
+    return out
+
+
 class CoTrained:
-    """Two classifiers and how their calibrated logits are put together."""
+    """Two classifiers that teach each other, and how their calibrated logits are put together."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, class_weight: tuple[float, float] = (1.0, 1.0)) -> None:
-        """Rows of y 0 or 1 are labelled, others (-1) are the pool. A fifth of the labelled rows calibrates only.
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[list[Logistic], list[Logistic]], list[Sums]] | None, class_weight: tuple[float, float] = (1.0, 1.0)) -> None:
+        """text, meta: the views of labelled rows, y their labels (0, 1). A fifth of the rows calibrates only.
 
+        pool: gives each view's Sums over all unlabelled rows (students, teachers). In each of ROUNDS rounds both views
+        label the rows that they are sure of, and take STEPS Newton steps on the labelled rows and on what the other
+        view labelled; pseudo-labels of a class weigh as much together as its labelled rows, however many they are.
         class_weight: how many labels a labelled row of class 0 and of class 1 stands for, so that scores are
         probabilities under the labels' own proportions and not the sample's.
         """
         self.views: list[Logistic] | None = None
-        known = np.flatnonzero(y >= 0)
         weight = np.where(y == 1, class_weight[1], class_weight[0]).astype(float)
-        self.prior = float(np.average(y[known], weights=weight[known])) if len(known) else 0.5
-        held = known[::5]
-        train = np.setdiff1d(known, held)
-        pool = np.flatnonzero(y < 0)
-        if min((y[part] == c).sum() for part in (train, held) for c in (0, 1)) == 0 if len(known) else True:
+        self.prior = float(np.average(y, weights=weight)) if len(y) else 0.5
+        held = np.arange(len(y)) % 5 == 0
+        if not len(y) or min((y[part] == c).sum() for part in (~held, held) for c in (0, 1)) == 0:
             return
         views = (text.astype(float), meta.astype(float))
-        own = [(train, y[train].astype(float)) for _ in views]
-        for _ in range(ROUNDS):
-            models = [Logistic(x[rows], labels) for x, (rows, labels) in zip(views, own, strict=True)]
-            for k, (x, m) in enumerate(zip(views, models, strict=True)):
-                rows, labels = own[1 - k]  # what this view is sure of teaches the other
-                free = np.setdiff1d(pool, rows)
-                if not len(free):
-                    continue
-                p = m.predict(x[free])
-                order = np.argsort(p, kind="stable")
-                sure = np.concatenate([[i for i in order[-PER_ROUND:] if p[i] >= CONFIDENT], [i for i in order[:PER_ROUND] if p[i] <= 1 - CONFIDENT]]).astype(int)
-                sure = np.unique(sure)
-                own[1 - k] = (np.append(rows, free[sure]), np.append(labels, p[sure] >= 0.5))
-        self.views = [Logistic(x[rows], labels) for x, (rows, labels) in zip(views, own, strict=True)]
+        train, own = [x[~held] for x in views], y[~held].astype(float)
+        students = [Logistic(x, own) for x in train]
+        for _ in range(ROUNDS if pool else 0):
+            teachers = students
+            for _ in range(STEPS):
+                taught = []
+                for m, x, s in zip(students, train, pool(students, teachers), strict=True):
+                    share = np.array([(own == c).sum() for c in (0, 1)]) / np.maximum(1, s.n)
+                    taught.append(m.stepped(x, own, np.tensordot(share, s.g, 1), np.tensordot(share, s.h, 1)))
+                students = taught
+        self.views = students
         logits = [m.logit(x[held])[:, None] for m, x in zip(self.views, views, strict=True)]
         self.calibration = [Logistic(z, y[held], weight[held]) for z in logits]
         both = np.hstack([c.logit(z)[:, None] for c, z in zip(self.calibration, logits, strict=True)])
@@ -135,34 +170,71 @@ def _inputs(docs: DataFrame, text_col: str, size_col: str, meta_cols: tuple[str,
     return docs.withColumns(new | {n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(names, meta_cols, strict=True)}), text, size, names
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", meta_cols: tuple[str, ...] = ("lang", "source"), label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> CoTrained:
-    """Co-train on at most `per_class` labelled rows a class and a pool of at most POOL others.
+def _unpack(column: pa.Array) -> np.ndarray:
+    data, o = raw(column)
+    return data.view(np.float32).reshape(len(column), -1).astype(float) if len(column) else np.zeros((0, 0))
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The sum of the arrays in `sums`, in groups of tasks and then in one."""
+
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"part": pa.array([0], pa.int32()), "sums": pa.array([np.sum([np.frombuffer(x) for x in t.column("sums").to_pylist()], 0).tobytes()], pa.binary())})
+
+    kind = "part int, sums binary"
+    for groups in (1024, 32):
+        parts = parts.withColumn("group", F.pmod("part", F.lit(groups))).groupBy("group").applyInArrow(lambda k, t: add(t).set_column(0, "part", pa.array([k[0].as_py()], pa.int32())), kind)
+    rows = parts.orderBy("part").collect()
+    return np.sum([np.frombuffer(r["sums"]) for r in rows], 0) if rows else np.zeros(0)
 
-    All of the sample's ids are chosen by a hash: the labelled ones from `labels`, the pool from ids of `docs` without a
-    label. Only rows of numbers reach the driver. Null ids and labels teach nothing; of an id with two labels the
-    smaller counts. Where a class is missing, every document scores the share of good labels. Labels of each class are
-    counted, and a sampled row weighs as many as it stands for, so that a score means the same at every size.
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", meta_cols: tuple[str, ...] = ("lang", "source"), label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> CoTrained:
+    """Co-train on at most `per_class` labelled rows a class, chosen by a hash of ids, and on all rows without a label.
+
+    The views of all rows are written once. Every step of co-training is a pass over those of the whole pool, which
+    gives sums of a fixed size; no row of the pool reaches the driver, and none is left out. Of labelled rows, only the
+    sample's numbers reach it. Null ids and labels teach nothing as labelled rows; of an id with two labels the smaller
+    counts, and of an id with several rows the one whose views are smallest, so that a repeated id adds no rows. Where a
+    class is missing, as in empty tables, every document scores the share of good labels. Labels of each class are
+    counted, and a sampled row weighs as many as it stands for, so that a score means the same at every size. Nulls,
+    empty and very long texts are rows like any other.
     """
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
-    first = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null")
     counts = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pool = first(ids.join(y, "id", "left_anti"), POOL).withColumn("y", F.lit(-1))
-    chosen = stored(first(y.filter("y = 1"), per_class).unionByName(first(y.filter("y = 0"), per_class)).unionByName(pool), "sample")
-    df, text, size, names = _inputs(docs.select(id_col, text_col, size_col, *[c for c in meta_cols]), text_col, size_col, meta_cols)
-    rows = df.select(F.col(id_col).alias("id"), text, size, *names).join(F.broadcast(chosen), "id")
+    df, text, size, names = _inputs(docs.select(id_col, text_col, size_col, *meta_cols), text_col, size_col, meta_cols)
+    rows = df.select(F.col(id_col).alias("id"), text, size, *names)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def view(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             t, m = _views(batch, text, size, names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("y")), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "y", "t", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in t], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "t", "m"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, y int, t binary, m binary").orderBy(F.xxhash64("id"), "id", "t").collect()
+    views = stored(rows.mapInArrow(view, f"id {kind}, t binary, m binary"), "views")
+    # one row an id, of ids with a label only; the sample is the first ones by hash
+    known = stored(views.join(y, "id").groupBy("id", "y").agg(F.min(F.struct("t", "m")).alias("v")), "labelled")
+    first = lambda c: known.filter(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(per_class)
+    found = first(1).unionByName(first(0)).orderBy(F.xxhash64("id"), "id").select("y", "v.t", "v.m").collect()
     if not found:
-        return CoTrained(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, int))
+        return CoTrained(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, int), None)
+    pool = stored(views.join(y, "id", "left_anti").select("t", "m"), "pool")
+    widths = [len(found[0][k]) // 4 + 1 for k in ("t", "m")]
+
+    def sums(students: list[Logistic], teachers: list[Logistic]) -> list[Sums]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(sum(2 + 2 * w + 2 * w * w for w in widths))
+            for b in batches:
+                for at in range(0, b.num_rows, VIEW_ROWS):
+                    part = b.slice(at, VIEW_ROWS)
+                    total += np.concatenate([s.packed() for s in pool_sums(students, teachers, (_unpack(part.column(0)), _unpack(part.column(1))))])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+        flat = _summed(pool.mapInArrow(run, "part int, sums binary"))
+        cut = 2 + 2 * widths[0] + 2 * widths[0] ** 2
+        return [Sums.unpacked(x, w) if len(flat) else Sums(w) for x, w in zip((flat[:cut], flat[cut:]), widths, strict=True)]
+
     stack = lambda k: np.stack([np.frombuffer(r[k], np.float32) for r in found])
-    return CoTrained(stack("t"), stack("m"), np.array([r["y"] for r in found]), tuple(max(1.0, counts.get(c, 0) / per_class) for c in (0, 1)))
+    return CoTrained(stack("t"), stack("m"), np.array([r["y"] for r in found]), sums, tuple(max(1.0, counts.get(c, 0) / per_class) for c in (0, 1)))
 
 
 def score_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", size_col: str = "n_chars", meta_cols: tuple[str, ...] = ("lang", "source"), out: str = "quality") -> DataFrame:
