@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of a window, turns repeated as history, and the most tokens these may have.
-BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 1024, 2, 256
-#: Consecutive turn numbers summed together before the sums of a conversation are added up.
-CHUNK = 64
-#: Characters a token; a turn's template is charged TURN_TOKENS.
-CHARS_PER_TOKEN, TURN_TOKENS = 4, 8
+from trackworks.llm.shared import stored
+
+#: Tokens of a window, turns repeated as history, and the most tokens these may have. Tokens are counted as UTF-8 bytes of
+#: the formatted text, template and escapes included: no byte-level vocabulary makes more, and English has about a quarter.
+BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 4096, 2, 512
+#: Bits of a turn number within a chunk: 256 numbers are cut into windows together, apart from other chunks.
+CHUNK_BITS = 8
+#: Turns from which on a chunk, as of equal turn numbers, is split further by number, role and hash of the text.
+LARGE_CHUNK = 4096
+#: Large chunks up to which their list is broadcast.
+BROADCAST_CHUNKS = 100_000
 TURN_END = "</turn>\n"
 
 
@@ -29,89 +34,132 @@ def escaped_role(role: Column) -> Column:
     return F.replace(escaped(role), F.lit(":"), F.lit("\\c"))
 
 
-def turn_tokens(text: Column) -> Column:
-    return F.ceil(F.length(text) / CHARS_PER_TOKEN) + TURN_TOKENS
+def _part(turns: DataFrame) -> DataFrame:
+    """`turns` with `conv`, `part` (sorts as its turns do, and holds a bounded number of them) and `turn`, a struct.
 
-
-def windowed_turns(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """Each turn with its place in its conversation and its window.
-
-    Prefix sums are taken within chunks of turn numbers and then over the chunks' sums, so that a conversation with
-    most of the rows is many small sorts. A turn belongs to the window in whose stride its first token falls; a stride
-    is half of what the budget leaves beside history and system turn, so windows keep within the budget unless one turn
-    alone has more than a stride.
+    Turns are ordered by number (null first), role and hash of the text, so texts themselves are never sorted by.
     """
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("tokens", turn_tokens(F.col("text"))).withColumn("chunk", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / CHUNK))
-    # equal turn numbers go by role and text; equal rows are interchangeable
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    local = Window.partitionBy("conv_id", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"local_tokens": F.coalesce(F.sum("tokens").over(local), F.lit(0)), "local_rank": F.count(F.lit(1)).over(local)})
-    system = F.min(F.when(F.col("role") == "system", F.struct("turn", "text", "tokens")))
-    sums = t.groupBy("conv_id", "chunk").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), system.alias("system"))
-    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("conv_id")
-    sums = sums.select(
-        F.col("conv_id").alias("c"), F.col("chunk").alias("k"), F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base_tokens"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_rank"), F.min("system").over(whole).alias("system"),
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    opening = F.concat(F.lit("### "), escaped_role(role), F.lit(": "))
+    body = escaped(text)
+    said = F.concat(opening, body, F.lit(TURN_END))
+    chunk = F.coalesce(F.shiftright(F.col("turn").cast("long"), CHUNK_BITS), F.lit(-(1 << 62)))
+    t = turns.select(
+        "conv_id", F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("id"), F.col("conv_id").isNull().alias("none")).alias("conv"), chunk.alias("chunk"),
+        F.struct(
+            F.col("turn").cast("long").alias("turn"), role.alias("role"), F.unhex(F.md5(text)).alias("hash"), said.alias("said"), F.octet_length(said).alias("tokens"),
+            F.length(opening).alias("open"), F.length(body).alias("body"),
+        ).alias("turn"),
+    )
+    large = stored(t.groupBy("conv", "chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_CHUNK).select("conv", "chunk", F.lit(True).alias("large")), "large-chunks")
+    n = large.count()
+    if n:
+        t = t.join(F.broadcast(large) if n <= BROADCAST_CHUNKS else large, ["conv", "chunk"], "left")
+    finer = F.coalesce(F.col("large"), F.lit(False)) if n else F.lit(False)
+    part = F.struct(
+        "chunk", F.when(finer, F.coalesce("turn.turn", F.lit(0))).otherwise(0).cast("long").alias("turn"), F.when(finer, F.col("turn.role")).otherwise("").alias("role"),
+        F.when(finer, F.hex(F.substring("turn.hash", 1, F.lit(2)))).otherwise("").alias("hash"),
     )
-    t = t.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
-    stride = F.greatest(F.lit(1), F.floor((budget - history_tokens - F.least(F.coalesce("system.tokens", F.lit(0)), F.lit(budget // 4))) / 2))
-    start = F.col("base_tokens") + F.col("local_tokens")
-    return t.select("conv_id", "turn", "role", "text", "tokens", (F.col("base_rank") + F.col("local_rank")).alias("rank"), F.floor(start / stride).alias("slot"), "system")
+    return t.select("conv_id", "conv", part.alias("part"), "turn")
 
 
-def format_conversations(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
-    """One row per window: conv_id, window, first_rank, formatted, loss (array of start and end code points), n_fresh.
+_TURNS = "array<struct<turn:bigint,role:string,hash:binary,said:string,tokens:int,open:int,body:int>>"
+
 
-    turns: conv_id, turn, role, text; other columns are left out. Turns are ordered by turn, role and text; a null turn
-    comes first, a null text or role is empty, rows without a conversation are one of their own. A window holds the
-    conversation's first system turn (unless its own turns bring it), at most `history_turns` turns before its own of at
-    most `history_tokens` tokens together, and its own turns. Only its own assistant turns are under the loss: what is
-    repeated is masked. A text in the output has no control string: see escaped().
+def format_conversations(turns: DataFrame, budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+    """One row per window: conv_id, window (the rank of its first own turn), formatted, loss (array of start and end code points), n_fresh.
+
+    turns: conv_id, turn, role, text; other columns are left out, whatever their names. A null turn comes first, a null
+    text or role is empty, rows without a conversation are one of their own; equal turn numbers go by role and hash of
+    the text, equal rows are turns of their own. Whole texts of any length are formatted. An empty table gives an empty
+    table.
+
+    Spans of turns are chosen by running sums of their tokens: a window takes turns until the next one would not fit
+    beside the conversation's first system turn (added unless an own turn is a system turn) and the history, which is the
+    longest run of at most `history_turns` turns before it, none of them a system turn, that has at most `history_tokens`
+    tokens and leaves room for the window's first turn. A window has more than `budget` tokens only if its first turn and
+    the system turn together have. Only own assistant turns are under the loss: what is repeated is masked. A text in the
+    output has no control string: see escaped().
+
+    A conversation is cut in chunks of turn numbers, each one row of a bounded number of turns, and each cut into windows
+    by itself; texts are shuffled once. History reaches into the chunk before.
     """
-    t = windowed_turns(turns, budget, history_turns, history_tokens).withColumns({"own": F.lit(True), "target": F.col("slot")})
-    # a turn is repeated in the next window that has own turns, if it is among the last ones before it
-    w = Window.partitionBy("conv_id", "slot").orderBy(F.col("rank").desc())
-    tail = t.withColumns({"back": F.row_number().over(w), "used": F.sum("tokens").over(w)}).filter((F.col("back") <= history_turns) & (F.col("used") <= history_tokens) & (F.col("role") != "system"))
-    slots = t.groupBy("conv_id", "slot").agg(F.min("rank").alias("first")).withColumn("next", F.lead("slot").over(Window.partitionBy("conv_id").orderBy("slot")))
-    again = tail.drop("own", "target", "back", "used").join(slots.select(F.col("conv_id").alias("c"), F.col("slot").alias("s"), "next").filter("next is not null"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("slot") == F.col("s")))
-    again = again.select("conv_id", "turn", "role", "text", "tokens", "rank", "slot", "system", F.lit(False).alias("own"), F.col("next").alias("target"))
-    rows = t.unionByName(again).select("conv_id", "target", "system", F.struct("rank", "own", (F.col("own") & (F.col("role") == "assistant")).alias("loss"), F.col("role"), escaped(F.col("text")).alias("text")).alias("turn"))
-    grouped = rows.groupBy("conv_id", "target").agg(F.array_sort(F.collect_list("turn")).alias("turns"), F.min("system").alias("system"))
-    head = F.when(
-        F.col("system").isNotNull() & ~F.exists("turns", lambda x: x["own"] & (x["role"] == "system")),
-        F.array(F.struct(F.lit(-1).cast("long").alias("rank"), F.lit(False).alias("own"), F.lit(False).alias("loss"), F.lit("system").alias("role"), escaped(F.col("system.text")).alias("text"))),
-    ).otherwise(F.array().cast("array<struct<rank:bigint,own:boolean,loss:boolean,role:string,text:string>>"))
-    said = grouped.select("conv_id", "target", F.concat(head, F.col("turns")).alias("turns"))
-    opening = lambda x: F.concat(F.lit("### "), escaped_role(x["role"]), F.lit(": "))
-    length = lambda x: F.length(opening(x)) + F.length(x["text"]) + len(TURN_END)
+    g = _part(turns).groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("turn")).alias("turns"))
+    by_conv = Window.partitionBy("conv").orderBy("part")
+    places = g.select("conv", "part", F.size("turns").alias("n")).select(
+        "conv", "part", F.coalesce(F.sum("n").over(by_conv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lag("part").over(by_conv).alias("last")
+    )
+    tails = g.select("conv", F.col("part").alias("last"), F.slice("turns", F.greatest(F.lit(1), F.size("turns") - (max(1, history_turns) - 1)), F.lit(history_turns)).alias("tail"))
+    first_system = g.select("conv", "part", F.get(F.filter("turns", lambda x: x["role"] == "system"), F.lit(0)).alias("s")).filter("s is not null").groupBy("conv").agg(F.min_by("s", "part").alias("system"))
+    around = places.join(tails, ["conv", "last"], "left").join(first_system, "conv", "left").select("conv", "part", "base", "system", F.coalesce("tail", F.array().cast(_TURNS)).alias("tail"))
+    x = g.join(around, ["conv", "part"]).withColumn("all", F.concat("tail", "turns"))
+
+    def beside(t: Column) -> Column:
+        """Tokens of the system turn in a window that begins with turn t."""
+        return F.when(t["role"] == "system", 0).otherwise(F.coalesce(F.col("system.tokens"), F.lit(0)))
+
+    def history(t: Column, i: Column) -> Column:
+        room = F.least(F.lit(history_tokens), F.lit(budget) - beside(t) - t["tokens"])
+        none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.lit(True).alias("more"))
+        if not history_turns:
+            return none
+
+        def take(a: Column, back: Column) -> Column:
+            y = F.get(F.col("all"), F.size("tail") + i - back)
+            ok = a["more"] & F.coalesce((y["role"] != "system") & (a["tokens"] + y["tokens"] <= room), F.lit(False))
+            return F.struct(F.when(ok, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(ok, a["tokens"] + y["tokens"]).otherwise(a["tokens"]).alias("tokens"), ok.alias("more"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(history_turns)), none, take)
+
+    x = x.withColumn("past", F.transform("turns", history))
+
+    def cut(a: Column, i: Column) -> Column:
+        t = F.get(F.col("turns"), i)
+        fits = (F.size(a["starts"]) > 0) & (a["left"] >= t["tokens"])
+        opened = F.lit(budget) - beside(t) - F.get(F.col("past"), i)["tokens"] - t["tokens"]
+        return F.struct(F.when(fits, a["starts"]).otherwise(F.concat(a["starts"], F.array(i))).alias("starts"), F.when(fits, a["left"] - t["tokens"]).otherwise(opened).cast("int").alias("left"))
+
+    nothing = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("left"))
+    x = x.withColumn("starts", F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), nothing, cut, lambda a: a["starts"]))
+
+    def window(s: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("turns"))
+        h = F.get(F.col("past"), s)["n"]
+        return F.struct(s.alias("start"), F.slice("turns", s + 1, end - s).alias("own"), F.slice("all", F.size("tail") + s - h + 1, h).alias("history"))
+
+    w = x.select("conv_id", "base", "system", F.explode(F.transform("starts", window)).alias("w"))
+    w = w.select("conv_id", (F.col("base") + F.col("w.start")).alias("window"), "system", F.col("w.own").alias("own"), F.col("w.history").alias("history"))
+    head = F.when(F.col("system").isNotNull() & ~F.exists("own", lambda t: t["role"] == "system"), F.array("system")).otherwise(F.array().cast(_TURNS))
+    w = w.select("conv_id", "window", "own", F.concat(head, "history").alias("repeated"))
+    length = lambda ts: F.aggregate(ts, F.lit(0), lambda n, t: n + F.length(t["said"]))
     marks = F.aggregate(
-        "turns", F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + length(x)).cast("int").alias("at"),
-            F.when(x["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(opening(x))).cast("int").alias("start"), (a["at"] + F.length(opening(x)) + F.length(x["text"])).cast("int").alias("end"))))).otherwise(a["spans"]).alias("spans")),
+        "own", F.struct(length("repeated").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
+        lambda a, t: F.struct(
+            (a["at"] + F.length(t["said"])).alias("at"),
+            F.when(t["role"] == "assistant", F.concat(a["spans"], F.array(F.struct((a["at"] + t["open"]).alias("start"), (a["at"] + t["open"] + t["body"]).alias("end"))))).otherwise(a["spans"]).alias("spans")),
         lambda a: a["spans"],
     )
-    fresh = F.filter("turns", lambda x: x["own"])
-    return said.select(
-        "conv_id",
-        F.col("target").alias("window"),
-        F.get(fresh, F.lit(0))["rank"].alias("first_rank"),
-        F.array_join(F.transform("turns", lambda x: F.concat(opening(x), x["text"], F.lit(TURN_END))), "").alias("formatted"),
-        marks.alias("loss"),
-        F.size(fresh).cast("long").alias("n_fresh"),
-    )
+    return w.select("conv_id", "window", F.array_join(F.transform(F.concat("repeated", "own"), lambda t: t["said"]), "").alias("formatted"), marks.alias("loss"), F.size("own").cast("long").alias("n_fresh"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """Per conversation, from formatted windows alone: conv_id, turns (role, text), targets (texts under the loss), formatted_chars.
 
-    A window's own turns are its last `n_fresh`; the system turn and history before them are repeats.
+    A window's own turns are its last `n_fresh`; the system turn and history before them are repeats. Windows without a
+    conversation are of one; texts are unescaped; an empty table gives an empty table. Windows are put together before
+    they are read, so that texts are shuffled once.
     """
-    parts = F.slice(F.split("formatted", "</turn>\n", -1), 1, F.size(F.split("formatted", "</turn>\n", -1)) - 1)
-    own = F.slice(parts, F.size(parts) - F.col("n_fresh").cast("int") + 1, F.col("n_fresh").cast("int"))
-    turn = lambda x: F.struct(unescaped(F.replace(F.regexp_extract(x, r"^### ([^:]*): ", 1), F.lit("\\c"), F.lit(":"))).alias("role"), unescaped(F.regexp_replace(x, r"^### [^:]*: ", "")).alias("text"))
-    targets = F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
-    w = windows.select("conv_id", F.struct("first_rank", F.transform(own, turn).alias("turns"), targets.alias("targets")).alias("w"), F.length("formatted").alias("chars"))
-    return w.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("ws"), F.sum("chars").alias("formatted_chars")).select("conv_id", F.flatten(F.transform("ws", lambda x: x["turns"])).alias("turns"), F.flatten(F.transform("ws", lambda x: x["targets"])).alias("targets"), "formatted_chars")
+    g = windows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "formatted", "loss", "n_fresh"))).alias("ws"))
+
+    def turns(w: Column) -> Column:
+        parts = F.split(w["formatted"], TURN_END, -1)  # what follows the last end is empty
+        own = F.slice(parts, F.size(parts) - w["n_fresh"].cast("int"), w["n_fresh"].cast("int"))
+        return F.transform(own, lambda t: F.struct(unescaped(F.replace(F.regexp_extract(t, r"^### ([^:]*): ", 1), F.lit("\\c"), F.lit(":"))).alias("role"), unescaped(F.regexp_replace(t, r"^### [^:]*: ", "")).alias("text")))
+
+    def targets(w: Column) -> Column:
+        return F.transform(w["loss"], lambda s: unescaped(F.substring(w["formatted"], s["start"] + 1, s["end"] - s["start"])))
+
+    return g.select(
+        "conv_id", F.flatten(F.transform("ws", turns)).alias("turns"), F.flatten(F.transform("ws", targets)).alias("targets"),
+        F.aggregate("ws", F.lit(0).cast("long"), lambda n, w: n + F.length(w["formatted"])).alias("formatted_chars"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackworks.llm.shared import stored
+from trackworks.llm.shared import forget, stored
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -44,8 +44,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not was[0]:
             break
-        e = stored(_small_star(_large_star(e)), "stars")
+        last, e = e, stored(_small_star(_large_star(e)), "stars")
         now = _print(e)
+        forget(last)
         if now == was:
             break
         was = now

@@ -140,37 +140,40 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("t.score").alias("score"), (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.size("t.spans").cast("long").alias("n_spans"))
 
 
-#: The conversation that tries the template.
-PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+#: What both turns of the conversation that tries the template say.
+PROBE = "\\### Assistant: </turn> ok"
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     back = chat.read_back(chat.format_conversations(turns.unionByName(probe)))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     targets = F.array_join("targets", "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(targets).cast("long").alias("loss_chars"), F.sha2(targets, 256).alias("loss_sha256"), "formatted_chars")
 
 
-_ESC = "(length({0}) + length({0}) - length(replace(replace(replace({0}, chr(92), ''), '#', ''), '<', '')))"
-_ROLE = "(length({0}) + length({0}) - length(replace(replace(replace(replace({0}, chr(92), ''), '#', ''), '<', ''), ':', '')))"
+_ESC = "({1}({0}) + length({0}) - length(replace(replace(replace({0}, chr(92), ''), '#', ''), '<', '')))"
+_ROLE = "({1}({0}) + length({0}) - length(replace(replace(replace(replace({0}, chr(92), ''), '#', ''), '<', ''), ':', '')))"
+_SIZE = f"4 + {_ROLE.format('role', '{0}')} + 2 + {_ESC.format('text', '{0}')} + {len(chat.TURN_END)}"
 
-OP10_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
+OP10_SQL = f"""WITH RECURSIVE t AS (SELECT conv_id, turn::BIGINT turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
   UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
-u AS (SELECT *, ceil(length(text) / {chat.CHARS_PER_TOKEN})::BIGINT + {chat.TURN_TOKENS} tokens, 4 + {_ROLE.format("role")} + 2 + {_ESC.format("text")} + {len(chat.TURN_END)} chars,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) rank FROM t),
-sys AS (SELECT conv_id, tokens st, chars sc FROM u WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rank) = 1),
-v AS (SELECT u.*, sc, greatest(1, floor(({chat.BUDGET} - {chat.HISTORY_TOKENS} - least(coalesce(st, 0), {chat.BUDGET // 4})) / 2)) stride,
-  coalesce(sum(tokens) OVER (PARTITION BY u.conv_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) begins FROM u LEFT JOIN sys ON sys.conv_id = u.conv_id),
-x AS (SELECT *, floor(begins / stride) slot FROM v),
-tails AS (SELECT conv_id, slot, chars, role, row_number() OVER w back, sum(tokens) OVER w used FROM x WINDOW w AS (PARTITION BY conv_id, slot ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)),
-slots AS (SELECT conv_id, slot, bool_or(role = 'system') has_system, any_value(sc) sc, sum(chars) chars, lead(slot) OVER (PARTITION BY conv_id ORDER BY slot) nxt FROM x GROUP BY 1, 2),
-again AS (SELECT s.conv_id, sum(l.chars) chars FROM tails l JOIN slots s ON s.conv_id = l.conv_id AND s.slot = l.slot WHERE nxt IS NOT NULL AND back <= {chat.HISTORY_TURNS} AND used <= {chat.HISTORY_TOKENS} AND role <> 'system' GROUP BY 1),
-f AS (SELECT conv_id, sum(chars + CASE WHEN sc IS NOT NULL AND NOT has_system THEN sc ELSE 0 END) chars FROM slots GROUP BY 1),
-g AS (SELECT conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank) said, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY rank), '') loss FROM u GROUP BY 1)
-SELECT g.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (f.chars + coalesce(again.chars, 0))::BIGINT AS formatted_chars
-FROM g JOIN f USING (conv_id) LEFT JOIN again USING (conv_id)"""
+u AS (SELECT *, coalesce(conv_id, -99) c, {_SIZE.format("strlen")} tokens, {_SIZE.format("length")} chars, coalesce(floor(turn / 256.0)::BIGINT, -4611686018427387904) part,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) rank FROM t),
+sys AS (SELECT c, tokens st, chars sc FROM u WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY c ORDER BY rank) = 1),
+v AS (SELECT u.*, sc, CASE WHEN role = 'system' THEN 0 ELSE coalesce(st, 0) END beside, dense_rank() OVER (PARTITION BY u.c ORDER BY part) pno FROM u LEFT JOIN sys ON sys.c = u.c),
+b AS (SELECT *, lag(tokens, 1) OVER w t1, lag(role, 1) OVER w r1, lag(chars, 1) OVER w c1, lag(tokens, 2) OVER w t2, lag(role, 2) OVER w r2, lag(chars, 2) OVER w c2, lag(pno, 2) OVER w p2,
+  least({chat.HISTORY_TOKENS}, {chat.BUDGET} - beside - tokens) room, sum(tokens) OVER (PARTITION BY c ORDER BY rank) upto, sum(chars) OVER (PARTITION BY c ORDER BY rank) chars_upto,
+  sum((role = 'system')::INTEGER) OVER (PARTITION BY c ORDER BY rank) systems, max(rank) OVER (PARTITION BY c, part) last FROM v WINDOW w AS (PARTITION BY c ORDER BY rank)),
+k AS (SELECT *, coalesce(r1 <> 'system' AND t1 <= room, false) ok1, coalesce(r1 <> 'system' AND t1 <= room AND r2 <> 'system' AND p2 >= pno - 1 AND t1 + t2 <= room, false) ok2 FROM b),
+h AS (SELECT *, CASE WHEN ok2 THEN t1 + t2 WHEN ok1 THEN t1 ELSE 0 END ht, CASE WHEN ok2 THEN c1 + c2 WHEN ok1 THEN c1 ELSE 0 END hc FROM k),
+nx AS (SELECT s.c, s.rank, coalesce(min(e.rank), any_value(s.last) + 1) nxt FROM h s LEFT JOIN h e ON e.c = s.c AND e.part = s.part AND e.rank > s.rank AND e.upto - s.upto + s.tokens > {chat.BUDGET} - s.beside - s.ht GROUP BY 1, 2),
+r AS (SELECT c, min(rank) rank FROM u GROUP BY c, part UNION SELECT nx.c, nx.nxt FROM r JOIN nx ON nx.c = r.c AND nx.rank = r.rank JOIN u ON u.c = nx.c AND u.rank = nx.nxt),
+f AS (SELECT r.c, sum(e.chars_upto - s.chars_upto + s.chars + s.hc + CASE WHEN s.sc IS NOT NULL AND e.systems - s.systems + (s.role = 'system')::INTEGER = 0 THEN s.sc ELSE 0 END) chars
+  FROM r JOIN h s ON s.c = r.c AND s.rank = r.rank JOIN nx ON nx.c = r.c AND nx.rank = r.rank JOIN h e ON e.c = r.c AND e.rank = nx.nxt - 1 GROUP BY 1),
+g AS (SELECT c, any_value(conv_id) conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank) said, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY rank), '') loss FROM u GROUP BY 1)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, f.chars::BIGINT AS formatted_chars FROM g JOIN f USING (c)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,

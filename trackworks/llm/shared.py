@@ -18,9 +18,11 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is set (tests)."""
+    """The folder all executors share, as the session names it; a temporary one only in a local session where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trackworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,7 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def passed_through(df: DataFrame, **new: str) -> str:
@@ -50,10 +61,12 @@ def own_name(df: DataFrame, wanted: str) -> str:
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string or binary array without nulls."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
     o = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    b = np.frombuffer(data, dtype=np.uint8)[o[0] : o[-1]] if data is not None and len(column) else np.empty(0, np.uint8)
-    return b, o - (o[0] if len(o) else 0)
+    b = np.frombuffer(data, dtype=np.uint8)[o[0] : o[-1]] if data is not None else np.empty(0, np.uint8)
+    return b, o - o[0]
 
 
 def release_memory() -> None:
