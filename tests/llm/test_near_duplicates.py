@@ -83,6 +83,14 @@ def test_many_copies_long_texts_and_odd_rows(make_docs):
     assert got(make_docs(), 85) == {}
 
 
+def test_an_id_with_several_texts_is_one_node(make_docs):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = N.near_duplicates(make_docs((5, a), (5, b), (3, b), (7, a)), 85).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False)]
+    rows = N.near_duplicates(make_docs((5, a), (5, b), (8, b + " tail"), (7, a + " tail"), (9, "else")), 85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(5, 5), (8, 5), (7, 5), (9, 9)}
+
+
 def test_one_of_each_group_stays(make_docs):
     d = make_docs((3, "a b c d e f g"), (1, "a b c d e f g"), (9, "q"), (None, "q"), (10, None)).withColumn("gone", F.lit("x"))
     kept = N.deduplicated(d)

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackworks.llm.components import connected_components
-from trackworks.llm.shared import Words, ascii_fold, own_name, random_words, raw, slices, spaced_words, stored
+from trackworks.llm.shared import Words, ascii_fold, forget, own_name, random_words, raw, slices, spaced_words, stored
 
 #: 30 bands of 4 minima: a pair of similarity 0.85 shares none with probability 3e-10, one of 0.80 with 2e-7.
 BANDS, ROWS = 30, 4
 #: Signatures may agree in so much less than the threshold asks (over 4 standard deviations at 120 minima).
 SLACK = 0.17
 #: Members of a bucket that one task compares with as many others at a time.
-TILE = 512
+TILE = 4096
 _CHUNK = 1 << 15
 
 
@@ -55,17 +55,20 @@ def minima(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keys(flat: np.ndarray, o: np.ndarray) -> list[pa.Array]:
+    """Two sums over each set of 64-bit hashes, which with its size stand for the set."""
+    sums = (np.concatenate([[np.uint64(0)], np.cumsum(f)]) for f in (flat, flat * (flat | np.uint64(1))))
+    return [pa.array((x[o[1:]] - x[o[:-1]]).view(np.int64)) for x in sums]
+
+
 def _features(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             flat, o = shingle_sets(batch.column(1), k)
             sig = minima(flat, o)
             some = o[1:] > o[:-1]
-            # two sums over a set of 64-bit hashes stand for the set
-            one, two = (np.concatenate([[np.uint64(0)], np.cumsum(f)]) for f in (flat, flat * (flat | np.uint64(1))))
-            keys = [(x[o[1:]] - x[o[:-1]]).view(np.int64) for x in (one, two)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(o)), *(pa.array(x) for x in keys), pa.array([s.tobytes() if t else None for s, t in zip(sig, some, strict=True)], pa.binary())],
+                [batch.column(0), pa.array(np.diff(o)), *_keys(flat, o), pa.array([s.tobytes() if t else None for s, t in zip(sig, some, strict=True)], pa.binary())],
                 names=["id", "n_shingles", "key_a", "key_b", "signature"],
             )
 
@@ -76,7 +79,7 @@ def _sets(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             flat, o = shingle_sets(batch.column(1), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)], pa.binary())], names=["rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(o)), *_keys(flat, o), pa.array([flat[a:b].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)], pa.binary())], names=["n_shingles", "key_a", "key_b", "shingles"])
 
     return run
 
@@ -92,32 +95,71 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _least(percent: int) -> float:
+    """Equal minima that two signatures need, so that their sets may be similar."""
+    return (percent / 100 - SLACK) * BANDS * ROWS
+
+
+def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+
+
+def _maybe_similar(percent: int):
+    """Of pairs with signatures, those that may be similar."""
+    least = _least(percent)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u, v, su, sv = (b.column(b.schema.get_field_index(n)) for n in ("u", "v", "su", "sv"))
+                near = pa.array(np.flatnonzero((_signatures(su) == _signatures(sv)).sum(1) >= least))
+                yield pa.RecordBatch.from_arrays([u.take(near), v.take(near)], names=["u", "v"])
+
+    return run
+
+
 def _verify(percent: int):
-    """Of pairs with signatures and shingles, those that are similar."""
-    least = (percent / 100 - SLACK) * BANDS * ROWS
+    """Of pairs with shingles, those that are similar."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, v, su, sv, xu, xv = (b.column(b.schema.get_field_index(n)) for n in ("u", "v", "su", "sv", "xu", "xv"))
-            if not b.num_rows:
-                continue
-            pu, pv = (raw(s)[0].view(np.uint32).reshape(b.num_rows, -1) for s in (su, sv))
-            near = np.flatnonzero((pu == pv).sum(1) >= least)
-            (du, ou), (dv, ov) = raw(xu), raw(xv)
-            good = [i for i in near.tolist() if similar(du[ou[i] : ou[i + 1]].view(np.uint64), dv[ov[i] : ov[i + 1]].view(np.uint64), percent)]
-            yield pa.RecordBatch.from_arrays([u.take(pa.array(good, pa.int64())), v.take(pa.array(good, pa.int64()))], names=["u", "v"])
+            if b.num_rows:
+                u, v, xu, xv = (b.column(b.schema.get_field_index(n)) for n in ("u", "v", "xu", "xv"))
+                (du, ou), (dv, ov) = raw(xu), raw(xv)
+                good = pa.array([i for i in range(b.num_rows) if similar(du[ou[i] : ou[i + 1]].view(np.uint64), dv[ov[i] : ov[i + 1]].view(np.uint64), percent)], pa.int64())
+                yield pa.RecordBatch.from_arrays([u.take(good), v.take(good)], names=["u", "v"])
+
+    return run
+
+
+def _candidates(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a tile's one side, those of the other that are in another component so far and may be similar."""
+    comp, side, sig = t.column("component").to_numpy(), t.column("side").to_numpy(), _signatures(t.column("signature"))
+    one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 2)  # side: 0 both, 1 the column only, 2 the row only
+    for i in one.tolist():
+        js = two[comp[two] != comp[i]]
+        if (side == 0).all():
+            js = js[js > i]
+        js = js[(sig[js] == sig[i]).sum(1) >= _least(percent)] if len(js) else js
+        if len(js):
+            yield i, js
+
+
+def _involved(percent: int):
+    """The members of a tile that have a candidate in it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        found = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.append(js, i) for i, js in _candidates(t, percent))]))
+        return t.take(pa.array(found)).select(["bucket", "i", "j", "side", "cid", "component"])
 
     return run
 
 
 def _tile(percent: int):
     """Links between members of a bucket's tile that are in different components so far: a spanning forest of them."""
-    least = (percent / 100 - SLACK) * BANDS * ROWS
 
     def run(t: pa.Table) -> pa.Table:
-        rep, comp = t.column("rep").to_numpy(), t.column("component").to_numpy()
-        left = t.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(rep), -1)
+        cid, comp = t.column("cid").to_numpy(), t.column("component").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         root = {c: c for c in comp.tolist()}
 
@@ -127,89 +169,114 @@ def _tile(percent: int):
             return c
 
         links = []
-        one = np.flatnonzero(left != 1)  # side: 0 both, 1 the column only, 2 the row only
-        two = np.flatnonzero(left != 2)
-        for i in one.tolist():
-            js = two[(comp[two] != comp[i])]
-            if (left == 0).all():
-                js = js[js > i]
-            if not len(js):
-                continue
-            js = js[(sig[js] == sig[i]).sum(1) >= least]
+        for i, js in _candidates(t, percent):
             for j in js.tolist():
                 a, b = top(int(comp[i])), top(int(comp[j]))
                 if a != b and similar(sets[i], sets[j], percent):
                     root[a] = b
-                    links.append((int(rep[i]), int(rep[j])))
+                    links.append((int(cid[i]), int(cid[j])))
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
+KEYS = ["n_shingles", "key_a", "key_b"]
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """One row per row of `docs`: id_col, n_shingles, component_id (the smallest id reachable by links), kept.
 
     Two rows are linked where 100 * intersection >= percent * union of their sets of `shingle` words (A-Z in lower
     case, split at ASCII white space); fewer words are one shingle. Empty and null texts have no shingles and link with
-    nothing. Equal sets are one class, linked without expanding pairs. Rows that repeat an id are one node. A row without
-    an id links with nothing: component_id null, kept true. Other columns play no part. Empty in, empty out.
+    nothing. Texts of any length are read whole. Equal sets are one class, linked without expanding pairs. Rows that
+    repeat an id are one node, which joins the components of all their texts. A row without an id links with nothing:
+    component_id null, kept true. Other columns play no part. Empty in, empty out.
 
-    Classes are banded. Each member of a bucket is compared with its smallest; then every bucket that still holds
-    several components has the rest of its pairs compared in tiles of `tile` members, so no link is lost to the
-    smallest not being close, and a task holds two tiles at most.
+    Classes are banded. Each member of a bucket is compared with its first; then every bucket that still holds several
+    components has the rest of its pairs compared in tiles of `tile` members, so no link is lost to the first not being
+    close. Signatures are compared before sets, and sets are fetched only for classes that may be similar to another.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     features = stored(texts.mapInArrow(_features(shingle), "id bigint, n_shingles bigint, key_a bigint, key_b bigint, signature binary"), "features")
     some = features.filter("n_shingles > 0 and id is not null")
-    reps = stored(some.groupBy("n_shingles", "key_a", "key_b").agg(F.min("id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    # numbers are given once, as the table is written
+    classes = stored(some.groupBy(*KEYS).agg(F.min("id").alias("rep"), F.first("signature").alias("signature")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * ROWS * 4 + 1, F.lit(ROWS * 4)))))
-    members = reps.select("rep", band.alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = classes.select("cid", band.alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stored(members.join(buckets, "bucket"), "buckets")
-    needed = shared.select("rep").distinct()
-    wanted = texts.withColumnRenamed("id", "rep").join(needed, "rep", "left_semi")
-    # a repeated id may come with several texts; the class's own has its signature
-    sets = wanted.mapInArrow(_sets(shingle), "rep bigint, shingles binary")
-    sets = stored(sets.withColumn("h", F.xxhash64("shingles")).dropDuplicates(["rep", "h"]).drop("h").join(reps.select("rep", "signature", "n_shingles"), "rep").filter("length(shingles) = 8 * n_shingles").drop("n_shingles"), "sets")
-    pairs = shared.filter("rep <> center").groupBy(F.col("rep").alias("u"), F.col("center").alias("v")).agg(F.count(F.lit(1)).alias("bands"))
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("signature").alias(f"s{x}"), F.col("shingles").alias(f"x{x}"))
-    links = stored(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "su", "sv", "xu", "xv").mapInArrow(_verify(percent), "u bigint, v bigint"), "links")
+    side = lambda x, c, n: classes.select(F.col("cid").alias(x), F.col(c).alias(n))
+    pairs = shared.filter("cid <> center").select(F.col("cid").alias("u"), F.col("center").alias("v")).distinct()
+    maybe = pairs.join(side("u", "signature", "su"), "u").join(side("v", "signature", "sv"), "v").select("u", "v", "su", "sv")
+    maybe = stored(maybe.mapInArrow(_maybe_similar(percent), "u bigint, v bigint"), "candidates")
+    sets = _set_table(texts, classes, maybe.select(F.col("u").alias("cid")).unionByName(maybe.select(F.col("v").alias("cid"))), shingle)
+    shingles = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"x{x}"))
+    close = maybe.join(shingles("u"), "u").join(shingles("v"), "v").select("u", "v", "xu", "xv").mapInArrow(_verify(percent), "u bigint, v bigint")
+    links = stored(close.unionByName(_repeated_ids(some, classes)), "links")
+    forget(maybe, sets)
     found = connected_components(links)
-    more = _rest(shared, sets, found, percent, tile)
+    more = _rest(texts, classes, shared, found, percent, shingle, tile)
     if more is not None:
         found = connected_components(links.unionByName(more))
-    by_class = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "key_a", "key_b", F.coalesce("component", "rep").alias("component_id"))
+        forget(more)
+    labelled = stored(classes.select(*KEYS, "cid", "rep").join(found.withColumnRenamed("id", "cid"), "cid", "left").select(*KEYS, "rep", F.coalesce("component", "cid").alias("component")), "labelled")
+    forget(classes, shared, links)
+    smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_class = labelled.join(smallest, "component").select(*KEYS, "component_id")
     return (
         features.select("id", "n_shingles", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("key_a")).alias("key_a"), "key_b")
-        .join(by_class, ["n_shingles", "key_a", "key_b"], "left")
+        .join(by_class, KEYS, "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"))
     )
 
 
-def _rest(shared: DataFrame, sets: DataFrame, found: DataFrame, percent: int, tile: int) -> DataFrame | None:
-    """Links between members other than the smallest, of buckets whose members aren't all in one component yet."""
-    comp = shared.filter("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = comp.groupBy("bucket", "n").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("s")).filter("a < b")
+def _repeated_ids(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of ids that come with several texts."""
+    key = F.struct(*KEYS)
+    twice = some.groupBy("id").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a < b").select("id")
+    rows = some.select("id", *KEYS).join(twice, "id").distinct().join(classes.select(*KEYS, "cid"), KEYS).select("id", "cid")
+    first = rows.groupBy("id").agg(F.min("cid").alias("v"))
+    return rows.join(first, "id").select(F.col("cid").alias("u"), "v").filter("u <> v").distinct()
+
+
+def _set_table(texts: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(cid, shingles) of the classes in `wanted` (cid): read from the texts of one id of each."""
+    own = classes.join(wanted.distinct(), "cid").select("cid", "rep", *KEYS)
+    read = texts.join(own.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
+    # a repeated id may come with other texts too; those of no wanted class go
+    sets = read.mapInArrow(_sets(shingle), "n_shingles bigint, key_a bigint, key_b bigint, shingles binary").groupBy(*KEYS).agg(F.first("shingles").alias("shingles"))
+    return stored(sets.join(own, KEYS).select("cid", "shingles"), "sets")
+
+
+def _rest(texts: DataFrame, classes: DataFrame, shared: DataFrame, found: DataFrame, percent: int, shingle: int, tile: int) -> DataFrame | None:
+    """Links between members other than the first, of buckets whose members aren't all in one component yet."""
+    comp = shared.filter("n > 2").join(found.withColumnRenamed("id", "cid"), "cid", "left").select("bucket", "n", "cid", F.coalesce("component", "cid").alias("component"))
+    open_ = comp.groupBy("bucket", "n").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.xxhash64("cid") % (1 << 40)).alias("s")).filter("a < b")
     # buckets of other bands with the same members hold the same pairs
     open_ = stored(open_.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "open")
     if open_.isEmpty():
         return None
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("tiles")).cast("int")
-    rows = comp.drop("n").join(open_, "bucket").withColumn("tiles", tiles).withColumn("own", own)
+    own = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("tiles")).cast("int")
+    rows = comp.drop("n").join(open_, "bucket").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = rows.select("bucket", "rep", "component", "own", other.alias("other")).select(
-        "bucket", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+    rows = rows.select("bucket", "cid", "component", "own", other.alias("other")).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "cid", "component",
     )
-    return stored(rows.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_tile(percent), "u bigint, v bigint"), "more")
+    tiles = ["bucket", "i", "j"]
+    signed = lambda df: df.join(classes.select("cid", "signature"), "cid")
+    involved = stored(signed(rows).groupBy(*tiles).applyInArrow(_involved(percent), "bucket bigint, i int, j int, side int, cid bigint, component bigint"), "involved")
+    sets = _set_table(texts, classes, involved.select("cid"), shingle)
+    more = stored(signed(involved).join(sets, "cid").groupBy(*tiles).applyInArrow(_tile(percent), "u bigint, v bigint"), "more")
+    forget(open_, involved, sets)
+    return more
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one document of each group of near-duplicates, the one with the smallest id; columns are kept.
 
-    Rows that repeat the kept id stay, as do rows without an id; the ids that go are joined away, never collected.
+    Rows that repeat the kept id stay, as do rows without an id and those with empty and null texts; an empty table stays
+    empty, other columns of any name play no part. The ids that go are joined away, never collected.
     """
     gone = near_duplicates(docs, percent, shingle, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias(own_name(docs, "gone"))).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col(gone.columns[0]), "left_anti")
