@@ -57,8 +57,38 @@ def test_recall_of_the_graph_alone():
     ids, _ = E.Graph(x).search(q, E.SEARCH_BEAM)
     assert (ids[:, 0] == (q @ x.T).argmax(1)).mean() >= 0.9
     truth = (q @ x.T) >= 0.98
-    links = E.links_of(E.Graph(x), x, q, 0.98)
-    assert sum(len(a) for a in links) >= 0.99 * truth.sum()
+    links, audit = E.links_of(E.Graph(x), q, 0.98)
+    assert sum(len(a) for _, a in links) >= 0.99 * truth.sum()
+    assert audit["links"] >= E.AUDIT_LINKS and audit["hits"] >= 0.99 * audit["links"]
+
+
+def test_a_stored_graph_finds_what_the_graph_does():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    g = E.Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
+    again = E.Graph.unpacked(g.packed())
+    assert all((a == b).all() for a, b in zip(g.search(g.x[:50], 32), again.search(g.x[:50], 32), strict=True))
+
+
+def test_audits_count_links_between_shards_and_leave_selves_out(spark):
+    rows = rows_of(5, 900)
+    audits = []
+    r = E.near_duplicate_vectors(spark.createDataFrame(rows, KIND), 0.98, shard_rows=80, audit=lambda df: audits.extend(df.collect()))
+    assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in r.collect()} == brute(rows, 0.98)
+    links, hits = sum(a["links"] for a in audits), sum(a["hits"] for a in audits)
+    assert links > 100 and hits >= E.RECALL * links
+    alone = [(i, [float(i == j) for j in range(20)], 0) for i in range(20)]
+    audits.clear()
+    E.near_duplicate_vectors(spark.createDataFrame(alone, KIND), 0.98, audit=lambda df: audits.extend(df.collect()))
+    assert [(a["queries"], a["links"]) for a in audits] == [(20, 0)]
+
+
+def test_an_id_with_several_vectors_is_one_node(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    for rows in ([(5, a, 0), (5, b, 0), (3, b, 0), (7, a, 0)], [(5, a, 0), (5, b, 0), (9, b, 1), (7, a, 0), (7, [1.0, 1.0], 0)]):
+        r = E.near_duplicate_vectors(spark.createDataFrame(rows, KIND)).collect()
+        least = min(i for i, _, lab in rows if lab == 0)
+        assert all(x["component_id"] == (9 if x["vec_id"] == 9 else least) for x in r) and len(r) == len(rows)
 
 
 def test_odd_vectors_repeats_and_clashes(spark):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackworks.llm.components import connected_components
-from trackworks.llm.shared import stored
+from trackworks.llm.shared import forget, stored
 
 #: Different vectors of a label that one shard indexes.
 SHARD_ROWS = 20_000
-#: Neighbours a node keeps, beams when building and first searching, queries an audit tries, and the recall it asks for.
-NEIGHBOURS, BUILD_BEAM, SEARCH_BEAM, AUDIT, RECALL = 12, 32, 32, 64, 0.99
+#: Neighbours a node keeps, and beams when building and first searching.
+NEIGHBOURS, BUILD_BEAM, SEARCH_BEAM = 12, 32, 32
+#: An audit compares queries with the whole shard until it has seen so many links, or tried so many queries; recall it asks for.
+AUDIT_LINKS, AUDIT_QUERIES, RECALL = 200, 1024, 0.99
 _BLOCK = 256
 
 
@@ -34,6 +37,16 @@ class Graph:
         for k in range(top, -1, -1):  # upper levels first: they give the entry points below
             self._build(k)
 
+    def packed(self) -> dict[str, np.ndarray]:
+        return {"x": self.x} | {f"nodes{k}": v for k, v in enumerate(self.nodes)} | {f"near{k}": v for k, v in enumerate(self.near)}
+
+    @classmethod
+    def unpacked(cls, a: dict[str, np.ndarray]) -> Graph:
+        g = cls.__new__(cls)
+        levels = sum(name.startswith("nodes") for name in a)
+        g.x, g.nodes, g.near = a["x"], [a[f"nodes{k}"] for k in range(levels)], [a[f"near{k}"] for k in range(levels)]
+        return g
+
     def _build(self, k: int) -> None:
         order = self.nodes[k]
         near = self.near[k]
@@ -122,96 +135,132 @@ class Graph:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def links_of(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, seed: int = 0) -> list[np.ndarray]:
-    """For each unit vector of q, the rows of x with cosine >= least, found by beams that widen until an audit passes.
+def _found(graph: Graph, q: np.ndarray, least: float, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, rows close to it), for all queries: beams of `width`, wider where all of a beam is close.
 
-    The audit compares a sample of queries with all of x. A query whose whole beam is close enough may have more links
-    than the beam is wide; its beam grows, and past an eighth of the shard all of the shard is compared with it.
+    Such a query may have more links than its beam is wide; past an eighth of the shard all of it is compared.
     """
+    x, todo = graph.x, np.arange(len(q))
+    first = width
+    while len(todo):
+        if width > first and width * 8 > len(x):
+            for b in (todo[i : i + _BLOCK] for i in range(0, len(todo), _BLOCK)):
+                for i, s in zip(b.tolist(), q[b] @ x.T, strict=True):
+                    yield i, np.flatnonzero(s >= least)
+            return
+        more = []
+        for b in (todo[i : i + _BLOCK] for i in range(0, len(todo), _BLOCK)):
+            ids, sims = graph.search(q[b], width)
+            good = (ids >= 0) & (sims >= least)
+            full = good[:, -1] & (ids.shape[1] < len(x))
+            more.append(b[full])
+            for j in np.flatnonzero(~full).tolist():
+                yield int(b[j]), ids[j][good[j]]
+        todo, width = np.concatenate(more), width * 4
+
+
+def links_of(graph: Graph, q: np.ndarray, least: float, own: np.ndarray | None = None, seed: int = 0) -> tuple[Iterator[tuple[int, np.ndarray]], dict[str, int]]:
+    """For each unit vector of q, the rows of the graph with cosine >= least; and what the audit saw.
+
+    The audit goes through queries in random order and compares each with all rows, until it has seen AUDIT_LINKS links
+    or tried AUDIT_QUERIES. own: the row that each query itself is (-1: none), which is no link. The very search that all
+    queries get is then tried on these; its first beam is doubled until it finds RECALL of the links seen.
+    """
+    least -= 1e-6  # single precision; the caller decides in double
+    own = np.full(len(q), -1) if own is None else own
+    order = np.random.default_rng(seed).permutation(len(q))[:AUDIT_QUERIES]
+    tried, truth, seen = [], {}, 0
+    for b in (order[i : i + 64] for i in range(0, len(order), 64)):
+        for i, s in zip(b.tolist(), q[b] @ graph.x.T, strict=True):
+            truth[i] = np.setdiff1d(np.flatnonzero(s >= least), own[i : i + 1])
+            seen += len(truth[i])
+        tried.append(b)
+        if seen >= AUDIT_LINKS:
+            break
+    sample = np.concatenate([*tried, np.zeros(0, np.int64)])
     width = SEARCH_BEAM
-    sample = np.random.default_rng(seed).permutation(len(q))[:AUDIT]
-    truth = (q[sample] @ x.T) >= least - 1e-6
     while True:
-        ids, sims = graph.search(q[sample], width)
-        found = np.zeros_like(truth)
-        r, c = np.nonzero((ids >= 0) & (sims >= least - 1e-6))
-        found[r, ids[r, c]] = True
-        full = (sims[:, -1] >= least - 1e-6) & (ids[:, -1] >= 0)
-        found[full] = truth[full]  # these are widened below
-        if found.sum() >= RECALL * truth.sum() or width >= len(x):
+        hits = sum(len(np.intersect1d(truth[int(sample[j])], ids)) for j, ids in _found(graph, q[sample], least, width)) if seen else 0
+        if hits >= RECALL * seen or width >= len(graph.x):
             break
         width *= 2
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-    todo = np.arange(len(q))
-    while len(todo):
-        if width * 8 > len(x) and width > SEARCH_BEAM:
-            for b in (todo[i : i + _BLOCK] for i in range(0, len(todo), _BLOCK)):
-                s = q[b] @ x.T
-                for j, i in enumerate(b.tolist()):
-                    out[i] = np.flatnonzero(s[j] >= least - 1e-6)
-            break
-        ids, sims = graph.search(q[todo], width)
-        good = (ids >= 0) & (sims >= least - 1e-6)
-        more = good[:, -1] & (ids.shape[1] < len(x))
-        for j in np.flatnonzero(~more):
-            out[todo[j]] = ids[j][good[j]]
-        todo, width = todo[more], width * 4
-    return out
+    return _found(graph, q, least, width), {"queries": len(sample), "links": seen, "hits": hits, "beam": width}
+
+
+def _unit(t: pa.Table) -> np.ndarray:
+    flat = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    flat = flat / np.abs(flat).max(1, keepdims=True)
+    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+
+
+_SHARD = "label string, dim int, shard int, shards int, graph binary"
+_LINKS = "cid bigint, n bigint, to array<bigint>, queries bigint, links bigint, hits bigint, beam bigint"
 
 
-_EMPTY = {"rep": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.list_(pa.int64()))}
+def _index(t: pa.Table) -> pa.Table:
+    """One row: the graph of a shard's classes, with their vectors, numbers and copies."""
+    # the order in which nodes go in must not follow numbers
+    t = t.take(pa.array(np.random.default_rng(1).permutation(t.num_rows)))
+    unit, out = _unit(t), io.BytesIO()
+    np.savez(out, unit=unit, cid=t.column("cid").to_numpy(), copies=t.column("copies").to_numpy(), **Graph(unit.astype(np.float32)).packed())
+    one = t.slice(0, 1)
+    return pa.table({"label": one.column("label"), "dim": one.column("dim"), "shard": one.column("shard"), "shards": one.column("shards"), "graph": pa.array([out.getvalue()], pa.binary())})
 
 
 def _search(least: float):
-    """One index shard and one query shard: links counted by query, and a spanning forest of them."""
-
-    def run(t: pa.Table) -> pa.Table:
-        index = t.column("indexed").to_numpy()
-        if not index.any() or index.all():
-            return pa.table(_EMPTY)
-        flat = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-        flat = flat / np.abs(flat).max(1, keepdims=True)
-        unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
-        rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
-        # the order in which nodes go in must not follow ids
-        own = np.flatnonzero(index)[np.random.default_rng(1).permutation(int(index.sum()))]
-        x, xr, xc, q, qr = unit[own], rep[own], copies[own], unit[~index], rep[~index]
-        single = x.astype(np.float32)
-        root: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while root.setdefault(c, c) != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        found, n, to = [], [], []
-        for i, ids in enumerate(links_of(Graph(single), single, q.astype(np.float32), least)):
-            ids = ids[xr[ids] != qr[i]]
-            ids = ids[x[ids] @ q[i] >= least] if len(ids) else ids  # in double precision
+    """A shard's graph and the classes of another shard, or its own: links counted on both sides, and a spanning forest of them."""
+
+    def run(index: pa.Table, t: pa.Table) -> pa.Table:
+        a = dict(np.load(io.BytesIO(index.column("graph")[0].as_py())))
+        x, xc, copies, graph = a.pop("unit"), a.pop("cid"), a.pop("copies"), Graph.unpacked(a)
+        same = index.column("i")[0].as_py() == index.column("j")[0].as_py()
+        q, qc, qn = _unit(t), t.column("cid").to_numpy(), t.column("copies").to_numpy()
+        at = np.full(len(qc), -1)
+        if same:
+            order = np.argsort(xc)
+            at = order[np.searchsorted(xc[order], qc)]
+        number = np.concatenate([xc, qc])  # nodes: the graph's, then the queries' where they are others
+        node = at if same else len(xc) + np.arange(len(qc))
+        label, n, to = np.arange(len(number)), np.zeros(len(number), np.int64), {}
+        links, audit = links_of(graph, q.astype(np.float32), least, at)
+        for i, ids in links:
+            ids = ids[ids != at[i]]
+            ids = ids[x[ids] @ q[i] >= least]  # in double precision
             if not len(ids):
                 continue
-            joins = []
-            for r in xr[ids].tolist():
-                a, b = top(int(qr[i])), top(r)
-                if a != b:
-                    root[a] = b
-                    joins.append(r)
-            found.append(int(qr[i])), n.append(int(xc[ids].sum())), to.append(joins)
-        return pa.table({"rep": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64()), "to": pa.array(to, pa.list_(pa.int64()))})
+            n[node[i]] += copies[ids].sum()
+            if not same:
+                n[ids] += qn[i]
+            groups, first = np.unique(label[ids], return_index=True)
+            new = groups != label[node[i]]
+            if new.any():
+                to[node[i]] = number[ids[first[new]]]
+                label[np.isin(label, groups[new])] = label[node[i]]
+        some = np.flatnonzero(n)
+        rows = pa.table({
+            "cid": pa.array(np.append(number[some], 0), pa.int64(), mask=np.append(np.zeros(len(some), bool), True)), "n": pa.array(np.append(n[some], 0)),
+            "to": pa.array([*(to.get(i, []) for i in some.tolist()), []], pa.list_(pa.int64())),
+        })
+        for k, v in audit.items():
+            rows = rows.append_column(k, pa.array([0] * len(some) + [v], pa.int64()))
+        return rows
 
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard_rows: int = SHARD_ROWS, audit: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """One row per row of `vectors`: id_col, n_links, component_id (the smallest id reachable), kept.
 
     Rows of equal labels, not null, are linked at a cosine of `least` or more in double precision. Vectors that are
     null or zero, hold null or non-finite components, or have no label or no id, link with nothing (n_links 0; the
     component is their own id, and without one they are kept). Vectors of other lengths are another label. Equal vectors
-    are one class: counted, not compared. Rows that repeat an id are one node, and other rows to each other.
+    are one class: counted, not compared. Rows that repeat an id are one node, which joins the components of all their
+    vectors, and other rows to each other in n_links. An empty table gives an empty table.
 
-    The classes of a label are dealt into shards of about `shard_rows`; a task indexes one and searches it for another,
-    for all pairs of shards of a label, so a large label is many tasks of the same size. Other columns play no part.
+    The classes of a label are dealt into shards of about `shard_rows`. Each shard is indexed once, into a row; every
+    pair of shards of a label is a task, in which one's classes are searched in the other's graph, so a large label is
+    many tasks of the same size. `audit` gets a table with a row a task: queries tried, links they have, hits among them
+    and the first beam. Other columns play no part.
     """
     v = F.col(vector_col)
     good = v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -221,18 +270,42 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
         F.when(good & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), as_double).alias("v"),
     ).withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})
     key = ["label", "dim", "a", "b"]
-    classes = stored(rows.filter("v is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-classes")
+    some = rows.filter("v is not null")
+    # numbers are given once, as the table is written
+    classes = stored(some.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     shards = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
-    dealt = classes.join(shards, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("shards")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("shards") - 1)
-    pairs = F.explode(F.concat(F.transform(others, lambda o: F.struct(F.col("own").alias("i"), o.alias("j"), F.lit(True).alias("indexed"))), F.transform(others, lambda o: F.struct(o.alias("i"), F.col("own").alias("j"), F.lit(False).alias("indexed")))))
-    tasks = dealt.select("label", "dim", "rep", "copies", "v", pairs.alias("p")).select("label", "dim", "p.*", "rep", "copies", "v")
-    found = stored(tasks.groupBy("label", "dim", "i", "j").applyInArrow(_search(least), "rep bigint, n bigint, to array<bigint>"), "vector-links")
-    components = connected_components(found.select(F.col("rep").alias("u"), F.explode("to").alias("v")))
-    counts = found.groupBy("rep").agg(F.sum("n").alias("near"))
-    by_class = classes.join(counts, "rep", "left").join(components.withColumnRenamed("id", "rep"), "rep", "left").select(*key, (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    dealt = classes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("shards")).cast("int")).select("label", "dim", "shard", "shards", "cid", "copies", "v")
+    graphs = stored(dealt.groupBy("label", "dim", "shard").applyInArrow(_index, _SHARD), "graphs")
+    pair = ["label", "dim", "i", "j"]
+    indexed = graphs.select("label", "dim", F.col("shard").alias("i"), F.explode(F.sequence("shard", F.col("shards") - 1)).alias("j"), "graph")
+    asked = dealt.select("label", "dim", F.explode(F.sequence(F.lit(0), "shard")).alias("i"), F.col("shard").alias("j"), "cid", "copies", "v")
+    search = _search(least)
+
+    def searched(index: pa.Table, t: pa.Table) -> pa.Table:
+        if not index.num_rows or not t.num_rows:  # a shard that no class was dealt to
+            return pa.table({"cid": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.list_(pa.int64())), **{k: pa.array([], pa.int64()) for k in ("queries", "links", "hits", "beam")}})
+        return search(index, t)
+
+    found = stored(indexed.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInArrow(searched, _LINKS), "vector-links")
+    if audit:
+        audit(found.filter("cid is null").select("queries", "links", "hits", "beam"))
+    links = found.filter("cid is not null").select(F.col("cid").alias("u"), F.explode("to").alias("v"))
+    components = connected_components(links.unionByName(_repeated_ids(some, classes, key)))
+    counts = found.filter("cid is not null").groupBy("cid").agg(F.sum("n").alias("near"))
+    labelled = stored(classes.drop("v").join(counts, "cid", "left").join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "labelled")
+    forget(classes, graphs, found)
+    smallest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_class = labelled.join(smallest, "component").select(*key, (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), "component_id")
     return (
         rows.drop("v")
         .join(by_class, key, "left")
         .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"))
     )
+
+
+def _repeated_ids(some: DataFrame, classes: DataFrame, key: list[str]) -> DataFrame:
+    """Links between the classes of ids that come with several vectors."""
+    twice = some.groupBy("id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x < y").select("id")
+    rows = some.select("id", *key).join(twice, "id").distinct().join(classes.select(*key, "cid"), key).select("id", "cid")
+    first = rows.groupBy("id").agg(F.min("cid").alias("v"))
+    return rows.join(first, "id").select(F.col("cid").alias("u"), "v").filter("u <> v").distinct()
