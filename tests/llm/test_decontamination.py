@@ -53,6 +53,22 @@ def test_same_as_brute_force_in_one_pass_and_in_blocks(spark, make_docs):
     assert scanned(make_docs(*docs), b, block_bytes=600) == want
 
 
+def test_repeated_rows_and_ids_in_blocks_and_a_very_long_text(spark, make_docs):
+    b = spark.createDataFrame([(i, f"item {i} has these words one two three four five six") for i in range(40)] + [(99, "lone")], "item_id long, text string")
+    long = "pad " * 200_000 + "item 7 has these words one two three four five six"
+    docs = make_docs((1, "lone"), (1, "lone"), (2, "item 3 has these words one two three four five six item 4 has these words one two three four five six"), (3, None), (4, long)).withColumn("row_number", F.lit(5))
+    rows = D.find_contamination(docs, b, block_bytes=500).collect()
+    got = sorted((r["doc_id"], tuple(r["contamination"]["items"]), sum(s["words"] for s in r["contamination"]["spans"]), len(r["contamination"]["spans"]), r["row_number"]) for r in rows)
+    assert got == [(1, ("99",), 1, 1, 5), (1, ("99",), 1, 1, 5), (2, ("3", "4"), 22, 1, 5), (3, (), 0, 0, 5), (4, ("7",), 11, 1, 5)]
+
+
+def test_a_hash_is_no_hit_without_the_words():
+    w = D.WindowSet([(1, "one two three"), (2, "ONE two, three"), (3, "four")], 3)
+    (h, at, _), (h1, _, _) = w.by_length[3], w.by_length[1]
+    assert len(h) == 2 and w.items(3, int(h[0]), b"one two three") == ["1", "2"] and w.items(3, int(h[0]), b"one two four") == []
+    assert w.items(1, int(h1[0]), b"four") == ["3"] and w.items(3, 12345, b"one two three") == []
+
+
 def test_empty_tables_repeated_rows_and_clashing_names(spark, make_docs):
     b = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert scanned(make_docs(), b) == {}

@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackworks.llm.shared import Words, alnum_words, ascii_fold, own_name, passed_through, slices, with_columns
+from trackworks.llm.shared import Words, alnum_words, ascii_fold, own_name, passed_through, slices, stored, with_columns
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes. A task's table
+#: has about eight times as many.
+BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
 
 
@@ -25,25 +26,38 @@ def words(text: str | None) -> list[str]:
 
 
 class WindowSet:
-    """The windows of benchmark items: hashes to look up and, by hash, the words and items to verify with."""
+    """The windows of benchmark items in arrays: sorted hashes to look up, and the words and items to verify hits with."""
 
     def __init__(self, items: list[tuple[object, str]], size: int) -> None:
-        found: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            w = words(text)
-            k = min(size, len(w))
-            for i in range(len(w) - k + 1 if w else 0):
-                found[k][" ".join(w[i : i + k]).encode()].add(item)
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[tuple[bytes, list]]]]] = {}
-        for k, windows in found.items():
-            keys = list(windows)
-            h = Words(pa.array([x.decode() for x in keys]), ascii_fold(), alnum_words()).runs(k)[0]
-            table: dict[int, list[tuple[bytes, list]]] = defaultdict(list)
-            for x, key in zip(h.tolist(), keys, strict=True):
-                table[x].append((key, sorted(map(str, windows[key]))))
+        w = Words(pa.array([text or "" for _, text in items], pa.large_string()), ascii_fold(), alnum_words())
+        self.names, self.first = [str(i) for i, _ in items], w.first
+        self.data, self.start, self.end = w.data.tobytes(), w.start, w.end
+        n = np.diff(w.first)
+        #: by length in words: hashes, the number of each window's first word, and bits of the hashes
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(np.minimum(n[n > 0], size)).tolist():
+            h, at = w.runs(k)
+            own = n[np.searchsorted(w.first, at, side="right") - 1]
+            use = own >= k if k == size else own == k  # an item of fewer words is one window
+            h, at = h[use], at[use]
+            order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << _FILTER_BITS, bool)
             bits[h >> np.uint64(64 - _FILTER_BITS)] = True
-            self.by_length[k] = np.unique(h), bits, dict(table)
+            self.by_length[k] = h[order], at[order], bits
+        self.met: dict[tuple[int, int], dict[bytes, list[str]]] = {}
+
+    def said(self, first: int, k: int) -> bytes:
+        return b" ".join(self.data[self.start[j] : self.end[j]] for j in range(first, first + k))
+
+    def items(self, k: int, h: int, said: bytes) -> list[str]:
+        """The items that hold a window, given its hash and words; none if only the hash is the same."""
+        if (k, h) not in self.met:
+            known, at, _ = self.by_length[k]
+            found: dict[bytes, set] = defaultdict(set)
+            for first in at[np.searchsorted(known, np.uint64(h)) : np.searchsorted(known, np.uint64(h), side="right")].tolist():
+                found[self.said(first, k)].add(self.names[int(np.searchsorted(self.first, first, side="right")) - 1])
+            self.met[k, h] = {x: sorted(own) for x, own in found.items()}
+        return self.met[k, h].get(said, [])
 
 
 def _scan(windows: WindowSet, text: str, hits: str):
@@ -55,19 +69,19 @@ def _scan(windows: WindowSet, text: str, hits: str):
             hit = np.zeros(len(w.hash) + 1, np.int64)  # +1 where a window begins, -1 after it
             items: dict[int, set] = defaultdict(set)
             body = w.data.tobytes()
-            for k, (known, bits, table) in windows.by_length.items():
+            for k, (known, _, bits) in windows.by_length.items():
                 h, at = w.runs(k)
                 maybe = np.flatnonzero(bits[h >> np.uint64(64 - _FILTER_BITS)])
-                maybe = maybe[np.isin(h[maybe], known)]
+                place = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+                maybe = maybe[known[place] == h[maybe]]
                 doc = np.searchsorted(w.first, at[maybe], side="right") - 1
                 for i, d in zip(maybe, doc, strict=True):
                     first = int(at[i])
-                    said = b" ".join(body[w.start[j] : w.end[j]] for j in range(first, first + k))
-                    for key, own in table[int(h[i])]:
-                        if key == said:
-                            hit[first] += 1
-                            hit[first + k] -= 1
-                            items[int(d)].update(own)
+                    own = windows.items(k, int(h[i]), b" ".join(body[w.start[j] : w.end[j]] for j in range(first, first + k)))
+                    if own:
+                        hit[first] += 1
+                        hit[first + k] -= 1
+                        items[int(d)].update(own)
             # a window never leaves its text, so the running sum is 0 at each text's first word
             inside_hit = np.cumsum(hit[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate([[0], inside_hit.view(np.int8), [0]])))
@@ -95,12 +109,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """`docs` and a struct column: n_words, spans of hit words (word and byte offsets, end exclusive) and item ids.
 
     Windows are `window` consecutive words of an item; an item of fewer words, but not none, is one window. They are
-    broadcast as a hash set in blocks of `block_bytes` of benchmark text, the most a pass holds: the sizes are summed
-    first, and a larger benchmark is looked for block by block, whose spans are then merged. Hits are verified word by
-    word, so a hash collision never counts.
+    broadcast as a hash set in blocks of `block_bytes` of benchmark text, the most that a pass or the driver holds: the
+    sizes are summed first, and a larger benchmark is looked for block by block, each pass writing what it finds before
+    the next begins; a document's spans are then merged. Hits are verified word by word, so a hash collision never counts.
 
-    Null and empty texts have no words and no hits; null and repeated items are harmless, as are empty tables. Extra
-    columns stay; where one is called `out`, the new one gets underscores before its name.
+    Null and empty texts have no words and no hits; texts of any length are read whole; null and repeated items are
+    harmless, as are empty tables; rows that repeat are judged alike. Extra columns stay; where one is called `out`, the
+    new one gets underscores before its name.
     """
     out = own_name(docs, out)
     text = own_name(docs, "scanned_text")
@@ -108,25 +123,31 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     found = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
-    columns = []
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        windows = WindowSet([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
-        columns.append(own_name(found, f"{out}_{b}"))
-        found = found.mapInArrow(_scan(windows, text, columns[-1]), passed_through(found, **{columns[-1]: _HITS}))
+    block = lambda b: WindowSet([(r["item"], r["text"]) for r in (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)).toLocalIterator()], window)
     if blocks == 1:
-        return found.withColumnRenamed(columns[0], out).drop(text)
-    spans = F.flatten(F.array(*[F.col(f"`{c}`.spans") for c in columns]))
-    items_ = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"`{c}`.items") for c in columns]))))
+        return found.mapInArrow(_scan(block(0), text, out), passed_through(found, **{out: _HITS})).drop(text)
+    # rows are numbered once, as they are written, so that what each pass finds can be put together
+    row = own_name(found, "row_number")
+    found = stored(found.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits = None
+    for b in range(blocks):
+        own = found.select(F.col(row).alias("row"), F.col(text).alias("text"))
+        passed = own.mapInArrow(_scan(block(b), "text", "c"), passed_through(own, c=_HITS))
+        # every row once, for its number of words; later passes only write rows with hits
+        passed = stored((passed if b == 0 else passed.filter("size(c.spans) > 0")).select("row", "c"), "hits")
+        hits = passed if hits is None else hits.unionByName(passed)
+    spans = F.array_sort(F.flatten(F.collect_list("c.spans")))
+    by_row = hits.groupBy("row").agg(F.max("c.n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("c.items")))).alias("items"))
     merged = F.aggregate(
-        F.array_sort(spans),
+        "spans",
         F.array().cast("array<struct<first_word:bigint,words:bigint,start:bigint,end:bigint>>"),
         lambda done, s: F.when(
             (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["first_word"] + F.get(done, F.size(done) - 1)["words"] >= s["first_word"]),
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(_joined(F.get(done, F.size(done) - 1), s))),
         ).otherwise(F.concat(done, F.array(s))),
-    )
-    return found.withColumn(out, F.struct(F.col(f"`{columns[0]}`.n_words").alias("n_words"), merged.alias("spans"), items_.alias("items"))).drop(text, *columns)
+    )
+    by_row = by_row.select(F.col("row").alias(row), F.struct("n_words", merged.alias("spans"), "items").alias(out))
+    return found.join(by_row, row).drop(text, row)
 
 
 def _joined(a, b):
