@@ -1,10 +1,12 @@
 """Edge rows, on hand-made frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from trackworks.operators import columns as C
-from trackworks.operators import gates, joins
+from trackworks.operators import gates, joins, sampling
 from trackworks.operators import sequences as S
 
 
@@ -94,3 +96,124 @@ def test_results_do_not_depend_on_order_or_partitions(spark):
     df = levels(spark, *[(i * 37) % 11 for i in range(200)])
     args = ("k", "idx", "level", 8, 3, 3, 2, 1)
     assert spans(S.segments(df.coalesce(1), *args)) == spans(S.segments(df.orderBy(F.rand(3)).repartition(7), *args))
+
+
+def plain_greedy(rows, n, gap, picked=()):
+    picked = list(picked)
+    for at in rows:
+        if len(picked) < n and all(abs(at - p) >= gap for p in picked):
+            picked.append(at)
+    return picked
+
+
+def test_greedy_picks_over_many_fine_positions(spark):
+    rng = random.Random(4)
+    rows = [(k, i / 100, rng.randint(0, 40)) for k in "ab" for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at double, rank int").repartition(5)
+    got = {}
+    for r in S.greedy_spaced(df, "k", "at", "rank", 4, 6.0).orderBy("k", "pick").collect():
+        got.setdefault(r["k"], []).append(r["at"])
+    for k in "ab":
+        assert got[k] == plain_greedy([at for _, at in sorted((r, at) for kk, at, r in rows if kk == k)], 4, 6.0)
+
+
+def test_stratified_picks_fill_what_bins_leave(spark):
+    rng = random.Random(5)
+    rows = [(k, float(i), rng.randint(0, 30)) for k in range(6) for i in rng.sample(range(100), 12 + 10 * k)]
+    df = spark.createDataFrame(rows, "k int, at double, score int")
+    got = {}
+    for r in S.stratified_picks(df, "k", "at", "score", 20.0, 80.0, 6, 7.0).collect():
+        got.setdefault(r["k"], set()).add((r["at"], r["filled"]))
+    for k in range(6):
+        own = sorted(((-s, at) for kk, at, s in rows if kk == k and 20 <= at < 80))
+        best = {}
+        for s, at in own:
+            best.setdefault(int((at - 20) // 10), at)
+        rest = [at for _, at in own if at not in best.values()]
+        all_ = plain_greedy(rest, 6, 7.0, best.values())
+        assert got.get(k, set()) == {(at, at not in best.values()) for at in all_}
+
+
+def test_covering_picks_are_those_of_a_plain_loop(spark):
+    rng = random.Random(6)
+    for least in (1, 3):
+        holds = {i: set(rng.sample("abcdefgh", rng.choice([1, 1, 2, 3]))) for i in range(60)}
+        df = spark.createDataFrame([(i, c) for i, own in holds.items() for c in own], "item int, cls string")
+        have = {c: sum(c in own for own in holds.values()) for c in "abcdefgh"}
+        need, want, left = {c: min(least, n) for c, n in have.items()}, [], dict(holds)
+        while short := sorted((c for c in need if need[c] > 0), key=lambda c: (have[c], c)):
+            best = min((i for i in left if short[0] in left[i]), key=lambda i: (-len(left[i] & set(short)), i))
+            want.append(best)
+            for c in left.pop(best):
+                need[c] -= 1
+        assert [r["item"] for r in S.covering_picks(df, "item", "cls", least).orderBy("pick").collect()] == want
+
+
+def clusters(spark, mode, parts, **kw):
+    rng = random.Random(9)
+    classes = list("abcde")
+    spans, anchors = [], []
+    for song in range(12):
+        own = {c: sorted(rng.sample(range(0, 400, 10), 2)) for c in rng.sample(classes, rng.choice([2, 3, 4]))}
+        spans += [(song, c, float(a), float(b)) for c, (a, b) in own.items()]
+        anchors += [(song, c, d, float(max(own[c][0], own[d][0])), float(min(own[c][1], own[d][1]))) for c in own for d in own if c < d and min(own[c][1], own[d][1]) - max(own[c][0], own[d][0]) >= 20]
+    items = [(i, rng.sample(classes, rng.choice([2, 3, 5])), rng.choice([0, 2, 3, 5])) for i in range(60)]
+    rows = sampling.cluster_fill(
+        spark.createDataFrame(items, "item int, classes array<string>, k int").repartition(parts), "item", spark.createDataFrame(anchors, "song int, class_a string, class_b string, start double, end double").repartition(parts),
+        spark.createDataFrame(spans, "song int, class string, start double, end double").repartition(parts), 3, 50.0, mode, **kw,
+    ).collect()
+    return items, anchors, spans, rows
+
+
+@pytest.mark.parametrize("mode", ["uniform", "overlap_weighted", "greedy"])
+def test_cluster_fill_keeps_its_rules(spark, mode):
+    items, anchors, spans, rows = clusters(spark, mode, 3)
+    assert sorted(map(str, rows)) == sorted(map(str, clusters(spark, mode, 7)[3]))  # partitions change nothing
+    held = {}
+    for song, c, a, b in spans:
+        held.setdefault(song, {})[c] = (a, b)
+    for item, classes, k in items:
+        own = [r for r in rows if r["item"] == item]
+        picks, reasons = [r for r in own if r["class"]], [r["reason"] for r in own if r["reason"]]
+        assert len({r["class"] for r in picks}) == len(picks) <= min(k, len(classes)) and {r["class"] for r in picks} <= set(classes)
+        left, need = set(classes), min(k, len(classes))
+        for n in sorted({r["cluster"] for r in picks}):
+            mine = [r for r in picks if r["cluster"] == n and r["role"] == "member"]
+            (song,), (start,) = {r["song"] for r in mine}, {r["start"] for r in mine}
+            can = [s for s in held if any(s == a[0] and {a[1], a[2]} <= left for a in anchors)]
+            assert song in can and any(a[0] == song and {a[1], a[2]} <= left and (a[3] <= start and start + 50 <= a[4] or start <= a[3] and a[4] <= start + 50 or a[4] - a[3] >= 50) for a in anchors)
+            heard = {c for c, (a, b) in held[song].items() if c in left and min(b, start + 50) - max(a, start) > 12.5}
+            assert {r["class"] for r in mine} <= heard and len(mine) == min(len(heard), need) >= 2
+            if mode == "greedy":
+                assert len(set(held[song]) & left) == max(len(set(held[s]) & left) for s in can) and n == 0
+            left -= {r["class"] for r in mine}
+            need -= len(mine)
+        if "no_eligible_anchor" in reasons:
+            assert need >= 2 and not any({a[1], a[2]} <= left for a in anchors)
+        elif need == 1 and picks:
+            assert reasons == ["r1_dropped"]
+        elif need >= 2:
+            assert mode == "greedy" and reasons == ["greedy_single_anchor"]
+        else:
+            assert not reasons
+    assert {r["role"] for r in rows} >= {"member"} and len({r["song"] for r in rows}) > 3
+
+
+def test_cluster_fill_draws_melodic_members_first(spark):
+    _, _, _, rows = clusters(spark, "uniform", 3, melodic=["a", "b", "c"], min_melodic=2)
+    by = {}
+    for r in rows:
+        if r["class"]:
+            by.setdefault((r["item"], r["cluster"]), []).append(r["class"])
+    assert by and all(sum(c in "abc" for c in own) >= 2 for own in by.values())
+
+
+def test_rules_must_match_and_reports_count(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, None)], "k int, v string")
+    rules = spark.createDataFrame([(1, None), (2, "b"), (None, "a"), (3, None), (1, "b")], "k int, v string")
+    assert sorted(map(tuple, gates.unmatched(rules, df, ["k", "v"]).collect()), key=str) == [(1, "b"), (3, None)]
+    with pytest.raises(gates.GateError):
+        gates.require_matched(rules, df, ["k", "v"])
+    assert gates.require_matched(rules.limit(0), df, ["k", "v"]).count() == 3
+    report = gates.constraint_report(unique=gates.not_unique(df, "k"), present=gates.absent(df, "v"), fine=gates.absent(df, "k"))
+    assert {r["rule"]: r["n"] for r in report.collect()} == {"unique": 1, "present": 1, "fine": 0}

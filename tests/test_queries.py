@@ -14,7 +14,7 @@ REGISTRY = load_all()
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if v != v else repr(v + 0.0)
+        return "nan" if v != v else repr(v)
     if isinstance(v, decimal.Decimal):
         return repr(float(v))
     if isinstance(v, (list, tuple)) and not hasattr(v, "asDict"):

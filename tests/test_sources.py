@@ -55,10 +55,19 @@ def test_csv_and_json_sources(spark, tmp_path):
 
 
 def test_log_lines(spark):
-    lines = ["Train epoch: 3 Learning rate: 1e-4", "Instr flute si_sdr: 4.25 (Std: 1)", "Metric avg si_sdr     : nan", "warning: non-finite grads: 7", "100%|####| 500/500 [1:02:03<00:00]", "Training done", "other"]
+    lines = ["Train epoch: 3 Learning rate: 1e-4", "Instr flute si_sdr: 4.25 (Std: 1)", "Metric avg si_sdr     : nan", "Training loss: 0.41 (over 39997 finite steps; 3 non-finite skipped)", "100%|####| 500/500 [1:02:03<00:00]", "42%|##  | 210/500 [0:30:00<0:41:00, loss=0.2]",
+             "=== exp009 finished clean", "=== a_b CRASHED TWICE (exit 1)", "210/500 loss=-inf", "other"]
     rows = L.line_events(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
-    assert [(r["kind"], r["name"], r["elapsed"]) for r in rows] == [("epoch", None, None), ("class_value", "si_sdr", None), ("average", "si_sdr", None), ("non_finite", None, None), ("bar", None, "1:02:03"), ("done", None, None)]
-    assert [rows[0]["value"], rows[1]["value"], rows[3]["value"]] == [3.0, 4.25, 7.0]
+    assert [(r["kind"], r["name"], r["elapsed"]) for r in rows] == [
+        ("epoch", None, None), ("class_value", "flute", None), ("average", "si_sdr", None), ("non_finite", None, None), ("bar", None, "1:02:03"), ("trailer", "finished clean", None), ("trailer", "CRASHED TWICE", None), ("nan_loss", "-inf", None),
+    ]
+    assert [rows[i]["value"] for i in (0, 1, 3, 4)] == [3.0, 4.25, 3.0, 500.0] and rows[2]["value"] != rows[2]["value"]
+
+
+def test_wav_tables_round_trip_and_clip(spark):
+    df = spark.createDataFrame([("a", [[0.5, -0.25, 1.5], [0.0, -1.0, 3 / 65536]])], "name string, ch array<array<double>>")
+    r = S.wav_blocks(S.wav_files(df, "name", "ch", 8000)).first()
+    assert r["samples"] == [[0.5, -0.25, 32767 / 32768], [0.0, -1.0, 2 / 32768]] and (r["sr"], r["n_frames"], r["error"]) == (8000, 3, None)
 
 
 def test_programmes_blocks_and_credits(spark):

@@ -82,3 +82,45 @@ def test_stratified_picks_fill_up(spark):
     assert len([x for x in r if not x["filled"]]) == 5 and len(r) == 10
     at = sorted(x["t"] for x in r)
     assert min(b - a for a, b in zip(at, at[1:], strict=False)) >= 3.0
+
+
+def test_window_loudness_keeps_silent_windows_and_flags_them(spark):
+    sr, size = 8000, 2000
+    t = np.arange(4 * sr + 900) / sr
+    x = np.sin(2 * np.pi * 997 * t) * np.where((t >= 1) & (t < 3), 0.0, 1.0) * np.where(t >= 3, 0.5, 1.0)
+    rows = [(name, sr, at, [(g * x[at : at + size]).tolist()]) for name, g in (("a", 1.0), ("none", 0.0)) for at in range(0, len(x), size)]
+    df = spark.createDataFrame(rows, "file_id string, sr int, start long, samples array<array<double>>")
+    got = {(r["file_id"], r["window"]): r for r in S.window_loudness(df, 1.0, context=5).collect()}
+    assert sorted(got) == [(f, w) for f in ("a", "none") for w in range(4)]  # the last, partial second goes
+    a = [got["a", w] for w in range(4)]
+    assert a[0]["lufs"] == pytest.approx(-3.01, abs=0.1) and a[3]["lufs"] == pytest.approx(-9.03, abs=0.2)
+    assert [a[w]["measurable"] for w in (0, 2, 3)] == [True, False, True] and a[2]["lufs"] is None and a[2]["minus_file"] is None  # window 1 has the filter's decay
+    whole = S.integrated_loudness(df, context=5).filter("file_id = 'a'").first()["lufs"]
+    assert a[0]["minus_file"] == pytest.approx(a[0]["lufs"] - whole)
+    assert not any(got["none", w]["measurable"] for w in range(4))
+
+
+def test_spectra_of_mixed_lengths_and_medians(spark):
+    rng = np.random.default_rng(5)
+    blocks = [(i % 2, i, rng.normal(size=n)) for i, n in enumerate([16, 16, 8, 16, 16, 0, 16, 16])]
+    df = spark.createDataFrame([(k, i, x.tolist()) for k, i, x in blocks], "k int, i int, samples array<double>")
+    got = {(r["i"], r["bin"]): r["power"] for r in S.spectra(df, ["k", "i"]).collect()}
+    want = {i: np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2 for _, i, x in blocks if len(x)}
+    assert set(got) == {(i, b) for i, p in want.items() for b in range(len(p))} and all(np.isclose(got[i, b], want[i][b]) for i, b in got)
+    long = S.spectra(df.filter("size(samples) = 16"), ["k"])
+    for r in S.median_spectrum(long, ["k"]).collect():
+        assert np.isclose(r["level_db"], 10 * np.log10(np.median([want[i][r["bin"]] for k, i, x in blocks if k == r["k"] and len(x) == 16])))
+
+
+def test_noise_is_put_at_its_ratio_and_crests_skip_silence(spark):
+    rng = np.random.default_rng(6)
+    x, n = rng.normal(size=500), rng.normal(size=500)
+    df = spark.createDataFrame([(1, x.tolist(), n.tolist()), (2, (x * 0).tolist(), n.tolist()), (3, x.tolist(), (n * 0).tolist())], "k int, s array<double>, n array<double>")
+    got = {r["k"]: np.array(r["s"]) for r in X.with_noise(df, "s", "n", 15.0).collect()}
+    assert 10 * np.log10((x**2).sum() / ((got[1] - x) ** 2).sum()) == pytest.approx(15.0)
+    assert (got[2] == 0).all() and np.allclose(got[3], x)
+    parts = [x[i : i + 50] for i in range(0, 500, 50)] + [np.zeros(50)]
+    b = spark.createDataFrame([("f", i, p.tolist()) for i, p in enumerate(parts)] + [("silent", 0, [0.0] * 4)], "f string, i int, samples array<double>")
+    r = X.block_crests(b, ["f"], "i").collect()
+    crests = [20 * np.log10(np.abs(p).max() / np.sqrt((p**2).mean())) for p in parts[:-1]]
+    assert len(r) == 1 and r[0]["crest_p50_db"] == pytest.approx(np.percentile(crests, 50), abs=1e-5) and r[0]["crest_p95_db"] == pytest.approx(np.percentile(crests, 95), abs=1e-5)

@@ -5,31 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds of log lines, in the order they are tried.
+#: How runs end, as the last line of a log says it (fixed values).
+ENDINGS = ("finished clean", "ended after resume", "stopped by SIGINT", "CRASHED TWICE", "CRASHED")
+#: Kinds of log lines, in the order they are tried; the words are those that training logs have (fixed values).
 PATTERNS = {
-    "epoch": r"^Train epoch: (\d+)",
-    "class_value": r"^Instr (\S+) (\S+): (-?[\d.]+|nan)",
-    "average": r"^Metric avg (\S+)\s*: (-?[\d.]+|nan)",
-    "non_finite": r"non-?finite[^\d]*(\d+)",
-    "bar": r"100%\|.*\| (\d+)/\1 \[([\d:]+)<",
-    "done": r"^(?:Training|Run) (?:done|finished)",
+    "epoch": r"Train epoch: (\d+)",
+    "class_value": r"Instr (\S+) \S+: (-?[\d.]+|nan)",
+    "average": r"Metric avg (\S+)\s*: (-?[\d.]+|nan)",
+    "non_finite": r"\d+ finite steps; (\d+) non-finite skipped",
+    "bar": r"(\d+)/(\d+) \[(\d+:\d\d(?::\d\d)?)<00:00",
+    "nan_loss": r"\bloss=(nan|inf|-inf)\b",
+    "trailer": rf"^=== \S+ ({'|'.join(ENDINGS)})",
 }
+#: Groups of each pattern: the one for name, for value, and for elapsed time (0: none).
+_GROUPS = {"epoch": (0, 1, 0), "class_value": (1, 2, 0), "average": (1, 2, 0), "non_finite": (0, 1, 0), "bar": (0, 2, 3), "nan_loss": (1, 0, 0), "trailer": (1, 0, 0)}
 
 
 def line_events(df: DataFrame, line: str = "line") -> DataFrame:
-    """Lines that are events, with kind, name (class or metric), value and elapsed text; others go."""
+    """Lines that are events, with kind, name, value and elapsed text; others go.
+
+    epoch: value is its number. class_value: name is the class, value its score. average: name is the metric. non_finite:
+    value is how many steps were skipped. bar: a progress bar that is full, value is its total. nan_loss: name is nan or
+    inf. trailer: name is how the run ended, one of ENDINGS.
+    """
     c = F.col(line)
     kind = F.lit(None).cast("string")
     for k, p in reversed(PATTERNS.items()):
         kind = F.when(F.regexp_like(c, F.lit(p)), F.lit(k)).otherwise(kind)
     x = df.withColumn("kind", kind).filter("kind is not null")
-    get = lambda k, g: F.regexp_extract(c, PATTERNS[k], g)
-    value = F.when(F.col("kind") == "epoch", get("epoch", 1)).when(F.col("kind") == "class_value", get("class_value", 3)).when(F.col("kind") == "average", get("average", 2)).when(F.col("kind") == "non_finite", get("non_finite", 1)).when(F.col("kind") == "bar", get("bar", 1))
-    return x.withColumns({
-        "name": F.when(F.col("kind") == "class_value", get("class_value", 2)).when(F.col("kind") == "average", get("average", 1)),
-        "value": value.try_cast("double"),
-        "elapsed": F.when(F.col("kind") == "bar", get("bar", 2)),
-    })
+
+    def group(which: int) -> Column:
+        found = F.lit(None).cast("string")
+        for k, groups in _GROUPS.items():
+            if groups[which]:
+                found = F.when(F.col("kind") == k, F.regexp_extract(c, PATTERNS[k], groups[which])).otherwise(found)
+        return found
+
+    return x.withColumns({"name": group(0), "value": group(1).try_cast("double"), "elapsed": group(2)})
 
 
 def programme(df: DataFrame, key: str, text: str) -> DataFrame:

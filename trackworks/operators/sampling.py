@@ -81,45 +81,123 @@ def normal(u: Column, v: Column) -> Column:
     return F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2.0 * 3.141592653589793 * v)
 
 
-def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, seed: int, rounds: int = 2) -> DataFrame:
-    """Coherent pairs for items: in each round an item draws a pair of classes it still lacks, then an anchor of that pair.
+def _anchor_choice(sets: DataFrame, anchors: DataFrame, spans: DataFrame, mode: str) -> DataFrame:
+    """(set, slot, song, total): songs that can anchor a set of classes, each in as many slots as its weight.
 
-    items: item and `classes` (array). anchors: song, class_a, class_b, start, end. Rows: item, round, song, class_a,
-    class_b, start, end, reason (null, or no_anchor where no pair of the item's classes is left with one). A song is
-    drawn once an item. Rounds are unrolled; each is one join on (pair, rank), never items x anchors.
+    sets: set (text), left (array). A song can if it has an anchor of two of the set's classes. Its weight is 1, or its
+    classes in the set (overlap_weighted), or 1 for songs with most of them and 0 for others (greedy).
     """
-    pair = ["class_a", "class_b"]
-    key = F.concat_ws(":", F.col("song").cast("string"), *pair, F.col("start").cast("string"))
-    ranked = anchors.withColumn("_rank", F.row_number().over(Window.partitionBy(*pair).orderBy(draw(seed, key, "anchor"), "song", "start")) - 1)
-    counts = anchors.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"))
-    # as many rows as there are pairs of classes: one array
-    dim = counts.agg(F.array_sort(F.collect_list(F.struct(*pair, "_n"))).alias("_pairs"))
-    left = items.select(item, F.col("classes").alias("_left"), F.array().cast(f"array<{anchors.schema['song'].dataType.simpleString()}>").alias("_songs"))
-    out = None
+    eligible = _fitting(sets, anchors).select("set", "song").distinct()
+    if mode == "uniform":
+        x = eligible.withColumn("w", F.lit(1))
+    else:
+        held = spans.select("song", "class").distinct()
+        x = eligible.join(sets.select("set", F.explode("left").alias("class")), "set").join(held, ["song", "class"]).groupBy("set", "song").agg(F.count(F.lit(1)).cast("int").alias("w"))
+        if mode == "greedy":
+            x = x.withColumn("w", (F.col("w") == F.max("w").over(Window.partitionBy("set"))).cast("int")).filter("w = 1")
+    at = Window.partitionBy("set").orderBy("song")
+    x = x.withColumns({"end": F.sum("w").over(at.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("w").over(Window.partitionBy("set"))})
+    return x.select("set", "song", "total", F.explode(F.sequence(F.col("end") - F.col("w"), F.col("end") - 1)).alias("slot"))
+
+
+def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFrame, seed: int, window: float, mode: str = "uniform", least_cover: float = 0.25, melodic: list[str] | None = None, min_melodic: int = 0) -> DataFrame:
+    """Coherent clusters for items: a row a member (item, cluster, song, start, class, role), and a row a shortfall (item, cluster, reason).
+
+    items: item, `classes` (array, no repeats) and `k`, how many of them clusters are to hold. anchors: song, class_a <
+    class_b, start, end of joint activity. spans: song, class, start, end of activity. While two or more are wanted, an
+    item draws a song that has an anchor of two of its classes left (`mode`: uniform, overlap_weighted by the song's
+    classes among those left, or greedy: one of those with most, and one cluster only), one of the song's anchors of such
+    classes in proportion to its length, and a window of `window` seconds within it or around it. All classes left that
+    cover more than `least_cover` of the window join; if they are more than wanted they are thinned, min_melodic of
+    `melodic` ones being drawn first. A single one still wanted at the end is a spare of the last cluster (role grown), or
+    none: reason r1_dropped. Other reasons: no_eligible_anchor, greedy_single_anchor. An anchor counts only if min_melodic
+    of its classes are melodic. Every draw is a hash, so partitioning changes nothing.
+
+    Songs are drawn by (set of classes left, slot), so items meet songs by equality; there are as many sets as items have.
+    """
+    if mode not in ("uniform", "overlap_weighted", "greedy"):
+        raise ValueError(f"mode is uniform, overlap_weighted or greedy, not {mode}")
+    tune = (lambda c: c.isin(melodic)) if melodic else (lambda c: F.lit(False))
+    if min_melodic:
+        anchors = anchors.filter(tune(F.col("class_a")).cast("int") + tune(F.col("class_b")).cast("int") >= min_melodic)
+    ends = spans.groupBy("song").agg(F.max("end").alias("_song_end"))
+    state = items.select(item, F.array_sort("classes").alias("left"), F.least(F.col("k"), F.size("classes")).cast("int").alias("need"), F.lit(0).alias("cluster"), F.array().cast("array<string>").alias("spares"), F.lit(None).cast(spans.schema["song"].dataType).alias("song"), F.lit(None).cast("double").alias("start"))
+    most = state.agg(F.max("need")).first()[0] or 0
+    rounds = 1 if mode == "greedy" else most // 2  # a cluster holds two or more
+    out = []
     for r in range(rounds):
-        x = left.join(F.broadcast(dim), how="left")
-        fits = F.filter("_pairs", lambda p: F.array_contains("_left", p["class_a"]) & F.array_contains("_left", p["class_b"]))
-        x = x.withColumn("_fits", F.coalesce(fits, F.array().cast(dim.schema["_pairs"].dataType)))
-        u = draw(seed, F.col(item), f"pair{r}")
-        chosen = F.get("_fits", F.floor(u * F.size("_fits")).cast("int"))
-        x = x.withColumn("_p", F.when(F.size("_fits") > 0, chosen))
-        x = x.select(item, "_left", "_songs", F.col("_p.class_a").alias("class_a"), F.col("_p.class_b").alias("class_b"), F.floor(draw(seed, F.col(item), f"rank{r}") * F.col("_p._n")).alias("_rank"))
-        x = x.join(ranked, [*pair, "_rank"], "left").withColumn("_again", F.coalesce(F.array_contains("_songs", F.col("song")), F.lit(False)))
-        ok = F.col("song").isNotNull() & ~F.col("_again")
-        picked = x.select(item, F.lit(r).alias("round"), *[F.when(ok, F.col(c)).alias(c) for c in ("song", *pair, "start", "end")], F.when(F.col("_again"), "song_again").when(F.col("song").isNull(), "no_anchor").alias("reason"))
-        out = picked if out is None else out.unionByName(picked)
-        left = x.select(item, F.when(ok, F.array_except("_left", F.array(*pair))).otherwise(F.col("_left")).alias("_left"), F.when(ok, F.concat("_songs", F.array("song"))).otherwise(F.col("_songs")).alias("_songs"))
-    return out
-
-
-def realised(picks: DataFrame, blocks: DataFrame, item: str, file: str, length: int, samples: str = "samples") -> DataFrame:
+        active = state.filter("need >= 2").withColumn("set", F.concat_ws("\x1f", "left"))
+        sets = active.select("set", "left").distinct()
+        choice = _anchor_choice(sets, anchors, spans, mode)
+        totals = choice.select("set", "total").distinct()
+        a = active.select(item, "left", "need", "set", "cluster").join(F.broadcast(totals), "set", "left")  # a row a set of classes
+        a = a.withColumn("slot", F.floor(draw(seed, F.col(item), f"song{r}") * F.col("total"))).drop("total").join(choice.drop("total"), ["set", "slot"], "left").drop("slot")
+        mine = a.filter("song is not null")
+        # an anchor of the song, in proportion to its length
+        lengths = _fitting(sets, anchors).withColumn("len", F.col("end") - F.col("start"))
+        at = Window.partitionBy("set", "song").orderBy("start", "end", "class_a", "class_b")
+        lengths = lengths.withColumns({"upto": F.sum("len").over(at.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("len").over(Window.partitionBy("set", "song"))})
+        u = mine.join(lengths.select("set", "song", F.col("start").alias("_s"), F.col("end").alias("_e"), "len", "upto", "all"), ["set", "song"]).withColumn("_t", draw(seed, F.col(item), f"span{r}") * F.col("all"))
+        u = u.filter((F.col("_t") >= F.col("upto") - F.col("len")) & (F.col("_t") < F.col("upto"))).join(ends, "song")
+        low = F.greatest(F.lit(0.0), F.col("_e") - window)
+        high = F.greatest(low, F.least(F.col("_s"), F.greatest(F.lit(0.0), F.col("_song_end") - window)))
+        v = draw(seed, F.col(item), f"window{r}")
+        start = F.when(F.col("_e") - F.col("_s") >= window, F.col("_s") + v * (F.col("_e") - window - F.col("_s"))).otherwise(low + v * (high - low))
+        u = u.select(item, "left", "need", "cluster", "song", start.alias("start"))
+        # classes left that cover enough of the window; windows and spans meet in stretches of its length
+        stretch = lambda x, y: F.explode(F.sequence(F.floor(x / window), F.floor(y / window))).alias("_b")
+        near = u.select(item, "left", "song", "start", stretch(F.col("start"), F.col("start") + window)).join(spans.filter("end > start").select("song", F.col("class"), F.col("start").alias("_s"), F.col("end").alias("_e"), stretch(F.col("start"), F.col("end"))), ["song", "_b"])
+        part = F.least("_e", F.col("start") + window, (F.col("_b") + 1) * window) - F.greatest("_s", "start", F.col("_b") * window)
+        heard = near.filter(F.array_contains("left", F.col("class"))).groupBy(item, "class").agg(F.sum(F.greatest(part, F.lit(0.0))).alias("_cov")).filter(F.col("_cov") > least_cover * window)
+        key = F.concat_ws(":", F.col(item).cast("string"), "class")
+        ranked = F.struct(F.lit(1).alias("late"), draw(seed, key, f"thin{r}").alias("u"), F.col("class").alias("class"), tune(F.col("class")).alias("tune"))
+        sets_heard = heard.groupBy(item).agg(F.array_sort(F.collect_list(ranked)).alias("_h"))
+        x = u.join(sets_heard, item, "left").withColumn("_h", F.coalesce("_h", F.array().cast(sets_heard.schema["_h"].dataType)))
+        # the first min_melodic melodic ones come before all others
+        first = F.transform(F.slice(F.filter("_h", lambda h: h["tune"]), 1, min_melodic), lambda h: h["class"]) if min_melodic else F.array().cast("array<string>")
+        x = x.withColumn("_order", F.array_distinct(F.concat(first, F.transform("_h", lambda h: h["class"])))).withColumn("_members", F.slice("_order", F.lit(1), F.least(F.size("_order"), F.col("need"))))
+        out.append(x.select(item, "cluster", "song", "start", F.explode(F.array_sort("_members")).alias("class"), F.lit("member").alias("role"), F.lit(None).cast("string").alias("reason")))
+        out.append(_short(a.filter("song is null").select(item, "cluster", F.lit("no_eligible_anchor").alias("reason")), item, spans))
+        took = x.select(item, F.array_except("left", "_members").alias("left"), (F.col("need") - F.size("_members")).alias("need"), (F.col("cluster") + 1).alias("cluster"), F.array_except("_order", "_members").alias("spares"), "song", "start")
+        state = took.unionByName(state.filter("need < 2"))
+    one = state.filter("need = 1 and cluster > 0")
+    spare = F.get(F.array_sort("spares"), F.floor(draw(seed, F.col(item), "grow") * F.size("spares")).cast("int"))
+    grown = one.filter(F.size("spares") > 0)
+    out.append(grown.select(item, (F.col("cluster") - 1).alias("cluster"), "song", "start", spare.alias("class"), F.lit("grown").alias("role"), F.lit(None).cast("string").alias("reason")))
+    out.append(_short(one.filter(F.size("spares") == 0).select(item, "cluster", F.lit("r1_dropped").alias("reason")), item, spans))
+    if mode == "greedy":
+        out.append(_short(state.filter("need >= 2 and cluster > 0").select(item, "cluster", F.lit("greedy_single_anchor").alias("reason")), item, spans))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _short(df: DataFrame, item: str, spans: DataFrame) -> DataFrame:
+    null = lambda kind: F.lit(None).cast(kind)
+    return df.select(item, "cluster", null(spans.schema["song"].dataType).alias("song"), null("double").alias("start"), null("string").alias("class"), null("string").alias("role"), "reason")
+
+
+def _fitting(sets: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Anchors of two classes of a set, for each set: set, song, start, end, class_a, class_b."""
+    own = sets.select("set", F.explode("left").alias("class_a")).join(sets.select("set", F.explode("left").alias("class_b")), "set").filter("class_a < class_b")
+    return own.join(anchors, ["class_a", "class_b"])
+
+
+def realised(picks: DataFrame, blocks: DataFrame, item: str, file: str, length: int, samples: str = "samples", bucket: int | None = None) -> DataFrame:
     """The mixture of an item: windows of `length` samples of its picks' files from `start`, each times `gain`, summed by position.
 
-    blocks: file, first (frame of the first sample), samples. Blocks are matched by frame number, so that a window may
-    span several and no file is put together.
+    blocks: file, first (frame of the first sample), samples. Picks meet only blocks of their own stretches of `bucket`
+    frames (as long as a window by default), so that a window may span several blocks, no file is put together, and a
+    long file is many join keys.
     """
-    x = picks.select(item, file, "start", "gain").join(blocks.select(file, "first", samples), file)
+    size = bucket or length
+    stretch = lambda at, n: F.explode(F.sequence(F.floor(at / size), F.floor((at + n - 1) / size))).alias("_bucket")
+    p = picks.select(item, file, "start", "gain", stretch(F.col("start"), F.lit(length)))
+    b = blocks.filter(F.size(samples) > 0).select(file, "first", samples, stretch(F.col("first"), F.size(samples)))
+    # a pick and a block may meet in several stretches; the first of them counts
+    once = F.col("_bucket") == F.floor(F.greatest("start", "first") / size)
     overlap = (F.col("first") < F.col("start") + length) & (F.col("first") + F.size(samples) > F.col("start"))
-    x = x.filter(overlap).select(item, "gain", (F.col("first") - F.col("start")).alias("_shift"), F.posexplode(samples).alias("_p", "_x"))
+    x = p.join(b, [file, "_bucket"]).filter(once & overlap).select(item, "gain", (F.col("first") - F.col("start")).alias("_shift"), F.posexplode(samples).alias("_p", "_x"))
     x = x.withColumn("pos", (F.col("_p") + F.col("_shift")).cast("int")).filter((F.col("pos") >= 0) & (F.col("pos") < length))
     return x.groupBy(item, "pos").agg(F.sum(F.col("gain") * F.col("_x")).alias("v"))

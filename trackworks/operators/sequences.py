@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,19 +84,27 @@ def sliding(df: DataFrame, key: str, idx: str, k: int, **aggs) -> DataFrame:
     return df.select(key, F.col(idx).alias("start"), *[c.alias(n) for n, c in out.items()], F.count(F.lit(1)).over(w).alias("_n")).filter(F.col("_n") == k).drop("_n")
 
 
-def greedy_spaced(df: DataFrame, key: str, at: str, rank: str, n: int, min_gap: float, keep: int = 1000) -> DataFrame:
-    """By key the n best-ranked positions that are at least min_gap apart, taken greedily.
+def _next_pick(df: DataFrame, key: str, at: str, order: list, r: int, min_gap: float, wanted: Column | None = None) -> DataFrame:
+    """The first row in `order` without a `_pick` gets pick r, and rows without one that are closer than min_gap to it go.
+
+    All rounds use one partitioning and sorting of the rows, so they cost one shuffle together.
+    """
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    free = F.col("_pick").isNull() if wanted is None else F.col("_pick").isNull() & wanted
+    x = df.withColumn("_now", F.first(F.when(free, F.col(at)), ignorenulls=True).over(w))
+    x = x.withColumn("_pick", F.when(F.col("_pick").isNull() & (F.col(at) == F.col("_now")), F.lit(r)).otherwise(F.col("_pick")))
+    return x.filter(F.col("_pick").isNotNull() | F.col("_now").isNull() | (F.abs(F.col(at) - F.col("_now")) >= min_gap)).drop("_now")
+
+
+def greedy_spaced(df: DataFrame, key: str, at: str, rank: str, n: int, min_gap: float) -> DataFrame:
+    """By key the n best-ranked positions that are at least min_gap apart, taken greedily: key, pick (from 0), at.
 
-    A key's candidates are cut to its `keep` best first, so the fold holds a short array; a pick that needs a worse
-    candidate than that is left unfilled.
+    A round for each pick: the best candidate left, then those within the gap go. No candidate is cut before.
     """
-    best = df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(rank, at))).filter(F.col("_r") <= keep)
-    arr = F.array_sort(F.collect_list(F.struct(F.col("_r"), F.col(at).cast("double").alias("at"))))
-    picked = F.aggregate(
-        "c", F.array().cast("array<double>"),
-        lambda a, x: F.when((F.size(a) < n) & ~F.exists(a, lambda y: F.abs(y - x["at"]) < min_gap), F.concat(a, F.array(x["at"]))).otherwise(a),
-    )
-    return best.groupBy(key).agg(arr.alias("c")).select(key, F.posexplode(picked).alias("pick", at))
+    x = df.select(key, F.col(at).cast("double").alias(at), rank, F.lit(None).cast("int").alias("_pick"))
+    for r in range(n):
+        x = _next_pick(x, key, at, [rank, at], r, min_gap)
+    return x.filter("_pick is not null").groupBy(key, F.col("_pick").alias("pick")).agg(F.min(at).alias(at))
 
 
 def top_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
@@ -126,43 +136,51 @@ def coverage(spans: DataFrame, key: str, window: float) -> DataFrame:
     return x.groupBy(key, "window").agg((F.sum(part) / window).alias("cov"))
 
 
-def stratified_picks(df: DataFrame, key: str, at: str, score: str, low: float, high: float, bins: int, min_gap: float, keep: int = 1000) -> DataFrame:
+def stratified_picks(df: DataFrame, key: str, at: str, score: str, low: float, high: float, bins: int, min_gap: float) -> DataFrame:
     """By key the best position of each equal bin of [low, high), filled up to `bins` with others at least min_gap from all picks.
 
-    Columns: key, at, filled (false for a bin's own best). A key with fewer picks than bins has unfilled ones.
+    Columns: key, at, filled (false for a bin's own best). A key with fewer picks than bins has unfilled ones. All other
+    positions are candidates to fill with, best first, in a round for each bin but one.
     """
     width = (high - low) / bins
-    b = F.floor((F.col(at) - low) / width)
-    x = df.filter((F.col(at) >= low) & (F.col(at) < high)).withColumn("_b", b)
+    x = df.filter((F.col(at) >= low) & (F.col(at) < high)).select(key, F.col(at).cast("double").alias(at), score, F.floor((F.col(at) - low) / width).alias("_b"))
     order = [F.col(score).desc(), F.col(at)]
-    x = x.withColumns({"_first": F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) == 1, "_r": F.row_number().over(Window.partitionBy(key).orderBy(*order))})
-    best = F.array_sort(F.collect_list(F.when(F.col("_first"), F.col(at).cast("double"))))
-    rest = F.transform(F.array_sort(F.collect_list(F.when(~F.col("_first") & (F.col("_r") <= keep), F.struct("_r", F.col(at).cast("double").alias("at"))))), lambda s: s["at"])
-    g = x.groupBy(key).agg(best.alias("best"), rest.alias("rest"))
-    more = F.aggregate("rest", F.array().cast("array<double>"), lambda a, p: F.when((F.size("best") + F.size(a) < bins) & ~F.exists(F.concat(F.col("best"), a), lambda y: F.abs(y - p) < min_gap), F.concat(a, F.array(p))).otherwise(a))
-    picks = F.concat(F.transform("best", lambda p: F.struct(p.alias("at"), F.lit(False).alias("filled"))), F.transform(more, lambda p: F.struct(p.alias("at"), F.lit(True).alias("filled"))))
-    return g.select(key, F.inline(picks)).withColumnRenamed("at", at)
+    whole = Window.partitionBy(key)
+    x = x.withColumn("_first", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) == 1)
+    x = x.withColumn("_best", F.collect_list(F.when(F.col("_first"), F.col(at))).over(whole))  # one a bin
+    x = x.filter(F.col("_first") | ~F.exists("_best", lambda y: F.abs(y - F.col(at)) < min_gap)).withColumn("_pick", F.when(F.col("_first"), F.lit(0)))
+    for r in range(1, bins):
+        x = _next_pick(x, key, at, order, r, min_gap, F.size("_best") + r <= bins)
+    # distinct positions have distinct picks, but for bins' own
+    return x.filter("_pick is not null").groupBy(key, at).agg((F.max("_pick") > 0).alias("filled"))
 
 
-def covering_picks(df: DataFrame, item: str, cls: str, least: int, max_rounds: int = 200) -> DataFrame:
+def covering_picks(df: DataFrame, item: str, cls: str, least: int, store: Callable[[DataFrame], DataFrame] = lambda x: x.cache()) -> DataFrame:
     """Items picked one at a time until each class has `least` picked items that hold it (or all it has), scarcest class first.
 
-    A round is one query; only the class counts and the picked item's id come to the driver, so at most classes x least
-    rounds are made.
+    Of the items that hold the scarcest class still short, that with most classes short is next, then the smallest id.
+    Items with the same classes differ by id only, so they are grouped first, and of each group as many of the smallest
+    ids are kept as picks can be made: classes x least. `store` keeps this table; a pick is one query over it, and only
+    class counts, the picked id and its classes come to the driver.
     """
     df = df.select(item, cls).distinct()
     have = {r[cls]: r["n"] for r in df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()}
     need = {c: min(least, n) for c, n in have.items()}
+    most = sum(need.values())
+    sets = df.groupBy(item).agg(F.array_sort(F.collect_set(cls)).alias("_set")).withColumn("_deal", F.pmod(F.xxhash64(item), F.lit(64)))
+    few = top_by(top_by(sets, ["_set", "_deal"], [F.col(item)], most), ["_set"], [F.col(item)], most)  # a large group is cut in parts first
+    groups = store(few.groupBy("_set").agg(F.array_sort(F.collect_list(item)).alias("_ids")))
     picked: list = []
-    for _ in range(max_rounds):
-        short = sorted((c for c in need if need[c] > 0), key=lambda c: (have[c], str(c)))
-        if not short:
-            break
-        left = df if not picked else df.filter(~F.col(item).isin(picked))
-        wanted = F.col(cls).isin(short)
-        holds = left.groupBy(item).agg(F.bool_or(F.col(cls) == short[0]).alias("h"), F.count_if(wanted).alias("n"), F.collect_set(cls).alias("c"))
-        best = holds.filter("h").orderBy(F.col("n").desc(), item).limit(1).collect()[0]
-        picked.append(best[item])
-        for c in best["c"]:
+    taken: dict[tuple, int] = {}
+    while short := sorted((c for c in need if need[c] > 0), key=lambda c: (have[c], str(c))):
+        holds = groups.filter(F.array_contains("_set", short[0]))
+        at = F.lit(0)
+        for s, k in taken.items():
+            at = F.when(F.col("_set") == F.array(*[F.lit(x) for x in s]), k).otherwise(at)
+        left = holds.select("_set", F.get("_ids", at).alias("_id"), F.size(F.array_intersect("_set", F.array(*[F.lit(c) for c in short]))).alias("_n")).filter("_id is not null")
+        best = left.orderBy(F.col("_n").desc(), "_id").first()
+        picked.append(best["_id"])
+        taken[tuple(best["_set"])] = taken.get(tuple(best["_set"]), 0) + 1
+        for c in best["_set"]:
             need[c] -= 1
     return df.sparkSession.createDataFrame([(p, k) for k, p in enumerate(picked)], f"{item} {df.schema[item].dataType.simpleString()}, pick int")

@@ -144,3 +144,19 @@ def overview(blocks: DataFrame, keys: list[str], samples: str, every: int) -> Da
     """Least and most of each `every` samples of a block."""
     x = blocks.select(*keys, F.posexplode(samples).alias("_pos", "_x"))
     return x.groupBy(*keys, F.floor(F.col("_pos") / every).alias("cell")).agg(F.min("_x").alias("least"), F.max("_x").alias("most"))
+
+
+def block_crests(blocks: DataFrame, keys: list[str], block: str, samples: str = "samples", silent: float = 1e-6) -> DataFrame:
+    """By keys the median and 95th percentile of the crests of single blocks; blocks whose RMS is no more than `silent` have none."""
+    peak = F.array_max(F.transform(samples, lambda x: F.abs(x)))
+    rms = F.sqrt(dot(F.col(samples), F.col(samples)) / F.size(samples))
+    c = blocks.select(*keys, block, peak.alias("_p"), rms.alias("_r")).filter(F.col("_r") > silent).withColumn("_c", crest_db(F.col("_p"), F.col("_r")))
+    return c.groupBy(*keys).agg(F.round(F.percentile("_c", F.lit(0.5)), 5).alias("crest_p50_db"), F.round(F.percentile("_c", F.lit(0.95)), 5).alias("crest_p95_db"))
+
+
+def with_noise(df: DataFrame, samples: str, noise: str, snr_db: float) -> DataFrame:
+    """samples plus noise at the gain that puts it snr_db under them; without noise or signal nothing is added."""
+    x, n = F.col(samples), F.col(noise)
+    power = dot(n, n)
+    gain = F.when(power > 0, F.sqrt(dot(x, x) / (power * 10 ** (snr_db / 10)))).otherwise(0.0)
+    return df.withColumn("_gain", gain).withColumn(samples, F.zip_with(samples, noise, lambda a, b: a + F.col("_gain") * b)).drop("_gain")

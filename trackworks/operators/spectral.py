@@ -83,46 +83,72 @@ def _hop_energies(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["file_id", "sr", "hop", "energy", "n"])
 
 
-def integrated_loudness(blocks: DataFrame, context: int = 1) -> DataFrame:
-    """Gated loudness (ITU-R BS.1770) by file: file_id, lufs (null where nothing passes the gate), n_blocks.
-
-    blocks: file_id, sr, start (first frame), samples (an array a channel, one or two). A block is filtered with the
-    last TAPS frames of the `context` blocks before it, so blocks are independent; context times a block's length
-    should be TAPS or more.
-    """
+def _hops(blocks: DataFrame, context: int) -> DataFrame:
+    """Energy after K-weighting by full tenth of a second: file_id, sr, hop, e, n."""
     w = Window.partitionBy("file_id").orderBy("start").rowsBetween(-context, -1)
     tail = F.transform("samples", lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - TAPS + 1), F.lit(TAPS)))
     past = F.collect_list(tail).over(w)
     x = blocks.select("file_id", "sr", F.col("start").cast("long").alias("start"), "samples", past.alias("past"))
     x = x.select("file_id", "sr", "start", "samples", F.transform("samples", lambda _, c: F.flatten(F.transform("past", lambda b: F.get(b, c)))).alias("before"))
     hops = x.mapInPandas(_hop_energies, f"file_id {blocks.schema['file_id'].dataType.simpleString()}, sr int, hop long, energy double, n int").groupBy("file_id", "sr", "hop").agg(F.sum("energy").alias("e"), F.sum("n").alias("n"))
-    full = hops.filter(F.col("n") == F.floor(F.col("sr") / 10))
-    four = Window.partitionBy("file_id").orderBy("hop").rowsBetween(0, 3)
-    p = full.select("file_id", (F.sum("e").over(four) / F.sum("n").over(four)).alias("power"), F.count(F.lit(1)).over(four).alias("k")).filter("k = 4")
+    return hops.filter(F.col("n") == F.floor(F.col("sr") / 10))
+
+
+def _gated(hops: DataFrame, keys: list[str]) -> DataFrame:
+    """Gated loudness of each key's runs of four hops: keys, lufs, n_blocks; keys where nothing passes are absent."""
+    four = Window.partitionBy(*keys).orderBy("hop").rowsBetween(0, 3)
+    p = hops.select(*keys, (F.sum("e").over(four) / F.sum("n").over(four)).alias("power"), F.count(F.lit(1)).over(four).alias("k")).filter("k = 4")
     lufs = lambda c: OFFSET_LU + 10 * F.log10(c)
     loud = p.filter((F.col("power") > 0) & (lufs(F.col("power")) > ABSOLUTE_LUFS))
-    gate = loud.groupBy("file_id").agg((lufs(F.avg("power")) + RELATIVE_LU).alias("gate"))
-    kept = loud.join(gate, "file_id").filter(lufs(F.col("power")) > F.col("gate")).groupBy("file_id").agg(lufs(F.avg("power")).alias("lufs"), F.count(F.lit(1)).alias("n_blocks"))
-    return blocks.select("file_id").distinct().join(kept, "file_id", "left").na.fill({"n_blocks": 0})
+    gate = loud.groupBy(*keys).agg((lufs(F.avg("power")) + RELATIVE_LU).alias("gate"))
+    return loud.join(gate, keys).filter(lufs(F.col("power")) > F.col("gate")).groupBy(*keys).agg(lufs(F.avg("power")).alias("lufs"), F.count(F.lit(1)).alias("n_blocks"))
+
+
+def integrated_loudness(blocks: DataFrame, context: int = 1) -> DataFrame:
+    """Gated loudness (ITU-R BS.1770) by file: file_id, lufs (null where nothing passes the gate), n_blocks.
+
+    blocks: file_id, sr, start (first frame), samples (an array a channel, one or two). A block is filtered with the
+    last TAPS frames of the `context` blocks before it, so blocks are independent; context times a block's length
+    should be TAPS or more.
+    """
+    return blocks.select("file_id").distinct().join(_gated(_hops(blocks, context), ["file_id"]), "file_id", "left").na.fill({"n_blocks": 0})
+
+
+def window_loudness(blocks: DataFrame, seconds: float, context: int = 1) -> DataFrame:
+    """Gated loudness of each full window of `seconds` (whole tenths): file_id, window, lufs, measurable, minus_file.
+
+    A window in which nothing passes the gate is kept: lufs is null and measurable false, so that the distribution keeps
+    its shape. minus_file: what the window has over its file's integrated loudness.
+    """
+    size = round(seconds * 10)
+    hops = _hops(blocks, context).withColumn("window", F.floor(F.col("hop") / size))
+    full = hops.groupBy("file_id", "window").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == size).drop("_n")
+    whole = _gated(hops, ["file_id"]).select("file_id", F.col("lufs").alias("_file"))
+    x = full.join(_gated(hops, ["file_id", "window"]).drop("n_blocks"), ["file_id", "window"], "left").join(whole, "file_id", "left")
+    return x.select("file_id", "window", "lufs", F.col("lufs").isNotNull().alias("measurable"), (F.col("lufs") - F.col("_file")).alias("minus_file"))
 
 
 def spectra(blocks: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:
-    """Power of each frequency bin of each block (Hann window): keys, bin, power."""
+    """Power of each frequency bin of each block (Hann window): keys, bin, power. Blocks of one length are transformed together."""
     kinds = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = []
-            for row in f.itertuples(index=False):
-                x = np.asarray(row[-1], float)
-                p = np.abs(np.fft.rfft(x * np.hanning(len(x)))) ** 2
-                parts.append(pd.DataFrame({**{k: [v] * len(p) for k, v in zip(keys, row, strict=False)}, "bin": np.arange(len(p), dtype=np.int32), "power": p}))
-            if parts:
-                yield pd.concat(parts)
+            for n, own in f.groupby(f[samples].map(len)):
+                if not n:
+                    continue
+                p = np.abs(np.fft.rfft(np.stack(own[samples].to_list()).astype(float) * np.hanning(n), axis=1)) ** 2
+                bins = p.shape[1]
+                yield pd.DataFrame({**{k: own[k].repeat(bins).to_numpy() for k in keys}, "bin": np.tile(np.arange(bins, dtype=np.int32), len(own)), "power": p.ravel()})
 
     return blocks.select(*keys, samples).mapInPandas(run, f"{kinds}, bin int, power double")
 
 
+def median_spectrum(spectrum: DataFrame, keys: list[str], floor: float = 1e-20) -> DataFrame:
+    """Median over blocks of each bin's power, in dB: keys, bin, level_db."""
+    return spectrum.groupBy(*keys, "bin").agg((10 * F.log10(F.greatest(F.percentile("power", F.lit(0.5)), F.lit(floor)))).alias("level_db"))
+
+
 def flatness(spectrum: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     """Spectral flatness of bins [low, high) and the share of power they hold, by keys."""
     band = (F.col("bin") >= low) & (F.col("bin") < high)

@@ -149,7 +149,13 @@ def e17(spark: SparkSession, d: str) -> DataFrame:
     return s.join(q, "file_id").filter("sd <= q").select("file_id", "start", F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("m").desc(), "start")).alias("rank"))
 
 
-@query("e18_greedy_spaced")
+_W17 = f"""{B}, w0 AS (SELECT file_id, idx AS start, round(avg(level) OVER w, 6) m, round(stddev_pop(level) OVER w, 6) sd, count(*) OVER w n FROM b WINDOW w AS (PARTITION BY file_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+w1 AS (SELECT * FROM w0 WHERE n = 8 AND m > {CLOSE}), md AS (SELECT file_id, quantile_cont(sd, 0.5) q FROM w1 GROUP BY 1), cd AS (SELECT file_id, start AS pos, row_number() OVER (PARTITION BY file_id ORDER BY m DESC, start) AS rank FROM w1 JOIN md USING (file_id) WHERE sd <= q)"""
+#: A greedy fold over a key's sorted candidates (cd: file_id, pos, rank): the best {n} that are {gap} apart.
+_GREEDY = "p AS (SELECT file_id, list_reduce(list([pos::DOUBLE] ORDER BY rank, pos), lambda a, x: CASE WHEN len(a) < {n} AND len(list_filter(a, lambda y: abs(y - x[1]) < {gap})) = 0 THEN list_concat(a, x) ELSE a END) p FROM cd GROUP BY 1)"
+
+
+@query("e18_greedy_spaced", f"WITH {_W17}, {_GREEDY.format(n=5, gap=10)} SELECT file_id, unnest(range(len(p)))::INTEGER AS pick, unnest(p) AS start FROM p")
 def e18(spark: SparkSession, d: str) -> DataFrame:
     return S.greedy_spaced(e17(spark, d), "file_id", "start", "rank", 5, 10)
 
@@ -201,7 +207,8 @@ def e31(spark: SparkSession, d: str) -> DataFrame:
     return q.select("file_id", "idx", F.round("f", 6).alias("floor"), F.round(F.col("level") - F.col("f"), 6).alias("prominence"))
 
 
-@query("e32_prominent_peaks")
+@query("e32_prominent_peaks", f"""WITH {B}, q AS (SELECT file_id, idx, level, quantile_cont(level, 0.5) OVER (PARTITION BY file_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) f FROM b),
+cd AS (SELECT file_id, idx AS pos, -round(level - f, 6) AS rank FROM q WHERE round(level - f, 6) >= 12), {_GREEDY.format(n=5, gap=4)} SELECT file_id, unnest(range(len(p)))::INTEGER AS pick, unnest(p) AS idx FROM p""")
 def e32(spark: SparkSession, d: str) -> DataFrame:
     p = e31(spark, d).filter("prominence >= 12").withColumn("rank", -F.col("prominence"))
     return S.greedy_spaced(p, "file_id", "idx", "rank", 5, 4)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackworks.functions.logs import line_events
+from trackworks.operators import gates
+from trackworks.operators import signals as X
+from trackworks.plans.log_lines import LINES_SQL, sample_line
 from trackworks.registry import registry
 from trackworks.session import table
 from trackworks.sources import files
@@ -22,9 +26,11 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
     return files.read_metadata(spark, path, "n_nationkey int, n_name string", "n_name").select(F.col("n_nationkey").cast(table(spark, d, "nation").schema["n_nationkey"].dataType).alias("n_nationkey"), "n_name")
 
 
-@query("a5_file_inventory")
+@query("a5_file_inventory", "SELECT t || '.parquet' AS name, 'tables' AS dataset, 'stem' AS role FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) t)")
 def a5(spark: SparkSession, d: str) -> DataFrame:
-    return files.inventory(spark, d, "*.parquet", "tables").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "dataset", "role", "length")
+    """The tables of the data folder; one of several files counts once."""
+    found = files.inventory(spark, d, "*.parquet", "tables")
+    return found.select(F.regexp_extract("path", r"([^/]*\.parquet)(?:/.*)?$", 1).alias("name"), "dataset", F.when(F.col("length") > 0, F.col("role")).alias("role")).distinct()
 
 
 @query("a8_manifest_sink", "SELECT lang, NULL::VARCHAR AS clip, doc_id FROM documents")
@@ -62,27 +68,105 @@ def j6(spark: SparkSession, d: str) -> DataFrame:
     return drained(logs.activity_sessions(readings(spark, d), "ts", "user_id", "value", 20.0, "6 hours", "10 minutes"), "sessions")
 
 
-_LINES = r"""l AS (SELECT 'run' || (user_id % 7) AS run, CASE event_type WHEN 'click' THEN 'Instr s' || user_id || ' si_sdr: ' || printf('%.3f', value) WHEN 'purchase' THEN 'Train epoch: ' || user_id WHEN 'error' THEN 'warning: non-finite grads: ' || (event_id % 9) WHEN 'view' THEN 'Metric avg si_sdr : ' || printf('%.3f', value) ELSE 'other' END AS line FROM events),
-e AS (SELECT run, CASE WHEN line LIKE 'Instr%' THEN 'class_value' WHEN line LIKE 'Train%' THEN 'epoch' WHEN line LIKE 'Metric%' THEN 'average' ELSE 'non_finite' END AS kind, regexp_extract(line, '(-?[\d.]+)$', 1)::DOUBLE AS value FROM l WHERE line <> 'other')"""
+_STREAM = f"WITH {LINES_SQL}, e AS (SELECT 'run' || (user_id % 7) AS run, kind, name, value FROM ev)"
 
 
-def log_folder(spark: SparkSession, d: str) -> str:
-    """A folder of log files, a folder a run, written from the events."""
-    t = F.col("event_type")
-    line = F.when(t == "click", F.format_string("Instr s%d si_sdr: %.3f", "user_id", "value")).when(t == "purchase", F.format_string("Train epoch: %d", "user_id")).when(t == "error", F.format_string("warning: non-finite grads: %d", F.col("event_id") % 9)).when(t == "view", F.format_string("Metric avg si_sdr : %.3f", "value")).otherwise("other")
+def log_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Lines (run, line) as they arrive in a folder of log files, a folder a run, written from the events."""
     path = scratch(spark, "logs")
-    e = table(spark, d, "events", "event_id", "user_id", "event_type", "value")
-    e.select(F.concat(F.lit("run"), (F.col("user_id") % 7).cast("string")).alias("run"), line.alias("line")).write.partitionBy("run").text(path)
-    return path
+    e = table(spark, d, "events", "event_id", "user_id", "value")
+    e.select(F.concat(F.lit("run"), (F.col("user_id") % 7).cast("string")).alias("run"), sample_line().alias("line")).write.partitionBy("run").text(path)
+    return spark.readStream.schema("value string, run string").text(path).select("run", F.col("value").alias("line"))
 
 
-@query("j1_log_stream", f"WITH {_LINES} SELECT run, kind, value FROM e")
+@query("j1_log_stream", f"{_STREAM} SELECT run, kind, name, value FROM e")
 def j1(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.readStream.schema("value string, run string").text(log_folder(spark, d)).select("run", F.col("value").alias("line"))
-    return drained(line_events(lines).select("run", "kind", "value"), "events")
+    return drained(line_events(log_stream(spark, d)).select("run", "kind", "name", "value"), "events")
 
 
-@query("j2_running_digest", f"""WITH {_LINES} SELECT run, max(CASE WHEN kind = 'epoch' THEN value END)::BIGINT AS epoch, max(CASE WHEN kind = 'average' THEN value END) AS best, count(CASE WHEN kind = 'average' THEN 1 END) AS n_evals, coalesce(sum(CASE WHEN kind = 'non_finite' THEN value END), 0) AS non_finite, false AS done FROM e GROUP BY 1""")
+@query("j2_running_digest", f"""{_STREAM} SELECT run, max(CASE WHEN kind = 'epoch' THEN value END)::BIGINT AS epoch, max(CASE WHEN kind = 'average' THEN value END) AS best, count(CASE WHEN kind = 'average' THEN 1 END) AS n_evals, coalesce(sum(CASE WHEN kind = 'non_finite' THEN value END), 0) AS non_finite,
+count(CASE WHEN kind = 'nan_loss' THEN 1 END) AS nan_losses, bool_or(kind = 'trailer') AS done, bool_or(kind = 'trailer' AND name LIKE 'CRASHED%') AS crashed FROM e GROUP BY 1""")
 def j2(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.readStream.schema("value string, run string").text(log_folder(spark, d)).select("run", F.col("value").alias("line"))
-    return settled(logs.running_digest(line_events(lines)), "digest")
+    return settled(logs.running_digest(line_events(log_stream(spark, d))), "digest")
+
+
+@query("j3_stalls", """WITH e AS (SELECT user_id::VARCHAR AS run, event_type, ts FROM events), w AS (SELECT max(epoch_us(date_trunc('millisecond', ts))) / 1e6 AS mark FROM e),
+t AS (SELECT DISTINCT run, epoch_us(ts) / 1e6 AS t FROM e WHERE event_type = 'click'), k AS (SELECT run, t FROM t QUALIFY row_number() OVER (PARTITION BY run ORDER BY t DESC) <= 50),
+s AS (SELECT run, t - lag(t) OVER (PARTITION BY run ORDER BY t) AS step FROM k), m AS (SELECT run, quantile_cont(step, 0.5) AS step, count(*) AS epochs FROM s GROUP BY 1),
+l AS (SELECT run, max(epoch_us(ts)) / 1e6 AS last, bool_or(event_type = 'purchase' AND run::BIGINT % 5 = 0) AS done FROM e GROUP BY 1)
+SELECT run, CASE WHEN done THEN 'done' WHEN floor(1000 * (last + coalesce(2 * step, 3600))) <= floor(1000 * mark) THEN 'stalled' ELSE 'ok' END AS status, coalesce(epochs, 0)::BIGINT AS epochs FROM l LEFT JOIN m USING (run), w""")
+def j3(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks are epochs; a purchase ends each fifth run. A run's last status counts."""
+    t, ends = F.col("event_type"), (F.col("event_type") == "purchase") & (F.col("user_id") % 5 == 0)
+    kind = F.when(t == "click", "epoch").when(ends, "trailer").otherwise("other")
+    said = drained(logs.stalls(readings(spark, d).select(F.col("user_id").cast("string").alias("run"), kind.alias("kind"), F.col("ts").alias("at"))), "stalls")
+    rank = F.when(F.col("status") == "done", 2).when(F.col("status") == "stalled", 1).otherwise(0)
+    return said.groupBy("run").agg(F.max_by("status", rank).alias("status"), F.max("epochs").alias("epochs"))
+
+
+@query("j7_arriving_files", "SELECT n_nationkey::BIGINT AS key, 1::BIGINT AS times FROM nation UNION ALL SELECT 100 + r_regionkey, 1 FROM region")
+def j7(spark: SparkSession, d: str) -> DataFrame:
+    """A file a nation, then a file a region; the second run resumes the first and takes the new files only."""
+    inbox, out = scratch(spark, "inbox"), scratch(spark, "arrived")
+    nations = table(spark, d, "nation", "n_nationkey", "n_name").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    regions = table(spark, d, "region", "r_regionkey", "r_name").select((F.col("r_regionkey") + 100).alias("key"), F.col("r_name").alias("value"))
+    for df in (nations, regions):
+        df.repartition("key").write.partitionBy("key").mode("append").text(inbox)
+        found = drained(logs.arriving_files(spark, inbox), "files", out)
+    return found.groupBy(F.regexp_extract("path", r"/key=(\d+)/", 1).cast("long").alias("key")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def _wavs(spark: SparkSession, d: str) -> DataFrame:
+    """A WAV file of each vector, at half its level so that little is clipped, written as a table of bytes and read again."""
+    e = table(spark, d, "embeddings", "vec_id", "embedding").filter("embedding is not null").withColumn("channels", F.array(F.transform("embedding", lambda x: x.cast("double") / 2)))
+    path = scratch(spark, "wavs")
+    files.wav_files(e, "vec_id", "channels", 8000).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_PCM = "greatest(-1, least(32767 / 32768.0::DOUBLE, round_even(x::DOUBLE / 2 * 32768, 0) / 32768 + 0.0))"
+
+
+@query("a6_wav_scan", f"WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: {_PCM}) x FROM embeddings WHERE embedding IS NOT NULL), k AS (SELECT *, unnest(range(0, (len(x) + 23) // 24)) k FROM s) SELECT vec_id AS file_id, k::INTEGER AS block_idx, 8000 AS sr, len(x[24 * k + 1 : 24 * k + 24])::INTEGER AS n_frames, list_transform(x[24 * k + 1 : 24 * k + 24], lambda v: v::DOUBLE) AS samples FROM k")
+def a6(spark: SparkSession, d: str) -> DataFrame:
+    b = files.wav_blocks(_wavs(spark, d), 24)
+    return b.select(F.col("path").cast("long").alias("file_id"), "block_idx", "sr", "n_frames", F.get("samples", F.lit(0)).cast("array<double>").alias("samples"))
+
+
+@query("h5_decode_parity", f"WITH s AS (SELECT vec_id AS file_id, list_max(list_transform(embedding, lambda x: abs({_PCM} - x::DOUBLE / 2))) m FROM embeddings WHERE embedding IS NOT NULL) SELECT file_id, round(m, 9) AS max_diff FROM s ORDER BY round(m, 9) DESC, file_id LIMIT 3")
+def h5(spark: SparkSession, d: str) -> DataFrame:
+    """The three files whose decoded samples are farthest from what was encoded."""
+    decoded = files.wav_blocks(_wavs(spark, d)).select(F.col("path").cast("long").alias("file_id"), F.get("samples", F.lit(0)).alias("again"))
+    e = table(spark, d, "embeddings", "vec_id", "embedding").filter("embedding is not null").select(F.col("vec_id").alias("file_id"), F.transform("embedding", lambda x: x.cast("double") / 2).alias("samples"))
+    diff = X.products(e.join(decoded, "file_id"), ["file_id"], "samples", "again").select("file_id", F.round("max_diff", 9).alias("max_diff"))
+    return diff.orderBy(F.col("max_diff").desc(), "file_id").limit(3)
+
+
+@query("a9_versioned_sink", "SELECT 'v1' AS version, doc_id, lang, true AS refused FROM documents UNION ALL SELECT 'v2', doc_id, lang, true FROM documents WHERE lang = 'en'")
+def a9(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions under names of their own; writing the first one again is refused and leaves it as it was."""
+    docs, path = table(spark, d, "documents", "doc_id", "lang"), scratch(spark, "versions")
+    put = lambda df, version: files.write_manifest(df, f"{path}/{version}", ["doc_id", "lang"], ["doc_id"], csv_twin=False)
+    put(docs, "v1"), put(docs.filter("lang = 'en'"), "v2")
+    try:
+        put(docs.limit(0), "v1")
+        refused = False
+    except AnalysisException:
+        refused = True
+    read = lambda v: spark.read.parquet(f"{path}/{v}/parquet").select(F.lit(v).alias("version"), "doc_id", "lang", F.lit(refused).alias("refused"))
+    return read("v1").unionByName(read("v2"))
+
+
+@query("h8_constraints", """SELECT 'unique_order' AS rule, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL SELECT 'present_text', (SELECT count(*) FROM documents WHERE text IS NULL OR lang IS NULL)
+UNION ALL SELECT 'known_document', (SELECT count(*) FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')) UNION ALL SELECT 'constant_lang', (SELECT count(*) FROM (SELECT source FROM documents GROUP BY 1 HAVING min(lang) <> max(lang)))
+UNION ALL SELECT 'rule_without_match', (SELECT count(*) FROM (SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 2 = 0)))""")
+def h8(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows break each constraint: unique, not null, foreign key, constant by key, and a match for every rule."""
+    docs, labels = table(spark, d, "documents", "doc_id", "text", "lang", "source"), table(spark, d, "labels", "doc_id")
+    orders = table(spark, d, "orders", "o_custkey")
+    rules = table(spark, d, "nation", "n_nationkey").select(F.col("n_nationkey").cast("long").alias("nation"), F.lit("BUILDING").alias("segment"))
+    customers = table(spark, d, "customer", "c_nationkey", "c_mktsegment").filter("c_nationkey % 2 = 0").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    return gates.constraint_report(
+        unique_order=gates.not_unique(orders, "o_custkey"), present_text=gates.absent(docs, "text", "lang"), known_document=gates.unknown(labels, docs.filter("lang = 'en'"), "doc_id"),
+        constant_lang=gates.not_constant(docs, "lang", "source"), rule_without_match=gates.unmatched(rules, customers, ["nation", "segment"]),
+    )

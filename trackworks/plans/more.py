@@ -12,6 +12,7 @@ from trackworks.operators import sequences as S
 from trackworks.operators import signals as X
 from trackworks.plans import activity as A
 from trackworks.plans import signals as G
+from trackworks.plans.log_lines import LINES_SQL, sample_line
 from trackworks.registry import registry
 from trackworks.session import table
 
@@ -32,24 +33,48 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
     return spectral.level_envelope(file_blocks(spark, d), "song", "start", "samples", 48).withColumn("dbfs", F.round("dbfs", 5))
 
 
+def _as_files(spark: SparkSession, d: str) -> DataFrame:
+    return file_blocks(spark, d).select(F.col("song").alias("file_id"), F.lit(8000).alias("sr"), "start", F.array("samples").alias("samples"))
+
+
 @query("f7_integrated_loudness")
 def f7(spark: SparkSession, d: str) -> DataFrame:
-    b = file_blocks(spark, d).select(F.col("song").alias("file_id"), F.lit(8000).alias("sr"), "start", F.array("samples").alias("samples"))
-    return spectral.integrated_loudness(b, context=128)
+    return spectral.integrated_loudness(_as_files(spark, d), context=128)
+
+
+@query("f7_window_loudness")
+def f7_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Every full 0.4 seconds of two files; those of the second stretch are silent and stay, flagged."""
+    w = Window.partitionBy("file_id").orderBy("vec")
+    b = G.blocks(spark, d).select((F.col("song") % 2).alias("file_id"), F.col("file_id").alias("vec"), "samples")
+    b = b.select("file_id", F.lit(8000).alias("sr"), ((F.row_number().over(w) - 1) * 64).cast("long").alias("start"), "samples")
+    quiet = F.when((F.col("start") >= 2560) & (F.col("start") < 6400), F.transform("samples", lambda x: x * 0.0)).otherwise(F.col("samples"))
+    return spectral.window_loudness(b.withColumn("samples", F.array(quiet)), 0.4, context=128)
 
 
-@query("f13_mix_weights")
+@query("f13_mix_weights", "SELECT DISTINCT label AS song, vec_id % 4 AS stem, round(1 + vec_id % 4, 2)::DOUBLE AS weight FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL")
 def f13(spark: SparkSession, d: str) -> DataFrame:
+    """The master is the stems at gains 1 to 4, which the fit gives back."""
     b = G.blocks(spark, d).withColumns({"stem": F.col("file_id") % 4})
     stems = X.vector_sum(b, ["song", "stem"]).withColumn("block", F.lit(0))
     gains = F.transform("samples", lambda x: x * (1 + F.col("stem")))
     master = X.vector_sum(stems.withColumn("samples", gains), ["song", "block"])
-    return spectral.mix_weights(stems, master, "song", "block", "stem")
+    return spectral.mix_weights(stems, master, "song", "block", "stem").withColumn("weight", F.round("weight", 2))
 
 
-@query("f21_band_features")
+_DFT = f"""{G.B}, h AS (SELECT file_id, song, list_transform(samples, lambda x, i: x * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / (len(samples) - 1)))) s FROM b),
+sp AS (SELECT file_id, song, k AS bin, pow(list_sum(list_transform(s, lambda x, i: x * cos(2 * pi() * k * (i - 1) / len(s)))), 2) + pow(list_sum(list_transform(s, lambda x, i: x * sin(2 * pi() * k * (i - 1) / len(s)))), 2) AS power FROM h, (SELECT unnest(range(0, 33)) k))"""
+
+
+@query("f21_band_features", f"WITH {_DFT}, p AS (SELECT file_id, bin, greatest(power, 1e-20) p FROM sp) SELECT file_id, round(exp(avg(ln(p)) FILTER (bin >= 4 AND bin < 20)) / avg(p) FILTER (bin >= 4 AND bin < 20), 5) AS flatness, round(sum(p) FILTER (bin >= 4 AND bin < 20) / sum(p), 5) AS share FROM p GROUP BY 1")
 def f21(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.flatness(spectral.spectra(G.blocks(spark, d), ["file_id"]), ["file_id"], 4, 20)
+    x = spectral.flatness(spectral.spectra(G.blocks(spark, d), ["file_id"]), ["file_id"], 4, 20)
+    return x.select("file_id", F.round("flatness", 5).alias("flatness"), F.round("share", 5).alias("share"))
+
+
+@query("f21_median_spectrum", f"WITH {_DFT} SELECT song, bin::INTEGER AS bin, round(10 * log10(greatest(quantile_cont(power, 0.5), 1e-20)), 5) AS level_db FROM sp GROUP BY 1, 2")
+def f21_median(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.median_spectrum(spectral.spectra(G.blocks(spark, d), ["file_id", "song"]), ["song"]).withColumn("level_db", F.round("level_db", 5))
 
 
 _F0 = "f0 AS (SELECT user_id % 10 AS song, event_id % 500 AS frame, event_type AS class, 110 + avg(value) AS f FROM events GROUP BY 1, 2, 3)"
@@ -141,7 +166,10 @@ def e19(spark: SparkSession, d: str) -> DataFrame:
     return S.top_by(best, ["file_id"], [F.col("level").desc(), "idx"], 3).select("file_id", "section", "idx")
 
 
-@query("e20_stratified_picks")
+@query("e20_stratified_picks", f"""WITH {A.B}, x AS (SELECT file_id, idx::DOUBLE pos, level, row_number() OVER (PARTITION BY file_id, idx // 10 ORDER BY level DESC, idx) = 1 first FROM b WHERE idx < 60),
+f AS (SELECT file_id, list(pos) FILTER (first) best, list([pos] ORDER BY level DESC, pos) FILTER (NOT first) rest FROM x GROUP BY 1),
+p AS (SELECT file_id, best, list_reduce(list_prepend(best, coalesce(rest, [])), lambda a, y: CASE WHEN len(a) < 6 AND len(list_filter(a, lambda z: abs(z - y[1]) < 5)) = 0 THEN list_concat(a, y) ELSE a END) p FROM f)
+SELECT file_id, unnest(p) AS idx, unnest(list_transform(p, lambda v: NOT list_contains(best, v))) AS filled FROM p""")
 def e20(spark: SparkSession, d: str) -> DataFrame:
     return S.stratified_picks(A.blocks(spark, d), "file_id", "idx", "level", 0.0, 60.0, 6, 5.0)
 
@@ -200,13 +228,10 @@ def i14(spark: SparkSession, d: str) -> DataFrame:
     return best.groupBy("panel").agg(F.round(F.avg("v"), 6).alias("reference"))
 
 
-@query("b14_log_events", r"""WITH l AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Instr s' || user_id || ' si_sdr: ' || printf('%.3f', value) WHEN 'purchase' THEN 'Train epoch: ' || user_id WHEN 'error' THEN 'warning: non-finite grads: ' || (event_id % 9) ELSE 'other ' || event_id END AS line FROM events)
-SELECT event_id, CASE WHEN line LIKE 'Instr%' THEN 'class_value' WHEN line LIKE 'Train%' THEN 'epoch' ELSE 'non_finite' END AS kind, CASE WHEN line LIKE 'Instr%' THEN 'si_sdr' END AS name, regexp_extract(line, '(-?[\d.]+)$', 1)::DOUBLE AS value FROM l WHERE line NOT LIKE 'other%'""")
+@query("b14_log_events", f"""WITH {LINES_SQL} SELECT event_id, kind, name, value, elapsed FROM ev""")
 def b14(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("event_type")
-    line = F.when(t == "click", F.format_string("Instr s%d si_sdr: %.3f", "user_id", "value")).when(t == "purchase", F.format_string("Train epoch: %d", "user_id")).when(t == "error", F.format_string("warning: non-finite grads: %d", F.col("event_id") % 9)).otherwise(F.format_string("other %d", "event_id"))
-    e = table(spark, d, "events", "event_id", "user_id", "event_type", "value").select("event_id", line.alias("line"))
-    return L.line_events(e).select("event_id", "kind", "name", "value")
+    e = table(spark, d, "events", "event_id", "user_id", "event_type", "value").select("event_id", sample_line().alias("line"))
+    return L.line_events(e).select("event_id", "kind", "name", "value", "elapsed")
 
 
 @query("b15_programme", r"""WITH l AS (SELECT conv_id, turn, unnest(range(0, len(string_split(t, chr(10))))) pos, unnest(string_split(t, chr(10))) l FROM (SELECT conv_id, turn, turn || ':05 ' || text t FROM conversations)), m AS (SELECT *, regexp_extract(l, '^\s*\[?((?:\d+:)?\d{1,2}:\d{2})\]?\s*[-–]?\s*(.*\S)\s*$', ['t', 'title']) r FROM l)
@@ -216,13 +241,18 @@ def b15(spark: SparkSession, d: str) -> DataFrame:
     return L.programme(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), F.concat(F.col("turn").cast("string"), F.lit(":05 "), "text").alias("t")), "text_id", "t")
 
 
-@query("b16_numbered_blocks")
+@query("b16_numbered_blocks", r"""WITH l AS (SELECT doc_id, unnest(range(0, len(ls))) pos, unnest(ls) l FROM (SELECT doc_id, string_split('1. First' || chr(10) || text, chr(10)) ls FROM documents WHERE text IS NOT NULL)),
+h AS (SELECT *, regexp_extract(l, '^(\d+)\.\s*(.*)$', ['n', 't']) r, regexp_matches(l, '^(\d+)\.\s*(.*)$') ish FROM l),
+f AS (SELECT *, last_value(CASE WHEN ish THEN try_cast(r.n AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) num FROM h)
+SELECT doc_id, num AS number, count(*) AS n_lines FROM f WHERE NOT ish AND num IS NOT NULL GROUP BY 1, 2""")
 def b16(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents", "doc_id", "text").withColumn("t", F.concat(F.lit("1. First\n"), F.col("text")))
     return L.numbered_blocks(t, "doc_id", "t").groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("b17_credits")
+@query("b17_credits", r"""WITH l AS (SELECT p_partkey, replace(p_type, ' ', '_') || '/' || replace(p_brand, '#', '·') AS credit FROM part),
+m AS (SELECT *, split_part(credit, '/', 1) i, list_filter(string_split(split_part(credit, '/', 2), '·'), lambda x: x <> '' AND x <> 'Brand') names FROM l)
+SELECT p_partkey, CASE WHEN i IN ('PROMO_BURNISHED_TIN', 'ECONOMY_PLATED_STEEL', 'STANDARD') AND len(names) > 0 THEN 1 ELSE 0 END::INTEGER AS n, credit FROM m""")
 def b17(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part", "p_partkey", "p_brand", "p_type")
     line = F.concat(F.regexp_replace("p_type", " ", "_"), F.lit("/"), F.regexp_replace("p_brand", "#", "·"))
@@ -230,12 +260,31 @@ def b17(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.size(names).alias("n"), line.alias("credit"))
 
 
+def _clusters(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """Users are items that want as many of their event types as come in clusters of others' joint activity, hours long."""
+    from trackworks.operators import sampling
+
+    items = table(spark, d, "events", "user_id", "event_type").groupBy(F.col("user_id").alias("item")).agg(F.sort_array(F.collect_set("event_type")).alias("classes")).withColumn("k", F.size("classes"))
+    spans = A.spans(spark, d).select(F.col("file_id").alias("song"), "class", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    merged = S.merged(spans.withColumn("k", F.struct("song", "class")).drop("song", "class"), "k").select("k.song", "k.class", "start", "end")
+    anchors = _anchors(spark, d).select(F.col("file_id").alias("song"), "class_a", "class_b", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    x = sampling.cluster_fill(items, "item", anchors, merged, 31, 7200.0, mode)
+    return x.withColumn("start", F.round("start", 3))
+
+
 @query("g12_cluster_fill")
 def g12(spark: SparkSession, d: str) -> DataFrame:
-    from trackworks.operators import sampling
+    return _clusters(spark, d, "uniform")
+
+
+@query("g12_cluster_fill_weighted")
+def g12_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d, "overlap_weighted")
+
 
-    items = table(spark, d, "events", "user_id", "event_type").groupBy(F.col("user_id").alias("item")).agg(F.sort_array(F.collect_set("event_type")).alias("classes"))
-    return sampling.cluster_fill(items, "item", _anchors(spark, d).withColumnRenamed("file_id", "song"), 31)
+@query("g12_cluster_fill_greedy")
+def g12_greedy(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(spark, d, "greedy")
 
 
 _ITEM = C.draw_sql(32, "vec_id", "start")
@@ -252,4 +301,4 @@ def g14(spark: SparkSession, d: str) -> DataFrame:
     a = e.select(F.col("vec_id").alias("item"), F.col("label").alias("song"), F.floor(u * 200).alias("start"), (1 + F.col("vec_id") % 3).alias("gain"))
     b = e.select(F.col("vec_id").alias("item"), ((F.col("label") + 1) % 10).alias("song"), F.floor(u * 300).alias("start"), F.lit(1).cast("long").alias("gain"))
     blocks = file_blocks(spark, d).withColumnRenamed("start", "first")
-    return sampling.realised(a.unionByName(b), blocks, "item", "song", 32).withColumn("v", F.round("v", 6))
+    return sampling.realised(a.unionByName(b), blocks, "item", "song", 32, bucket=256).withColumn("v", F.round("v", 6))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackworks.operators import columns as C
 from trackworks.operators import signals as X
 from trackworks.registry import registry
 from trackworks.session import table
@@ -13,12 +14,12 @@ query = registry.query
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    """file_id, song, samples: values rounded to whole 1/4096, so that sums are the same in any order."""
+    """file_id, song, samples: values rounded to whole 1/4096, so that sums are the same in any order, and no zero is negative."""
     e = table(spark, d, "embeddings").filter("label is not null and embedding is not null")
-    return e.select(F.col("vec_id").alias("file_id"), F.col("label").alias("song"), F.transform("embedding", lambda x: F.bround(x.cast("double") * 4096) / 4096).alias("samples"))
+    return e.select(F.col("vec_id").alias("file_id"), F.col("label").alias("song"), F.transform("embedding", lambda x: F.bround(x.cast("double") * 4096) / 4096 + 0.0).alias("samples"))
 
 
-B = "b AS (SELECT vec_id AS file_id, label AS song, list_transform(embedding, lambda x: round_even(x::DOUBLE * 4096, 0) / 4096) AS samples FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"
+B = "b AS (SELECT vec_id AS file_id, label AS song, list_transform(embedding, lambda x: round_even(x::DOUBLE * 4096, 0) / 4096 + 0.0) AS samples FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)"
 
 
 def channels(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +59,17 @@ def f5(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "user_id", "value").groupBy(F.col("user_id").alias("file_id")).agg(F.round(F.avg(F.when(level > -12, 1.0).otherwise(0.0)), 6).alias("active"))
 
 
-@query("f6_crest", f"WITH {B}, m AS (SELECT song, max(list_max(list_transform(samples, lambda x: abs(x)))) pk, sqrt(sum(list_dot_product(samples, samples)) / sum(len(samples))) r FROM b GROUP BY 1) SELECT song, round(20 * log10(pk / r), 6) AS crest_db FROM m")
+_CREST = "20 * log10(list_max(list_transform(samples, lambda x: abs(x))) / sqrt(list_dot_product(samples, samples) / len(samples)))"
+
+
+@query("f6_crest", f"""WITH {B}, m AS (SELECT song, max(list_max(list_transform(samples, lambda x: abs(x)))) pk, sqrt(sum(list_dot_product(samples, samples)) / sum(len(samples))) r FROM b GROUP BY 1),
+q AS (SELECT song, {_CREST} c FROM b WHERE sqrt(list_dot_product(samples, samples) / len(samples)) > 1e-6)
+SELECT song, round(20 * log10(any_value(pk) / any_value(r)), 6) AS crest_db, round(quantile_cont(c, 0.5), 5) AS crest_p50_db, round(quantile_cont(c, 0.95), 5) AS crest_p95_db FROM m LEFT JOIN q USING (song) GROUP BY 1""")
 def f6(spark: SparkSession, d: str) -> DataFrame:
-    return X.file_metrics(blocks(spark, d), ["song"]).select("song", F.round(X.crest_db(F.col("peak"), F.col("rms")), 6).alias("crest_db"))
+    """A song's crest, and the median and 95th percentile of its blocks' own (a block stands for a second), silent ones left out."""
+    b = blocks(spark, d)
+    whole = X.file_metrics(b, ["song"]).select("song", F.round(X.crest_db(F.col("peak"), F.col("rms")), 6).alias("crest_db"))
+    return whole.join(X.block_crests(b, ["song"], "file_id"), "song", "left")
 
 
 @query("f8_mono_offset", "SELECT c_custkey, round(c_acctbal / 100 + CASE WHEN c_nationkey % 2 = 1 THEN 10 * log10(2) ELSE 0 END, 6) AS lufs FROM customer")
@@ -101,13 +110,13 @@ def f12(spark: SparkSession, d: str) -> DataFrame:
     return X.products(channels(spark, d), ["song"], "l", "r").select("song", F.round(g, 6).alias("gain"), F.round(raw, 5).alias("raw_db"), F.round(fitted, 5).alias("fitted_db"))
 
 
-@query("f14_mix_copy", f"WITH {LR}, {SUMS.format(k='file_id')} SELECT file_id, round(sxy * sxy / (sxx * syy), 6) AS explained, row_number() OVER (ORDER BY round(sxy * sxy / (sxx * syy), 6) DESC, file_id) AS rank FROM s QUALIFY rank <= 50")
+@query("f14_mix_copy", f"WITH {LR}, {SUMS.format(k='file_id')} SELECT file_id, round(sxy * sxy / (sxx * syy), 6) AS explained, row_number() OVER (ORDER BY round(sxy * sxy / (sxx * syy), 6) DESC, file_id) AS rank FROM s")
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    x = X.products(channels(spark, d), ["file_id"], "l", "r").select("file_id", F.round(F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.col("syy")), 6).alias("explained"))
-    top = x.orderBy(F.col("explained").desc(), "file_id").limit(50)  # a report of the 50 most suspect
-    from pyspark.sql import Window
+    from trackworks.operators import joins
 
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("explained").desc(), "file_id")))
+    x = X.products(channels(spark, d), ["file_id"], "l", "r").select("file_id", F.round(F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.col("syy")), 6).alias("explained"))
+    x = x.withColumns({"order": -F.col("explained"), "one": F.lit(1)})
+    return joins.prefix_offsets(x, "order", "one", "before", ties=("file_id",)).select("file_id", "explained", (F.col("before") + 1).cast("long").alias("rank"))
 
 
 @query("f15_exact_duplicates", "SELECT md5(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL AND length(replace(text, text[1:1], '')) > 0 GROUP BY 1 HAVING count(*) > 1")
@@ -168,23 +177,26 @@ def f22(spark: SparkSession, d: str) -> DataFrame:
     return X.overview(blocks(spark, d), ["file_id"], "samples", 16)
 
 
-@query("f28_degraded", f"WITH {B} SELECT file_id, list_transform(samples, lambda x: round(greatest(-0.25, least(0.25, round_even(x * 64, 0) / 64)), 6)) AS samples FROM b")
-def f28(spark: SparkSession, d: str) -> DataFrame:
-    q = lambda x: F.round(F.greatest(F.lit(-0.25), F.least(F.lit(0.25), F.bround(x * 64) / 64)), 6)
-    return blocks(spark, d).select("file_id", F.transform("samples", q).alias("samples"))
+_SNR_DB = 20.0
+_NOISE = C.draw_sql(28, "file_id || ':' || (i - 1)", 'noise')
 
 
-@query("h5_decode_parity", f"WITH {B} SELECT file_id, 0.0::DOUBLE AS max_diff FROM b ORDER BY file_id LIMIT 3")
-def h5(spark: SparkSession, d: str) -> DataFrame:
-    a = blocks(spark, d)
-    j = a.join(a.select("file_id", F.col("samples").alias("again")), "file_id")
-    diff = X.products(j, ["file_id"], "samples", "again").select("file_id", "max_diff")
-    return diff.orderBy(F.col("max_diff").desc(), "file_id").limit(3)
+@query("f28_degraded", f"""WITH {B}, z AS (SELECT file_id, samples, list_transform(samples, lambda x, i: round(2 * {_NOISE} - 1, 6)) noise FROM b),
+g AS (SELECT *, CASE WHEN list_dot_product(noise, noise) > 0 THEN sqrt(list_dot_product(samples, samples) / (list_dot_product(noise, noise) * {10 ** (_SNR_DB / 10)})) ELSE 0 END gain FROM z)
+SELECT file_id, list_transform(samples, lambda x, i: round(greatest(-0.25, least(0.25, round_even(round(x + gain * noise[i], 6) * 64, 0) / 64)), 6) + 0.0) AS samples FROM g""")
+def f28(spark: SparkSession, d: str) -> DataFrame:
+    """Noise at 20 dB under the signal, then 7 bits, then a ceiling."""
+    b = blocks(spark, d)
+    noise = F.transform("samples", lambda _, i: F.round(2 * C.draw(28, F.concat_ws(":", F.col("file_id").cast("string"), i.cast("string")), "noise") - 1, 6))
+    noisy = X.with_noise(b.withColumn("noise", noise), "samples", "noise", _SNR_DB)
+    q = lambda x: F.round(F.greatest(F.lit(-0.25), F.least(F.lit(0.25), F.bround(F.round(x, 6) * 64) / 64)), 6) + 0.0
+    return noisy.select("file_id", F.transform("samples", q).alias("samples"))
 
 
-@query("c9_unordered_pairs", "SELECT a.label AS song, a.vec_id AS file_id_a, b.vec_id AS file_id_b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
+@query("c9_unordered_pairs", "SELECT a.l_orderkey AS song, a.l_linenumber AS part_a, b.l_linenumber AS part_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber")
 def c9(spark: SparkSession, d: str) -> DataFrame:
+    """An order is a song of a few parts."""
     from trackworks.operators import joins
 
-    stems = table(spark, d, "embeddings", "vec_id", "label").select(F.col("label").alias("song"), F.col("vec_id").alias("file_id"))
-    return joins.unordered_pairs(stems, "song", "file_id")
+    stems = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").select(F.col("l_orderkey").alias("song"), F.col("l_linenumber").alias("part"))
+    return joins.unordered_pairs(stems, "song", "part")

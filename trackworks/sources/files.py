@@ -52,8 +52,35 @@ def decode_pcm(data: bytes) -> tuple[int, np.ndarray]:
         return w.getframerate(), (x / float(1 << (8 * width - 1))).astype(np.float32).reshape(-1, channels)
 
 
+def encode_pcm(x: np.ndarray, sr: int) -> bytes:
+    """A 16-bit PCM WAV of samples [frames, channels]; halves round to even, and what is beyond full scale is clipped."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(x.shape[1]), w.setsampwidth(2), w.setframerate(sr)
+        w.writeframes(np.clip(np.round(x * 32768.0), -32768, 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def wav_files(df: DataFrame, path: str, channels: str, sr: int) -> DataFrame:
+    """(path, content): a WAV file of each row's channels (an array of sample arrays), as bytes in a table.
+
+    A folder of many small files is better kept so; wav_blocks reads such a table as it reads a folder.
+    """
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "content": [encode_pcm(np.stack([np.asarray(c, float) for c in x], 1), sr) for x in f["channels"]]})
+
+    return df.select(F.col(path).cast("string").alias("path"), F.col(channels).alias("channels")).mapInPandas(run, "path string, content binary")
+
+
 def read_wav_blocks(spark: SparkSession, path: str, block_frames: int = BLOCK_FRAMES) -> DataFrame:
-    """PCM WAV files as blocks of block_frames (the last one shorter), channel by channel; a bad file is one row with its error."""
+    """The WAV files of a folder as wav_blocks gives them."""
+    return wav_blocks(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path), block_frames)
+
+
+def wav_blocks(files: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+    """PCM WAV files (path, content) as blocks of block_frames (the last one shorter), channel by channel; a bad file is one row with its error."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -67,7 +94,6 @@ def read_wav_blocks(spark: SparkSession, path: str, block_frames: int = BLOCK_FR
                     part = x[at : at + block_frames]
                     yield pd.DataFrame([{"path": p, "block_idx": k, "sr": sr, "n_frames": len(part), "samples": [c.tolist() for c in part.T], "error": None}])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, _BLOCKS)
 
 

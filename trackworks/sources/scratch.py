@@ -1,4 +1,4 @@
-"""A folder for derived files: under the one the session names for checkpoints, a temporary one only where none is set."""
+"""A folder for derived files: under the one the session names for checkpoints, a temporary one only in a local session."""
 
 from __future__ import annotations
 
@@ -12,15 +12,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path that nothing has written to."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="trackworks-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream appends from what there is now, through a Parquet sink with a checkpoint of its own."""
+def drained(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """All that a stream appends from what there is now, through a Parquet sink with a checkpoint of its own.
+
+    out: the folder of an earlier run, which is resumed where it stopped.
+    """
     spark = stream.sparkSession
-    out = scratch(spark, name)
+    out = out or scratch(spark, name)
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():

@@ -22,11 +22,12 @@ def log_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def running_digest(events: DataFrame) -> DataFrame:
-    """By run: last epoch, best average, number of averages and of non-finite reports, and whether it is done; update mode."""
+    """By run: last epoch, best average, averages, skipped non-finite steps, NaN losses, whether it ended and whether it crashed; update mode."""
     e = F.col("kind")
     return events.groupBy("run").agg(
         F.max(F.when(e == "epoch", F.col("value"))).cast("long").alias("epoch"), F.max(F.when(e == "average", F.col("value"))).alias("best"),
-        F.count_if(e == "average").alias("n_evals"), F.coalesce(F.sum(F.when(e == "non_finite", F.col("value"))), F.lit(0.0)).alias("non_finite"), F.bool_or(e == "done").alias("done"),
+        F.count_if(e == "average").alias("n_evals"), F.coalesce(F.sum(F.when(e == "non_finite", F.col("value"))), F.lit(0.0)).alias("non_finite"), F.count_if(e == "nan_loss").alias("nan_losses"),
+        F.bool_or(e == "trailer").alias("done"), F.coalesce(F.bool_or((e == "trailer") & F.col("name").startswith("CRASHED")), F.lit(False)).alias("crashed"),
     )
 
 
@@ -44,39 +45,51 @@ def activity_sessions(readings: DataFrame, ts: str, key: str, level: str, active
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "peak_level")
 
 
-def stalls(events: DataFrame, fallback_s: float = 3600.0) -> DataFrame:
+def stalls(events: DataFrame, late: str = "0 seconds", fallback_s: float = 3600.0) -> DataFrame:
     """By run a `stalled` row when it has been silent for twice its median epoch time (or fallback_s before it has two).
 
-    events: run, kind, at (timestamp of arrival). State is the last 50 epoch times of a run, and leaves when it is done.
+    events: run, kind, at (timestamp). Silence is measured against the watermark, `late` behind the latest event of any
+    run, so a replay says the same as the live stream. Each batch with a run's events gives an `ok` row, or `done` after
+    its trailer. State is the last 50 epoch times of a run, and leaves when it is done or stalled.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def row(status: str, last: float, n: int) -> pd.DataFrame:
+            return pd.DataFrame({"run": [key[0]], "status": [status], "last_seen": [last], "epochs": [n]})
+
         if state.hasTimedOut:
             last, times = state.get
             state.remove()
-            yield pd.DataFrame({"run": [key[0]], "status": ["stalled"], "last_seen": [last], "epochs": [len(times)]})
+            yield row("stalled", last, len(times))
             return
         last, times = state.get if state.exists else (0.0, [])
         done = False
         for f in frames:
-            seconds = f["at"].astype("int64") / (1e9 if str(f["at"].dtype).startswith("datetime64[ns") else 1e6)
+            seconds = f["at"].astype("datetime64[us]").astype("int64") / 1e6
             last = max([last, *seconds])
             times = sorted({*times, *seconds[f["kind"] == "epoch"]})[-50:]
-            done |= bool((f["kind"] == "done").any())
+            done |= bool((f["kind"] == "trailer").any())
         if done:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame({"run": [key[0]], "status": ["done"], "last_seen": [last], "epochs": [len(times)]})
+            yield row("done", last, len(times))
             return
-        state.update((float(last), [float(t) for t in times]))
         steps = pd.Series(times).diff().dropna()
-        state.setTimeoutDuration(int(1000 * (2 * steps.median() if len(steps) else fallback_s)) or 1)
-        yield pd.DataFrame({"run": [key[0]], "status": ["ok"], "last_seen": [last], "epochs": [len(times)]})
+        until = int(1000 * (last + (2 * steps.median() if len(steps) else fallback_s)))
+        if until <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield row("stalled", last, len(times))
+            return
+        state.update((float(last), [float(t) for t in times]))
+        state.setTimeoutTimestamp(until)
+        yield row("ok", last, len(times))
 
-    return events.groupBy("run").applyInPandasWithState(step, "run string, status string, last_seen double, epochs long", "last double, times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = events.select("run", "kind", F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
+    return marked.groupBy("run").applyInPandasWithState(step, "run string, status string, last_seen double, epochs long", "last double, times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def arriving_files(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
     """Each new file of a folder once, even if it is written again under the same name; the sink's checkpoint resumes it."""
-    f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
     return f.select("path", "length", "modificationTime").withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["path"])
