@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +102,7 @@ def _anchor_choice(sets: DataFrame, anchors: DataFrame, spans: DataFrame, mode:
     return x.select("set", "song", "total", F.explode(F.sequence(F.col("end") - F.col("w"), F.col("end") - 1)).alias("slot"))
 
 
-def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFrame, seed: int, window: float, mode: str = "uniform", least_cover: float = 0.25, melodic: list[str] | None = None, min_melodic: int = 0) -> DataFrame:
+def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFrame, seed: int, window: float, mode: str = "uniform", least_cover: float = 0.25, melodic: list[str] | None = None, min_melodic: int = 0, store: Callable[[DataFrame], DataFrame] = lambda x: x.cache()) -> DataFrame:
     """Coherent clusters for items: a row a member (item, cluster, song, start, class, role), and a row a shortfall (item, cluster, reason).
 
     items: item, `classes` (array, no repeats) and `k`, how many of them clusters are to hold. anchors: song, class_a <
@@ -114,24 +116,28 @@ def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFra
     of its classes are melodic. Every draw is a hash, so partitioning changes nothing.
 
     Songs are drawn by (set of classes left, slot), so items meet songs by equality; there are as many sets as items have.
+    `store` keeps the tables that a round and the next ones read, so that plans stay short.
     """
     if mode not in ("uniform", "overlap_weighted", "greedy"):
         raise ValueError(f"mode is uniform, overlap_weighted or greedy, not {mode}")
     tune = (lambda c: c.isin(melodic)) if melodic else (lambda c: F.lit(False))
     if min_melodic:
         anchors = anchors.filter(tune(F.col("class_a")).cast("int") + tune(F.col("class_b")).cast("int") >= min_melodic)
+    anchors, spans = store(anchors), store(spans)
     ends = spans.groupBy("song").agg(F.max("end").alias("_song_end"))
     state = items.select(item, F.array_sort("classes").alias("left"), F.least(F.col("k"), F.size("classes")).cast("int").alias("need"), F.lit(0).alias("cluster"), F.array().cast("array<string>").alias("spares"), F.lit(None).cast(spans.schema["song"].dataType).alias("song"), F.lit(None).cast("double").alias("start"))
+    state = store(state)
     most = state.agg(F.max("need")).first()[0] or 0
     rounds = 1 if mode == "greedy" else most // 2  # a cluster holds two or more
     out = []
     for r in range(rounds):
         active = state.filter("need >= 2").withColumn("set", F.concat_ws("\x1f", "left"))
         sets = active.select("set", "left").distinct()
-        choice = _anchor_choice(sets, anchors, spans, mode)
+        choice = store(_anchor_choice(sets, anchors, spans, mode))
         totals = choice.select("set", "total").distinct()
         a = active.select(item, "left", "need", "set", "cluster").join(F.broadcast(totals), "set", "left")  # a row a set of classes
         a = a.withColumn("slot", F.floor(draw(seed, F.col(item), f"song{r}") * F.col("total"))).drop("total").join(choice.drop("total"), ["set", "slot"], "left").drop("slot")
+        a = store(a)
         mine = a.filter("song is not null")
         # an anchor of the song, in proportion to its length
         lengths = _fitting(sets, anchors).withColumn("len", F.col("end") - F.col("start"))
@@ -143,7 +149,7 @@ def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFra
         high = F.greatest(low, F.least(F.col("_s"), F.greatest(F.lit(0.0), F.col("_song_end") - window)))
         v = draw(seed, F.col(item), f"window{r}")
         start = F.when(F.col("_e") - F.col("_s") >= window, F.col("_s") + v * (F.col("_e") - window - F.col("_s"))).otherwise(low + v * (high - low))
-        u = u.select(item, "left", "need", "cluster", "song", start.alias("start"))
+        u = store(u.select(item, "left", "need", "cluster", "song", start.alias("start")))
         # classes left that cover enough of the window; windows and spans meet in stretches of its length
         stretch = lambda x, y: F.explode(F.sequence(F.floor(x / window), F.floor(y / window))).alias("_b")
         near = u.select(item, "left", "song", "start", stretch(F.col("start"), F.col("start") + window)).join(spans.filter("end > start").select("song", F.col("class"), F.col("start").alias("_s"), F.col("end").alias("_e"), stretch(F.col("start"), F.col("end"))), ["song", "_b"])
@@ -156,10 +162,11 @@ def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFra
         # the first min_melodic melodic ones come before all others
         first = F.transform(F.slice(F.filter("_h", lambda h: h["tune"]), 1, min_melodic), lambda h: h["class"]) if min_melodic else F.array().cast("array<string>")
         x = x.withColumn("_order", F.array_distinct(F.concat(first, F.transform("_h", lambda h: h["class"])))).withColumn("_members", F.slice("_order", F.lit(1), F.least(F.size("_order"), F.col("need"))))
+        x = store(x.drop("_h"))
         out.append(x.select(item, "cluster", "song", "start", F.explode(F.array_sort("_members")).alias("class"), F.lit("member").alias("role"), F.lit(None).cast("string").alias("reason")))
         out.append(_short(a.filter("song is null").select(item, "cluster", F.lit("no_eligible_anchor").alias("reason")), item, spans))
         took = x.select(item, F.array_except("left", "_members").alias("left"), (F.col("need") - F.size("_members")).alias("need"), (F.col("cluster") + 1).alias("cluster"), F.array_except("_order", "_members").alias("spares"), "song", "start")
-        state = took.unionByName(state.filter("need < 2"))
+        state = store(took.unionByName(state.filter("need < 2")))
     one = state.filter("need = 1 and cluster > 0")
     spare = F.get(F.array_sort("spares"), F.floor(draw(seed, F.col(item), "grow") * F.size("spares")).cast("int"))
     grown = one.filter(F.size("spares") > 0)

@@ -15,6 +15,7 @@ from trackworks.plans import signals as G
 from trackworks.plans.log_lines import LINES_SQL, sample_line
 from trackworks.registry import registry
 from trackworks.session import table
+from trackworks.sources.scratch import kept
 
 query = registry.query
 
@@ -177,7 +178,7 @@ def e20(spark: SparkSession, d: str) -> DataFrame:
 @query("e30_covering_picks")
 def e30(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
-    return S.covering_picks(li.withColumn("class", F.concat("l_returnflag", F.col("l_linenumber").cast("string"))), "l_orderkey", "class", 3)
+    return S.covering_picks(li.withColumn("class", F.concat("l_returnflag", F.col("l_linenumber").cast("string"))), "l_orderkey", "class", 3, store=kept)
 
 
 _ANCHOR = f"WITH {A.SPANS}, m1 AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file_id, class ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END n FROM sp), m2 AS (SELECT *, sum(n) OVER (PARTITION BY file_id, class ORDER BY s, e ROWS UNBOUNDED PRECEDING) q FROM m1), mg AS (SELECT file_id, class, min(s) s, max(e) e FROM m2 GROUP BY file_id, class, q)"
@@ -268,7 +269,7 @@ def _clusters(spark: SparkSession, d: str, mode: str) -> DataFrame:
     spans = A.spans(spark, d).select(F.col("file_id").alias("song"), "class", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
     merged = S.merged(spans.withColumn("k", F.struct("song", "class")).drop("song", "class"), "k").select("k.song", "k.class", "start", "end")
     anchors = _anchors(spark, d).select(F.col("file_id").alias("song"), "class_a", "class_b", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
-    x = sampling.cluster_fill(items, "item", anchors, merged, 31, 7200.0, mode)
+    x = sampling.cluster_fill(items, "item", anchors, merged, 31, 7200.0, mode, store=kept)
     return x.withColumn("start", F.round("start", 3))
 
 

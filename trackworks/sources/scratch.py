@@ -19,6 +19,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a new path and read again: what comes after has a short plan and survives lost executors."""
+    path = scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drained(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """All that a stream appends from what there is now, through a Parquet sink with a checkpoint of its own.
 
