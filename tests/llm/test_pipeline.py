@@ -2,9 +2,19 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from tests.llm.test_decontamination import brute as plain_hits
+from tests.llm.test_near_duplicates import brute as plain_groups
+from tests.llm.test_packing import plain_best_fit
 from trackworks.llm import decontamination as D
+from trackworks.llm import lines as L
+from trackworks.llm import quality as Q
+from trackworks.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +59,81 @@ def test_line_stage_takes_boilerplate_from_short_pages_too(spark, make_docs):
     head = " ".join(["a line that all pages of the site have"] * 5)
     left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in P.line_stage(spark, make_docs(*[f"{head}\nown {i}" for i in range(6)]), SF).collect()}
     assert left == {i + 1: (f"own {i}", 5) for i in range(6)}
+
+
+def plain_lines(docs):
+    """Lines of a source on over 2 % and 3 of its different texts go from every text."""
+    pages, counts = {}, {}
+    for text, source in {(t or "", s or "") for _, t, s in docs}:
+        pages[source] = pages.get(source, 0) + 1
+        for line in {x.strip(" ") for x in text.split("\n")} - {""}:
+            counts[source, line] = counts.get((source, line), 0) + 1
+    bad = {k for k, n in counts.items() if n >= L.MIN_PAGES and n > L.MAX_SHARE * pages[k[0]]}
+    return [(i, t if t is None else "\n".join(x for x in t.split("\n") if (s or "", x.strip(" ")) not in bad), s) for i, t, s in docs]
+
+
+def plain_cut(docs, bench):
+    """Benchmark windows of ten words are cut from the texts; texts of which over half is such go."""
+    out = []
+    for i, text, s in docs:
+        w, spans, hit = list(D.WORD.finditer(text or "")), [], set()
+        low = D.words(text)
+        for n, windows in bench.items():
+            for j in range(len(low) - n + 1):
+                if tuple(low[j : j + n]) in windows:
+                    hit.update(range(j, j + n))
+        if len(hit) > 0.5 * max(1, len(low)):
+            continue
+        for j in sorted(hit):
+            if spans and spans[-1][1] == j:
+                spans[-1][1] = j + 1
+            else:
+                spans.append([j, j + 1])
+        for a, b in reversed(spans):
+            text = text[: w[a].start()] + text[w[b - 1].end() :]
+        out.append((i, text, s))
+    return out
+
+
+def test_all_stages_are_those_of_plain_code(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = Q.fit_quality(docs, labels)
+    rows = docs.collect()
+    text = Q.text_view(pa.array([r["text"] or "" for r in rows]))
+    size = np.array([r["n_chars"] if r["n_chars"] is not None else len(r["text"] or "") for r in rows], float)
+    score = model.predict(text, Q.metadata_view(size, [r["lang"] or "" for r in rows], [r["source"] or "" for r in rows]))[0]
+    left = [(r["doc_id"], r["text"], r["source"]) for r, s in zip(rows, score, strict=True) if s >= P.LEAST_QUALITY]
+    assert 0 < len(left) < len(rows)
+    left = plain_lines(left)
+    groups = plain_groups([(i, t) for i, t, _ in left], 80)
+    left = [r for r in left if groups[r[0]][1] == r[0]]
+    bench = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = D.words(r["text"])
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            bench.setdefault(n, set()).add(tuple(w[i : i + n]))
+    left = plain_cut(left, bench)
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = {}
+    for i, text, _ in left:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        want |= {(i, k): ids[at : at + 2048] for k, at in enumerate(range(0, len(ids), 2048))}
+    got = P.run(spark, SF).collect()
+    assert {(r["doc_id"], r["piece"]): r["ids"] for r in got} == want and len(got) == len(want)
+    assert len({r["sequence_id"] for r in got}) == len(plain_best_fit([len(x) for x in want.values()], 2048))
+    assert plain_hits([(i, x) for i, x, _ in left], [("x", "no such words as these ones at all anywhere here")])  # the helpers are those of the operators' tests
+
+
+def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, make_docs):
+    clash = {"quality": F.lit(1), "site_lines": F.lit("x"), "cid": F.lit(2), "contamination": F.lit(3), "piece": F.lit(4), "ids": F.lit(5)}
+    odd = make_docs((1, None), (1, None), (2, ""), (None, "words " * 50_000), (3, "tie"), (3, "tie")).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")} | clash)
+    for name, f in P.STAGES:
+        for df in (odd, odd.limit(0)):
+            done = f(spark, df, SF)
+            rows = done.collect()
+            if name != "packing":
+                assert done.schema.simpleString() == odd.schema.simpleString()
+            if name not in ("packing", "quality"):
+                assert len(rows) == (6 if df is odd else 0), name
+            assert df is odd or not rows

@@ -68,8 +68,8 @@ def _features(k: int):
             sig = minima(flat, o)
             some = o[1:] > o[:-1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(o)), *_keys(flat, o), pa.array([s.tobytes() if t else None for s, t in zip(sig, some, strict=True)], pa.binary())],
-                names=["id", "n_shingles", "key_a", "key_b", "signature"],
+                [batch.column(0), pa.array(np.diff(o)), *_keys(flat, o), *(pa.array([s.tobytes() if t else None for s, t in zip(x, some, strict=True)], pa.binary()) for x in (sig, sig.astype(np.uint8)))],
+                names=["id", "n_shingles", "key_a", "key_b", "signature", "sketch"],
             )
 
     return run
@@ -96,23 +96,24 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _least(percent: int) -> float:
-    """Equal minima that two signatures need, so that their sets may be similar."""
+    """Equal minima that two signatures need, so that their sets may be similar; last bytes are equal where they are."""
     return (percent / 100 - SLACK) * BANDS * ROWS
 
 
-def _signatures(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The last byte of each minimum: equal minima have equal ones, others one time in 256, and a quarter is shuffled."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def _maybe_similar(percent: int):
-    """Of pairs with signatures, those that may be similar."""
+    """Of pairs with sketches, those that may be similar."""
     least = _least(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 u, v, su, sv = (b.column(b.schema.get_field_index(n)) for n in ("u", "v", "su", "sv"))
-                near = pa.array(np.flatnonzero((_signatures(su) == _signatures(sv)).sum(1) >= least))
+                near = pa.array(np.flatnonzero((_sketches(su) == _sketches(sv)).sum(1) >= least))
                 yield pa.RecordBatch.from_arrays([u.take(near), v.take(near)], names=["u", "v"])
 
     return run
@@ -134,7 +135,7 @@ def _verify(percent: int):
 
 def _candidates(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For members of a tile's one side, those of the other that are in another component so far and may be similar."""
-    comp, side, sig = t.column("component").to_numpy(), t.column("side").to_numpy(), _signatures(t.column("signature"))
+    comp, side, sig = t.column("component").to_numpy(), t.column("side").to_numpy(), _sketches(t.column("sketch"))
     one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 2)  # side: 0 both, 1 the column only, 2 the row only
     for i in one.tolist():
         js = two[comp[two] != comp[i]]
@@ -197,17 +198,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     close. Signatures are compared before sets, and sets are fetched only for classes that may be similar to another.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    features = stored(texts.mapInArrow(_features(shingle), "id bigint, n_shingles bigint, key_a bigint, key_b bigint, signature binary"), "features")
+    features = stored(texts.mapInArrow(_features(shingle), "id bigint, n_shingles bigint, key_a bigint, key_b bigint, signature binary, sketch binary"), "features")
     some = features.filter("n_shingles > 0 and id is not null")
     # numbers are given once, as the table is written
-    classes = stored(some.groupBy(*KEYS).agg(F.min("id").alias("rep"), F.first("signature").alias("signature")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = stored(some.groupBy(*KEYS).agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * ROWS * 4 + 1, F.lit(ROWS * 4)))))
     members = classes.select("cid", band.alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stored(members.join(buckets, "bucket"), "buckets")
     side = lambda x, c, n: classes.select(F.col("cid").alias(x), F.col(c).alias(n))
     pairs = shared.filter("cid <> center").select(F.col("cid").alias("u"), F.col("center").alias("v")).distinct()
-    maybe = pairs.join(side("u", "signature", "su"), "u").join(side("v", "signature", "sv"), "v").select("u", "v", "su", "sv")
+    maybe = pairs.join(side("u", "sketch", "su"), "u").join(side("v", "sketch", "sv"), "v").select("u", "v", "su", "sv")
     maybe = stored(maybe.mapInArrow(_maybe_similar(percent), "u bigint, v bigint"), "candidates")
     sets = _set_table(texts, classes, maybe.select(F.col("u").alias("cid")).unionByName(maybe.select(F.col("v").alias("cid"))), shingle)
     shingles = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"x{x}"))
@@ -264,7 +265,7 @@ def _rest(texts: DataFrame, classes: DataFrame, shared: DataFrame, found: DataFr
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "cid", "component",
     )
     tiles = ["bucket", "i", "j"]
-    signed = lambda df: df.join(classes.select("cid", "signature"), "cid")
+    signed = lambda df: df.join(classes.select("cid", "sketch"), "cid")
     involved = stored(signed(rows).groupBy(*tiles).applyInArrow(_involved(percent), "bucket bigint, i int, j int, side int, cid bigint, component bigint"), "involved")
     sets = _set_table(texts, classes, involved.select("cid"), shingle)
     more = stored(signed(involved).join(sets, "cid").groupBy(*tiles).applyInArrow(_tile(percent), "u bigint, v bigint"), "more")

@@ -279,7 +279,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     documents are cut, into pieces of `capacity`. One row per piece: doc_id, piece, start, length, `ids` (payload "ids")
     or `crc32` of the ids as little-endian 32-bit numbers (payload "crc32"), sequence_id, offset.
 
-    Null and empty texts are one `end_id`. Rows that repeat an id, or have none, are documents of their own. Other
+    Null and empty texts are one `end_id`; texts of any length are encoded whole. Rows that repeat an id, or have none, are documents of their own. Other
     columns are left out, whatever their names. An empty table gives an empty table. The driver sees one count per
     length, so at most `capacity`; plan rows are about as many.
     """

@@ -241,7 +241,7 @@ def score_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", siz
     """`docs` and a struct column: score (0 to 1, higher is better), and the calibrated text and metadata views.
 
     Whole texts are read. Null and empty texts, nulls in the other columns and repeated rows are scored like any other;
-    a missing size is the text's. Other columns stay; a clash puts underscores before `out`.
+    a missing size is the text's; an empty table gives an empty table. Other columns stay; a clash puts underscores before `out`.
     """
     out = own_name(docs, out)
     df, text, size, names = _inputs(docs, text_col, size_col, meta_cols)

@@ -89,8 +89,8 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
 
     kinds: assign (name, sign, value of 8+ characters), access (key ids), hex (32+ digits) and random: strings of 20+
     characters of at most `max_chars_per_token` characters a token under the tiktoken `vocabulary` (split by `pattern`),
-    that aren't known digests, UUIDs or numbers and aren't all within spans of other kinds. Null and empty texts have none.
-    Each row is judged alone, so repeated rows and ids don't matter; other columns stay, and a clash puts underscores
+    that aren't known digests, UUIDs or numbers and aren't all within spans of other kinds. Null and empty texts have none;
+    texts of any length are read whole; an empty table gives an empty table. Each row is judged alone, so repeated rows and ids don't matter; other columns stay, and a clash puts underscores
     before `out`.
     """
     out, text = own_name(docs, out), own_name(docs, "scanned_text")
@@ -99,7 +99,11 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
 
 
 def redacted(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """`docs` with every span replaced by `mask`; overlapping spans give one."""
+    """`docs` with every span replaced by `mask`; overlapping spans give one.
+
+    Null texts stay null, texts without spans as they are, whole texts of any length are read, repeated rows are judged
+    alike, an empty table stays empty. Columns and their names stay.
+    """
     out = own_name(docs, "secrets")
     found = find_secrets(docs, vocabulary, pattern, text_col, out)
     merged = F.aggregate(

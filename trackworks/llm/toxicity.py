@@ -250,7 +250,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     """Fit on at most `per_class` labelled rows of each class (those of `labels` where `usable` holds).
 
     The ids are chosen from labels and sizes of texts, so that only these rows' texts reach the driver. Null labels, ids
-    and texts teach nothing; of an id with two labels the larger counts. Without labelled texts of both classes the model
+    and texts teach nothing; empty texts are rows like any other; empty tables are without labels; of an id with two labels the larger counts. Without labelled texts of both classes the model
     scores every text with the share of toxic labels. If all texts of a class are too long for its half of SAMPLE_BYTES,
     that is an error.
     """
@@ -285,7 +285,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", out: s
     """`docs` and a struct column of the score (0 to 1) and the toxic spans (byte offsets of the UTF-8 text).
 
     Whole texts are read, in pieces of bounded size unless one text is longer. Null and empty texts have no spans and
-    the score of a text without words. Only the text is looked at. Other columns stay; a clash puts underscores before
+    the score of a text without words; an empty table gives an empty table. Only the text is looked at. Other columns stay; a clash puts underscores before
     `out`. Repeated rows get the same score.
     """
     out, text = own_name(docs, out), own_name(docs, "scanned_text")
