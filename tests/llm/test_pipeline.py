@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from tests.llm.test_decontamination import brute as plain_hits
 from tests.llm.test_near_duplicates import brute as plain_groups
 from tests.llm.test_packing import plain_best_fit
 from trackworks.llm import decontamination as D
@@ -76,7 +75,7 @@ def plain_cut(docs, bench):
     """Benchmark windows of ten words are cut from the texts; texts of which over half is such go."""
     out = []
     for i, text, s in docs:
-        w, spans, hit = list(D.WORD.finditer(text or "")), [], set()
+        w, spans, hit = list(D.WORD.finditer((text or "").translate({i: i + 32 for i in range(65, 91)}))), [], set()
         low = D.words(text)
         for n, windows in bench.items():
             for j in range(len(low) - n + 1):
@@ -122,7 +121,6 @@ def test_all_stages_are_those_of_plain_code(spark):
     got = P.run(spark, SF).collect()
     assert {(r["doc_id"], r["piece"]): r["ids"] for r in got} == want and len(got) == len(want)
     assert len({r["sequence_id"] for r in got}) == len(plain_best_fit([len(x) for x in want.values()], 2048))
-    assert plain_hits([(i, x) for i, x, _ in left], [("x", "no such words as these ones at all anywhere here")])  # the helpers are those of the operators' tests
 
 
 def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, make_docs):
