@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackworks.llm import chat, decontamination, embeddings, lines, near_duplicates, packing, quality, secrets, toxicity, url_filters
+from trackworks.llm import archive, chat, decontamination, divergence, embeddings, lines, near_duplicates, packing, phrases, quality, secrets, toxicity, url_filters
 
 #: Where the public tokenizer files are; None takes the installed package's.
 TOKENIZER_DIR: str | None = None
@@ -175,6 +175,56 @@ f AS (SELECT r.c, sum(e.chars_upto - s.chars_upto + s.chars + s.hc + CASE WHEN s
 g AS (SELECT c, any_value(conv_id) conv_id, count(*) n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank) said, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY rank), '') loss FROM u GROUP BY 1)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, f.chars::BIGINT AS formatted_chars FROM g JOIN f USING (c)"""
 
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir).select("text", "lang"))
+
+
+_FOLDED = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""WITH d AS (SELECT coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_FOLDED.format("text")}, '[.,;:!?\x0A-\x0D]')) piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) phrase FROM p, (SELECT unnest([1, 2, 3, 4]) k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) c FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(c) n FROM f WHERE k = 1 GROUP BY 1),
+a AS (SELECT lang, k, phrase, string_split(phrase, ' ') w, c a FROM f WHERE k >= 2 AND c >= 30),
+cut AS (SELECT lang, phrase, w, a, unnest(range(1, k)) j FROM a),
+s AS (SELECT cut.lang, cut.phrase, cut.a, j, l.c l, r.c r, 2000000::HUGEINT * cut.a // (l.c + r.c) score FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(w[1 : j], ' ')
+  JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(w[j + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT DISTINCT x.lang, x.phrase FROM a x JOIN a y ON x.lang = y.lang AND y.k > x.k AND 100 * y.a >= 80 * x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) rank FROM b ANTI JOIN held USING (lang, phrase))
+SELECT o.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n::BIGINT AS n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archived(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+OP12_SQL = f"""WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) n, sha256(coalesce(html, '')) d FROM pages),
+m AS (SELECT *, n >= {archive.LEAST_REVISITED} AND page_id IS DISTINCT FROM min(page_id) OVER (PARTITION BY d) again, min(page_id) OVER (PARTITION BY d) least FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to, url FROM m"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+OP13_SQL = f"""WITH d AS (SELECT row_number() OVER () i, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all({_FOLDED.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) term FROM d),
+c AS (SELECT lang, source, term, count(*) c, count(DISTINCT i) docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(c) c FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) v, sum(c) n FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT c.lang, c.source, sum(c.c) n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (coalesce(n.n, 0) + 2 * v.v) p, 1 + 1000000000::HUGEINT * (k.c + 2) // (v.n + 2 * v.v) q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) value FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(x.value, 0) value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM m WHERE c > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 10"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
@@ -186,6 +236,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_collocations": op11_collocations,
+    "op12_warc_archive": op12_warc_archive,
+    "op13_source_divergence": op13_source_divergence,
 }
 SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
@@ -194,4 +247,7 @@ SQL: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
     "op8_embedding_near_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_warc_archive": OP12_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
