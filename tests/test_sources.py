@@ -64,6 +64,16 @@ def test_log_lines(spark):
     assert [rows[i]["value"] for i in (0, 1, 3, 4)] == [3.0, 4.25, 3.0, 500.0] and rows[2]["value"] != rows[2]["value"]
 
 
+def test_lines_of_several_events(spark):
+    lines = ["100%|##| 7/7 [0:12<00:00, loss=nan]100%|##| 3/3 [1:00:12<00:00] === r1 stopped by SIGINT", "loss=0.2, val_loss=inf Metric avg a: 1.5 Metric avg b: -2", "7/8 [0:12<00:00]", "x/x [0:12<00:00]", "===  CRASHED", "=== r CRASHEDX", "loss=nanometer", None, ""]
+    rows = L.line_events(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")).orderBy("i", "place").collect()
+    assert [(r["i"], r["kind"], r["name"], r["value"], r["elapsed"]) for r in rows] == [
+        (0, "bar", None, 7.0, "0:12"), (0, "nan_loss", "nan", None, None), (0, "bar", None, 3.0, "1:00:12"), (0, "trailer", "stopped by SIGINT", None, None),
+        (1, "nan_loss", "inf", None, None), (1, "average", "a", 1.5, None), (1, "average", "b", -2.0, None), (5, "trailer", "CRASHED", None, None),
+    ]
+    assert [r["place"] for r in rows if r["i"] == 0] == sorted(r["place"] for r in rows if r["i"] == 0)
+
+
 def test_wav_tables_round_trip_and_clip(spark):
     df = spark.createDataFrame([("a", [[0.5, -0.25, 1.5], [0.0, -1.0, 3 / 65536]])], "name string, ch array<array<double>>")
     r = S.wav_blocks(S.wav_files(df, "name", "ch", 8000)).first()

@@ -21,7 +21,7 @@ def test_loudness_of_sines_and_silence(spark):
     assert got["half"] == pytest.approx(-9.03, abs=0.1)
     assert got["silent"] is None
     small = [(n, s, a + k, [c[k : k + 2048] for c in x]) for n, s, a, x in rows for k in range(0, size, 2048)]
-    again = {r["file_id"]: r["lufs"] for r in S.integrated_loudness(spark.createDataFrame(small, df.schema), context=4).collect()}
+    again = {r["file_id"]: r["lufs"] for r in S.integrated_loudness(spark.createDataFrame(small, df.schema)).collect()}
     assert again["mono"] == pytest.approx(got["mono"], abs=1e-9)
 
 
@@ -90,12 +90,12 @@ def test_window_loudness_keeps_silent_windows_and_flags_them(spark):
     x = np.sin(2 * np.pi * 997 * t) * np.where((t >= 1) & (t < 3), 0.0, 1.0) * np.where(t >= 3, 0.5, 1.0)
     rows = [(name, sr, at, [(g * x[at : at + size]).tolist()]) for name, g in (("a", 1.0), ("none", 0.0)) for at in range(0, len(x), size)]
     df = spark.createDataFrame(rows, "file_id string, sr int, start long, samples array<array<double>>")
-    got = {(r["file_id"], r["window"]): r for r in S.window_loudness(df, 1.0, context=5).collect()}
+    got = {(r["file_id"], r["window"]): r for r in S.window_loudness(df, 1.0).collect()}
     assert sorted(got) == [(f, w) for f in ("a", "none") for w in range(4)]  # the last, partial second goes
     a = [got["a", w] for w in range(4)]
     assert a[0]["lufs"] == pytest.approx(-3.01, abs=0.1) and a[3]["lufs"] == pytest.approx(-9.03, abs=0.2)
     assert [a[w]["measurable"] for w in (0, 2, 3)] == [True, False, True] and a[2]["lufs"] is None and a[2]["minus_file"] is None  # window 1 has the filter's decay
-    whole = S.integrated_loudness(df, context=5).filter("file_id = 'a'").first()["lufs"]
+    whole = S.integrated_loudness(df).filter("file_id = 'a'").first()["lufs"]
     assert a[0]["minus_file"] == pytest.approx(a[0]["lufs"] - whole)
     assert not any(got["none", w]["measurable"] for w in range(4))
 
@@ -124,3 +124,81 @@ def test_noise_is_put_at_its_ratio_and_crests_skip_silence(spark):
     r = X.block_crests(b, ["f"], "i").collect()
     crests = [20 * np.log10(np.abs(p).max() / np.sqrt((p**2).mean())) for p in parts[:-1]]
     assert len(r) == 1 and r[0]["crest_p50_db"] == pytest.approx(np.percentile(crests, 50), abs=1e-5) and r[0]["crest_p95_db"] == pytest.approx(np.percentile(crests, 95), abs=1e-5)
+
+
+def plain_k(x, sr):
+    """Both filters as plain recursions."""
+    for b, a in S.k_coefficients(sr):
+        y = np.zeros_like(x)
+        x1 = x2 = y1 = y2 = 0.0
+        for i, v in enumerate(x):
+            y[i] = b[0] * v + b[1] * x1 + b[2] * x2 - a[1] * y1 - a[2] * y2
+            x2, x1, y2, y1 = x1, v, y1, y[i]
+        x = y
+    return x
+
+
+def test_k_weighting_is_the_plain_recursion_over_ten_minutes():
+    sr = 4000
+    t = np.arange(600 * sr) / sr
+    x = np.sin(2 * np.pi * 440 * t) * (1 + 0.3 * np.sin(2 * np.pi * 0.1 * t)) + 0.2
+    f, state, parts = S.k_weighting(sr), np.zeros(4), []
+    for at in range(0, len(x), 100_003):
+        y, state = f.run(x[at : at + 100_003], state)
+        parts.append(y)
+    assert np.abs(np.concatenate(parts) - plain_k(x, sr)).max() < 1e-9
+
+
+def test_hops_are_those_of_one_recursion_whatever_the_blocks(spark):
+    sr, rng = 8000, np.random.default_rng(8)
+    x = rng.normal(size=(2, 5000))
+    want = sum(plain_k(c, sr) ** 2 for c in x)
+    for size in (5000, 700, 37):
+        rows = [("f", sr, at, x[:, at : at + size].tolist()) for at in range(0, 5000, size)]
+        df = spark.createDataFrame(rows, "file_id string, sr int, start long, samples array<array<double>>").repartition(3)
+        got = {r["hop"]: r["e"] for r in S._hops(df).collect()}
+        assert sorted(got) == list(range(6)) and all(abs(got[k] - want[k * 800 : k * 800 + 800].sum()) < 1e-9 * got[k] + 1e-9 for k in got)
+
+
+def test_vector_sums_of_uneven_blocks(spark, monkeypatch):
+    monkeypatch.setattr(X, "SUM_SAMPLES", 50)
+    rng = np.random.default_rng(9)
+    rows = [(k, g, rng.normal(size=n)) for k, g, n in [(i % 7, None if i % 3 else "x", int(rng.integers(0, 12))) for i in range(300)]]
+    df = spark.createDataFrame([(k, g, x.tolist()) for k, g, x in rows] + [(1, "x", None), (99, "n", [])], "k int, g string, samples array<double>").repartition(6)
+    want = {}
+    for k, g, x in rows:
+        if len(x):
+            have = want.get((k, g), np.zeros(0))
+            n = max(len(have), len(x))
+            want[k, g] = np.pad(have, (0, n - len(have))) + np.pad(x, (0, n - len(x)))
+    got = {(r["k"], r["g"]): np.array(r["samples"]) for r in X.vector_sum(df, ["k", "g"]).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    (whole,) = X.vector_sum(df.select("samples"), []).collect()
+    assert np.allclose(whole["samples"][0], sum(x[0] for *_, x in rows if len(x)))
+    plan = X.vector_sum(df, ["k", "g"])._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan.lower()
+
+
+def test_bus_residual_goes_to_the_loudest_stem(spark):
+    rng = np.random.default_rng(10)
+    stems = rng.normal(size=(3, 40))
+    df = spark.createDataFrame([("s", i, x.tolist()) for i, x in enumerate(stems)], "song string, stem int, samples array<double>")
+    got = {r["stem"]: np.array(r["samples"]) for r in X.bus_allocated(df, ["song"], "stem", 0.7, 0.5).collect()}
+    assert np.allclose(sum(got.values()), np.clip(0.7 * stems.sum(0), -0.5, 0.5))
+    top = np.abs(stems).argmax(0)
+    assert all(np.allclose(got[i][top != i], 0.7 * stems[i][top != i]) for i in range(3))
+
+
+def test_interpolation_and_limiter_in_chunks(spark):
+    rng = np.random.default_rng(11)
+    n = 500
+    level = rng.normal(size=n) * 2
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(level)], "k string, idx long, level double").repartition(5)
+    at = sorted(rng.choice(n, 30, replace=False).tolist())
+    points = spark.createDataFrame([("a", i, float(i % 13)) for i in at], "k string, idx long, gain double")
+    got = [r["gain"] for r in S.interpolated(df, points, "k", "idx", "gain", chunk=11).orderBy("idx").collect()]
+    assert np.allclose(got, np.interp(np.arange(n), at, [i % 13 for i in at]))
+    need = np.where(np.abs(level) > 1.5, 1.5 / np.abs(level), 1.0)
+    low = np.array([need[i : i + 4].min() for i in range(n)])
+    want = [min(low[max(0, i - 3) : i + 1].mean(), need[i]) for i in range(n)]
+    assert np.allclose([r["gain"] for r in S.limiter_gain(df, "k", "idx", "level", 1.5, 3, chunk=10).orderBy("idx").collect()], want)

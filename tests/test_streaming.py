@@ -62,3 +62,36 @@ def test_files_come_once(spark, tmp_path):
         (tmp_path / "in" / n).write_bytes(n.encode())
     got = drained(S.arriving_files(spark, str(tmp_path / "in")), "fs", "append").select(F.regexp_extract("path", "[^/]*$", 0).alias("p"), "length").collect()
     assert sorted(map(tuple, got)) == [("a", 1), ("b", 1)]
+
+
+def test_a_file_copied_in_late_with_an_old_time_comes_too(spark, tmp_path):
+    import os
+
+    from trackworks.sources import scratch
+
+    (tmp_path / "in").mkdir()
+    out = scratch.scratch(spark, "ledger")
+    now = datetime.datetime.now().timestamp()
+
+    def put(name, age_s):
+        (tmp_path / "in" / name).write_text(name)
+        os.utime(tmp_path / "in" / name, (now - age_s, now - age_s))
+
+    put("a", 0)
+    scratch.drained(S.arriving_files(spark, f"file://{tmp_path}/in"), "files", out)
+    put("b", 5 * 86400)
+    put("c", 400 * 86400)
+    put("a", -60)  # written again under its name
+    found = scratch.drained(S.arriving_files(spark, f"file://{tmp_path}/in"), "files", out)
+    assert sorted(r["path"][-1] for r in found.collect()) == ["a", "b", "c"]
+
+
+def test_stalls_take_the_median_of_all_steps(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    # 60 steps of 10 s, then 50 of 1 s: the median of all is 10 s, that of the last ones 1 s
+    at = [t0 + datetime.timedelta(seconds=10 * i if i <= 60 else 600 + i - 60) for i in range(111)]
+    rows = [("r", "epoch", t) for t in at] + [("other", "epoch", at[-1] + datetime.timedelta(seconds=15))]
+    spark.createDataFrame(rows, "run string, kind string, at timestamp").repartition(3).write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("run string, kind string, at timestamp").parquet(str(tmp_path / "e"))
+    got = {(r["run"], r["status"], r["epochs"]) for r in drained(S.stalls(stream), "st2", "append").collect()}
+    assert ("r", "ok", 111) in got and ("r", "stalled", 111) not in got

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackworks.operators.gates import require_none, require_unique
+from trackworks.operators.ranges import in_parts
 
 
 def validated_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -23,26 +25,13 @@ def resumable(work: DataFrame, done: DataFrame, key: str, todo: str = "todo", ca
     return work.join(have, key, "left").withColumn("ops", F.when(F.col("_done"), cached).otherwise(todo)).drop("_done")
 
 
-def range_part(df: DataFrame, order: str, parts: int) -> Column:
-    """The number of the part of a numeric column's range that a row is in; parts are about equally full.
+def prefix_offsets(df: DataFrame, order: str, n: str, out: str, parts: int | None = None, ties: Sequence[str] = (), part_rows: int | None = None) -> DataFrame:
+    """Exclusive running sum of n in the order of a column (and `ties` where it repeats).
 
-    Bounds are at most parts - 1 numbers, taken first and then fixed, so that a row's part is the same wherever it is
-    asked for. Equal values are in one part.
+    Rows are summed within contiguous parts of that order, as many as their number asks for, and offset by the sums of the
+    parts before: no task sorts the whole table, and a value that most rows have is split by its ties.
     """
-    at = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(df.agg(F.percentile_approx(order, F.array(*map(F.lit, at)), F.lit(2000))).first()[0] or []))
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order)))
-
-
-def prefix_offsets(df: DataFrame, order: str, n: str, out: str, parts: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Exclusive running sum of n in the order of a numeric column (and `ties` where it repeats).
-
-    Rows are summed within parts of the column's range and offset by the sums of the parts before: no task sorts the
-    whole table.
-    """
-    ranged = df.withColumn("_part", range_part(df, order, parts))
+    ranged = in_parts(df, [order, *ties], part_rows, parts)
     sums = ranged.groupBy("_part").agg(F.sum(n).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     base = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackworks.operators.ranges import in_parts, quantiles, with_quantiles
+
 
 def balanced_and_pooled(df: DataFrame, keys: list[str], cls: str, score: str, song: str, digits: int = 6) -> DataFrame:
     """Per `keys`: the mean of class means, the mean over all rows, and the counts of rows and songs.
@@ -19,8 +21,9 @@ def balanced_and_pooled(df: DataFrame, keys: list[str], cls: str, score: str, so
 
 def pool_summary(df: DataFrame, keys: list[str], value: str, per_hour: float = 3600.0, points: tuple[float, ...] = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0), digits: int = 6) -> DataFrame:
     """Count, hours, mean and exact percentiles (linear interpolation) of a duration, by keys."""
-    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.sum(value) / per_hour, digits).alias("hours"), F.round(F.avg(value), digits).alias("mean"), F.percentile(value, F.array(*map(F.lit, points))).alias("_p"))
-    return g.select(*keys, "n", "hours", "mean", *[F.round(F.get("_p", F.lit(i)), digits).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.sum(value) / per_hour, digits).alias("hours"), F.round(F.avg(value), digits).alias("mean"))
+    g = with_quantiles(g, df, keys, value, points)
+    return g.select(*keys, "n", "hours", "mean", *[F.round(F.get("_q", F.lit(i)), digits).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
 def below_thresholds(df: DataFrame, keys: list[str], value: str, thresholds: list[float], digits: int = 6) -> DataFrame:
@@ -40,7 +43,7 @@ def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
 
 def outliers(df: DataFrame, keys: list[str], value: str, k: float = 1.5) -> DataFrame:
     """Rows above q75 + k times the interquartile range of their group, with that fence."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q")).select(*keys, (F.get("_q", F.lit(1)) + k * (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)))).alias("fence"))
+    q = quantiles(df, keys, value, (0.25, 0.75), "_q").select(*keys, (F.get("_q", F.lit(1)) + k * (F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)))).alias("fence"))
     return df.join(q, keys).filter(F.col(value) > F.col("fence"))
 
 
@@ -72,15 +75,11 @@ def mahalanobis(x: str, y: str) -> "F.Column":
 def ks_statistic(df: DataFrame, label: str, a, b, value: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value: one row.
 
-    Counts of distinct values are summed up within parts of the value's range, then offset by the parts before, so no
+    Counts of distinct values are summed up within parts of the values' order, then offset by the parts before, so no
     task sorts the whole table.
     """
-    from pyspark.sql import Window
-
-    from trackworks.operators.joins import range_part
-
     c = df.filter(F.col(label).isin(a, b) & F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(label) == a).alias("na"), F.count_if(F.col(label) == b).alias("nb"))
-    r = c.withColumn("_part", range_part(c, "v", 64))
+    r = in_parts(c, ["v"])
     sums = r.groupBy("_part").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     base = sums.select("_part", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("ba"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("bb"), F.sum("sa").over(Window.partitionBy()).alias("ta"), F.sum("sb").over(Window.partitionBy()).alias("tb"))

@@ -8,28 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackworks.operators.columns import draw
+from trackworks.operators.ranges import ranked_draws
+from trackworks.operators.signals import vector_sum
+from trackworks.sources.scratch import kept
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: int, share: float = 0.1) -> DataFrame:
     """train, val and test by stratum: a rounded share each for val and test, at least 1 where a stratum has more than 2 rows."""
-    w = Window.partitionBy(stratum)
-    u = df.withColumns({"_r": F.row_number().over(w.orderBy(draw(seed, F.col(key), "split"), key)), "_n": F.count(F.lit(1)).over(w)})
-    nv = F.least(F.greatest(F.lit(1.0), F.bround(F.col("_n") * F.lit(share))), F.col("_n") - 2)
-    return u.withColumn("split", F.when(F.col("_r") <= nv, "val").when(F.col("_r") <= 2 * nv, "test").otherwise("train")).drop("_r", "_n")
+    u = ranked_draws(df, stratum, draw(seed, F.col(key), "split"), key)
+    nv = F.least(F.greatest(F.lit(1.0), F.bround(F.col("_total") * F.lit(share))), F.col("_total") - 2)
+    return u.withColumn("split", F.when(F.col("_rank") <= nv, "val").when(F.col("_rank") <= 2 * nv, "test").otherwise("train")).drop("_rank", "_total")
 
 
 def quota_sample(df: DataFrame, key: str, stratum: str, seed: int, total: int, least: int) -> DataFrame:
     """At least `least` rows of each stratum (or all it has), and for the rest of `total` a share in proportion."""
     c = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     s = c.agg(F.sum("_n").alias("_t"))
-    c = c.join(F.broadcast(s)).withColumn("_q", F.least(F.col("_n"), F.greatest(F.lit(least), F.floor(F.col("_n") * total / F.col("_t")))))  # one row of totals
-    r = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, F.col(key), "quota"), key)))
-    return r.join(c.select(stratum, "_q"), stratum).filter("_r <= _q").drop("_r", "_q")
+    c = c.join(F.broadcast(s)).select(stratum, F.least(F.col("_n"), F.greatest(F.lit(least), F.floor(F.col("_n") * total / F.col("_t")))).alias("_q"))  # one row of totals
+    r = ranked_draws(df.join(c, stratum), stratum, draw(seed, F.col(key), "quota"), key, most=F.col("_q"))
+    return r.filter("_rank <= _q").drop("_rank", "_total", "_q")
 
 
 def round_robin(df: DataFrame, key: str, stratum: str, seed: int, n: int, cap: int) -> DataFrame:
     """n rows, one of each stratum in turn, no more than cap of one."""
-    r = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, F.col(key), "turn"), key)))
+    r = ranked_draws(df, stratum, draw(seed, F.col(key), "turn"), key, most=F.lit(cap)).withColumnRenamed("_rank", "turn").drop("_total")
     return r.filter(F.col("turn") <= cap).orderBy("turn", stratum).limit(n)
 
 
@@ -102,7 +104,7 @@ def _anchor_choice(sets: DataFrame, anchors: DataFrame, spans: DataFrame, mode:
     return x.select("set", "song", "total", F.explode(F.sequence(F.col("end") - F.col("w"), F.col("end") - 1)).alias("slot"))
 
 
-def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFrame, seed: int, window: float, mode: str = "uniform", least_cover: float = 0.25, melodic: list[str] | None = None, min_melodic: int = 0, store: Callable[[DataFrame], DataFrame] = lambda x: x.cache()) -> DataFrame:
+def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFrame, seed: int, window: float, mode: str = "uniform", least_cover: float = 0.25, melodic: list[str] | None = None, min_melodic: int = 0, store: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Coherent clusters for items: a row a member (item, cluster, song, start, class, role), and a row a shortfall (item, cluster, reason).
 
     items: item, `classes` (array, no repeats) and `k`, how many of them clusters are to hold. anchors: song, class_a <
@@ -192,11 +194,12 @@ def _fitting(sets: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def realised(picks: DataFrame, blocks: DataFrame, item: str, file: str, length: int, samples: str = "samples", bucket: int | None = None) -> DataFrame:
-    """The mixture of an item: windows of `length` samples of its picks' files from `start`, each times `gain`, summed by position.
+    """The mixture of an item: windows of `length` samples of its picks' files from `start`, each times `gain`, added up: item, first, samples.
 
     blocks: file, first (frame of the first sample), samples. Picks meet only blocks of their own stretches of `bucket`
     frames (as long as a window by default), so that a window may span several blocks, no file is put together, and a
-    long file is many join keys.
+    long file is many join keys. What they share is added as pieces of the window, `bucket` samples from its place
+    `first`, so no sample becomes a row; samples that no block reaches are 0.
     """
     size = bucket or length
     stretch = lambda at, n: F.explode(F.sequence(F.floor(at / size), F.floor((at + n - 1) / size))).alias("_bucket")
@@ -204,7 +207,12 @@ def realised(picks: DataFrame, blocks: DataFrame, item: str, file: str, length:
     b = blocks.filter(F.size(samples) > 0).select(file, "first", samples, stretch(F.col("first"), F.size(samples)))
     # a pick and a block may meet in several stretches; the first of them counts
     once = F.col("_bucket") == F.floor(F.greatest("start", "first") / size)
-    overlap = (F.col("first") < F.col("start") + length) & (F.col("first") + F.size(samples) > F.col("start"))
-    x = p.join(b, [file, "_bucket"]).filter(once & overlap).select(item, "gain", (F.col("first") - F.col("start")).alias("_shift"), F.posexplode(samples).alias("_p", "_x"))
-    x = x.withColumn("pos", (F.col("_p") + F.col("_shift")).cast("int")).filter((F.col("pos") >= 0) & (F.col("pos") < length))
-    return x.groupBy(item, "pos").agg(F.sum(F.col("gain") * F.col("_x")).alias("v"))
+    low, high = F.greatest("first", "start"), F.least(F.col("first") + F.size(samples), F.col("start") + length)
+    x = p.join(b, [file, "_bucket"]).filter(once & (low < high)).select(item, "gain", (low - F.col("start")).alias("_at"), F.slice(samples, (low - F.col("first") + 1).cast("int"), (high - low).cast("int")).alias("_x"))
+    end = F.col("_at") + F.size("_x")
+    x = x.select("*", F.explode(F.sequence(F.floor(F.col("_at") / size), F.floor((end - 1) / size))).alias("_cell"))
+    begin = F.col("_cell") * size
+    lead = F.greatest(F.lit(0), F.col("_at") - begin).cast("int")
+    own = F.slice("_x", (F.greatest(begin, "_at") - F.col("_at") + 1).cast("int"), (F.least(begin + size, end) - F.greatest(begin, "_at")).cast("int"))
+    piece = F.concat(F.array_repeat(F.lit(0.0), lead), F.transform(own, lambda v: F.col("gain") * v))
+    return vector_sum(x.select(item, begin.alias("first"), piece.alias(samples)), [item, "first"], samples)

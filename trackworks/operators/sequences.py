@@ -7,67 +7,81 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackworks.operators import ranges
+from trackworks.sources.scratch import kept
 
-def runs(df: DataFrame, key: str, idx: str, flag: Column, *aggs: Column) -> DataFrame:
-    """Maximal runs of consecutive idx where flag holds: key, start, end (exclusive), and aggs over the run's rows."""
-    on = df.filter(flag)
-    island = on.withColumn("_island", F.col(idx) - F.row_number().over(Window.partitionBy(key).orderBy(idx)))
+
+def _chunk(at: str, size: int | None) -> Column:
+    return F.floor(F.col(at) / (size or ranges.CHUNK))
+
+
+def runs(df: DataFrame, key: str, idx: str, flag: Column, *aggs: Column, chunk: int | None = None) -> DataFrame:
+    """Maximal runs of consecutive idx where flag holds: key, start, end (exclusive), and aggs over the run's rows.
+
+    Rows are numbered in chunks of `chunk` positions, so a long file is many tasks; runs over a chunk's end stay whole.
+    """
+    on = ranges.carried(df.filter(flag), key, [idx], _chunk(idx, chunk), _island=("sum", F.lit(1)))
+    island = on.withColumn("_island", F.col(idx) - F.col("_island"))
     return island.groupBy(key, "_island").agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("end"), *aggs).drop("_island")
 
 
-def hysteresis_segments(df: DataFrame, key: str, idx: str, level: str, open_at: float, close_at: float) -> DataFrame:
+def hysteresis_segments(df: DataFrame, key: str, idx: str, level: str, open_at: float, close_at: float, chunk: int | None = None) -> DataFrame:
     """Runs above close_at that hold at least one level at or above open_at."""
-    r = runs(df, key, idx, F.col(level) > close_at, F.bool_or(F.col(level) >= open_at).alias("_opens"))
+    r = runs(df, key, idx, F.col(level) > close_at, F.bool_or(F.col(level) >= open_at).alias("_opens"), chunk=chunk)
     return r.filter("_opens").drop("_opens")
 
 
-def _joined(df: DataFrame, key: str, breaks: Column) -> DataFrame:
-    w = Window.partitionBy(key).orderBy("start", "end")
-    g = df.withColumn("_new", F.coalesce(breaks.cast("int"), F.lit(1))).withColumn("_group", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def _joined(df: DataFrame, key: str, breaks: Column, chunk: int | None) -> DataFrame:
+    g = df.withColumn("_new", F.coalesce(breaks.cast("int"), F.lit(1)))
+    g = ranges.carried(g, key, ["start", "end"], _chunk("start", chunk), _group=("sum", F.col("_new")))
     return g.groupBy(key, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
 
 
-def bridged(df: DataFrame, key: str, min_gap: float) -> DataFrame:
+def bridged(df: DataFrame, key: str, min_gap: float, chunk: int | None = None) -> DataFrame:
     """Sorted, disjoint spans with gaps shorter than min_gap closed."""
-    return _joined(df, key, F.col("start") - F.lag("end").over(Window.partitionBy(key).orderBy("start", "end")) >= min_gap)
+    x = ranges.carried(df, key, ["start", "end"], _chunk("start", chunk), inclusive=False, _before=("last", F.col("end")))
+    return _joined(x, key, F.col("start") - F.col("_before") >= min_gap, chunk)
 
 
-def merged(df: DataFrame, key: str) -> DataFrame:
+def merged(df: DataFrame, key: str, chunk: int | None = None) -> DataFrame:
     """Union of spans in any order: overlapping and touching ones become one."""
-    before = F.max("end").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    return _joined(df, key, F.col("start") > before)
+    x = ranges.carried(df, key, ["start", "end"], _chunk("start", chunk), inclusive=False, _before=("max", F.col("end")))
+    return _joined(x, key, F.col("start") > F.col("_before"), chunk)
 
 
-def with_tails(df: DataFrame, key: str, margin: float, limit: str) -> DataFrame:
+def with_tails(df: DataFrame, key: str, margin: float, limit: str, chunk: int | None = None) -> DataFrame:
     """Spans whose ends are moved by margin, not past the key's limit, and merged again."""
-    return merged(df.withColumn("end", F.least(F.col("end") + margin, F.col(limit))), key)
+    return merged(df.withColumn("end", F.least(F.col("end") + margin, F.col(limit))), key, chunk)
+
 
+def segments(df: DataFrame, key: str, idx: str, level: str, open_at: float, close_at: float, min_gap: int, min_len: int, margin: int, chunk: int | None = None) -> DataFrame:
+    """Activity segments of level envelopes: hysteresis, bridging, least length, tails; a long file is scanned in chunks.
 
-def segments(df: DataFrame, key: str, idx: str, level: str, open_at: float, close_at: float, min_gap: int, min_len: int, margin: int) -> DataFrame:
-    """Activity segments of level envelopes: hysteresis, bridging, least length, tails. One shuffle by key serves all."""
+    Spans are few beside blocks; they are written after each step, as the next one reads them more than once.
+    """
     n = df.groupBy(key).agg((F.max(idx) + 1).alias("_n"))
-    s = bridged(hysteresis_segments(df, key, idx, level, open_at, close_at), key, min_gap).filter(F.col("end") - F.col("start") >= min_len)
-    return with_tails(s.join(n, key), key, margin, "_n")
+    s = kept(hysteresis_segments(df, key, idx, level, open_at, close_at, chunk))
+    s = kept(bridged(s, key, min_gap, chunk).filter(F.col("end") - F.col("start") >= min_len).join(n, key))
+    return kept(with_tails(s, key, margin, "_n", chunk))
 
 
-def segment_rows(seg: DataFrame, df: DataFrame, key: str, idx: str, level: str) -> DataFrame:
+def segment_rows(seg: DataFrame, df: DataFrame, key: str, idx: str, level: str, chunk: int | None = None) -> DataFrame:
     """Segments with their number and the mean and peak level of their blocks.
 
-    Blocks find their segment by a last-value window over a union, so no range join is made.
+    Blocks find their segment as the last one before them in a union, in chunks: no range join is made.
     """
     u = df.select(key, F.col(idx).alias("_at"), F.col(level).alias("_v"), F.lit(None).cast("long").alias("_s"), F.lit(None).cast("long").alias("_e"), F.lit(1).alias("_o")).unionByName(
         seg.select(key, F.col("start").alias("_at"), F.lit(None).cast("double").alias("_v"), F.col("start").cast("long").alias("_s"), F.col("end").cast("long").alias("_e"), F.lit(0).alias("_o"))
     )
-    w = Window.partitionBy(key).orderBy("_at", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    inside = u.withColumns({"start": F.last("_s", True).over(w), "end": F.last("_e", True).over(w)}).filter("_o = 1 and _at < end")
-    rows = inside.groupBy(key, "start", "end").agg(F.avg("_v").alias("mean_level"), F.max("_v").alias("peak_level"))
-    return rows.withColumn("seg_idx", F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1)
+    x = ranges.carried(u, key, ["_at", "_o"], _chunk("_at", chunk), start=("last", F.col("_s")), end=("last", F.col("_e")))
+    rows = kept(x.filter("_o = 1 and _at < end").groupBy(key, "start", "end").agg(F.avg("_v").alias("mean_level"), F.max("_v").alias("peak_level")))
+    return ranges.carried(rows, key, ["start"], _chunk("start", chunk), inclusive=False, seg_idx=("sum", F.lit(1))).na.fill({"seg_idx": 0})
 
 
-def rests(seg: DataFrame, key: str) -> DataFrame:
+def rests(seg: DataFrame, key: str, chunk: int | None = None) -> DataFrame:
     """Gaps between a key's segments."""
-    nxt = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
-    return seg.select(key, F.col("end").alias("start"), nxt.alias("end")).filter("end is not null").withColumn("gap", F.col("end") - F.col("start"))
+    x = ranges.carried(seg, key, ["start"], _chunk("start", chunk), inclusive=False, _before=("last", F.col("end")))
+    return x.filter("_before is not null").select(key, F.col("_before").alias("start"), F.col("start").alias("end"), (F.col("start") - F.col("_before")).alias("gap"))
 
 
 def longest_run(df: DataFrame, key: str, idx: str, flag: Column) -> DataFrame:
@@ -112,9 +126,10 @@ def top_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def mean_step(df: DataFrame, key: str, idx: str, value: str) -> DataFrame:
+def mean_step(df: DataFrame, key: str, idx: str, value: str, chunk: int | None = None) -> DataFrame:
     """Mean absolute difference of successive values."""
-    d = df.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(idx))))
+    x = ranges.carried(df, key, [idx], _chunk(idx, chunk), inclusive=False, _before=("last", F.struct(F.col(value).alias("v"))))
+    d = x.withColumn("_d", F.abs(F.col(value) - F.col("_before.v")))
     return d.groupBy(key).agg(F.avg("_d").alias("mean_step"))
 
 
@@ -122,6 +137,18 @@ def filled_forward(df: DataFrame, key: str, order: list, value: Column, out: str
     return df.withColumn(out, F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def window_energy(df: DataFrame, key: str, idx: str, energy: Column, k: int, chunk: int | None = None) -> DataFrame:
+    """Energy of each window of k rows, named by its first, where k more rows follow it: key, start, energy.
+
+    A prefix sum, carried from chunk to chunk, is taken from the one k rows later. Positions are whole numbers without gaps.
+    """
+    p = ranges.carried(df.select(key, idx, energy.alias("_e")), key, [idx], _chunk(idx, chunk), inclusive=False, _c=("sum", F.col("_e")))
+    p = p.withColumn("_c", F.coalesce("_c", F.lit(0)))
+    near = Window.partitionBy(key, "_chunk").orderBy(idx)
+    x = ranges.nearby(p, key, idx, 0, k, chunk).withColumn("energy", F.lead("_c", k).over(near) - F.col("_c"))
+    return x.filter("_own and energy is not null").select(key, F.col(idx).alias("start"), "energy")
+
+
 def edge_silence(df: DataFrame, key: str, idx: str, active: Column) -> DataFrame:
     """Blocks before the first and after the last active one; all of them where none is."""
     g = df.groupBy(key).agg(F.min(F.when(active, F.col(idx))).alias("a"), F.max(F.when(active, F.col(idx))).alias("b"), F.count(F.lit(1)).alias("n"))
@@ -155,13 +182,15 @@ def stratified_picks(df: DataFrame, key: str, at: str, score: str, low: float, h
     return x.filter("_pick is not null").groupBy(key, at).agg((F.max("_pick") > 0).alias("filled"))
 
 
-def covering_picks(df: DataFrame, item: str, cls: str, least: int, store: Callable[[DataFrame], DataFrame] = lambda x: x.cache()) -> DataFrame:
+def covering_picks(df: DataFrame, item: str, cls: str, least: int, store: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Items picked one at a time until each class has `least` picked items that hold it (or all it has), scarcest class first.
 
     Of the items that hold the scarcest class still short, that with most classes short is next, then the smallest id.
     Items with the same classes differ by id only, so they are grouped first, and of each group as many of the smallest
-    ids are kept as picks can be made: classes x least. `store` keeps this table; a pick is one query over it, and only
-    class counts, the picked id and its classes come to the driver.
+    ids are kept as picks can be made: classes x least. `store` keeps this table. How many short classes a group holds only
+    changes when a class has enough, so a round takes the best rows for the scarcest class (as many as it needs) and picks
+    them in order up to the one that gives some class enough: at most a round a class. Class counts and a round's rows, no
+    more than `least`, come to the driver.
     """
     df = df.select(item, cls).distinct()
     have = {r[cls]: r["n"] for r in df.groupBy(cls).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -170,17 +199,19 @@ def covering_picks(df: DataFrame, item: str, cls: str, least: int, store: Callab
     sets = df.groupBy(item).agg(F.array_sort(F.collect_set(cls)).alias("_set")).withColumn("_deal", F.pmod(F.xxhash64(item), F.lit(64)))
     few = top_by(top_by(sets, ["_set", "_deal"], [F.col(item)], most), ["_set"], [F.col(item)], most)  # a large group is cut in parts first
     groups = store(few.groupBy("_set").agg(F.array_sort(F.collect_list(item)).alias("_ids")))
+    taken_kind = f"_set array<{df.schema[cls].dataType.simpleString()}>, _taken int"
     picked: list = []
     taken: dict[tuple, int] = {}
     while short := sorted((c for c in need if need[c] > 0), key=lambda c: (have[c], str(c))):
-        holds = groups.filter(F.array_contains("_set", short[0]))
-        at = F.lit(0)
-        for s, k in taken.items():
-            at = F.when(F.col("_set") == F.array(*[F.lit(x) for x in s]), k).otherwise(at)
-        left = holds.select("_set", F.get("_ids", at).alias("_id"), F.size(F.array_intersect("_set", F.array(*[F.lit(c) for c in short]))).alias("_n")).filter("_id is not null")
-        best = left.orderBy(F.col("_n").desc(), "_id").first()
-        picked.append(best["_id"])
-        taken[tuple(best["_set"])] = taken.get(tuple(best["_set"]), 0) + 1
-        for c in best["_set"]:
-            need[c] -= 1
+        state = F.broadcast(df.sparkSession.createDataFrame([(list(s), k) for s, k in taken.items()], taken_kind))  # at most a row a pick
+        left = groups.filter(F.array_contains("_set", short[0])).join(state, "_set", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+        ids = F.slice("_ids", F.col("_taken") + 1, F.lit(need[short[0]]))
+        rows = left.select("_set", F.explode(ids).alias("_id"), F.size(F.array_intersect("_set", F.array(*[F.lit(c) for c in short]))).alias("_n"))
+        for row in rows.orderBy(F.col("_n").desc(), "_id").limit(need[short[0]]).collect():
+            picked.append(row["_id"])
+            taken[tuple(row["_set"])] = taken.get(tuple(row["_set"]), 0) + 1
+            for c in row["_set"]:
+                need[c] -= 1
+            if any(need[c] == 0 for c in row["_set"]):
+                break
     return df.sparkSession.createDataFrame([(p, k) for k, p in enumerate(picked)], f"{item} {df.schema[item].dataType.simpleString()}, pick int")

@@ -7,13 +7,20 @@ whole. Blocks are (file_id, block_idx, samples array<double>).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackworks.operators.ranges import quantiles
+
 #: Caps of scores in dB, and the small number that keeps logs finite.
 CAP_DB, EPS = 100.0, 1e-8
+#: Samples of sums that a task keeps before it hands them out.
+SUM_SAMPLES = 1 << 22
 
 
 def total(a: Column, f: Callable[[Column], Column]) -> Column:
@@ -109,11 +116,72 @@ def score(pairs: DataFrame, keys: list[str], reference: str, estimate: str, name
     return products(pairs, keys, reference, estimate).select(*keys, *[METRICS[n]().alias(n) for n in names])
 
 
+def _added(keys: list[str], samples: str, in_order: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of the blocks of each key. Where rows come in order of keys, a sum is done when the next key begins; else all are kept until they are large."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        kinds: pa.Schema | None = None
+
+        def out(done: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in done], kinds.field(n).type) for i, n in enumerate(keys)]
+            ends = np.cumsum([0, *map(len, done.values())])
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(list(done.values()))))], names=[*keys, samples])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = batch.schema
+            own = [batch.column(kinds.get_field_index(n)).to_pylist() for n in keys]
+            column = batch.column(kinds.get_field_index(samples))
+            values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.append(0, pc.list_value_length(column).to_numpy(zero_copy_only=False)))
+            for i, key in enumerate(zip(*own, strict=True) if keys else [()] * batch.num_rows):
+                x = values[ends[i] : ends[i + 1]]
+                have = sums.get(key)
+                if have is None or len(have) < len(x):
+                    have, x = x.copy(), have if have is not None else x[:0]
+                    sums[key] = have
+                have[: len(x)] += x
+            if in_order and len(sums) > 1:
+                last = next(reversed(sums))
+                yield out({k: v for k, v in sums.items() if k != last})
+                sums = {last: sums[last]}
+            elif not in_order and sum(map(len, sums.values())) > SUM_SAMPLES:
+                yield out(sums)
+                sums = {}
+        if sums:
+            yield out(sums)
+
+    return run
+
+
 def vector_sum(df: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:
-    """Sum of equally long blocks by keys, sample by sample: samples are summed by position, then put in order again."""
-    x = df.select(*keys, F.posexplode(samples).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(F.sum(F.col("_x").cast("double")).alias("_x"))
-    g = x.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_x"))).alias("_a"))
-    return g.select(*keys, F.transform("_a", lambda e: e["_x"]).alias(samples))
+    """Sum of blocks by keys, sample by sample from their first; a shorter block counts as 0 beyond its end, nulls as 0.
+
+    Blocks are added as arrays: each task adds its own, and the sums, no more than a block a key and task, are dealt by key
+    and added in order, so a task holds one sum and no sample is ever a row. Null and empty blocks go.
+    """
+    rows = df.filter(F.size(samples) > 0).select(*keys, F.transform(samples, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias(samples))
+    kinds = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{samples}` array<double>"])
+    part = rows.mapInArrow(_added(keys, samples, False), kinds)
+    if not keys:
+        return part.coalesce(1).mapInArrow(_added(keys, samples, True), kinds)  # a block a task
+    return part.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_added(keys, samples, True), kinds)
+
+
+def bus_allocated(stems: DataFrame, keys: list[str], stem: str, ratio: float, ceiling: float, samples: str = "samples") -> DataFrame:
+    """Stems at `ratio`; where their sum is over the ceiling, the loudest stem of each sample (of equals the first) takes the difference.
+
+    So stems add up to the limited bus. A key has a row a stem, all of one length; its few stems meet in one row of blocks.
+    """
+    bus = stems.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(stem).alias("stem"), F.col(samples).alias("x")))).alias("_stems"))
+    at = F.sequence(F.lit(0), F.size(F.get("_stems", F.lit(0))["x"]) - 1)
+    total = F.transform(at, lambda i: F.aggregate("_stems", F.lit(0.0), lambda s, e: s + F.get(e["x"], i)))
+    loudest = F.transform(at, lambda i: F.aggregate("_stems", F.struct(F.lit(-1.0).alias("v"), F.get("_stems", F.lit(0))["stem"].alias("stem")), lambda s, e: F.when(F.abs(F.get(e["x"], i)) > s["v"], F.struct(F.abs(F.get(e["x"], i)).alias("v"), e["stem"].alias("stem"))).otherwise(s))["stem"])
+    x = bus.select(*keys, "_stems", total.alias("_total"), loudest.alias("_loudest")).select(*keys, "_total", "_loudest", F.explode("_stems").alias("_s"))
+    rest = F.transform("_total", lambda y: F.greatest(F.lit(-ceiling), F.least(F.lit(ceiling), y * ratio)) - y * ratio)
+    own = F.transform(F.zip_with(rest, "_loudest", lambda r, t: F.when(t == F.col("_s.stem"), r).otherwise(0.0)), lambda v: v)
+    return x.select(*keys, F.col("_s.stem").alias(stem), F.zip_with("_s.x", own, lambda v, r: v * ratio + r).alias(samples))
 
 
 def peak_scaled(df: DataFrame, keys: list[str], samples: str = "samples", ceiling: float = 0.99) -> DataFrame:
@@ -141,9 +209,11 @@ def best_lag(pairs: DataFrame, keys: list[str], x: str, y: str, max_lag: int) ->
 
 
 def overview(blocks: DataFrame, keys: list[str], samples: str, every: int) -> DataFrame:
-    """Least and most of each `every` samples of a block."""
-    x = blocks.select(*keys, F.posexplode(samples).alias("_pos", "_x"))
-    return x.groupBy(*keys, F.floor(F.col("_pos") / every).alias("cell")).agg(F.min("_x").alias("least"), F.max("_x").alias("most"))
+    """Least and most of each `every` samples of a block: keys, cell, least, most. Cells are cut out of the array, a row a cell."""
+    n = F.ceil(F.size(samples) / every)
+    x = blocks.filter(F.size(samples) > 0).select(*keys, samples, F.explode(F.sequence(F.lit(0), n - 1)).alias("cell"))
+    own = F.slice(samples, (F.col("cell") * every + 1).cast("int"), F.lit(every))
+    return x.select(*keys, "cell", F.array_min(own).alias("least"), F.array_max(own).alias("most"))
 
 
 def block_crests(blocks: DataFrame, keys: list[str], block: str, samples: str = "samples", silent: float = 1e-6) -> DataFrame:
@@ -151,7 +221,7 @@ def block_crests(blocks: DataFrame, keys: list[str], block: str, samples: str =
     peak = F.array_max(F.transform(samples, lambda x: F.abs(x)))
     rms = F.sqrt(dot(F.col(samples), F.col(samples)) / F.size(samples))
     c = blocks.select(*keys, block, peak.alias("_p"), rms.alias("_r")).filter(F.col("_r") > silent).withColumn("_c", crest_db(F.col("_p"), F.col("_r")))
-    return c.groupBy(*keys).agg(F.round(F.percentile("_c", F.lit(0.5)), 5).alias("crest_p50_db"), F.round(F.percentile("_c", F.lit(0.95)), 5).alias("crest_p95_db"))
+    return quantiles(c, keys, "_c", (0.5, 0.95)).select(*keys, *[F.round(F.get("q", F.lit(i)), 5).alias(n) for i, n in enumerate(("crest_p50_db", "crest_p95_db"))])
 
 
 def with_noise(df: DataFrame, samples: str, noise: str, snr_db: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,14 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackworks.operators import signals as X
+from trackworks.operators.ranges import CHUNK, carried, nearby, quantiles
 
 #: Pre-filter of ITU-R BS.1770 as analogue prototypes (fixed values): shelf frequency, gain in dB, quality; high-pass frequency, quality.
 SHELF_HZ, SHELF_DB, SHELF_Q = 1681.974450955533, 3.999843853973347, 0.7071752369554196
 HIGH_HZ, HIGH_Q = 38.13547087602444, 0.5003270373238773
 #: Absolute gate, relative gate and offset of the same recommendation (fixed values).
 ABSOLUTE_LUFS, RELATIVE_LU, OFFSET_LU = -70.0, -10.0, -0.691
-#: Taps that stand for the filter's endless response.
-TAPS = 8192
+#: Frames that the filter takes as one step.
+STEP = 128
 
 
 def level_envelope(blocks: DataFrame, file: str, start: str, samples: str, size: int, floor_db: float = -120.0) -> DataFrame:
@@ -37,60 +39,119 @@ def level_envelope(blocks: DataFrame, file: str, start: str, samples: str, size:
     return g.filter(F.col("_n") == size).select(file, "block_idx", F.when(q > 0, F.greatest(F.lit(floor_db), 10 * F.log10(q))).otherwise(F.lit(floor_db)).alias("dbfs"))
 
 
+class StateSpace:
+    """A linear filter as state and output: s' = A s + B x, y = C s + D x, and the same for STEP frames at a time."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: float) -> None:
+        self.a, self.b, self.c, self.d = a, b, c, d
+        powers = [np.eye(len(a))]
+        for _ in range(STEP):
+            powers.append(a @ powers[-1])
+        self.powers = np.array(powers)
+        self.seen = np.array([c @ p for p in powers[:STEP]])  # what the state adds to the output k frames later
+        self.fed = np.array([p @ b for p in powers[:STEP]])  # what a frame adds to the state k frames later
+        h = np.append(d, self.fed[: STEP - 1] @ c)
+        at = np.subtract.outer(np.arange(STEP), np.arange(STEP))
+        self.response = np.where(at >= 0, h[at], 0.0)
+
+    def advanced(self, n: int) -> np.ndarray:
+        """A to the power of n."""
+        return np.linalg.matrix_power(self.a, n)
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Output of x from a state, and the state after it."""
+        steps = len(x) // STEP
+        whole = x[: steps * STEP].reshape(steps, STEP)
+        fed = whole @ self.fed[::-1]
+        states = np.zeros((steps, len(state)))
+        for j in range(steps):
+            states[j] = state
+            state = self.powers[STEP] @ state + fed[j]
+        y = whole @ self.response.T + states @ self.seen.T
+        rest = x[steps * STEP :]
+        n = len(rest)
+        last = self.response[:n, :n] @ rest + self.seen[:n] @ state
+        if n:
+            state = self.powers[n] @ state + rest @ self.fed[:n][::-1]
+        return np.append(y.ravel(), last), state
+
+
 @functools.cache
-def k_response(sr: int) -> np.ndarray:
-    """Impulse response of the K-weighting pre-filter at a sample rate."""
-
-    def biquad(b: list[float], a: list[float], x: np.ndarray) -> np.ndarray:
-        y = np.zeros_like(x)
-        for i in range(len(x)):
-            y[i] = b[0] * x[i]
-            if i > 0:
-                y[i] += b[1] * x[i - 1] - a[1] * y[i - 1]
-            if i > 1:
-                y[i] += b[2] * x[i - 2] - a[2] * y[i - 2]
-        return y
-
-    x = np.zeros(TAPS)
-    x[0] = 1
-    k = np.tan(np.pi * SHELF_HZ / sr)
+def k_coefficients(sr: int) -> tuple[tuple[list[float], list[float]], tuple[list[float], list[float]]]:
+    """(b, a) of the K-weighting's two filters at a sample rate, from their analogue prototypes."""
+    k = math.tan(math.pi * SHELF_HZ / sr)
     vh = 10 ** (SHELF_DB / 20)
     vb = vh**0.4996667741545416
     a0 = 1 + k / SHELF_Q + k * k
-    x = biquad([(vh + vb * k / SHELF_Q + k * k) / a0, 2 * (k * k - vh) / a0, (vh - vb * k / SHELF_Q + k * k) / a0], [1, 2 * (k * k - 1) / a0, (1 - k / SHELF_Q + k * k) / a0], x)
-    k = np.tan(np.pi * HIGH_HZ / sr)
+    shelf = [(vh + vb * k / SHELF_Q + k * k) / a0, 2 * (k * k - vh) / a0, (vh - vb * k / SHELF_Q + k * k) / a0], [1.0, 2 * (k * k - 1) / a0, (1 - k / SHELF_Q + k * k) / a0]
+    k = math.tan(math.pi * HIGH_HZ / sr)
     a0 = 1 + k / HIGH_Q + k * k
-    return biquad([1, -2, 1], [1, 2 * (k * k - 1) / a0, (1 - k / HIGH_Q + k * k) / a0], x)
+    return shelf, ([1.0, -2.0, 1.0], [1.0, 2 * (k * k - 1) / a0, (1 - k / HIGH_Q + k * k) / a0])
+
+
+@functools.cache
+def k_weighting(sr: int) -> StateSpace:
+    """Both filters, one after the other, as one system of four numbers."""
+    parts = []
+    for b, a in k_coefficients(sr):
+        parts.append((np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]]), np.array([1.0, 0.0]), b[0]))
+    (a1, b1, c1, d1), (a2, b2, c2, d2) = parts
+    a = np.zeros((4, 4))
+    a[:2, :2], a[2:, 2:], a[2:, :2] = a1, a2, np.outer(b2, c1)
+    return StateSpace(a, np.append(b1, b2 * d1), np.append(d2 * c1, c2), d1 * d2)
+
+
+def _left_behind(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """By block the state that its own frames leave behind, from rest: four numbers a channel."""
+    for f in frames:
+        out = []
+        for file, sr, start, samples in zip(f["file_id"], f["sr"], f["start"], f["samples"], strict=True):
+            left = [k_weighting(int(sr)).run(np.asarray(x, float), np.zeros(4))[1] for x in samples]
+            out.append((file, int(sr), int(start), len(samples[0]), [float(v) for s in left for v in s]))
+        yield pd.DataFrame(out, columns=["file_id", "sr", "start", "n", "state"])
+
+
+def _entered(f: pd.DataFrame) -> pd.DataFrame:
+    """The state in which each block of a file begins: the state before it, advanced by its frames, and what it left behind."""
+    f = f.sort_values("start")
+    states, powers, state = [], {}, None
+    for sr, n, left in zip(f["sr"], f["n"], f["state"], strict=True):
+        left = np.asarray(left).reshape(-1, 4)
+        state = np.zeros_like(left) if state is None or len(state) != len(left) else state
+        states.append(state.ravel().tolist())
+        if (sr, n) not in powers:
+            powers[sr, n] = k_weighting(int(sr)).advanced(int(n))
+        state = state @ powers[sr, n].T + left
+    return pd.DataFrame({"file_id": f["file_id"], "start": f["start"], "state": states})
 
 
 def _hop_energies(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
-        for file, sr, start, samples, before in zip(f["file_id"], f["sr"], f["start"], f["samples"], f["before"], strict=True):
-            h, hop = k_response(int(sr)), int(sr) // 10
-            n = len(samples[0])
-            energy = np.zeros(n)
-            for c, channel in enumerate(samples):
-                past = np.asarray(before[c], float)[-TAPS:] if before is not None and len(before) > c else np.empty(0)
-                x = np.concatenate([past, np.asarray(channel, float)])
-                size = 1 << int(np.ceil(np.log2(len(x) + TAPS)))
-                y = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[len(past) : len(x)]
-                energy += y * y
-            at = (start + np.arange(n)) // hop
-            for k in np.unique(at):
-                own = energy[at == k]
-                out.append((file, int(sr), int(k), float(own.sum()), len(own)))
+        for file, sr, start, samples, state in zip(f["file_id"], f["sr"], f["start"], f["samples"], f["state"], strict=True):
+            hop, energy = int(sr) // 10, 0.0
+            for x, s in zip(samples, np.asarray(state).reshape(-1, 4), strict=True):
+                y = k_weighting(int(sr)).run(np.asarray(x, float), s)[0]
+                energy = energy + y * y
+            at = (start + np.arange(len(energy))) // hop
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            out += [(file, int(sr), int(k), float(e), int(n)) for k, e, n in zip(at[first], np.add.reduceat(energy, first), np.diff(np.append(first, len(at))), strict=True)]
         yield pd.DataFrame(out, columns=["file_id", "sr", "hop", "energy", "n"])
 
 
-def _hops(blocks: DataFrame, context: int) -> DataFrame:
-    """Energy after K-weighting by full tenth of a second: file_id, sr, hop, e, n."""
-    w = Window.partitionBy("file_id").orderBy("start").rowsBetween(-context, -1)
-    tail = F.transform("samples", lambda c: F.slice(c, F.greatest(F.lit(1), F.size(c) - TAPS + 1), F.lit(TAPS)))
-    past = F.collect_list(tail).over(w)
-    x = blocks.select("file_id", "sr", F.col("start").cast("long").alias("start"), "samples", past.alias("past"))
-    x = x.select("file_id", "sr", "start", "samples", F.transform("samples", lambda _, c: F.flatten(F.transform("past", lambda b: F.get(b, c)))).alias("before"))
-    hops = x.mapInPandas(_hop_energies, f"file_id {blocks.schema['file_id'].dataType.simpleString()}, sr int, hop long, energy double, n int").groupBy("file_id", "sr", "hop").agg(F.sum("energy").alias("e"), F.sum("n").alias("n"))
+def _hops(blocks: DataFrame) -> DataFrame:
+    """Energy after K-weighting by full tenth of a second: file_id, sr, hop, e, n.
+
+    A block's effect on the filter is a matrix (of its length) and four numbers a channel. Blocks are filtered on their own
+    first; those numbers, a small row a block, give by file the state in which each block begins, and blocks are then
+    filtered from there: as exact as one recursion over the file, which no task holds.
+    """
+    kind = blocks.schema["file_id"].dataType.simpleString()
+    b = blocks.select("file_id", F.col("sr").cast("int").alias("sr"), F.col("start").cast("long").alias("start"), "samples").filter(F.size(F.get("samples", F.lit(0))) > 0)
+    left = b.mapInPandas(_left_behind, f"file_id {kind}, sr int, start long, n int, state array<double>")
+    states = left.groupBy("file_id").applyInPandas(_entered, f"file_id {kind}, start long, state array<double>")
+    x = b.join(states, ["file_id", "start"])
+    hops = x.mapInPandas(_hop_energies, f"file_id {kind}, sr int, hop long, energy double, n int").groupBy("file_id", "sr", "hop").agg(F.sum("energy").alias("e"), F.sum("n").alias("n"))
     return hops.filter(F.col("n") == F.floor(F.col("sr") / 10))
 
 
@@ -104,24 +165,23 @@ def _gated(hops: DataFrame, keys: list[str]) -> DataFrame:
     return loud.join(gate, keys).filter(lufs(F.col("power")) > F.col("gate")).groupBy(*keys).agg(lufs(F.avg("power")).alias("lufs"), F.count(F.lit(1)).alias("n_blocks"))
 
 
-def integrated_loudness(blocks: DataFrame, context: int = 1) -> DataFrame:
+def integrated_loudness(blocks: DataFrame) -> DataFrame:
     """Gated loudness (ITU-R BS.1770) by file: file_id, lufs (null where nothing passes the gate), n_blocks.
 
-    blocks: file_id, sr, start (first frame), samples (an array a channel, one or two). A block is filtered with the
-    last TAPS frames of the `context` blocks before it, so blocks are independent; context times a block's length
-    should be TAPS or more.
+    blocks: file_id, sr, start (first frame), samples (an array a channel, one or two); a file's blocks follow one another
+    without gaps and have the same channels.
     """
-    return blocks.select("file_id").distinct().join(_gated(_hops(blocks, context), ["file_id"]), "file_id", "left").na.fill({"n_blocks": 0})
+    return blocks.select("file_id").distinct().join(_gated(_hops(blocks), ["file_id"]), "file_id", "left").na.fill({"n_blocks": 0})
 
 
-def window_loudness(blocks: DataFrame, seconds: float, context: int = 1) -> DataFrame:
+def window_loudness(blocks: DataFrame, seconds: float) -> DataFrame:
     """Gated loudness of each full window of `seconds` (whole tenths): file_id, window, lufs, measurable, minus_file.
 
     A window in which nothing passes the gate is kept: lufs is null and measurable false, so that the distribution keeps
     its shape. minus_file: what the window has over its file's integrated loudness.
     """
     size = round(seconds * 10)
-    hops = _hops(blocks, context).withColumn("window", F.floor(F.col("hop") / size))
+    hops = _hops(blocks).withColumn("window", F.floor(F.col("hop") / size))
     full = hops.groupBy("file_id", "window").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == size).drop("_n")
     whole = _gated(hops, ["file_id"]).select("file_id", F.col("lufs").alias("_file"))
     x = full.join(_gated(hops, ["file_id", "window"]).drop("n_blocks"), ["file_id", "window"], "left").join(whole, "file_id", "left")
@@ -146,7 +206,8 @@ def spectra(blocks: DataFrame, keys: list[str], samples: str = "samples") -> Dat
 
 def median_spectrum(spectrum: DataFrame, keys: list[str], floor: float = 1e-20) -> DataFrame:
     """Median over blocks of each bin's power, in dB: keys, bin, level_db."""
-    return spectrum.groupBy(*keys, "bin").agg((10 * F.log10(F.greatest(F.percentile("power", F.lit(0.5)), F.lit(floor)))).alias("level_db"))
+    q = quantiles(spectrum, [*keys, "bin"], "power", (0.5,))
+    return q.select(*keys, "bin", (10 * F.log10(F.greatest(F.get("q", F.lit(0)), F.lit(floor)))).alias("level_db"))
 
 
 def flatness(spectrum: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
@@ -183,25 +244,34 @@ def mix_weights(stems: DataFrame, master: DataFrame, song: str, block: str, stem
     return u.groupBy(song).applyInPandas(solve, f"{song} {kind_song}, {stem} {kind_stem}, weight double")
 
 
-def limiter_gain(df: DataFrame, key: str, idx: str, value: str, ceiling: float, ahead: int) -> DataFrame:
-    """Look-ahead limiter: needed gain, its least over the next rows, smoothed over as many, never over what is needed."""
-    w = Window.partitionBy(key).orderBy(idx)
-    x = df.withColumn("_g", F.when(F.abs(value) > ceiling, ceiling / F.abs(value)).otherwise(1.0))
+def limiter_gain(df: DataFrame, key: str, idx: str, value: str, ceiling: float, ahead: int, chunk: int | None = None) -> DataFrame:
+    """Look-ahead limiter: needed gain, its least over the next rows, smoothed over as many, never over what is needed.
+
+    A key's positions are whole numbers without gaps; it is worked on in chunks that see `ahead` rows of their neighbours.
+    """
+    x = nearby(df, key, idx, ahead, ahead, chunk)
+    w = Window.partitionBy(key, "_chunk").orderBy(idx)
+    x = x.withColumn("_g", F.when(F.abs(value) > ceiling, ceiling / F.abs(value)).otherwise(1.0))
     x = x.withColumn("_m", F.min("_g").over(w.rowsBetween(0, ahead)))
-    return x.withColumn("gain", F.least(F.avg("_m").over(w.rowsBetween(-ahead, 0)), F.col("_g"))).drop("_g", "_m")
+    return x.withColumn("gain", F.least(F.avg("_m").over(w.rowsBetween(-ahead, 0)), F.col("_g"))).filter("_own").drop("_g", "_m", "_chunk", "_own")
+
 
+def interpolated(df: DataFrame, points: DataFrame, key: str, idx: str, value: str, chunk: int | None = None) -> DataFrame:
+    """df with `value` interpolated between the points before and after each row (constant beyond the first and last).
 
-def interpolated(df: DataFrame, points: DataFrame, key: str, idx: str, value: str) -> DataFrame:
-    """df with `value` interpolated between the points before and after each row (constant beyond the first and last)."""
+    The last point before a row and the first after it are both last values, along the order and against it, folded in
+    chunks: the cost grows with the rows of a key, and no task holds them all.
+    """
     cols = [c for c in df.columns if c not in (key, idx)]
-    u = df.select(key, idx, *cols, F.lit(None).cast("double").alias("_v"), F.lit(None).cast("double").alias("_t"), F.lit(1).alias("_o")).unionByName(
-        points.select(key, idx, F.col(value).cast("double").alias("_v"), F.col(idx).cast("double").alias("_t"), F.lit(0).alias("_o")), allowMissingColumns=True
+    u = df.select(key, idx, *cols, F.lit(None).cast("struct<v double, t double>").alias("_p"), F.lit(1).alias("_o")).unionByName(
+        points.select(key, idx, F.struct(F.col(value).cast("double").alias("v"), F.col(idx).cast("double").alias("t")).alias("_p"), F.lit(0).alias("_o")), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy(idx, "_o")
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    x = u.withColumns({"_a": F.last("_v", True).over(back), "_ta": F.last("_t", True).over(back), "_b": F.first("_v", True).over(on), "_tb": F.first("_t", True).over(on)}).filter("_o = 1")
-    y = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull() | (F.col("_tb") == F.col("_ta")), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col(idx) - F.col("_ta")) / (F.col("_tb") - F.col("_ta")))
-    return x.withColumn(value, y).drop("_v", "_t", "_o", "_a", "_ta", "_b", "_tb")
+    size = chunk or CHUNK
+    x = carried(u, key, [idx, "_o"], F.floor(F.col(idx) / size), _a=("last", F.col("_p"))).withColumn("_against", -F.col(idx))
+    x = carried(x, key, ["_against", "_o"], F.floor(F.col("_against") / size), _b=("last", F.col("_p"))).filter("_o = 1")
+    a, b, at = F.col("_a"), F.col("_b"), F.col(idx)
+    y = F.when(a.isNull(), b["v"]).when(b.isNull() | (b["t"] == a["t"]), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (at - a["t"]) / (b["t"] - a["t"]))
+    return x.withColumn(value, y).drop("_p", "_o", "_a", "_b", "_against")
 
 
 def pitch_agreement(tracks: DataFrame, song: str, frame: str, cls: str, f0: str, within: float = 50.0) -> DataFrame:

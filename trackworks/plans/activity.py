@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackworks.operators import columns as C
-from trackworks.operators import joins
+from trackworks.operators import joins, sampling
 from trackworks.operators import sequences as S
+from trackworks.operators.ranges import quantiles, with_medians
 from trackworks.registry import registry
 from trackworks.session import table
 
@@ -126,7 +127,7 @@ def e14(spark: SparkSession, d: str) -> DataFrame:
 SELECT file_id, start, v AS n_active FROM sl JOIN md USING (file_id) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY abs(v - m), start) = 1""")
 def e15(spark: SparkSession, d: str) -> DataFrame:
     s = S.sliding(blocks(spark, d), "file_id", "idx", 8, n_active=lambda w: F.count_if(F.col("level") > CLOSE).over(w))
-    m = s.groupBy("file_id").agg(F.expr("percentile(n_active, 0.5)").alias("m"))
+    m = quantiles(s, ["file_id"], "n_active", (0.5,)).select("file_id", F.get("q", F.lit(0)).alias("m"))
     return S.top_by(s.join(m, "file_id"), ["file_id"], [F.abs(F.col("n_active") - F.col("m")), "start"]).drop("m")
 
 
@@ -145,7 +146,7 @@ w1 AS (SELECT * FROM w0 WHERE n = 8 AND m > {CLOSE}), md AS (SELECT file_id, qua
 SELECT file_id, start, row_number() OVER (PARTITION BY file_id ORDER BY m DESC, start) AS rank FROM w1 JOIN md USING (file_id) WHERE sd <= q""")
 def e17(spark: SparkSession, d: str) -> DataFrame:
     s = S.sliding(blocks(spark, d), "file_id", "idx", 8, m=lambda w: F.round(F.avg("level").over(w), 6), sd=lambda w: F.round(F.stddev_pop("level").over(w), 6)).filter(F.col("m") > CLOSE)
-    q = s.groupBy("file_id").agg(F.expr("percentile(sd, 0.5)").alias("q"))
+    q = quantiles(s, ["file_id"], "sd", (0.5,)).select("file_id", F.get("q", F.lit(0)).alias("q"))
     return s.join(q, "file_id").filter("sd <= q").select("file_id", "start", F.row_number().over(Window.partitionBy("file_id").orderBy(F.col("m").desc(), "start")).alias("rank"))
 
 
@@ -164,9 +165,7 @@ def e18(spark: SparkSession, d: str) -> DataFrame:
 w AS (SELECT file_id, idx AS start, lead(c, 8) OVER (PARTITION BY file_id ORDER BY idx) - c AS energy FROM p)
 SELECT file_id, arg_max(start, energy * 1000000 - start) AS loudest, max(energy)::DOUBLE AS energy FROM w WHERE energy IS NOT NULL GROUP BY 1""")
 def e21(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("file_id").orderBy("idx")
-    p = blocks(spark, d).withColumn("c", F.coalesce(F.sum((F.col("level") * F.col("level")).cast("decimal(20,6)")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(30,6)")))
-    w = p.select("file_id", F.col("idx").alias("start"), (F.lead("c", 8).over(order) - F.col("c")).alias("energy")).filter("energy is not null")
+    w = S.window_energy(blocks(spark, d), "file_id", "idx", (F.col("level") * F.col("level")).cast("decimal(20,6)"), 8)
     return w.groupBy("file_id").agg(F.max_by("start", F.struct("energy", -F.col("start"))).alias("loudest"), F.max("energy").cast("double").alias("energy"))
 
 
@@ -221,9 +220,9 @@ def d15(spark: SparkSession, d: str) -> DataFrame:
     cell = (F.col("file_id") % 4).alias("cell")
     sg = segs(spark, d)
     f = blocks(spark, d).groupBy("file_id").agg((F.max("idx") + 1).alias("n")).groupBy(cell).agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("total"))
-    s = sg.withColumn("len", F.col("end") - F.col("start")).groupBy(cell).agg(F.sum("len").alias("active"), F.count(F.lit(1)).alias("n_segments"), F.expr("percentile(len, 0.5)").alias("seg_p50"))
-    r = S.rests(sg, "file_id").groupBy(cell).agg(F.expr("percentile(gap, 0.5)").alias("gap_p50"))
-    return f.join(s, "cell").join(r, "cell", "left").withColumn("active_frac", F.round(F.col("active") / F.col("total"), 6))
+    lengths = sg.select(cell, (F.col("end") - F.col("start")).alias("len"))
+    s = with_medians(lengths.groupBy("cell").agg(F.sum("len").alias("active"), F.count(F.lit(1)).alias("n_segments")), lengths, ["cell"], "len", "seg_p50")
+    return with_medians(f.join(s, "cell"), S.rests(sg, "file_id").select(cell, "gap"), ["cell"], "gap", "gap_p50").withColumn("active_frac", F.round(F.col("active") / F.col("total"), 6))
 
 
 @query("c10_interval_intersection", f"""WITH {SPANS}, a AS (SELECT * FROM sp WHERE class = 'click'), b2 AS (SELECT * FROM sp WHERE class = 'purchase')
@@ -261,8 +260,5 @@ def d31(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT *, least(greatest(1, round_even(n * 0.1, 0)), n - 2)::BIGINT nv FROM u)
 SELECT c_custkey, stratum, CASE WHEN r <= nv THEN 'val' WHEN r <= 2 * nv THEN 'test' ELSE 'train' END AS split FROM k""")
 def g1(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("stratum")
-    u = table(spark, d, "customer", "c_custkey", "c_mktsegment").withColumnRenamed("c_mktsegment", "stratum")
-    u = u.withColumns({"r": F.row_number().over(w.orderBy(C.draw(7, F.col("c_custkey"), "split"), "c_custkey")), "n": F.count(F.lit(1)).over(w)})
-    nv = F.least(F.greatest(F.lit(1.0), F.bround(F.col("n") * F.lit(0.1))), F.col("n") - 2)
-    return u.select("c_custkey", "stratum", F.when(F.col("r") <= nv, "val").when(F.col("r") <= 2 * nv, "test").otherwise("train").alias("split"))
+    c = table(spark, d, "customer", "c_custkey", "c_mktsegment").withColumnRenamed("c_mktsegment", "stratum")
+    return sampling.stratified_split(c, "c_custkey", "stratum", 7)

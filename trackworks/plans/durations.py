@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackworks.operators import rollups as R
 from trackworks.operators import sequences as S
+from trackworks.operators.ranges import with_medians, with_quantiles
 from trackworks.registry import registry
 from trackworks.session import table
 
@@ -57,7 +58,8 @@ def d7(spark: SparkSession, d: str) -> DataFrame:
 @query("d8_loss_at_cut", "SELECT source, count(CASE WHEN n_chars < 800 THEN 1 END) AS lost, round(sum(CASE WHEN n_chars >= 800 THEN n_chars ELSE 0 END) / 3600, 6) AS hours_kept, round(quantile_cont(n_chars, 0.5), 6) AS median FROM documents GROUP BY 1")
 def d8(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_chars")
-    return clips(spark, d).groupBy("source").agg(F.count_if(n < 800).alias("lost"), F.round(F.sum(F.when(n >= 800, n).otherwise(0)) / 3600, 6).alias("hours_kept"), F.round(F.percentile(n, F.lit(0.5)), 6).alias("median"))
+    g = clips(spark, d).groupBy("source").agg(F.count_if(n < 800).alias("lost"), F.round(F.sum(F.when(n >= 800, n).otherwise(0)) / 3600, 6).alias("hours_kept"))
+    return with_medians(g, clips(spark, d), ["source"], n, digits=6)
 
 
 @query("d17_weighted_average", "SELECT l_tax, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS weighted FROM lineitem GROUP BY 1")
@@ -82,9 +84,12 @@ def d20(spark: SparkSession, d: str) -> DataFrame:
 @query("d21_qc_digest", "SELECT c_mktsegment AS dataset, count(*) AS n, round(sum(c_acctbal) / 3600, 6) AS hours, min(c_acctbal) AS least, round(quantile_cont(c_acctbal, 0.5), 6) AS median, max(c_acctbal) AS most, count(CASE WHEN c_acctbal < 0 THEN 1 END) AS dead, count(CASE WHEN c_acctbal > 9000 THEN 1 END) AS clipped, count(DISTINCT c_nationkey) AS n_formats FROM customer GROUP BY 1")
 def d21(spark: SparkSession, d: str) -> DataFrame:
     b = F.col("c_acctbal")
-    return table(spark, d, "customer", "c_mktsegment", "c_acctbal", "c_nationkey").groupBy(F.col("c_mktsegment").alias("dataset")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum(b) / 3600, 6).alias("hours"), F.min(b).alias("least"), F.round(F.percentile(b, F.lit(0.5)), 6).alias("median"), F.max(b).alias("most"), F.count_if(b < 0).alias("dead"), F.count_if(b > 9000).alias("clipped"), F.countDistinct("c_nationkey").alias("n_formats")
+    c = table(spark, d, "customer", "c_mktsegment", "c_acctbal", "c_nationkey").withColumnRenamed("c_mktsegment", "dataset")
+    g = c.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(b) / 3600, 6).alias("hours"), F.min(b).alias("least"), F.max(b).alias("most"),
+        F.count_if(b < 0).alias("dead"), F.count_if(b > 9000).alias("clipped"), F.countDistinct("c_nationkey").alias("n_formats"),
     )
+    return with_medians(g, c, ["dataset"], b, digits=6)
 
 
 _KS = """WITH e AS (SELECT event_type k, value v FROM events WHERE event_type IN ('click', 'purchase')), c AS (SELECT v, count(CASE WHEN k = 'click' THEN 1 END) a, count(CASE WHEN k = 'purchase' THEN 1 END) b FROM e GROUP BY 1),
@@ -124,8 +129,8 @@ def d32(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "lineitem", "l_orderkey", "l_tax").groupBy("l_orderkey", "l_tax").agg(F.count(F.lit(1)).alias("n"))
     n, total = F.col("n"), F.sum("n")
     h = k.groupBy("l_orderkey").agg((F.sum(n * (n - 1) / 2) / F.nullif(total * (total - 1) / 2, F.lit(0.0))).alias("h")).filter("h is not null")
-    p = F.percentile("h", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    g = h.agg(p.alias("p"), F.round(F.avg((F.col("h") == 0).cast("double")), 6).alias("zero_share"), F.round(F.avg((F.col("h") == 1).cast("double")), 6).alias("one_share"))
+    g = h.agg(F.round(F.avg((F.col("h") == 0).cast("double")), 6).alias("zero_share"), F.round(F.avg((F.col("h") == 1).cast("double")), 6).alias("one_share"))
+    g = with_quantiles(g, h, [], "h", (0.1, 0.5, 0.9), "p")
     return g.select(*[F.round(F.get("p", F.lit(i)), 6).alias(c) for i, c in enumerate(("p10", "p50", "p90"))], "zero_share", "one_share")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackworks.functions import logs as L
 from trackworks.operators import columns as C
-from trackworks.operators import joins, runs, spectral
+from trackworks.operators import joins, ranges, runs, spectral
 from trackworks.operators import sequences as S
 from trackworks.operators import signals as X
 from trackworks.plans import activity as A
@@ -38,19 +40,39 @@ def _as_files(spark: SparkSession, d: str) -> DataFrame:
     return file_blocks(spark, d).select(F.col("song").alias("file_id"), F.lit(8000).alias("sr"), "start", F.array("samples").alias("samples"))
 
 
-@query("f7_integrated_loudness")
+def _k_sql(frames: str, rate: int, keys: str = "f") -> str:
+    """Loudness of frames (f, x: a list of all samples of a file) as SQL says it: both filters as one recursion from frame to frame, hops, runs of four, gates; g gives by keys lufs and n."""
+    (b, a), (c, e) = spectral.k_coefficients(rate)
+    u = f"({b[0]!r} * x[i + 1] + s1)"
+    y = f"({c[0]!r} * {u} + t1)"
+    level = f"{spectral.OFFSET_LU} + 10 * log10"
+    return f"""{frames}, st AS (SELECT f, 0::BIGINT i, 0::DOUBLE s1, 0::DOUBLE s2, 0::DOUBLE t1, 0::DOUBLE t2, 0::DOUBLE y FROM xs
+UNION ALL SELECT f, i + 1, {b[1]!r} * x[i + 1] - {a[1]!r} * {u} + s2, {b[2]!r} * x[i + 1] - {a[2]!r} * {u}, {c[1]!r} * {u} - {e[1]!r} * {y} + t2, {c[2]!r} * {u} - {e[2]!r} * {y}, {y} FROM st JOIN xs USING (f) WHERE i < len(x)),
+ho AS (SELECT f, (i - 1) // {rate // 10} AS hop, sum(y * y) e, count(*) n FROM st WHERE i > 0 GROUP BY 1, 2 HAVING count(*) = {rate // 10}), hw AS (SELECT *, hop // 4 AS "window" FROM ho),
+po AS (SELECT *, sum(e) OVER w / sum(n) OVER w p, count(*) OVER w k FROM hw WINDOW w AS (PARTITION BY {keys} ORDER BY hop ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)), lo AS (SELECT * FROM po WHERE k = 4 AND p > 0 AND {level}(p) > {spectral.ABSOLUTE_LUFS}),
+ga AS (SELECT {keys}, {level}(avg(p)) + {spectral.RELATIVE_LU} gate FROM lo GROUP BY ALL), g AS (SELECT {keys}, {level}(avg(p)) lufs, count(*) n FROM lo JOIN ga USING ({keys}) WHERE {level}(p) > gate GROUP BY ALL)"""
+
+
+@query("f7_integrated_loudness", f"WITH RECURSIVE {_k_sql(f'{_FB}, xs AS (SELECT song AS f, list(v::DOUBLE ORDER BY fr) x FROM fr GROUP BY 1)', 8000)} SELECT f AS file_id, round(lufs, 6) AS lufs, coalesce(n, 0)::BIGINT AS n_blocks FROM xs LEFT JOIN g USING (f)")
 def f7(spark: SparkSession, d: str) -> DataFrame:
-    return spectral.integrated_loudness(_as_files(spark, d), context=128)
+    return spectral.integrated_loudness(_as_files(spark, d)).withColumn("lufs", F.round("lufs", 6))
+
 
+_F7_FILES = f"""{G.B}, bk AS (SELECT song % 2 AS f, row_number() OVER (PARTITION BY song % 2 ORDER BY file_id) - 1 AS k, samples FROM b),
+xs AS (SELECT f, flatten(list(list_transform(samples, lambda v: CASE WHEN k * 64 >= 2560 AND k * 64 < 6400 THEN 0 ELSE v END::DOUBLE) ORDER BY k)) x FROM bk GROUP BY 1)"""
 
-@query("f7_window_loudness")
+
+@query("f7_window_loudness", f"""WITH RECURSIVE {_k_sql(_F7_FILES, 8000, 'f, "window"')}, ga2 AS (SELECT f, {spectral.OFFSET_LU} + 10 * log10(avg(p)) + {spectral.RELATIVE_LU} gate FROM (SELECT f, sum(e) OVER w / sum(n) OVER w p, count(*) OVER w k FROM ho WINDOW w AS (PARTITION BY f ORDER BY hop ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE k = 4 AND p > 0 AND {spectral.OFFSET_LU} + 10 * log10(p) > {spectral.ABSOLUTE_LUFS} GROUP BY 1),
+wh AS (SELECT f, {spectral.OFFSET_LU} + 10 * log10(avg(p)) whole FROM (SELECT f, sum(e) OVER w / sum(n) OVER w p, count(*) OVER w k FROM ho WINDOW w AS (PARTITION BY f ORDER BY hop ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) JOIN ga2 USING (f) WHERE k = 4 AND p > 0 AND {spectral.OFFSET_LU} + 10 * log10(p) > {spectral.ABSOLUTE_LUFS} AND {spectral.OFFSET_LU} + 10 * log10(p) > gate GROUP BY 1)
+SELECT fw.f AS file_id, fw."window", round(lufs, 6) AS lufs, lufs IS NOT NULL AS measurable, round(lufs - whole, 6) AS minus_file FROM (SELECT f, "window" FROM hw GROUP BY 1, 2 HAVING count(*) = 4) fw LEFT JOIN g ON g.f = fw.f AND g."window" = fw."window" LEFT JOIN wh ON wh.f = fw.f""")
 def f7_windows(spark: SparkSession, d: str) -> DataFrame:
     """Every full 0.4 seconds of two files; those of the second stretch are silent and stay, flagged."""
     w = Window.partitionBy("file_id").orderBy("vec")
     b = G.blocks(spark, d).select((F.col("song") % 2).alias("file_id"), F.col("file_id").alias("vec"), "samples")
     b = b.select("file_id", F.lit(8000).alias("sr"), ((F.row_number().over(w) - 1) * 64).cast("long").alias("start"), "samples")
     quiet = F.when((F.col("start") >= 2560) & (F.col("start") < 6400), F.transform("samples", lambda x: x * 0.0)).otherwise(F.col("samples"))
-    return spectral.window_loudness(b.withColumn("samples", F.array(quiet)), 0.4, context=128)
+    x = spectral.window_loudness(b.withColumn("samples", F.array(quiet)), 0.4)
+    return x.withColumns({"lufs": F.round("lufs", 6), "minus_file": F.round("minus_file", 6)})
 
 
 @query("f13_mix_weights", "SELECT DISTINCT label AS song, vec_id % 4 AS stem, round(1 + vec_id % 4, 2)::DOUBLE AS weight FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL")
@@ -119,11 +141,9 @@ def f26(spark: SparkSession, d: str) -> DataFrame:
 @query("f27_bus_allocation", f"""WITH {G.B}, x AS (SELECT song, file_id % 4 stem, unnest(range(0, len(samples))) pos, unnest(samples) v FROM b), s AS (SELECT song, stem, pos, sum(v) v FROM x GROUP BY 1, 2, 3), m AS (SELECT song, pos, sum(v) y, arg_max(stem, (abs(v), -stem)) top FROM s GROUP BY 1, 2)
 SELECT s.song, s.stem, s.pos::INTEGER AS pos, round(s.v * 0.7 + CASE WHEN stem = top THEN greatest(-0.5, least(0.5, y * 0.7)) - y * 0.7 ELSE 0 END, 6) AS v FROM s JOIN m ON m.song = s.song AND m.pos = s.pos""")
 def f27(spark: SparkSession, d: str) -> DataFrame:
-    s = X.vector_sum(G.blocks(spark, d).withColumn("stem", F.col("file_id") % 4), ["song", "stem"]).select("song", "stem", F.posexplode("samples").alias("pos", "v"))
-    m = s.groupBy("song", "pos").agg(F.sum("v").alias("y"), F.max_by("stem", F.struct(F.abs("v"), -F.col("stem"))).alias("top"))
-    bus = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("y") * 0.7))
-    out = F.col("v") * 0.7 + F.when(F.col("stem") == F.col("top"), bus - F.col("y") * 0.7).otherwise(0.0)
-    return s.join(m, ["song", "pos"]).select("song", "stem", "pos", F.round(out, 6).alias("v"))
+    s = X.vector_sum(G.blocks(spark, d).withColumn("stem", F.col("file_id") % 4), ["song", "stem"])
+    x = X.bus_allocated(s, ["song"], "stem", 0.7, 0.5)
+    return x.select("song", "stem", F.posexplode("samples").alias("pos", "v")).withColumn("v", F.round("v", 6))  # the result's rows
 
 
 @query("f29_shared_gain", f"""WITH {G.B}, x AS (SELECT song, unnest(range(0, len(samples))) pos, unnest(samples) v FROM b), m AS (SELECT song, pos, sum(v) v FROM x GROUP BY 1, 2)
@@ -145,8 +165,9 @@ def c13(spark: SparkSession, d: str) -> DataFrame:
 @query("d16_collapsed_cells", f"""WITH {A.SEGS}, c AS (SELECT file_id % 4 cell, file_id % 2 half, sum(e - s) a, quantile_cont(e - s, 0.5) m FROM sg GROUP BY 1, 2) SELECT half, sum(a)::BIGINT AS active, round(sum(a) / sum(sum(a)) OVER (), 6) AS ratio, quantile_cont(m, 0.5) AS median FROM c GROUP BY 1""")
 def d16(spark: SparkSession, d: str) -> DataFrame:
     s = A.segs(spark, d).withColumn("len", F.col("end") - F.col("start"))
-    c = s.groupBy((F.col("file_id") % 4).alias("cell"), (F.col("file_id") % 2).alias("half")).agg(F.sum("len").alias("a"), F.percentile("len", F.lit(0.5)).alias("m"))
-    g = c.groupBy("half").agg(F.sum("a").alias("active"), F.percentile("m", F.lit(0.5)).alias("median"))
+    s = s.select((F.col("file_id") % 4).alias("cell"), (F.col("file_id") % 2).alias("half"), "len")
+    c = ranges.with_medians(s.groupBy("cell", "half").agg(F.sum("len").alias("a")), s, ["cell", "half"], "len", "m")
+    g = ranges.with_medians(c.groupBy("half").agg(F.sum("a").alias("active")), c, ["half"], "m")
     t = g.agg(F.sum("active").alias("t"))
     return g.join(F.broadcast(t)).select("half", "active", F.round(F.col("active") / F.col("t"), 6).alias("ratio"), "median")  # a row a half
 
@@ -175,7 +196,13 @@ def e20(spark: SparkSession, d: str) -> DataFrame:
     return S.stratified_picks(A.blocks(spark, d), "file_id", "idx", "level", 0.0, 60.0, 6, 5.0)
 
 
-@query("e30_covering_picks")
+@query("e30_covering_picks", """WITH RECURSIVE hc AS (SELECT DISTINCT l_orderkey id, l_returnflag || l_linenumber c FROM lineitem), ss AS (SELECT id, list(c) s FROM hc GROUP BY 1),
+hv AS (SELECT c, count(*) n FROM hc GROUP BY 1), cl AS (SELECT list(c ORDER BY n, c) cs, list(least(3, n) ORDER BY n, c) need FROM hv),
+r AS (SELECT 0 k, NULL::BIGINT id, []::BIGINT[] picked, cs, need FROM cl UNION ALL
+SELECT k + 1, b.id, list_append(picked, b.id), cs, list_transform(need, lambda v, i: v - CASE WHEN list_contains(b.s, cs[i]) THEN 1 ELSE 0 END)
+FROM (SELECT r.k, r.picked, r.cs, r.need, arg_min(struct_pack(id := ss.id, s := ss.s), (-len(list_filter(ss.s, lambda c: r.need[list_position(r.cs, c)] > 0)), ss.id)) b FROM r, ss
+WHERE list_contains(ss.s, r.cs[list_position(list_transform(r.need, lambda v: v > 0), true)]) AND NOT list_contains(r.picked, ss.id) AND len(list_filter(r.need, lambda v: v > 0)) > 0 GROUP BY 1, 2, 3, 4))
+SELECT id AS l_orderkey, k - 1 AS pick FROM r WHERE k > 0""")
 def e30(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
     return S.covering_picks(li.withColumn("class", F.concat("l_returnflag", F.col("l_linenumber").cast("string"))), "l_orderkey", "class", 3, store=kept)
@@ -208,7 +235,8 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
 def h7(spark: SparkSession, d: str) -> DataFrame:
     n = A.blocks(spark, d).groupBy("file_id").agg((F.max("idx") + 1).alias("n"))
     s = A.segs(spark, d).join(n, "file_id").withColumn("len", F.col("end") - F.col("start"))
-    return s.agg(F.count_if(F.col("len") < A.LEAST).alias("undershoot"), F.count_if(F.col("end") > F.col("n")).alias("past_end"), F.round(F.percentile(F.col("len") - A.LEAST, F.lit(0.95)), 6).alias("overshoot_p95"))
+    g = s.agg(F.count_if(F.col("len") < A.LEAST).alias("undershoot"), F.count_if(F.col("end") > F.col("n")).alias("past_end"))
+    return ranges.with_quantiles(g, s, [], F.col("len") - A.LEAST, (0.95,)).select("undershoot", "past_end", F.round(F.get("_q", F.lit(0)), 6).alias("overshoot_p95"))
 
 
 @query("i10_run_status", """WITH x AS (SELECT user_id AS run, max(epoch_us(ts) // 1000000) last_seen, count(CASE WHEN event_type = 'purchase' THEN 1 END) p, count(CASE WHEN event_type = 'error' THEN 1 END) nf, min(value) lo, max(value) hi, (max(epoch_us(ts) // 1000000) - min(epoch_us(ts) // 1000000)) / greatest(count(*) - 1, 1) step FROM events GROUP BY 1)
@@ -288,6 +316,37 @@ def g12_greedy(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d, "greedy")
 
 
+#: Items: a user and the classes of their events; anchors: two classes heard together; nf: items of two or more classes that no anchor fits.
+_G12 = f"""{_ANCHOR}, an AS (SELECT a.file_id, a.class class_a, b.class class_b FROM mg a JOIN mg b ON a.file_id = b.file_id AND a.class < b.class AND least(a.e, b.e) - greatest(a.s, b.s) >= 900),
+it AS (SELECT user_id item, list(DISTINCT event_type) classes FROM events GROUP BY 1), nf AS (SELECT count(*) n FROM it WHERE len(classes) >= 2 AND NOT EXISTS (SELECT 1 FROM an WHERE list_contains(it.classes, class_a) AND list_contains(it.classes, class_b)))"""
+
+
+@query("g12_rule_breaks", f"""{_G12} SELECT mode, rule, CASE WHEN rule = 'no_anchor' THEN nf.n WHEN rule = 'items' THEN (SELECT count(*) FROM it WHERE len(classes) >= 2) ELSE 0 END::BIGINT AS n
+FROM nf, (SELECT unnest(['uniform', 'overlap_weighted', 'greedy']) mode), (SELECT unnest(['no_anchor', 'items', 'class_twice', 'class_of_another_item', 'over_k', 'not_heard', 'two_songs_in_a_cluster']) rule)""")
+def g12_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """How often a fill breaks one of its rules (never), by mode; and what doesn't depend on draws: items asked for, and those that no anchor fits."""
+    items = table(spark, d, "events", "user_id", "event_type").groupBy(F.col("user_id").alias("item")).agg(F.collect_set("event_type").alias("classes")).filter(F.size("classes") >= 2)
+    spans = A.spans(spark, d).withColumn("k", F.struct(F.col("file_id").alias("song"), "class")).drop("song", "class")
+    heard = S.merged(spans, "k").select("k.song", "k.class", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    out = []
+    for mode in ("uniform", "overlap_weighted", "greedy"):
+        x = kept(_clusters(spark, d, mode))
+        picks = x.filter("class is not null")
+        own = picks.join(items, "item")
+        cover = picks.filter("role = 'member'").join(heard, ["song", "class"]).groupBy("item", "cluster", "class").agg(F.sum(F.greatest(F.lit(0.0), F.least(F.col("_e"), F.col("start") + 7200) - F.greatest("_s", "start"))).alias("s"))
+        rules = {
+            "no_anchor": x.filter("reason = 'no_eligible_anchor' and cluster = 0"),
+            "items": x.select("item").distinct(),
+            "class_twice": picks.groupBy("item", "class").count().filter("count > 1"),
+            "class_of_another_item": own.filter(~F.array_contains("classes", F.col("class"))),
+            "over_k": own.groupBy("item", F.size("classes").alias("k")).count().filter("count > k"),
+            "not_heard": cover.filter(F.col("s") <= 0.25 * 7200 - 0.01),
+            "two_songs_in_a_cluster": picks.filter("role = 'member'").groupBy("item", "cluster").agg(F.countDistinct("song", "start").alias("n")).filter("n > 1"),
+        }
+        out += [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), F.lit(rule).alias("rule"), "n") for rule, df in rules.items()]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 _ITEM = C.draw_sql(32, "vec_id", "start")
 
 
@@ -302,4 +361,6 @@ def g14(spark: SparkSession, d: str) -> DataFrame:
     a = e.select(F.col("vec_id").alias("item"), F.col("label").alias("song"), F.floor(u * 200).alias("start"), (1 + F.col("vec_id") % 3).alias("gain"))
     b = e.select(F.col("vec_id").alias("item"), ((F.col("label") + 1) % 10).alias("song"), F.floor(u * 300).alias("start"), F.lit(1).cast("long").alias("gain"))
     blocks = file_blocks(spark, d).withColumnRenamed("start", "first")
-    return sampling.realised(a.unionByName(b), blocks, "item", "song", 32, bucket=256).withColumn("v", F.round("v", 6))
+    x = sampling.realised(a.unionByName(b), blocks, "item", "song", 32, bucket=256)
+    x = x.select("item", "first", F.posexplode("samples").alias("pos", "v"))  # the result's rows
+    return x.select("item", (F.col("first") + F.col("pos")).cast("int").alias("pos"), F.round("v", 6).alias("v"))

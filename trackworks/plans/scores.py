@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackworks.operators import joins, rollups, sequences
+from trackworks.operators.ranges import quantiles, with_medians
 from trackworks.registry import registry
 from trackworks.session import table
 
@@ -49,12 +50,14 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d11_per_class", f"{_P} SELECT class, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median, count(*) AS n FROM p GROUP BY 1")
 def d11(spark: SparkSession, d: str) -> DataFrame:
-    return scores(spark, d).filter("present").groupBy("class").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.percentile("score", F.lit(0.5)), 6).alias("median"), F.count(F.lit(1)).alias("n"))
+    s = scores(spark, d).filter("present")
+    return with_medians(s.groupBy("class").agg(F.round(F.avg("score"), 6).alias("mean"), F.count(F.lit(1)).alias("n")), s, ["class"], "score", digits=6)
 
 
 @query("d13_absent_levels", f"WITH {SCORES_SQL} SELECT class, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median, max(score) AS most FROM scores WHERE NOT present GROUP BY 1")
 def d13(spark: SparkSession, d: str) -> DataFrame:
-    return scores(spark, d).filter("not present").groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.percentile("score", F.lit(0.5)), 6).alias("median"), F.max("score").alias("most"))
+    s = scores(spark, d).filter("not present")
+    return with_medians(s.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("most")), s, ["class"], "score", digits=6)
 
 
 @query("d14_metrics_with_data", "SELECT metric FROM (SELECT 'o_totalprice' metric, count(o_totalprice) n FROM orders UNION ALL SELECT 'nothing', 0 UNION ALL SELECT 'o_custkey', count(o_custkey) FROM orders) WHERE n > 0")
@@ -85,7 +88,7 @@ def e1(spark: SparkSession, d: str) -> DataFrame:
 @query("e28_typical_song", f"{_P}, m AS (SELECT class, quantile_cont(score, 0.5) q FROM cell GROUP BY 1) SELECT class, run, song FROM cell JOIN m USING (class) QUALIFY row_number() OVER (PARTITION BY class ORDER BY abs(score - q), song, run) = 1")
 def e28(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d)
-    m = c.groupBy("class").agg(F.percentile("score", F.lit(0.5)).alias("q"))
+    m = quantiles(c, ["class"], "score", (0.5,)).select("class", F.get("q", F.lit(0)).alias("q"))
     return sequences.top_by(c.join(m, "class"), ["class"], [F.abs(F.col("score") - F.col("q")), "song", "run"]).select("class", "run", "song")
 
 
@@ -160,7 +163,8 @@ def i11(spark: SparkSession, d: str) -> DataFrame:
 @query("i13_genre_class_stats", f"{_P} SELECT genre, class, round(avg(b), 6) AS mean_best, round(quantile_cont(b, 0.5), 6) AS median_best, count(*) AS n FROM (SELECT genre, class, song, max(score) b FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def i13(spark: SparkSession, d: str) -> DataFrame:
     b = scores(spark, d).filter("present").groupBy("genre", "class", "song").agg(F.max("score").alias("b"))
-    return b.groupBy("genre", "class").agg(F.round(F.avg("b"), 6).alias("mean_best"), F.round(F.percentile("b", F.lit(0.5)), 6).alias("median_best"), F.count(F.lit(1)).alias("n"))
+    g = b.groupBy("genre", "class").agg(F.round(F.avg("b"), 6).alias("mean_best"), F.count(F.lit(1)).alias("n"))
+    return with_medians(g, b, ["genre", "class"], "b", "median_best", digits=6)
 
 
 @query("h15_frozen_picks", """SELECT o_orderkey AS pick, CASE WHEN o_orderkey % 2 = 0 THEN 'song' ELSE 'order' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE o_orderstatus END AS label FROM orders JOIN customer ON o_custkey = c_custkey""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackworks.operators import columns as C
+from trackworks.operators import joins
 from trackworks.operators import signals as X
 from trackworks.registry import registry
 from trackworks.session import table
@@ -86,7 +87,8 @@ def f9(spark: SparkSession, d: str) -> DataFrame:
     return m.select("song", F.posexplode("samples").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
-@query("f10_sum_identity", "SELECT DISTINCT label AS song, true AS exact FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL")
+@query("f10_sum_identity", f"""WITH {B}, x AS (SELECT song, file_id % 3 c, unnest(range(0, len(samples))) pos, unnest(samples) v FROM b), k AS (SELECT song, c, pos, sum(v) v FROM x GROUP BY 1, 2, 3), m AS (SELECT song, pos, sum(v) v FROM x GROUP BY 1, 2), t AS (SELECT song, pos, sum(v) v FROM k GROUP BY 1, 2)
+SELECT song, max(abs(m.v - t.v)) < 1e-6 AS exact, round(sum(m.v * m.v), 5) AS energy FROM m JOIN t USING (song, pos) GROUP BY 1""")
 def f10(spark: SparkSession, d: str) -> DataFrame:
     b = blocks(spark, d)
     mix = X.vector_sum(b, ["song"]).withColumnRenamed("samples", "mix")
@@ -94,7 +96,7 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
     classes = X.vector_sum(b.withColumn("class", F.col("file_id") % 3), ["song", "class"])
     again = X.vector_sum(classes, ["song"])
     diff = F.array_max(F.zip_with("mix", "samples", lambda a, c: F.abs(a - c)))
-    return mix.join(again, "song", "full").select("song", (F.coalesce(diff, F.lit(1.0)) < 1e-6).alias("exact"))
+    return mix.join(again, "song", "full").select("song", (F.coalesce(diff, F.lit(1.0)) < 1e-6).alias("exact"), F.round(X.dot(F.col("mix"), F.col("mix")), 5).alias("energy"))
 
 
 @query("f11_bounded_lag", f"""WITH {LR}, c AS (SELECT song, lag, sum(list_dot_product(l[greatest(0, -lag) + 1 : greatest(0, -lag) + len(l) - abs(lag)], r[greatest(0, lag) + 1 : greatest(0, lag) + len(r) - abs(lag)])) c FROM lr, (SELECT unnest(range(-6, 7)) lag) GROUP BY 1, 2)
@@ -112,8 +114,6 @@ def f12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f14_mix_copy", f"WITH {LR}, {SUMS.format(k='file_id')} SELECT file_id, round(sxy * sxy / (sxx * syy), 6) AS explained, row_number() OVER (ORDER BY round(sxy * sxy / (sxx * syy), 6) DESC, file_id) AS rank FROM s")
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    from trackworks.operators import joins
-
     x = X.products(channels(spark, d), ["file_id"], "l", "r").select("file_id", F.round(F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.col("syy")), 6).alias("explained"))
     x = x.withColumns({"order": -F.col("explained"), "one": F.lit(1)})
     return joins.prefix_offsets(x, "order", "one", "before", ties=("file_id",)).select("file_id", "explained", (F.col("before") + 1).cast("long").alias("rank"))
@@ -196,7 +196,5 @@ def f28(spark: SparkSession, d: str) -> DataFrame:
 @query("c9_unordered_pairs", "SELECT a.l_orderkey AS song, a.l_linenumber AS part_a, b.l_linenumber AS part_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber")
 def c9(spark: SparkSession, d: str) -> DataFrame:
     """An order is a song of a few parts."""
-    from trackworks.operators import joins
-
     stems = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").select(F.col("l_orderkey").alias("song"), F.col("l_linenumber").alias("part"))
     return joins.unordered_pairs(stems, "song", "part")

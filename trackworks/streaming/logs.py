@@ -50,7 +50,8 @@ def stalls(events: DataFrame, late: str = "0 seconds", fallback_s: float = 3600.
 
     events: run, kind, at (timestamp). Silence is measured against the watermark, `late` behind the latest event of any
     run, so a replay says the same as the live stream. Each batch with a run's events gives an `ok` row, or `done` after
-    its trailer. State is the last 50 epoch times of a run, and leaves when it is done or stalled.
+    its trailer. State is the epoch times of a run, 8 bytes each: the median is of all its steps, also where epochs come out
+    of order. It leaves when the run is done or stalled.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,7 +68,7 @@ def stalls(events: DataFrame, late: str = "0 seconds", fallback_s: float = 3600.
         for f in frames:
             seconds = f["at"].astype("datetime64[us]").astype("int64") / 1e6
             last = max([last, *seconds])
-            times = sorted({*times, *seconds[f["kind"] == "epoch"]})[-50:]
+            times = sorted({*times, *seconds[f["kind"] == "epoch"]})
             done |= bool((f["kind"] == "trailer").any())
         if done:
             if state.exists:
@@ -89,7 +90,13 @@ def stalls(events: DataFrame, late: str = "0 seconds", fallback_s: float = 3600.
     return marked.groupBy("run").applyInPandasWithState(step, "run string, status string, last_seen double, epochs long", "last double, times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def arriving_files(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
-    """Each new file of a folder once, even if it is written again under the same name; the sink's checkpoint resumes it."""
-    f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
-    return f.select("path", "length", "modificationTime").withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["path"])
+def arriving_files(spark: SparkSession, path: str) -> DataFrame:
+    """Each new file of a folder once, even if it is written again under the same name; the sink's checkpoint resumes it.
+
+    A file counts by its path, whatever its modification time: the source takes files of any age, and the paths seen are
+    state that no watermark drops (a path a file, dealt over the cluster), so a file that is copied in with an old time
+    comes too.
+    """
+    f = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    f = f.option("recursiveFileLookup", "true").option("maxFileAge", "36500d").load(path)
+    return f.select("path", "length", "modificationTime").dropDuplicates(["path"])
