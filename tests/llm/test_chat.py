@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from trackworks.llm import chat as C
+from trackworks.llm import queries
 
 
 def conversation(rng, i, n):
@@ -23,7 +26,7 @@ def ordered(rows):
 
 def plain_windows(rows, budget, history_turns, history_tokens):
     """One conversation's windows, cut turn by turn: (repeated, own) lists of formatted turns."""
-    turns = [(-1 if n is None else n >> C.CHUNK_BITS, role, said(role, text)) for n, role, text in ordered(rows)]
+    turns = [(k // C.CHUNK_TURNS, role, said(role, text)) for k, (_, role, text) in enumerate(ordered(rows))]
     size = lambda t: len(t[2].encode())
     system = next((t for t in turns if t[1] == "system"), None)
     parts = sorted({t[0] for t in turns})
@@ -97,7 +100,7 @@ def test_windows_are_full(spark):
 
 
 def test_many_turns_of_one_number_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(C, "LARGE_CHUNK", 50)
+    monkeypatch.setattr(C, "PART_ROWS", 50)
     rng = random.Random(3)
     rows = [(None, rng.choice([None, 3, 4]), rng.choice(["user", "assistant"]), f"t{rng.randint(0, 10**6)} " + "y" * rng.randint(0, 50)) for _ in range(400)]
     rows += [(7, -5, "user", "before"), (7, None, "user", "first"), (7, 1, "assistant", "word " * 60_000), (7, 2, "user", "after")]
@@ -122,3 +125,16 @@ def test_escapes_are_reversible(spark):
     texts = [("".join(rng.choice("\\lhbc#<>/ :") for _ in range(rng.randint(0, 12))),) for _ in range(500)]
     df = spark.createDataFrame(texts, "t string").select("t", C.escaped(F.col("t")).alias("e"))
     assert all(r["t"] == r["b"] and not set("#<") & set(r["e"]) for r in df.select("t", "e", C.unescaped(F.col("e")).alias("b")).collect())
+
+
+@pytest.mark.parametrize("part_rows", [C.PART_ROWS, 900])
+def test_op10_is_its_sql_where_thousands_of_turns_have_one_number(spark, tmp_path, monkeypatch, part_rows):
+    monkeypatch.setattr(C, "PART_ROWS", part_rows)
+    rng = random.Random(5)
+    rows = [(1, 3 if i % 9 else i, rng.choice(["user", "assistant", "system" if i % 700 == 0 else "user"]), "w " * rng.randint(0, 60) + str(i)) for i in range(6000)]
+    rows += [(2, i, "assistant", "same") for i in [7] * 4500] + [(3, i, rng.choice(["user", "assistant"]), f"turn {i} # <") for i in range(5000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r[c] for c in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")) for r in queries.op10_chat_format(spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(duck.sql(queries.OP10_SQL).fetchall()) and len(got) == 4

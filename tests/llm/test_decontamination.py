@@ -84,3 +84,27 @@ def test_removal_keeps_clean_documents(spark, make_docs):
     got = {r["doc_id"]: r["text"] for r in D.decontaminate(d, b).collect()}
     assert got == {1: "clean text é", 2: "été long clean start here, . and an end", 4: None, 5: ""}
     assert {r["doc_id"] for r in D.decontaminate(d, b, action="documents").collect()} == {1, 4, 5}
+
+
+def test_items_without_an_id_are_looked_for_and_not_listed(spark, make_docs):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = make_docs(f"before {passage} after", "short item", "nothing here")
+    items = spark.createDataFrame([(None, passage), (None, "short item"), ("k", passage)], "item_id string, text string")
+    for block_bytes in (D.BLOCK_BYTES, 30):
+        got = {r["doc_id"]: r["contamination"] for r in D.find_contamination(docs, items, block_bytes=block_bytes).collect()}
+        assert [sum(s["words"] for s in got[i]["spans"]) for i in (1, 2, 3)] == [11, 2, 0]
+        assert [got[i]["items"] for i in (1, 2, 3)] == [["k"], [], []]
+
+
+def test_a_long_item_is_looked_for_in_pieces(spark, make_docs, monkeypatch):
+    rng = random.Random(12)
+    said = [f"w{rng.randint(0, 999)}" for _ in range(3000)]
+    docs = make_docs(*[f"x {' '.join(said[a : a + n])} y" for a, n in [(0, 10), (45, 12), (95, 30), (2985, 15), (700, 9)]], " ".join(said))
+    items = spark.createDataFrame([("long", " ".join(said)), ("other", "a b")], "item_id string, text string")
+    hits = lambda: {r["doc_id"]: (sum(s["words"] for s in r["contamination"]["spans"]), r["contamination"]["items"]) for r in D.find_contamination(docs, items, block_bytes=4000).collect()}
+    whole = hits()
+    for words in (7, 50, 100):
+        monkeypatch.setattr(D, "PIECE_BYTES", 100)
+        monkeypatch.setattr(D, "PIECE_WORDS", words)
+        assert hits() == whole
+    assert whole[6] == (3000, ["long"]) and whole[5] == (0, [])

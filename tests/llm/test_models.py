@@ -114,16 +114,29 @@ def test_quality_prior_is_the_share_of_all_labels():
 
 
 def plain_step(m, z, y, gradient, hessian):
-    """One Newton step in a loop over rows."""
+    """One bounded step in a loop over rows."""
     g, h = np.array(gradient, float), np.array(hessian, float)
     ridge = np.array([1.0] * (z.shape[1] - 1) + [1e-3])
     for row, label in zip(z, y, strict=True):
-        p = 1 / (1 + np.exp(-np.clip(row @ m.w, -30, 30)))
-        g = g + row * (p - label)
-        h = h + np.outer(row, row) * p * (1 - p)
+        g = g + row * (1 / (1 + np.exp(-np.clip(row @ m.w, -30, 30))) - label)
+        h = h + np.outer(row, row) / 4
     return m.w - np.linalg.solve(h + np.diag(ridge), g + ridge * m.w)
 
 
+def plain_labels(p, prior):
+    """Weights of the labels 0 and 1 by row: the surest rows of each class, found by sorting whole bins."""
+    at = np.minimum((p * Q.BINS).astype(int), Q.BINS - 1)
+    zero, one = np.zeros(len(p)), np.zeros(len(p))
+    for want, order, out in ((Q.TAUGHT * (1 - prior) * len(p), sorted(set(at)), zero), (Q.TAUGHT * prior * len(p), sorted(set(at), reverse=True), one)):
+        taken = 0
+        for b in order:
+            if taken >= want:
+                break
+            out[at == b] = 1
+            taken += (at == b).sum()
+    return zero * np.clip((prior - p) / prior, 0, 1), one * np.clip((p - prior) / (1 - prior), 0, 1)
+
+
 def test_quality_is_that_of_co_training_row_by_row(tables):
     """All rows of the pool teach: the fit in Spark gives the weights of a plain loop over every row."""
     docs, labels = tables
@@ -137,18 +150,23 @@ def test_quality_is_that_of_co_training_row_by_row(tables):
     assert (y < 0).sum() > 200
     known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     train = known[np.arange(len(known)) % 5 != 0]
+    held = known[np.arange(len(known)) % 5 == 0]
+    prior = y[known].mean()
     students = [Logistic(x[train], y[train].astype(float)) for x in (text, meta)]
     for _ in range(Q.ROUNDS):
-        sure = [m.predict(x[pool]) for m, x in zip(students, (text, meta), strict=True)]
+        sure = []
+        for m, x in zip(students, (text, meta), strict=True):
+            c = Logistic(m.logit(x[held])[:, None], y[held])
+            sure.append(plain_labels(c.predict(m.logit(x[pool])[:, None]), prior))
         for _ in range(Q.STEPS):
             weights = []
             for k, x in enumerate((text, meta)):
                 m, g, h = students[k], 0, 0
-                for c, rows_ in ((0, pool[sure[1 - k] <= 1 - Q.CONFIDENT]), (1, pool[sure[1 - k] >= Q.CONFIDENT])):
-                    share = (y[train] == c).sum() / max(1, len(rows_))
-                    for z in m.design(x[rows_]):
-                        p = 1 / (1 + np.exp(-np.clip(z @ m.w, -30, 30)))
-                        g, h = g + share * z * (p - c), h + share * np.outer(z, z) * p * (1 - p)
+                for c in (0, 1):
+                    w = sure[1 - k][c]
+                    share = min(1, (y[train] == c).sum() / max(1, w.sum()))
+                    for z, own in zip(m.design(x[pool]), w, strict=True):
+                        g, h = g + share * own * z * (1 / (1 + np.exp(-np.clip(z @ m.w, -30, 30))) - c), h + share * own * np.outer(z, z) / 4
                 weights.append(plain_step(m, m.design(x[train]), y[train], g, h))
             for k, w in enumerate(weights):
                 students[k] = copy.copy(students[k])
@@ -157,6 +175,56 @@ def test_quality_is_that_of_co_training_row_by_row(tables):
         assert np.allclose(mine.w, plain.w, atol=1e-6)
 
 
+def planted(n, seed, metadata=1.5):
+    """Two views of rows, either of which tells the class about as well, and the classes."""
+    rng = np.random.default_rng(seed)
+    y = (rng.random(n) < 0.7).astype(int)
+    return rng.normal(size=(n, 4)) + 1.5 * y[:, None], rng.normal(size=(n, 3)) + metadata * y[:, None], y
+
+
+def pool_of(text, meta):
+    return lambda f: f(text, meta)
+
+
+def test_both_views_teach_both_classes():
+    text, meta, y = planted(200, 1)
+    more_text, more_meta, _ = planted(5000, 2)
+    model = Q.CoTrained(text, meta, y, pool_of(more_text, more_meta))
+    assert len(model.taught) == Q.ROUNDS and all(n > 0.01 * 5000 for views in model.taught for view in views for n in view)
+    new_text, new_meta, truth = planted(4000, 3)
+    alone = Q.CoTrained(text, meta, y, None)
+    right = lambda m: ((m.predict(new_text, new_meta)[0] >= 0.5) == truth).mean()
+    assert right(model) >= right(alone) - 0.005 and right(model) > 0.95
+
+
+def test_one_wrong_label_moves_a_view_no_further_than_a_row_of_its_own():
+    text, meta, y = planted(400, 4)
+    text += 4 * y[:, None]  # the text view is all but certain
+    alone = Q.CoTrained(text, meta, y, None)
+    wrong_text, wrong_meta = np.full((1, 4), 6.0), np.full((1, 3), -3.0)  # good by its text, bad by its metadata
+    model = Q.CoTrained(text, meta, y, pool_of(wrong_text, wrong_meta))
+    assert any(n for views in model.taught for n in views[0])  # the text view was taught it
+    new_text, new_meta, truth = planted(2000, 5)
+    new_text += 4 * truth[:, None]
+    a, b = alone.predict(new_text, new_meta)[1], model.predict(new_text, new_meta)[1]
+    assert ((b >= 0.5) == truth).mean() > 0.995 and np.abs(a - b).max() < 0.1
+
+
+def test_a_view_that_knows_nothing_spoils_nothing():
+    text, meta, y = planted(400, 6, metadata=0.0)
+    more_text, more_meta, _ = planted(6000, 7, metadata=0.0)
+    new_text, new_meta, truth = planted(3000, 8, metadata=0.0)
+    right = lambda m: ((m.predict(new_text, new_meta)[0] >= 0.5) == truth).mean()
+    assert right(Q.CoTrained(text, meta, y, pool_of(more_text, more_meta))) >= right(Q.CoTrained(text, meta, y, None)) - 0.01
+
+
+def test_a_class_that_one_view_never_labels():
+    text, meta, y = planted(300, 9)
+    more_text, _, _ = planted(1000, 10)
+    model = Q.CoTrained(text, meta, y, pool_of(more_text, np.full((1000, 3), 5.0)))  # by its metadata the whole pool is good
+    assert model.taught[0][0][0] == 0 < model.taught[0][0][1] and min(model.taught[0][1]) > 0
+
+
 def test_a_repeated_id_adds_no_rows_to_the_sample(spark, tables):
     docs, labels = tables
     again = docs.filter("doc_id < 40")

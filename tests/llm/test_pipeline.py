@@ -61,13 +61,13 @@ def test_line_stage_takes_boilerplate_from_short_pages_too(spark, make_docs):
 
 
 def plain_lines(docs):
-    """Lines of a source on over 2 % and 3 of its different texts go from every text."""
+    """Lines that over 2 % of the other different texts of a source have go from every text."""
     pages, counts = {}, {}
     for text, source in {(t or "", s or "") for _, t, s in docs}:
         pages[source] = pages.get(source, 0) + 1
         for line in {x.strip(" ") for x in text.split("\n")} - {""}:
             counts[source, line] = counts.get((source, line), 0) + 1
-    bad = {k for k, n in counts.items() if n >= L.MIN_PAGES and n > L.MAX_SHARE * pages[k[0]]}
+    bad = {k for k, n in counts.items() if n - 1 > L.MAX_SHARE * (pages[k[0]] - 1)}
     return [(i, t if t is None else "\n".join(x for x in t.split("\n") if (s or "", x.strip(" ")) not in bad), s) for i, t, s in docs]
 
 

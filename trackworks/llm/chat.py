@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackworks.llm.shared import stored
+from trackworks.operators.ranges import in_parts
 
 #: Tokens of a window, turns repeated as history, and the most tokens these may have. Tokens are counted as UTF-8 bytes of
 #: the formatted text, template and escapes included: no byte-level vocabulary makes more, and English has about a quarter.
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 4096, 2, 512
-#: Bits of a turn number within a chunk: 256 numbers are cut into windows together, apart from other chunks.
-CHUNK_BITS = 8
-#: Turns from which on a chunk, as of equal turn numbers, is split further by number, role and hash of the text.
-LARGE_CHUNK = 4096
-#: Large chunks up to which their list is broadcast.
-BROADCAST_CHUNKS = 100_000
+#: Turns that are cut into windows together, apart from the next ones of their conversation.
+CHUNK_TURNS = 256
+#: Rows that one task orders at a time.
+PART_ROWS = 1 << 19
 TURN_END = "</turn>\n"
 
 
@@ -35,32 +33,30 @@ def escaped_role(role: Column) -> Column:
 
 
 def _part(turns: DataFrame) -> DataFrame:
-    """`turns` with `conv`, `part` (sorts as its turns do, and holds a bounded number of them) and `turn`, a struct.
+    """`turns` with `conv`, `part` (each CHUNK_TURNS turns of a conversation, in order) and `turn`, a struct.
 
-    Turns are ordered by number (null first), role and hash of the text, so texts themselves are never sorted by.
+    Turns are ordered by number (null first), role and hash of the text, so texts themselves are never sorted by; equal
+    rows are in any order. A turn's place is counted in cells of turn numbers, and equal numbers are in as many parts of the
+    order as they need, so that a conversation of any size, or a turn number that repeats, is many tasks.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     opening = F.concat(F.lit("### "), escaped_role(role), F.lit(": "))
     body = escaped(text)
     said = F.concat(opening, body, F.lit(TURN_END))
-    chunk = F.coalesce(F.shiftright(F.col("turn").cast("long"), CHUNK_BITS), F.lit(-(1 << 62)))
     t = turns.select(
-        "conv_id", F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("id"), F.col("conv_id").isNull().alias("none")).alias("conv"), chunk.alias("chunk"),
+        "conv_id", F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("id"), F.col("conv_id").isNull().alias("none")).alias("conv"),
         F.struct(
             F.col("turn").cast("long").alias("turn"), role.alias("role"), F.unhex(F.md5(text)).alias("hash"), said.alias("said"), F.octet_length(said).alias("tokens"),
             F.length(opening).alias("open"), F.length(body).alias("body"),
-        ).alias("turn"),
+        ).alias("turn"), F.monotonically_increasing_id().alias("tie"),
     )
-    large = stored(t.groupBy("conv", "chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_CHUNK).select("conv", "chunk", F.lit(True).alias("large")), "large-chunks")
-    n = large.count()
-    if n:
-        t = t.join(F.broadcast(large) if n <= BROADCAST_CHUNKS else large, ["conv", "chunk"], "left")
-    finer = F.coalesce(F.col("large"), F.lit(False)) if n else F.lit(False)
-    part = F.struct(
-        "chunk", F.when(finer, F.coalesce("turn.turn", F.lit(0))).otherwise(0).cast("long").alias("turn"), F.when(finer, F.col("turn.role")).otherwise("").alias("role"),
-        F.when(finer, F.hex(F.substring("turn.hash", 1, F.lit(2)))).otherwise("").alias("hash"),
-    )
-    return t.select("conv_id", "conv", part.alias("part"), "turn")
+    order = ["turn.turn", "turn.role", "turn.hash", "tie"]
+    t = in_parts(t, ["conv", *order], PART_ROWS)
+    t = t.withColumn("cell", F.struct("_part", F.coalesce(F.floor(F.col("turn.turn") / CHUNK_TURNS), F.lit(-(1 << 62))).alias("numbers")))
+    earlier = Window.partitionBy("conv").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    base = t.groupBy("conv", "cell").agg(F.count(F.lit(1)).alias("n")).select("conv", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    place = F.col("base") + F.row_number().over(Window.partitionBy("conv", "cell").orderBy(*order)) - 1
+    return t.join(base, ["conv", "cell"]).select("conv_id", "conv", F.floor(place / CHUNK_TURNS).alias("part"), "turn")
 
 
 _TURNS = "array<struct<turn:bigint,role:string,hash:binary,said:string,tokens:int,open:int,body:int>>"
@@ -81,8 +77,8 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history_turns:
     the system turn together have. Only own assistant turns are under the loss: what is repeated is masked. A text in the
     output has no control string: see escaped().
 
-    A conversation is cut in chunks of turn numbers, each one row of a bounded number of turns, and each cut into windows
-    by itself; texts are shuffled once. History reaches into the chunk before.
+    A conversation is cut in chunks of CHUNK_TURNS turns, each one row, and each cut into windows by itself. History reaches
+    into the chunk before.
     """
     g = _part(turns).groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("turn")).alias("turns"))
     by_conv = Window.partitionBy("conv").orderBy("part")

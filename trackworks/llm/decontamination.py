@@ -17,6 +17,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes. A task's table
 #: has about eight times as many.
 BLOCK_BYTES = 16 << 20
+#: Items of more bytes are cut in pieces of so many words.
+PIECE_BYTES, PIECE_WORDS = 1 << 20, 1 << 16
 _FILTER_BITS = 22
 
 
@@ -30,7 +32,7 @@ class WindowSet:
 
     def __init__(self, items: list[tuple[object, str]], size: int) -> None:
         w = Words(pa.array([text or "" for _, text in items], pa.large_string()), ascii_fold(), alnum_words())
-        self.names, self.first = [str(i) for i, _ in items], w.first
+        self.names, self.first = [None if i is None else str(i) for i, _ in items], w.first
         self.data, self.start, self.end = w.data.tobytes(), w.start, w.end
         n = np.diff(w.first)
         #: by length in words: hashes, the number of each window's first word, and bits of the hashes
@@ -49,14 +51,14 @@ class WindowSet:
     def said(self, first: int, k: int) -> bytes:
         return b" ".join(self.data[self.start[j] : self.end[j]] for j in range(first, first + k))
 
-    def items(self, k: int, h: int, said: bytes) -> list[str]:
-        """The items that hold a window, given its hash and words; none if only the hash is the same."""
+    def items(self, k: int, h: int, said: bytes) -> list[str | None]:
+        """The ids of items that hold a window, given its hash and words, None among them for items without one; none if only the hash is the same."""
         if (k, h) not in self.met:
             known, at, _ = self.by_length[k]
             found: dict[bytes, set] = defaultdict(set)
             for first in at[np.searchsorted(known, np.uint64(h)) : np.searchsorted(known, np.uint64(h), side="right")].tolist():
                 found[self.said(first, k)].add(self.names[int(np.searchsorted(self.first, first, side="right")) - 1])
-            self.met[k, h] = {x: sorted(own) for x, own in found.items()}
+            self.met[k, h] = {x: sorted(own, key=lambda i: (i is None, i)) for x, own in found.items()}
         return self.met[k, h].get(said, [])
 
 
@@ -81,7 +83,7 @@ def _scan(windows: WindowSet, text: str, hits: str):
                     if own:
                         hit[first] += 1
                         hit[first + k] -= 1
-                        items[int(d)].update(own)
+                        items[int(d)].update(x for x in own if x is not None)
             # a window never leaves its text, so the running sum is 0 at each text's first word
             inside_hit = np.cumsum(hit[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate([[0], inside_hit.view(np.int8), [0]])))
@@ -109,17 +111,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """`docs` and a struct column: n_words, spans of hit words (word and byte offsets, end exclusive) and item ids.
 
     Windows are `window` consecutive words of an item; an item of fewer words, but not none, is one window. They are
-    broadcast as a hash set in blocks of `block_bytes` of benchmark text, the most that a pass or the driver holds: the
-    sizes are summed first, and a larger benchmark is looked for block by block, each pass writing what it finds before
-    the next begins; a document's spans are then merged. Hits are verified word by word, so a hash collision never counts.
-
-    Null and empty texts have no words and no hits; texts of any length are read whole; null and repeated items are
-    harmless, as are empty tables; rows that repeat are judged alike. Extra columns stay; where one is called `out`, the
+    broadcast as a hash set in blocks of about `block_bytes` of benchmark text, which a pass and the driver hold: the sizes
+    are summed first, and a larger benchmark is looked for block by block, each pass writing what it finds before the next
+    begins; a document's spans are then merged. A long item is cut in ranges of words that overlap by a window less a word,
+    so a block holds no more of it than others, and pieces are dealt by a hash. Hits are verified word by word, so a hash
+    collision never counts.
+
+    Null and empty texts have no words and no hits; texts of any length are read whole. Words inside the windows of an item
+    without an id are hit like others, only there is no id to list; repeated items and empty tables are harmless; rows that repeat are judged alike. Extra columns stay; where one is called `out`, the
     new one gets underscores before its name.
     """
     out = own_name(docs, out)
     text = own_name(docs, "scanned_text")
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).filter(F.col("item").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    items = _pieces(items, window)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     found = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
@@ -150,6 +155,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return found.join(by_row, row).drop(text, row)
 
 
+def _pieces(items: DataFrame, window: int) -> DataFrame:
+    """Items, long ones as ranges of words that share window - 1 words with the next, so that each window is in one of them."""
+    long = F.octet_length("text") > PIECE_BYTES
+    words_ = F.regexp_extract_all("text", F.lit(WORD.pattern), F.lit(0))
+    cut = items.filter(long).select("item", words_.alias("w")).filter(F.size("w") > 0).select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE_WORDS))).alias("at"))
+    cut = cut.filter((F.col("at") == 0) | (F.size("w") - F.col("at") >= window))  # a shorter end is in the piece before
+    return items.filter(~long).unionByName(cut.select("item", F.array_join(F.slice("w", F.col("at") + 1, F.lit(PIECE_WORDS + window - 1)), " ").alias("text")))
+
+
 def _joined(a, b):
     end = F.greatest(a["first_word"] + a["words"], b["first_word"] + b["words"])
     return F.struct(a["first_word"].alias("first_word"), (end - a["first_word"]).alias("words"), a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from trackworks.llm.shared import own_name, stored
 
-#: A line of a site is boilerplate if more than this share of the site's pages has it, on at least MIN_PAGES pages.
-MAX_SHARE, MIN_PAGES = 0.02, 3
+#: A line of a page is boilerplate if more than this share of the site's other pages has it too.
+MAX_SHARE = 0.02
 #: Boilerplate lines of all sites (16 bytes each) up to which they are broadcast; more are joined by site.
 BROADCAST_LINES = 500_000
 #: Lines that a look-up compares with on average.
@@ -21,9 +21,10 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b"))
 
 
-def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
-    """(site, line): keys of each site's lines that occur on more than `max_share` of its pages and on `min_pages`.
+def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, copies_once: bool = False) -> DataFrame:
+    """(site, line): keys of each site's lines that, of the pages other than one that has it, more than `max_share` have too.
 
+    So the ratio stands alone at any size: a site's only page loses nothing, as no other page could share its lines.
     Pages of a site are all its rows, or with `copies_once` its different texts (by 128 bits of the whole text); a line
     counts once a page. Lines are hashed before they are shuffled and counted before and after, so a site with most
     pages is as many small sums. Rows without a site are one of their own; null and empty texts are pages without lines.
@@ -34,8 +35,8 @@ def boilerplate_lines(docs: DataFrame, site_col: str, text_col: str = "text", ma
     once = (lambda df: df.distinct()) if copies_once else (lambda df: df)
     totals = once(pages.select("site", *page)).groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     line = F.explode(F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _key)))
-    counts = once(pages.select("site", *page, line.alias("line"))).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    return counts.join(totals, "site").filter(F.col("n") > max_share * F.col("pages")).select("site", "line")
+    counts = once(pages.select("site", *page, line.alias("line"))).groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)  # a line of one page is no other page's
+    return counts.join(totals, "site").filter(F.col("n") - 1 > max_share * (F.col("pages") - 1)).select("site", "line")
 
 
 def _tables(found: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def _tables(found: DataFrame) -> DataFrame:
     return by_bucket.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "lines"))), lambda x: x["lines"]).alias("lines"))
 
 
-def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, removed: str | None = None, broadcast_lines: int = BROADCAST_LINES, copies_once: bool = False) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text", max_share: float = MAX_SHARE, removed: str | None = None, broadcast_lines: int = BROADCAST_LINES, copies_once: bool = False) -> DataFrame:
     """`docs` with each site's boilerplate lines taken out of every text, whatever is left of it; no row goes.
 
     With `copies_once` exact copies count as one page, so that their number alone makes no line frequent.
@@ -61,7 +62,7 @@ def without_boilerplate(docs: DataFrame, site_col: str, text_col: str = "text",
     aren't shuffled; beyond it they are joined by site, where adaptive execution splits a hot one.
     """
     site, lines = own_name(docs, "site_key"), own_name(docs, "site_lines")
-    found = stored(boilerplate_lines(docs, site_col, text_col, max_share, min_pages, copies_once), "boilerplate")
+    found = stored(boilerplate_lines(docs, site_col, text_col, max_share, copies_once), "boilerplate")
     tables = _tables(found).select(F.col("site").alias(site), F.col("lines").alias(lines))
     if found.count() <= broadcast_lines:
         tables = F.broadcast(tables)

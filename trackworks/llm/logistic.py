@@ -7,6 +7,10 @@ import copy
 import numpy as np
 
 
+#: The largest that p (1 - p) can be.
+CURVATURE = 0.25
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -32,13 +36,16 @@ class Logistic:
                 break
 
     def stepped(self, x: np.ndarray, y: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, l2: float = 1.0) -> Logistic:
-        """One Newton step further on these rows and others, of which only gradient and Hessian are given."""
+        """One step further on these rows and others, of which only gradient and a bound of the Hessian are given.
+
+        The bound takes CURVATURE for every row, so a step never overshoots, even where the rows are all but decided.
+        """
         z = self.design(x)
         p = sigmoid(z @ self.w)
         ridge = np.full(z.shape[1], l2)
         ridge[-1] = 1e-3
         g = z.T @ (p - y) + ridge * self.w + gradient
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge) + hessian
+        h = CURVATURE * z.T @ z + np.diag(ridge) + hessian
         new = copy.copy(self)
         new.w = self.w - np.linalg.solve(h, g)
         return new

@@ -10,13 +10,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackworks.llm.logistic import Logistic, sigmoid
-from trackworks.llm.shared import Words, ascii_fold, own_name, passed_through, raw, slices, spaced_words, stored, with_columns
+from trackworks.llm.logistic import CURVATURE, Logistic, sigmoid
+from trackworks.llm.shared import Words, ascii_fold, forget, own_name, passed_through, raw, slices, spaced_words, stored, with_columns
 
 #: Labelled rows of each class that the classifiers are fitted on at most, by a hash of ids.
 SAMPLE_PER_CLASS = 4000
-#: Rounds, Newton steps a round, and the probability from which on a view's label of an unlabelled row counts.
-ROUNDS, STEPS, CONFIDENT = 3, 2, 0.95
+#: Rounds, and steps a round.
+ROUNDS, STEPS = 3, 2
+#: The share of the pool that each view labels a round, dealt to the classes by their prior: its surest rows of each.
+TAUGHT = 0.2
+#: Bins of a view's probabilities that the surest rows are found by.
+BINS = 2000
 #: Rows whose views a task holds as numbers at a time.
 VIEW_ROWS = 4096
 META_BUCKETS = 32
@@ -78,34 +82,65 @@ def metadata_view(size: np.ndarray, *names: list[str]) -> np.ndarray:
     return out
 
 
+class Teacher:
+    """A view that labels rows of the pool for the other one: calibrated, and only as sure as it beats the labels' prior."""
+
+    def __init__(self, view: Logistic, calibration: Logistic, prior: float) -> None:
+        self.view, self.calibration, self.prior = view, calibration, prior
+        self.low, self.high = 0, BINS  # bins at or under low are labelled 0, those over high 1; nothing yet
+
+    def _bins(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = self.calibration.predict(self.view.logit(x)[:, None])
+        return p, np.minimum((p * BINS).astype(np.int64), BINS - 1)
+
+    def histogram(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self._bins(x)[1], minlength=BINS).astype(float)
+
+    def chosen(self, histogram: np.ndarray) -> None:
+        """The surest rows of each class, by whole bins: as many as its prior's part of TAUGHT, or the few more of the last bin."""
+        upward = np.cumsum(histogram)
+        n = upward[-1]
+        self.low = int(np.searchsorted(upward, TAUGHT * (1 - self.prior) * n))
+        self.high = BINS - 2 - int(np.searchsorted(np.cumsum(histogram[::-1]), TAUGHT * self.prior * n))
+
+    def says(self, x: np.ndarray) -> np.ndarray:
+        """By row the weights, 0 to 1, of the labels 0 and 1: what its probability has over the prior, where the row is chosen."""
+        p, at = self._bins(x)
+        zero = np.where(at <= self.low, (self.prior - p) / max(self.prior, 1e-9), 0)
+        one = np.where(at > self.high, (p - self.prior) / max(1 - self.prior, 1e-9), 0)
+        return np.clip(np.stack([zero, one], 1), 0, 1)
+
+
 class Sums:
-    """What a Newton step needs of a view's rows in the pool: their number, gradient and Hessian, by pseudo-label."""
+    """What a Newton step needs of a view's rows in the pool: by pseudo-label their number, weight, gradient and bound of the Hessian."""
 
     def __init__(self, width: int) -> None:
-        self.n, self.g, self.h = np.zeros(2), np.zeros((2, width)), np.zeros((2, width, width))
+        self.n, self.weight, self.g, self.h = np.zeros(2), np.zeros(2), np.zeros((2, width)), np.zeros((2, width, width))
 
-    def add(self, student: Logistic, x: np.ndarray, teacher: np.ndarray) -> None:
-        """Rows of the pool that the other view, by its probabilities `teacher`, is sure of."""
-        for c, sure in enumerate((teacher <= 1 - CONFIDENT, teacher >= CONFIDENT)):
-            z = student.design(x[sure])
+    def add(self, student: Logistic, x: np.ndarray, said: np.ndarray) -> None:
+        """Rows of the pool that the other view labels, with its weights."""
+        for c in (0, 1):
+            some = said[:, c] > 0
+            z, w = student.design(x[some]), said[some, c]
             p = sigmoid(z @ student.w)
             self.n[c] += len(z)
-            self.g[c] += z.T @ (p - c)
-            self.h[c] += (z * (p * (1 - p))[:, None]).T @ z
+            self.weight[c] += w.sum()
+            self.g[c] += z.T @ (w * (p - c))
+            self.h[c] += (z * (w * CURVATURE)[:, None]).T @ z
 
     def packed(self) -> np.ndarray:
-        return np.concatenate([self.n, self.g.ravel(), self.h.ravel()])
+        return np.concatenate([self.n, self.weight, self.g.ravel(), self.h.ravel()])
 
     @classmethod
     def unpacked(cls, flat: np.ndarray, width: int) -> Sums:
         s = cls(width)
-        s.n, s.g, s.h = flat[:2], flat[2 : 2 + 2 * width].reshape(2, width), flat[2 + 2 * width :].reshape(2, width, width)
+        s.n, s.weight, s.g, s.h = flat[:2], flat[2:4], flat[4 : 4 + 2 * width].reshape(2, width), flat[4 + 2 * width :].reshape(2, width, width)
         return s
 
 
-def pool_sums(students: list[Logistic], teachers: list[Logistic], views: tuple[np.ndarray, np.ndarray]) -> list[Sums]:
-    """Each view's sums over some rows of the pool, labelled by what the other view is sure of."""
-    said = [t.predict(x) for t, x in zip(teachers, views, strict=True)]
+def pool_sums(students: list[Logistic], teachers: list[Teacher], views: tuple[np.ndarray, np.ndarray]) -> list[Sums]:
+    """Each view's sums over some rows of the pool, labelled by the other view."""
+    said = [t.says(x) for t, x in zip(teachers, views, strict=True)]
     out = []
     for k, (m, x) in enumerate(zip(students, views, strict=True)):
         out.append(Sums(len(m.w)))
@@ -113,19 +148,27 @@ def pool_sums(students: list[Logistic], teachers: list[Logistic], views: tuple[n
     return out
 
 
+#: Sums an array that a function gives for some rows of the pool (text view, metadata view) over all of them; empty for an empty pool.
+Pool = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
 class CoTrained:
     """Two classifiers that teach each other, and how their calibrated logits are put together."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Callable[[list[Logistic], list[Logistic]], list[Sums]] | None, class_weight: tuple[float, float] = (1.0, 1.0)) -> None:
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool | None, class_weight: tuple[float, float] = (1.0, 1.0)) -> None:
         """text, meta: the views of labelled rows, y their labels (0, 1). A fifth of the rows calibrates only.
 
-        pool: gives each view's Sums over all unlabelled rows (students, teachers). In each of ROUNDS rounds both views
-        label the rows that they are sure of, and take STEPS Newton steps on the labelled rows and on what the other
-        view labelled; pseudo-labels of a class weigh as much together as its labelled rows, however many they are.
+        In each of ROUNDS rounds both views are calibrated, each labels its surest rows of either class in the pool for the
+        other, and both take STEPS steps on the labelled rows and on what the other labelled. A pseudo-label weighs
+        what its probability has over the prior, 1 at most, and those of a class no more together than its labelled rows.
+        So a view that knows little teaches little, and a wrong label is never worth more than a right one; steps are bounded
+        by the largest curvature, so no label moves a view that is sure of its rows by more than its share. taught: by
+        round and view the numbers of rows that it was taught as 0 and as 1.
         class_weight: how many labels a labelled row of class 0 and of class 1 stands for, so that scores are
         probabilities under the labels' own proportions and not the sample's.
         """
         self.views: list[Logistic] | None = None
+        self.taught: list[list[tuple[int, int]]] = []
         weight = np.where(y == 1, class_weight[1], class_weight[0]).astype(float)
         self.prior = float(np.average(y, weights=weight)) if len(y) else 0.5
         held = np.arange(len(y)) % 5 == 0
@@ -133,21 +176,31 @@ class CoTrained:
             return
         views = (text.astype(float), meta.astype(float))
         train, own = [x[~held] for x in views], y[~held].astype(float)
-        students = [Logistic(x, own) for x in train]
+        self.views = [Logistic(x, own) for x in train]
         for _ in range(ROUNDS if pool else 0):
-            teachers = students
+            teachers = [Teacher(m, c, self.prior) for m, c in zip(self.views, self._calibrated(views, y, held, weight), strict=True)]
+            seen = pool(lambda t, m, ts=teachers: np.concatenate([ts[0].histogram(t), ts[1].histogram(m)]))
+            if not len(seen):
+                break
+            for t, histogram in zip(teachers, seen.reshape(2, BINS), strict=True):
+                t.chosen(histogram)
             for _ in range(STEPS):
+                flat = pool(lambda t, m, st=self.views, ts=teachers: np.concatenate([s.packed() for s in pool_sums(st, ts, (t, m))]))
+                cut = len(Sums(len(self.views[0].w)).packed())
+                sums = [Sums.unpacked(x, len(m.w)) for x, m in zip((flat[:cut], flat[cut:]), self.views, strict=True)]
                 taught = []
-                for m, x, s in zip(students, train, pool(students, teachers), strict=True):
-                    share = np.array([(own == c).sum() for c in (0, 1)]) / np.maximum(1, s.n)
+                for m, x, s in zip(self.views, train, sums, strict=True):
+                    share = np.minimum(1, np.array([(own == c).sum() for c in (0, 1)]) / np.maximum(1, s.weight))
                     taught.append(m.stepped(x, own, np.tensordot(share, s.g, 1), np.tensordot(share, s.h, 1)))
-                students = taught
-        self.views = students
-        logits = [m.logit(x[held])[:, None] for m, x in zip(self.views, views, strict=True)]
-        self.calibration = [Logistic(z, y[held], weight[held]) for z in logits]
-        both = np.hstack([c.logit(z)[:, None] for c, z in zip(self.calibration, logits, strict=True)])
+                self.views = taught
+            self.taught.append([tuple(int(v) for v in s.n) for s in sums])
+        self.calibration = self._calibrated(views, y, held, weight)
+        both = np.hstack([c.logit(m.logit(x[held])[:, None])[:, None] for c, m, x in zip(self.calibration, self.views, views, strict=True)])
         self.top = Logistic(both, y[held], weight[held])
 
+    def _calibrated(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, weight: np.ndarray) -> list[Logistic]:
+        return [Logistic(m.logit(x[held])[:, None], y[held], weight[held]) for m, x in zip(self.views, views, strict=True)]
+
     def predict(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, and the calibrated probabilities of the two views."""
         if self.views is None:
@@ -218,23 +271,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not found:
         return CoTrained(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, int), None)
     pool = stored(views.join(y, "id", "left_anti").select("t", "m"), "pool")
-    widths = [len(found[0][k]) // 4 + 1 for k in ("t", "m")]
 
-    def sums(students: list[Logistic], teachers: list[Logistic]) -> list[Sums]:
+    def over(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(sum(2 + 2 * w + 2 * w * w for w in widths))
+            total = None
             for b in batches:
                 for at in range(0, b.num_rows, VIEW_ROWS):
                     part = b.slice(at, VIEW_ROWS)
-                    total += np.concatenate([s.packed() for s in pool_sums(students, teachers, (_unpack(part.column(0)), _unpack(part.column(1))))])
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+                    own = f(_unpack(part.column(0)), _unpack(part.column(1)))
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
 
-        flat = _summed(pool.mapInArrow(run, "part int, sums binary"))
-        cut = 2 + 2 * widths[0] + 2 * widths[0] ** 2
-        return [Sums.unpacked(x, w) if len(flat) else Sums(w) for x, w in zip((flat[:cut], flat[cut:]), widths, strict=True)]
+        return _summed(pool.mapInArrow(run, "part int, sums binary"))
 
     stack = lambda k: np.stack([np.frombuffer(r[k], np.float32) for r in found])
-    return CoTrained(stack("t"), stack("m"), np.array([r["y"] for r in found]), sums, tuple(max(1.0, counts.get(c, 0) / per_class) for c in (0, 1)))
+    model = CoTrained(stack("t"), stack("m"), np.array([r["y"] for r in found]), over, tuple(max(1.0, counts.get(c, 0) / per_class) for c in (0, 1)))
+    forget(views, known, pool)
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", size_col: str = "n_chars", meta_cols: tuple[str, ...] = ("lang", "source"), out: str = "quality") -> DataFrame:

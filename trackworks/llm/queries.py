@@ -42,7 +42,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} w FROM documents),
-b AS (SELECT item_id, {_WORDS.format("text")} w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {_WORDS.format("text")} w FROM benchmark),
 bw AS (SELECT item_id, least(10, len(w)) k, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i : i + least(10, len(w)) - 1], ' '))) win FROM b WHERE len(w) > 0),
 ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) win FROM d, ks WHERE len(w) >= k),
@@ -61,7 +61,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""WITH d AS (SELECT doc_id, source, text, coalesce(source, '') site, string_split(text, chr(10)) ls FROM documents),
 n AS (SELECT site, count(*) pages FROM d GROUP BY 1),
 k AS (SELECT site, l, count(*) c FROM (SELECT site, unnest(list_distinct(list_transform(coalesce(ls, ['']), lambda x: trim(x)))) l FROM d) WHERE l <> '' GROUP BY 1, 2),
-bad AS (SELECT site, list(l) bl FROM k JOIN n USING (site) WHERE c >= {lines.MIN_PAGES} AND c > {lines.MAX_SHARE} * pages GROUP BY 1)
+bad AS (SELECT site, list(l) bl FROM k JOIN n USING (site) WHERE c > 1 AND c - 1 > {lines.MAX_SHARE} * (pages - 1) GROUP BY 1)
 SELECT doc_id, source, CASE WHEN bl IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(bl, trim(x))), chr(10)) END AS text,
   coalesce(CASE WHEN bl IS NULL THEN 0 ELSE len(list_filter(ls, lambda x: trim(x) <> '' AND list_contains(bl, trim(x)))) END, 0)::BIGINT AS n_removed
 FROM d LEFT JOIN bad USING (site)"""
@@ -159,10 +159,10 @@ _SIZE = f"4 + {_ROLE.format('role', '{0}')} + 2 + {_ESC.format('text', '{0}')} +
 
 OP10_SQL = f"""WITH RECURSIVE t AS (SELECT conv_id, turn::BIGINT turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
   UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
-u AS (SELECT *, coalesce(conv_id, -99) c, {_SIZE.format("strlen")} tokens, {_SIZE.format("length")} chars, coalesce(floor(turn / 256.0)::BIGINT, -4611686018427387904) part,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) rank FROM t),
+u AS (SELECT *, (rank - 1) // {chat.CHUNK_TURNS} part FROM (SELECT *, coalesce(conv_id, -99) c, {_SIZE.format("strlen")} tokens, {_SIZE.format("length")} chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) rank FROM t)),
 sys AS (SELECT c, tokens st, chars sc FROM u WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY c ORDER BY rank) = 1),
-v AS (SELECT u.*, sc, CASE WHEN role = 'system' THEN 0 ELSE coalesce(st, 0) END beside, dense_rank() OVER (PARTITION BY u.c ORDER BY part) pno FROM u LEFT JOIN sys ON sys.c = u.c),
+v AS (SELECT u.*, sc, CASE WHEN role = 'system' THEN 0 ELSE coalesce(st, 0) END beside, part pno FROM u LEFT JOIN sys ON sys.c = u.c),
 b AS (SELECT *, lag(tokens, 1) OVER w t1, lag(role, 1) OVER w r1, lag(chars, 1) OVER w c1, lag(tokens, 2) OVER w t2, lag(role, 2) OVER w r2, lag(chars, 2) OVER w c2, lag(pno, 2) OVER w p2,
   least({chat.HISTORY_TOKENS}, {chat.BUDGET} - beside - tokens) room, sum(tokens) OVER (PARTITION BY c ORDER BY rank) upto, sum(chars) OVER (PARTITION BY c ORDER BY rank) chars_upto,
   sum((role = 'system')::INTEGER) OVER (PARTITION BY c ORDER BY rank) systems, max(rank) OVER (PARTITION BY c, part) last FROM v WINDOW w AS (PARTITION BY c ORDER BY rank)),
