@@ -27,6 +27,30 @@ def test_wav_blocks_round_trip_and_errors_are_rows(spark, tmp_path):
         assert np.abs(np.concatenate([np.array(r["samples"]).T for r in own]) - x).max() < 1e-4
 
 
+def test_a_file_in_many_ranges_is_the_file(spark, tmp_path):
+    x = np.random.default_rng(1).uniform(-0.9, 0.9, (10_007, 2))
+    for width in (2, 3, 4):
+        write_wav(tmp_path / f"a {width}%.wav", x, width)
+    (tmp_path / "bad.wav").write_bytes(b"RIFF\0\0\0\0WAVEdata\4\0\0\0abcd")
+    whole = {(r["path"], r["block_idx"]): r for r in S.read_wav_blocks(spark, str(tmp_path), 1000).collect()}
+    parts = {(r["path"], r["block_idx"]): r for r in S.read_wav_blocks(spark, str(tmp_path), 1000, range_bytes=9000).collect()}
+    assert whole == parts and len(whole) == 34 and [r["error"] for (p, _), r in whole.items() if p.endswith("bad.wav")] == ["ValueError: samples before their format"]
+    table = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(str(tmp_path))
+    good = lambda rows: {(r["path"], r["block_idx"]): r for r in rows if r["error"] is None}
+    assert good(S.wav_blocks(table, 1000).collect()) == good(whole.values())
+
+
+def test_a_three_gigabyte_file_is_many_tasks(spark, tmp_path):
+    write_wav(tmp_path / "long.wav", np.zeros((10, 2)))
+    frames = 3 * 1024**3 // 4
+    with open(tmp_path / "long.wav", "r+b") as f:  # the same header over a sparse file
+        f.seek(40)
+        f.write((frames * 4).to_bytes(4, "little"))
+        f.truncate(44 + frames * 4)
+    r = S.wav_ranges(spark, str(tmp_path)).orderBy("first_block").collect()
+    assert len(r) == 96 and sum(x["frames"] for x in r) == frames and r[0]["at"] == 44 and all(b["at"] - a["at"] == a["frames"] * 4 for a, b in zip(r, r[1:], strict=False))
+
+
 def test_inventory_roles(spark, tmp_path):
     for n in ("s_1.wav", "s_master.wav", "t.txt"):
         (tmp_path / n).write_bytes(b"1234")

@@ -199,13 +199,12 @@ def covering_picks(df: DataFrame, item: str, cls: str, least: int, store: Callab
     sets = df.groupBy(item).agg(F.array_sort(F.collect_set(cls)).alias("_set")).withColumn("_deal", F.pmod(F.xxhash64(item), F.lit(64)))
     few = top_by(top_by(sets, ["_set", "_deal"], [F.col(item)], most), ["_set"], [F.col(item)], most)  # a large group is cut in parts first
     groups = store(few.groupBy("_set").agg(F.array_sort(F.collect_list(item)).alias("_ids")))
-    taken_kind = f"_set array<{df.schema[cls].dataType.simpleString()}>, _taken int"
     picked: list = []
     taken: dict[tuple, int] = {}
     while short := sorted((c for c in need if need[c] > 0), key=lambda c: (have[c], str(c))):
-        state = F.broadcast(df.sparkSession.createDataFrame([(list(s), k) for s, k in taken.items()], taken_kind))  # at most a row a pick
-        left = groups.filter(F.array_contains("_set", short[0])).join(state, "_set", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
-        ids = F.slice("_ids", F.col("_taken") + 1, F.lit(need[short[0]]))
+        left = groups.filter(F.array_contains("_set", short[0]))
+        used = F.create_map(*[e for s, k in taken.items() for e in (F.array(*map(F.lit, s)), F.lit(k))]) if taken else F.lit(None)  # at most an entry a pick
+        ids = F.slice("_ids", (F.coalesce(F.element_at(used, F.col("_set")), F.lit(0)) if taken else F.lit(0)) + 1, F.lit(need[short[0]]))
         rows = left.select("_set", F.explode(ids).alias("_id"), F.size(F.array_intersect("_set", F.array(*[F.lit(c) for c in short]))).alias("_n"))
         for row in rows.orderBy(F.col("_n").desc(), "_id").limit(need[short[0]]).collect():
             picked.append(row["_id"])

@@ -26,11 +26,19 @@ def a3(spark: SparkSession, d: str) -> DataFrame:
     return files.read_metadata(spark, path, "n_nationkey int, n_name string", "n_name").select(F.col("n_nationkey").cast(table(spark, d, "nation").schema["n_nationkey"].dataType).alias("n_nationkey"), "n_name")
 
 
-@query("a5_file_inventory", "SELECT t || '.parquet' AS name, 'tables' AS dataset, 'stem' AS role FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) t)")
+@query("a5_file_inventory", """SELECT n_nationkey::BIGINT AS clip, CASE WHEN n_nationkey % 5 = 0 THEN 'master' ELSE 'stem' END AS role, 'nations' AS dataset, strlen(n_name) + 1 AS bytes, CASE WHEN n_nationkey % 7 = 3 THEN strlen(n_name) ELSE strlen(n_name) + 1 END AS stated, n_nationkey % 7 <> 3 AS as_stated FROM nation WHERE n_nationkey % 6 <> 4
+UNION ALL SELECT n_nationkey, NULL, NULL, NULL, strlen(n_name) + 1, false FROM nation WHERE n_nationkey % 6 = 4""")
 def a5(spark: SparkSession, d: str) -> DataFrame:
-    """The tables of the data folder; one of several files counts once."""
-    found = files.inventory(spark, d, "*.parquet", "tables")
-    return found.select(F.regexp_extract("path", r"([^/]*\.parquet)(?:/.*)?$", 1).alias("name"), "dataset", F.when(F.col("length") > 0, F.col("role")).alias("role")).distinct()
+    """A file a nation, inventoried and held against a manifest that states each clip's size: some sizes are wrong, some files are missing."""
+    n = table(spark, d, "nation", "n_nationkey", "n_name").withColumn("clip", F.col("n_nationkey").cast("long"))
+    path = scratch(spark, "clips")
+    for role, some in (("_master", F.col("clip") % 5 == 0), ("", F.col("clip") % 5 != 0)):
+        n.filter(some & (F.col("clip") % 6 != 4)).select(F.concat(F.col("clip").cast("string"), F.lit(role)).alias("name"), "n_name").repartition("name").write.mode("append").partitionBy("name").text(path)
+    found = files.inventory(spark, path, "*.txt", "nations", name=r"/name=([^/]*)/")
+    found = found.select(F.regexp_extract("path", r"/name=(\d+)", 1).cast("long").alias("clip"), "role", "dataset", F.col("length").alias("bytes"))
+    size = F.octet_length("n_name").cast("long")
+    manifest = n.select("clip", F.when(F.col("clip") % 7 == 3, F.when(F.col("clip") % 6 == 4, size + 1).otherwise(size)).otherwise(size + 1).alias("stated"))
+    return manifest.join(found, "clip", "left").select("clip", "role", "dataset", "bytes", "stated", F.coalesce(F.col("bytes") == F.col("stated"), F.lit(False)).alias("as_stated"))
 
 
 @query("a8_manifest_sink", "SELECT lang, NULL::VARCHAR AS clip, doc_id FROM documents")

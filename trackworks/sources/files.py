@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
+import struct
 import wave
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,8 @@ from trackworks.operators.columns import nfc
 
 #: Samples of each channel in a block.
 BLOCK_FRAMES = 32_768
+#: Bytes of samples that a task reads from a file at a time.
+RANGE_BYTES = 32 << 20
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -28,28 +33,95 @@ def read_label_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.withColumn("id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
 
 
-def inventory(spark: SparkSession, path: str, pattern: str = "*.wav", dataset: str = "") -> DataFrame:
-    """Paths, sizes and roles of files; contents aren't read."""
+def inventory(spark: SparkSession, path: str, pattern: str = "*.wav", dataset: str = "", name: str = r"([^/]*)\.[^./]*$") -> DataFrame:
+    """Paths, sizes and roles of files; contents aren't read. name: the part of a path that says the role, as a pattern's first group."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
-    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    stem = F.regexp_extract("path", name, 1)
     return f.withColumns({"dataset": F.lit(dataset), "role": F.when(stem.endswith("_master"), "master").otherwise("stem")})
 
 
 _BLOCKS = "path string, block_idx int, sr int, n_frames int, samples array<array<float>>, error string"
 
 
+def _scaled(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """float32 samples [frames, channels] of little-endian PCM bytes."""
+    if width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8) >> 8
+    elif width in (2, 4):
+        x = np.frombuffer(raw, f"<i{width}")
+    else:
+        raise ValueError(f"{8 * width}-bit samples")
+    return (x / float(1 << (8 * width - 1))).astype(np.float32).reshape(-1, channels)
+
+
 def decode_pcm(data: bytes) -> tuple[int, np.ndarray]:
     """Sample rate and float32 samples [frames, channels] of a 16, 24 or 32-bit PCM WAV."""
     with wave.open(io.BytesIO(data)) as w:
-        width, channels, raw = w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
-        if width == 3:
-            b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-            x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8) >> 8
-        elif width in (2, 4):
-            x = np.frombuffer(raw, f"<i{width}")
-        else:
-            raise ValueError(f"{8 * width}-bit samples")
-        return w.getframerate(), (x / float(1 << (8 * width - 1))).astype(np.float32).reshape(-1, channels)
+        return w.getframerate(), _scaled(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels())
+
+
+def wav_header(read: Callable[[int, int], bytes], size: int) -> dict[str, int]:
+    """Where a PCM WAV's samples are and what they are, from its chunk headers alone: sr, channels, width, at, frames.
+
+    read(offset, n) gives bytes of the file. A data chunk that says more than the file holds ends with the file.
+    """
+    if (head := read(0, 12))[:4] != b"RIFF" or head[8:] != b"WAVE":
+        raise ValueError("no RIFF WAVE file")
+    at, form = 12, None
+    while at + 8 <= size:
+        name, n = struct.unpack("<4sI", read(at, 8))
+        if name == b"fmt ":
+            form = struct.unpack("<HHIIHH", read(at + 8, 16))
+        elif name == b"data":
+            if form is None or form[0] not in (1, 0xFFFE):  # fixed values: PCM, and the extensible form of it
+                raise ValueError("not PCM" if form else "samples before their format")
+            _, channels, sr, _, frame, bits = form
+            if bits not in (16, 24, 32) or frame != channels * bits // 8:
+                raise ValueError(f"{bits}-bit samples in frames of {frame} bytes")
+            return {"sr": sr, "channels": channels, "width": bits // 8, "at": at + 8, "frames": min(n, size - at - 8) // frame}
+        at += 8 + n + n % 2
+    raise ValueError("no samples")
+
+
+def _opened(path: str):
+    """A file of any store that Arrow's file systems reach, by the path that Spark gives."""
+    from pyarrow import fs
+
+    if re.match("file:|/", path):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
+    system, at = fs.FileSystem.from_uri(quote(path, safe=":/@"))  # Spark's paths aren't escaped
+    return system.open_input_file(at)
+
+
+def wav_ranges(spark: SparkSession, path: str, block_frames: int = BLOCK_FRAMES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Ranges of a folder's WAV files: path, sr, channels, width, at (its first byte), frames, first_block, error.
+
+    A range is whole blocks, about range_bytes of samples; only headers are read, each once. A bad file is one row with its
+    error and no range.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def heads(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for p, size in zip(f["path"], f["length"], strict=True):
+                row = {"path": p, "sr": None, "channels": None, "width": None, "at": None, "frames": None, "error": None}
+                try:
+                    with _opened(p) as file:
+                        row |= wav_header(lambda at, n, file=file: file.read_at(n, at), int(size))
+                except Exception as e:  # noqa: BLE001  a bad file must not end the scan
+                    row["error"] = f"{type(e).__name__}: {e}"
+                rows.append(row)
+            yield pd.DataFrame(rows).astype({"sr": "Int32", "channels": "Int32", "width": "Int32", "at": "Int64", "frames": "Int64"})
+
+    h = found.mapInPandas(heads, "path string, sr int, channels int, width int, at long, frames long, error string")
+    frame = F.col("channels") * F.col("width")
+    step = F.greatest(F.lit(1), F.floor(range_bytes / (frame * block_frames)))  # blocks
+    starts = F.when(F.col("frames") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("frames") - 1) / block_frames), step)).otherwise(F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("long"))))
+    x = h.withColumn("step", step).withColumn("first_block", F.explode(starts))
+    first = F.col("first_block") * block_frames
+    return x.select("path", "sr", "channels", "width", (F.col("at") + first * frame).alias("at"), F.least(F.col("frames") - first, F.col("step") * block_frames).alias("frames"), "first_block", "error")
 
 
 def encode_pcm(x: np.ndarray, sr: int) -> bytes:
@@ -74,13 +146,32 @@ def wav_files(df: DataFrame, path: str, channels: str, sr: int) -> DataFrame:
     return df.select(F.col(path).cast("string").alias("path"), F.col(channels).alias("channels")).mapInPandas(run, "path string, content binary")
 
 
-def read_wav_blocks(spark: SparkSession, path: str, block_frames: int = BLOCK_FRAMES) -> DataFrame:
-    """The WAV files of a folder as wav_blocks gives them."""
-    return wav_blocks(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path), block_frames)
+def read_wav_blocks(spark: SparkSession, path: str, block_frames: int = BLOCK_FRAMES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The WAV files of a folder as wav_blocks gives them, read by ranges: a long file is many tasks, and none reads it whole."""
+    ranges = wav_ranges(spark, path, block_frames, range_bytes)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                if r.error is not None:
+                    yield _bad(r.path, r.error)
+                    continue
+                size = int(r.channels * r.width)
+                with _opened(r.path) as file:
+                    for k in range(-(-int(r.frames) // block_frames)):
+                        n = min(block_frames, int(r.frames) - k * block_frames)
+                        part = _scaled(file.read_at(n * size, int(r.at) + k * block_frames * size), int(r.width), int(r.channels))
+                        yield pd.DataFrame([{"path": r.path, "block_idx": int(r.first_block) + k, "sr": int(r.sr), "n_frames": len(part), "samples": [c.tolist() for c in part.T], "error": None}])
+
+    return ranges.repartition("path", "first_block").mapInPandas(run, _BLOCKS)
+
+
+def _bad(path: str, error: str) -> pd.DataFrame:
+    return pd.DataFrame([{"path": path, "block_idx": None, "sr": None, "n_frames": None, "samples": None, "error": error}]).astype({"block_idx": "Int32", "sr": "Int32", "n_frames": "Int32"})
 
 
 def wav_blocks(files: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
-    """PCM WAV files (path, content) as blocks of block_frames (the last one shorter), channel by channel; a bad file is one row with its error."""
+    """A table of small PCM WAV files (path, content) as blocks of block_frames (the last one shorter), channel by channel; a bad file is one row with its error."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -88,7 +179,7 @@ def wav_blocks(files: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
                 try:
                     sr, x = decode_pcm(content)
                 except Exception as e:  # noqa: BLE001  a bad file must not end the scan
-                    yield pd.DataFrame([{"path": p, "block_idx": None, "sr": None, "n_frames": None, "samples": None, "error": f"{type(e).__name__}: {e}"}]).astype({"block_idx": "Int32", "sr": "Int32", "n_frames": "Int32"})
+                    yield _bad(p, f"{type(e).__name__}: {e}")
                     continue
                 for k, at in enumerate(range(0, len(x), block_frames)):
                     part = x[at : at + block_frames]
