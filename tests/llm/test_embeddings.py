@@ -99,3 +99,44 @@ def test_odd_vectors_repeats_and_clashes(spark):
     twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0)], KIND).withColumn("n_links", F.lit(5))
     assert sorted(((r["vec_id"], r["n_links"], r["kept"]) for r in E.near_duplicate_vectors(twice).collect()), key=str) == sorted([(1, 1, True), (1, 1, True), (None, 0, True)], key=str)
     assert got(spark, []) == {}
+
+
+def test_audits_have_links_where_the_vectors_have_none(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=24).tolist(), 0) for i in range(1500)]
+    audits = []
+    r = E.near_duplicate_vectors(spark.createDataFrame(rows, KIND), 0.98, shard_rows=400, audit=lambda df: audits.extend(df.collect()))
+    assert all(x["n_links"] == 0 and x["kept"] for x in r.collect()) and len(audits) == 4
+    assert all(a["links"] == 0 and a["planted"] >= E.AUDIT_PLANTED and a["planted_hits"] >= E.RECALL * a["planted"] for a in audits)
+
+
+def test_links_planted_between_shards_are_found(spark, monkeypatch):
+    """Groups of two and three whose members the shards part, at cosines from just over the threshold; and every pair of shards is searched once."""
+    monkeypatch.setattr(E, "STRETCH", 2)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(1200, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(base)]
+    for k in range(400):
+        away = rng.normal(size=32)
+        away -= away @ base[k] * base[k]
+        c = rng.uniform(0.9801, 0.9999)
+        rows.append((5000 + k, (c * base[k] + np.sqrt(1 - c * c) * away / np.linalg.norm(away)).tolist(), k % 2))
+    want = brute(rows, 0.98)
+    for shard_rows in (60, 90, 10_000):  # an even and an odd number of shards, and one
+        r = {i: x for i, x in got(spark, rows, shard_rows=shard_rows).items()}
+        found, there = sum(n for n, _ in r.values()), sum(n for n, _ in want.values())
+        assert there >= 800 and all(r[i][0] <= want[i][0] for i in r) and found >= 0.99 * there
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rng = np.random.default_rng(13)
+    a = rng.normal(size=16)
+    a /= np.linalg.norm(a)
+    b = rng.normal(size=16)
+    b -= b @ a * a
+    b /= np.linalg.norm(b)
+    at = lambda c: (c * a + np.sqrt(1 - c * c) * b).tolist()
+    rows = [(1, a.tolist(), 0), (2, at(0.98 + 1e-9), 0), (3, (1e200 * np.array(at(0.98 - 1e-9))).tolist(), 0)]
+    r = {x["vec_id"]: x["n_links"] for x in E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98).collect()}
+    assert r == {1: 1, 2: 2, 3: 1}  # 2 and 3 are near each other, 3 not to 1

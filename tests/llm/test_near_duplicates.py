@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -105,3 +106,23 @@ def test_components_of_paths_stars_and_cycles(spark):
     r = {x["id"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(r[i] == 0 for i in range(41)) and all(r[500 + i] == 500 for i in range(60)) and r[902] == 900 and len(r) == 104
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_tiles_are_bounded_by_the_bytes_of_sets(spark, make_docs, monkeypatch):
+    """Long texts of one bucket, of which the first is near to few, are dealt into tiles of about TILE_BYTES: the same links."""
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(3000)]
+    docs = list(enumerate(family(rng, 14, 0, 60, base) + family(rng, 6, 0, 5, base) + ["other text"], 1))
+    want = brute(docs, 85)
+    for tile_bytes in (N.TILE_BYTES, 60_000):
+        monkeypatch.setattr(N, "TILE_BYTES", tile_bytes)
+        assert got(make_docs(*docs), 85) == want
+
+
+def test_the_sketch_bar_loses_less_than_banding():
+    """The chance that a pair right at the threshold has too few equal minima, against that of sharing no band."""
+    n = N.BANDS * N.ROWS
+    for percent, band_loss in ((85, 3e-10), (80, 2e-7)):
+        s, bar = percent / 100, math.ceil(N._least(percent))
+        few = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(bar))
+        assert few < 0.1 * band_loss and few < 2e-10 and (1 - s**N.ROWS) ** N.BANDS < 1.2 * band_loss

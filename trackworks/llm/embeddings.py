@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,12 @@ SHARD_ROWS = 20_000
 NEIGHBOURS, BUILD_BEAM, SEARCH_BEAM = 12, 32, 32
 #: An audit compares queries with the whole shard until it has seen so many links, or tried so many queries; recall it asks for.
 AUDIT_LINKS, AUDIT_QUERIES, RECALL = 200, 1024, 0.99
+#: Queries that every audit makes itself: rows of the shard turned away by up to the angle of a link.
+AUDIT_PLANTED = 128
+#: Shards whose classes one task searches in a graph.
+STRETCH = 32
+#: What single precision may take from a cosine; what is so near is decided in double.
+SINGLE = 1e-5
 _BLOCK = 256
 
 
@@ -159,91 +165,172 @@ def _found(graph: Graph, q: np.ndarray, least: float, width: int) -> Iterator[tu
         todo, width = np.concatenate(more), width * 4
 
 
-def links_of(graph: Graph, q: np.ndarray, least: float, own: np.ndarray | None = None, seed: int = 0) -> tuple[Iterator[tuple[int, np.ndarray]], dict[str, int]]:
-    """For each unit vector of q, the rows of the graph with cosine >= least; and what the audit saw.
+def planted_queries(x: np.ndarray, least: float, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors whose cosine with a row of x each is between `least` and 1, in random directions from it."""
+    rows = x[rng.permutation(len(x))[:AUDIT_PLANTED]]
+    if x.shape[1] < 2:
+        return rows
+    away = rng.normal(size=rows.shape)
+    away -= (away * rows).sum(1, keepdims=True) * rows
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    c = rng.uniform(least, 1, size=(len(rows), 1))
+    return (c * rows + np.sqrt(1 - c * c) * away).astype(np.float32)
+
+
+def audited(graph: Graph, q: np.ndarray, least: float, own: np.ndarray | None = None, seed: int = 0) -> dict[str, int]:
+    """The first beam of queries like q, and what the audit saw that chose it.
 
     The audit goes through queries in random order and compares each with all rows, until it has seen AUDIT_LINKS links
-    or tried AUDIT_QUERIES. own: the row that each query itself is (-1: none), which is no link. The very search that all
-    queries get is then tried on these; its first beam is doubled until it finds RECALL of the links seen.
+    or tried AUDIT_QUERIES; and as q may have few links or none, it adds planted queries, which have. own: the row that
+    each query itself is (-1: none), which is no link. The very search that all queries get is then tried on these; its
+    first beam is doubled until it finds RECALL of the links of either kind.
     """
-    least -= 1e-6  # single precision; the caller decides in double
     own = np.full(len(q), -1) if own is None else own
-    order = np.random.default_rng(seed).permutation(len(q))[:AUDIT_QUERIES]
-    tried, truth, seen = [], {}, 0
+    rng = np.random.default_rng(seed)
+
+    def truth_of(queries: np.ndarray, self_: np.ndarray) -> list[np.ndarray]:
+        return [np.setdiff1d(np.flatnonzero(s >= least), self_[i : i + 1]) for i, s in enumerate(queries @ graph.x.T)]
+
+    order = rng.permutation(len(q))[:AUDIT_QUERIES]
+    truth: list[np.ndarray] = []
     for b in (order[i : i + 64] for i in range(0, len(order), 64)):
-        for i, s in zip(b.tolist(), q[b] @ graph.x.T, strict=True):
-            truth[i] = np.setdiff1d(np.flatnonzero(s >= least), own[i : i + 1])
-            seen += len(truth[i])
-        tried.append(b)
-        if seen >= AUDIT_LINKS:
+        truth += truth_of(q[b], own[b])
+        if sum(map(len, truth)) >= AUDIT_LINKS:
             break
-    sample = np.concatenate([*tried, np.zeros(0, np.int64)])
+    sample = q[order[: len(truth)]]
+    planted = planted_queries(graph.x, least, rng)
+    hidden = truth_of(planted, np.full(len(planted), -1))
+    links, more = sum(map(len, truth)), sum(map(len, hidden))
     width = SEARCH_BEAM
     while True:
-        hits = sum(len(np.intersect1d(truth[int(sample[j])], ids)) for j, ids in _found(graph, q[sample], least, width)) if seen else 0
-        if hits >= RECALL * seen or width >= len(graph.x):
+        hits, found = (sum(len(np.intersect1d(t[j], ids)) for j, ids in _found(graph, x, least, width)) if n else 0 for x, t, n in ((sample, truth, links), (planted, hidden, more)))
+        if (hits >= RECALL * links and found >= RECALL * more) or width >= len(graph.x):
             break
         width *= 2
-    return _found(graph, q, least, width), {"queries": len(sample), "links": seen, "hits": hits, "beam": width}
+    return {"queries": len(truth), "links": links, "hits": hits, "planted": more, "planted_hits": found, "beam": width}
+
+
+def links_of(graph: Graph, q: np.ndarray, least: float, own: np.ndarray | None = None, seed: int = 0) -> tuple[Iterator[tuple[int, np.ndarray]], dict[str, int]]:
+    """For each unit vector of q, the rows of the graph with cosine >= least, in single precision; and what the audit saw."""
+    audit = audited(graph, q, least - SINGLE, own, seed)
+    return _found(graph, q, least - SINGLE, audit["beam"]), audit
+
+
+def _scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row what to divide by in turn, so that the row becomes a unit vector in double precision: its largest component, its length then."""
+    most = np.abs(v).max(1).astype(float)
+    return most, np.sqrt(np.array([np.square(r.astype(float) / m).sum() for r, m in zip(v, most, strict=True)]))
 
 
-def _unit(t: pa.Table) -> np.ndarray:
-    flat = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-    flat = flat / np.abs(flat).max(1, keepdims=True)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
+def _unit(v: np.ndarray) -> np.ndarray:
+    most, length = _scaled(v)
+    return v.astype(float) / most[:, None] / length[:, None]
 
 
-_SHARD = "label string, dim int, shard int, shards int, graph binary"
-_LINKS = "cid bigint, n bigint, to array<bigint>, queries bigint, links bigint, hits bigint, beam bigint"
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+_AUDIT = ("queries", "links", "hits", "planted", "planted_hits", "beam")
+_LINKS = "cid bigint, n bigint, to array<bigint>, " + ", ".join(f"{k} bigint" for k in _AUDIT)
 
 
 def _index(t: pa.Table) -> pa.Table:
-    """One row: the graph of a shard's classes, with their vectors, numbers and copies."""
+    """One row: the graph of a shard's classes, with their vectors as they are (once), numbers and copies."""
     # the order in which nodes go in must not follow numbers
     t = t.take(pa.array(np.random.default_rng(1).permutation(t.num_rows)))
-    unit, out = _unit(t), io.BytesIO()
-    np.savez(out, unit=unit, cid=t.column("cid").to_numpy(), copies=t.column("copies").to_numpy(), **Graph(unit.astype(np.float32)).packed())
+    v, out = _vectors(t.column("v")), io.BytesIO()
+    packed = Graph(_unit(v).astype(np.float32)).packed()
+    del packed["x"]
+    np.savez(out, v=v, cid=t.column("cid").to_numpy(), copies=t.column("copies").to_numpy(), **packed)
     one = t.slice(0, 1)
     return pa.table({"label": one.column("label"), "dim": one.column("dim"), "shard": one.column("shard"), "shards": one.column("shards"), "graph": pa.array([out.getvalue()], pa.binary())})
 
 
-def _search(least: float):
-    """A shard's graph and the classes of another shard, or its own: links counted on both sides, and a spanning forest of them."""
-
-    def run(index: pa.Table, t: pa.Table) -> pa.Table:
-        a = dict(np.load(io.BytesIO(index.column("graph")[0].as_py())))
-        x, xc, copies, graph = a.pop("unit"), a.pop("cid"), a.pop("copies"), Graph.unpacked(a)
-        same = index.column("i")[0].as_py() == index.column("j")[0].as_py()
-        q, qc, qn = _unit(t), t.column("cid").to_numpy(), t.column("copies").to_numpy()
-        at = np.full(len(qc), -1)
-        if same:
-            order = np.argsort(xc)
-            at = order[np.searchsorted(xc[order], qc)]
-        number = np.concatenate([xc, qc])  # nodes: the graph's, then the queries' where they are others
-        node = at if same else len(xc) + np.arange(len(qc))
-        label, n, to = np.arange(len(number)), np.zeros(len(number), np.int64), {}
-        links, audit = links_of(graph, q.astype(np.float32), least, at)
-        for i, ids in links:
+class _Shard:
+    """A shard's graph, through which classes pass in batches: links are counted on both sides, and a spanning forest of them is kept."""
+
+    def __init__(self, packed: bytes, least: float) -> None:
+        a = dict(np.load(io.BytesIO(packed)))
+        self.v, self.cid, self.copies, self.least = a.pop("v"), a.pop("cid"), a.pop("copies"), least
+        self.most, self.length = _scaled(self.v)
+        self.graph = Graph.unpacked(a | {"x": _unit(self.v).astype(np.float32)})
+        self.order = np.argsort(self.cid)
+        self.label, self.n = np.arange(len(self.cid)), np.zeros(len(self.cid), np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.audit: dict[str, int] | None = None
+
+    def passed(self, v: np.ndarray, cid: np.ndarray, copies: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Search a batch; the first ones wait until there are enough to audit. They come in random order."""
+        self.waiting.append((v, cid, copies))
+        if self.audit is not None or sum(len(c) for _, c, _ in self.waiting) >= AUDIT_QUERIES:
+            yield from self._searched()
+
+    def closed(self) -> Iterator[pa.RecordBatch]:
+        yield from self._searched()
+        some = np.flatnonzero(self.n)
+        yield _rows(self.cid[some], self.n[some], [[]] * len(some))
+        audit = self.audit or dict.fromkeys(_AUDIT, 0)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([[]], pa.list_(pa.int64())), *(pa.array([audit[k]]) for k in _AUDIT)], names=["cid", "n", "to", *_AUDIT])
+
+    def _searched(self) -> Iterator[pa.RecordBatch]:
+        if not self.waiting:
+            return
+        v, qc, qn = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting = []
+        q = _unit(v)
+        single = q.astype(np.float32)
+        place = np.minimum(np.searchsorted(self.cid[self.order], qc), len(self.cid) - 1)
+        at = np.where(self.cid[self.order][place] == qc, self.order[place], -1)  # the row that a query itself is
+        if self.audit is None:
+            self.audit = audited(self.graph, single, self.least - SINGLE, at)
+        # nodes: the graph's, then the batch's that aren't among them
+        node = np.where(at >= 0, at, len(self.cid) + np.arange(len(qc)))
+        label, number = np.append(self.label, len(self.cid) + np.arange(len(qc))), np.append(self.cid, qc)
+        n, to = np.zeros(len(qc), np.int64), {}
+        for i, ids in _found(self.graph, single, self.least - SINGLE, self.audit["beam"]):
             ids = ids[ids != at[i]]
-            ids = ids[x[ids] @ q[i] >= least]  # in double precision
+            ids = ids[(self.v[ids].astype(float) / self.most[ids, None]) @ q[i] / self.length[ids] >= self.least]
             if not len(ids):
                 continue
-            n[node[i]] += copies[ids].sum()
-            if not same:
-                n[ids] += qn[i]
+            n[i] += self.copies[ids].sum()
+            if at[i] < 0:
+                self.n[ids] += qn[i]
             groups, first = np.unique(label[ids], return_index=True)
             new = groups != label[node[i]]
             if new.any():
-                to[node[i]] = number[ids[first[new]]]
+                to[i] = number[ids[first[new]]]
                 label[np.isin(label, groups[new])] = label[node[i]]
+        # groups of the graph's rows that came together through this batch stay so; they go by a row of theirs
+        _, self.label = np.unique(label[: len(self.cid)], return_inverse=True)
         some = np.flatnonzero(n)
-        rows = pa.table({
-            "cid": pa.array(np.append(number[some], 0), pa.int64(), mask=np.append(np.zeros(len(some), bool), True)), "n": pa.array(np.append(n[some], 0)),
-            "to": pa.array([*(to.get(i, []) for i in some.tolist()), []], pa.list_(pa.int64())),
-        })
-        for k, v in audit.items():
-            rows = rows.append_column(k, pa.array([0] * len(some) + [v], pa.int64()))
-        return rows
+        yield _rows(qc[some], n[some], [to.get(i, []) for i in some.tolist()])
+
+
+def _rows(cid: np.ndarray, n: np.ndarray, to: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(to, pa.list_(pa.int64())), *(pa.nulls(len(cid), pa.int64()) for _ in _AUDIT)], names=["cid", "n", "to", *_AUDIT])
+
+
+def _search(least: float):
+    """Rows that come sorted: a graph, then the classes that are looked for in it, then the next graph."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for b in batches:
+            get = lambda c, b=b: b.column(b.schema.get_field_index(c))
+            graphs = get("graph")
+            starts = np.flatnonzero(get("cid").is_null().to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.concatenate([[0], starts, [b.num_rows]]))
+            for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if at in starts:
+                    if shard:
+                        yield from shard.closed()
+                    shard, at = _Shard(graphs[at].as_py(), least) if graphs[at].is_valid else None, at + 1  # none: no class was dealt to it
+                if shard and at < to:
+                    yield from shard.passed(_vectors(get("v").slice(at, to - at)), get("cid").slice(at, to - at).to_numpy(), get("copies").slice(at, to - at).to_numpy())
+        if shard:
+            yield from shard.closed()
 
     return run
 
@@ -257,17 +344,19 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     are one class: counted, not compared. Rows that repeat an id are one node, which joins the components of all their
     vectors, and other rows to each other in n_links. An empty table gives an empty table.
 
-    The classes of a label are dealt into shards of about `shard_rows`. Each shard is indexed once, into a row; every
-    pair of shards of a label is a task, in which one's classes are searched in the other's graph, so a large label is
-    many tasks of the same size. `audit` gets a table with a row a task: queries tried, links they have, hits among them
-    and the first beam. Other columns play no part.
+    The classes of a label are dealt into shards of about `shard_rows`. Each shard is indexed once, into a row with its
+    vectors as they came. For every pair of shards of a label, one's classes pass through the other's graph (each through
+    about half of the others, and its own): a graph stays in a task, which reads the classes of up to STRETCH shards in
+    batches, so a task holds one graph and one batch, and a large label is many tasks of the same size. `audit` gets a
+    table with a row a task: queries tried, links they have and hits among them, the same for planted queries, and the
+    first beam. Other columns play no part.
     """
     v = F.col(vector_col)
     good = v.isNotNull() & (F.size(v) > 0) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    as_double = v.cast("array<double>")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
-        F.when(good & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), as_double).alias("v"),
+        F.when(good & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), v.cast(kind)).alias("v"),
     ).withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})
     key = ["label", "dim", "a", "b"]
     some = rows.filter("v is not null")
@@ -275,20 +364,23 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98, id_col: str
     classes = stored(some.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     shards = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
     dealt = classes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("cid", F.lit(5)), F.col("shards")).cast("int")).select("label", "dim", "shard", "shards", "cid", "copies", "v")
-    graphs = stored(dealt.groupBy("label", "dim", "shard").applyInArrow(_index, _SHARD), "graphs")
-    pair = ["label", "dim", "i", "j"]
-    indexed = graphs.select("label", "dim", F.col("shard").alias("i"), F.explode(F.sequence("shard", F.col("shards") - 1)).alias("j"), "graph")
-    asked = dealt.select("label", "dim", F.explode(F.sequence(F.lit(0), "shard")).alias("i"), F.col("shard").alias("j"), "cid", "copies", "v")
-    search = _search(least)
-
-    def searched(index: pa.Table, t: pa.Table) -> pa.Table:
-        if not index.num_rows or not t.num_rows:  # a shard that no class was dealt to
-            return pa.table({"cid": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.list_(pa.int64())), **{k: pa.array([], pa.int64()) for k in ("queries", "links", "hits", "beam")}})
-        return search(index, t)
-
-    found = stored(indexed.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInArrow(searched, _LINKS), "vector-links")
+    graphs = stored(dealt.groupBy("label", "dim", "shard").applyInArrow(_index, "label string, dim int, shard int, shards int, graph binary"), "graphs")
+    # shard j passes through the graphs of the shards up to half the circle before it; of two at opposite ends, through the smaller's
+    half = F.floor(F.col("shards") / 2).cast("int")
+    back = F.explode(F.sequence(F.lit(0), half)).alias("back")
+    i = F.pmod(F.col("shard") - F.col("back"), F.col("shards"))
+    stretch = F.floor(F.col("back") / STRETCH).cast("int")
+    asked = dealt.select("*", back).filter((2 * F.col("back") != F.col("shards")) | (F.col("back") == 0) | (i < F.col("shard")))
+    asked = asked.select("label", "dim", i.alias("i"), stretch.alias("stretch"), F.xxhash64("cid").alias("turn"), F.lit(None).cast("binary").alias("graph"), "cid", "copies", "v")
+    null = lambda kind: F.lit(None).cast(kind)
+    every = shards.select("label", "dim", "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).join(graphs.drop("shards"), ["label", "dim", "shard"], "left")
+    held = every.select("label", "dim", F.col("shard").alias("i"), F.explode(F.sequence(F.lit(0), F.floor(half / STRETCH).cast("int"))).alias("stretch"), null("long").alias("turn"), "graph", null("long").alias("cid"), null("long").alias("copies"), null(kind).alias("v"))
+    group = ["label", "dim", "i", "stretch"]
+    # each graph comes before what is looked for in it
+    sorted_ = held.unionByName(asked).repartition(*group).sortWithinPartitions(*group, F.col("turn").asc_nulls_first())
+    found = stored(sorted_.select("graph", "cid", "copies", "v").mapInArrow(_search(least), _LINKS), "vector-links")
     if audit:
-        audit(found.filter("cid is null").select("queries", "links", "hits", "beam"))
+        audit(found.filter("cid is null").select(*_AUDIT))
     links = found.filter("cid is not null").select(F.col("cid").alias("u"), F.explode("to").alias("v"))
     components = connected_components(links.unionByName(_repeated_ids(some, classes, key)))
     counts = found.filter("cid is not null").groupBy("cid").agg(F.sum("n").alias("near"))

@@ -14,10 +14,11 @@ from trackworks.llm.shared import Words, ascii_fold, forget, own_name, random_wo
 
 #: 30 bands of 4 minima: a pair of similarity 0.85 shares none with probability 3e-10, one of 0.80 with 2e-7.
 BANDS, ROWS = 30, 4
-#: Signatures may agree in so much less than the threshold asks (over 4 standard deviations at 120 minima).
-SLACK = 0.17
-#: Members of a bucket that one task compares with as many others at a time.
-TILE = 4096
+#: Signatures may agree in so much less than the threshold asks: of 120 minima a pair of similarity 0.85 has so few equal
+#: with probability 1e-11 or less, one of 0.80 with 2e-10: little beside what banding may lose.
+SLACK = 0.25
+#: Members of a bucket, and about how many bytes of their sets, that one task compares with as many others at a time.
+TILE, TILE_BYTES = 4096, 16 << 20
 _CHUNK = 1 << 15
 
 
@@ -194,8 +195,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     component_id null, kept true. Other columns play no part. Empty in, empty out.
 
     Classes are banded. Each member of a bucket is compared with its first; then every bucket that still holds several
-    components has the rest of its pairs compared in tiles of `tile` members, so no link is lost to the first not being
-    close. Signatures are compared before sets, and sets are fetched only for classes that may be similar to another.
+    components has the rest of its pairs compared in tiles of `tile` members and about TILE_BYTES of their sets, so no link
+    is lost to the first not being close and long texts share no task with many others. Signatures are compared before sets, and sets are fetched only for classes that may be similar to another.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     features = stored(texts.mapInArrow(_features(shingle), "id bigint, n_shingles bigint, key_a bigint, key_b bigint, signature binary, sketch binary"), "features")
@@ -203,9 +204,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col
     # numbers are given once, as the table is written
     classes = stored(some.groupBy(*KEYS).agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * ROWS * 4 + 1, F.lit(ROWS * 4)))))
-    members = classes.select("cid", band.alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(members.join(buckets, "bucket"), "buckets")
+    members = classes.select("cid", "n_shingles", band.alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("cid").alias("center"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")).filter("n > 1")
+    shared = stored(members.drop("n_shingles").join(buckets, "bucket"), "buckets")
     side = lambda x, c, n: classes.select(F.col("cid").alias(x), F.col(c).alias(n))
     pairs = shared.filter("cid <> center").select(F.col("cid").alias("u"), F.col("center").alias("v")).distinct()
     maybe = pairs.join(side("u", "sketch", "su"), "u").join(side("v", "sketch", "sv"), "v").select("u", "v", "su", "sv")
@@ -251,14 +252,15 @@ def _set_table(texts: DataFrame, classes: DataFrame, wanted: DataFrame, shingle:
 
 def _rest(texts: DataFrame, classes: DataFrame, shared: DataFrame, found: DataFrame, percent: int, shingle: int, tile: int) -> DataFrame | None:
     """Links between members other than the first, of buckets whose members aren't all in one component yet."""
-    comp = shared.filter("n > 2").join(found.withColumnRenamed("id", "cid"), "cid", "left").select("bucket", "n", "cid", F.coalesce("component", "cid").alias("component"))
-    open_ = comp.groupBy("bucket", "n").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.xxhash64("cid") % (1 << 40)).alias("s")).filter("a < b")
+    comp = shared.filter("n > 2").join(found.withColumnRenamed("id", "cid"), "cid", "left").select("bucket", "n", "size", "cid", F.coalesce("component", "cid").alias("component"))
+    open_ = comp.groupBy("bucket", "n", "size").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.sum(F.xxhash64("cid") % (1 << 40)).alias("s")).filter("a < b")
     # buckets of other bands with the same members hold the same pairs
-    open_ = stored(open_.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "open")
+    open_ = stored(open_.groupBy("n", "size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "size"), "open")
     if open_.isEmpty():
         return None
     own = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("tiles")).cast("int")
-    rows = comp.drop("n").join(open_, "bucket").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("own", own)
+    tiles_ = F.ceil(F.greatest(F.col("n") / tile, 8 * F.col("size") / TILE_BYTES)).cast("int")
+    rows = comp.drop("n", "size").join(open_, "bucket").withColumn("tiles", tiles_).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     rows = rows.select("bucket", "cid", "component", "own", other.alias("other")).select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
