@@ -32,3 +32,20 @@ def test_scan_reads_only_what_is_asked_for(spark, sf_dir):
 
 def test_pairing_makes_one_pass(spark, sf_dir):
     assert plan(spark, sf_dir, "c6_paired_runs").count("Join") == 1  # scores with customers; the runs aren't joined
+
+
+@pytest.mark.parametrize("name", ["d6_pool_summary", "d8_loss_at_cut", "d26_outlier_fence", "d32_pair_share", "e17_ranked_windows", "f6_crest", "f21_median_spectrum", "h7_segment_invariants"])
+def test_no_exact_percentile_keeps_a_group_in_one_buffer(spark, sf_dir, name):
+    assert "percentile" not in plan(spark, sf_dir, name)
+
+
+@pytest.mark.parametrize("name", ["f10_sum_identity", "f13_mix_weights", "f20_leakage_matrix", "f22_overview", "f29_shared_gain"])
+def test_no_sample_is_a_row(spark, sf_dir, name):
+    assert "posexplode" not in plan(spark, sf_dir, name)
+
+
+@pytest.mark.parametrize("name", ["e2_runs", "e3_hysteresis", "e6_tails", "e7_merged_spans", "e21_prefix_energy", "f26_limiter_gain", "g1_stratified_split", "g2_quota_sample"])
+def test_windows_over_rows_are_by_chunk_or_cell(spark, sf_dir, name):
+    """A window's keys hold a chunk or a cell, or its rows are one a chunk or a cell; the test tables' own numbering of events is by user."""
+    for keys, order in re.findall(r"windowspecdefinition\((.*?), (\w+)#\d+L? ASC", REGISTRY.queries[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()):
+        assert "_chunk" in keys or "_cell" in keys or order in ("_chunk", "_cell") or (keys.startswith("user_id") and order == "ts"), (keys, order)

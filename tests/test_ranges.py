@@ -98,3 +98,12 @@ def test_draws_ranked_in_cells_are_those_of_a_sort(spark):
     first = ranges.ranked_draws(df, "s", u, "id", most=F.lit(70), cell_rows=64).filter("_rank <= 70")
     assert sorted(r["id"] for r in first.collect()) == sorted(r["id"] for r in want.filter("_rank <= 70").collect())
     assert ranges.ranked_draws(df, "s", u, "id", most=F.lit(70), cell_rows=64).count() < 600
+
+
+def test_ranks_by_parts_are_those_of_a_sort(spark):
+    df = spark.range(2500).select("id", F.when(F.col("id") % 5 == 0, "few").when(F.col("id") % 97 == 1, None).otherwise("most").alias("k"), (F.col("id") * 7 % 11).alias("v")).repartition(4)
+    w = Window.partitionBy("k")
+    want = df.withColumns({"r": F.row_number().over(w.orderBy("v", "id")), "t": F.count(F.lit(1)).over(w)})
+    for rows in (None, 100):
+        got = ranges.ranked(df, ["k"], ["v", "id"], "r", "t", rows)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackworks.operators import sequences as Q
 from trackworks.operators import signals as X
@@ -202,3 +203,23 @@ def test_interpolation_and_limiter_in_chunks(spark):
     low = np.array([need[i : i + 4].min() for i in range(n)])
     want = [min(low[max(0, i - 3) : i + 1].mean(), need[i]) for i in range(n)]
     assert np.allclose([r["gain"] for r in S.limiter_gain(df, "k", "idx", "level", 1.5, 3, chunk=10).orderBy("idx").collect()], want)
+
+
+def test_a_loudness_profile_resumes_and_ranks(spark):
+    rng, sr = np.random.default_rng(12), 4000
+    rows, want = [], {}
+    for f in range(24):
+        loud = 2.0 if f % 4 == 0 or f == 5 else rng.uniform(0.05, 0.4)
+        x = loud * np.clip(rng.normal(size=2400), -1, 1) if f % 4 == 0 or f == 5 else loud * rng.normal(size=2400)
+        want[f] = 20 * np.log10(np.abs(x).max() / np.sqrt((x**2).mean()))
+        rows += [(f, sr, at, [x[at : at + 500].tolist()]) for at in range(0, 2400, 500)]
+    rows.append((99, sr, 0, [[0.0] * 2400]))
+    df = spark.createDataFrame(rows, "file_id int, sr int, start long, samples array<array<double>>").repartition(3)
+    whole = {r["file_id"]: r for r in S.loudness_measures(df).collect()}
+    assert all(whole[f]["crest_db"] == pytest.approx(want[f]) for f in want) and whole[99]["lufs"] is None
+    done = S.loudness_measures(df.filter("file_id < 10"))
+    again = {r["file_id"]: r for r in S.loudness_measures(df, done).collect()}
+    assert again.keys() == whole.keys() and all(again[f]["lufs"] == pytest.approx(whole[f]["lufs"]) for f in want)
+    m = S.loudness_measures(df).selectExpr("*", "file_id % 2 as dataset")
+    r = {x["file_id"]: x for x in S.profile_ranking(m, "dataset", F.col("file_id") % 4 == 0, 1e-3).collect()}
+    assert 99 not in r and 0 not in r and r[5]["rank_in_dataset"] == 1 and r[5]["sources_in_dataset"] == 12 and r[2]["sources_in_dataset"] == 6

@@ -84,6 +84,22 @@ def with_medians(summary: DataFrame, df: DataFrame, keys: Sequence[str], value:
     return found.withColumn(out, m if digits is None else F.round(m, digits)).drop("_q")
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str, total: str | None = None, part_rows: int | None = None) -> DataFrame:
+    """`df` with each row's rank (from 1) within its keys along `order`, and the rows of its keys.
+
+    Rows are in contiguous parts of keys and order; a rank is the place within the part after the rows of the parts before,
+    so a key with most rows is many tasks. `order` should have no ties.
+    """
+    x = in_parts(df, [*keys, *order], part_rows)
+    counts = x.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    at = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    base = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(at), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    found = x.withColumn("_own", own).alias("a").join(base.alias("b"), same([*keys, "_part"], "a", "b")).select("a.*", "b._base", "b._total")
+    found = found.withColumn(rank, F.col("_base") + F.col("_own"))
+    return (found.withColumn(total, F.col("_total")) if total else found).drop("_part", "_own", "_base", "_total")
+
+
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 

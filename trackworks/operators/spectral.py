@@ -8,11 +8,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackworks.operators import signals as X
-from trackworks.operators.ranges import CHUNK, carried, nearby, quantiles
+from trackworks.operators.ranges import CHUNK, carried, nearby, quantiles, ranked
+from trackworks.operators.rollups import gaussian_fit, mahalanobis
 
 #: Pre-filter of ITU-R BS.1770 as analogue prototypes (fixed values): shelf frequency, gain in dB, quality; high-pass frequency, quality.
 SHELF_HZ, SHELF_DB, SHELF_Q = 1681.974450955533, 3.999843853973347, 0.7071752369554196
@@ -188,6 +189,36 @@ def window_loudness(blocks: DataFrame, seconds: float) -> DataFrame:
     return x.select("file_id", "window", "lufs", F.col("lufs").isNotNull().alias("measurable"), (F.col("lufs") - F.col("_file")).alias("minus_file"))
 
 
+def loudness_measures(blocks: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """The first stage of a loudness profile, a row a file: file_id, lufs, n_blocks, peak, rms, crest_db; not a number where there is no signal.
+
+    done: what an earlier run measured; its files aren't read again, and its rows come first. Sums of blocks give all of
+    it, so no task holds a file.
+    """
+    todo = blocks if done is None else blocks.join(done.select("file_id"), "file_id", "left_anti")
+    levels = X.file_metrics(todo.select("file_id", F.flatten("samples").alias("samples")), ["file_id"])
+    found = integrated_loudness(todo).join(levels, "file_id").select("file_id", "lufs", "n_blocks", "peak", "rms", X.crest_db(F.col("peak"), F.col("rms")).alias("crest_db"))
+    return found if done is None else done.select(found.columns).unionByName(found)
+
+
+def profile_ranking(measures: DataFrame, dataset: str, reference: Column, prior: float, chi2: float = 5.991, part_rows: int | None = None) -> DataFrame:
+    """The second stage: how much like the reference files' loudness and crest each other file's are, against those of its own dataset.
+
+    Both are 2-D normal populations, fitted by sums. Columns: those of measures, log_odds (with the prior of being such a
+    file), inside (whether the file is within the reference's ellipse; 5.991 is its 95 %), rank_in_dataset and
+    sources_in_dataset. Files without loudness or crest are left out; the ranking is one for review, not a verdict.
+    """
+    usable = measures.filter("lufs is not null and not isnan(lufs) and crest_db is not null and not isnan(crest_db)").withColumn("_ref", reference)
+    fit = lambda df, keys: gaussian_fit(df, keys, "lufs", "crest_db")
+    terms = [mahalanobis("lufs", "crest_db").alias("_d"), F.log(F.col("vx") * F.col("vy") - F.col("cxy") * F.col("cxy")).alias("_l")]
+    rest = usable.filter("not _ref").drop("_ref")
+    own = rest.join(fit(rest, [dataset]), dataset).select(*rest.columns, *terms).withColumnsRenamed({"_d": "_own_d", "_l": "_own_l"})
+    both = own.join(F.broadcast(fit(usable.filter("_ref"), [])), how="left").select(*own.columns, *terms)  # one row
+    odds = (F.col("_own_d") + F.col("_own_l") - F.col("_d") - F.col("_l")) / 2 + math.log(prior / (1 - prior))
+    scored = both.select(*rest.columns, odds.alias("log_odds"), (F.col("_d") < chi2).alias("inside")).withColumn("_against", -F.col("log_odds"))
+    return ranked(scored, [dataset], ["_against", "file_id"], "rank_in_dataset", "sources_in_dataset", part_rows).drop("_against")
+
+
 def spectra(blocks: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:
     """Power of each frequency bin of each block (Hann window): keys, bin, power. Blocks of one length are transformed together."""
     kinds = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)

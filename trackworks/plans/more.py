@@ -75,6 +75,28 @@ def f7_windows(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumns({"lufs": F.round("lufs", 6), "minus_file": F.round("minus_file", 6)})
 
 
+_F7_CLIPS = f"""{G.B}, bk AS (SELECT ((row_number() OVER (ORDER BY file_id) - 1) // 25)::BIGINT AS f, row_number() OVER (ORDER BY file_id) - 1 AS k, samples FROM b),
+xs AS (SELECT f, flatten(list(list_transform(samples, lambda v: v::DOUBLE * (1 + f % 3)) ORDER BY k)) x FROM bk GROUP BY 1)"""
+
+
+@query("f7_loudness_profile", f"""WITH RECURSIVE {_k_sql(_F7_CLIPS, 4000)}, me AS (SELECT xs.f, lufs, 20 * log10(list_max(list_transform(x, lambda v: abs(v))) / sqrt(list_dot_product(x, x) / len(x))) crest FROM xs JOIN g ON g.f = xs.f),
+rf AS (SELECT avg(lufs) mx, avg(crest) my, var_samp(lufs) vx, var_samp(crest) vy, covar_samp(lufs, crest) c FROM me WHERE f % 4 = 0), ow AS (SELECT f % 2 AS d, avg(lufs) mx, avg(crest) my, var_samp(lufs) vx, var_samp(crest) vy, covar_samp(lufs, crest) c FROM me WHERE f % 4 <> 0 GROUP BY 1),
+sc AS (SELECT me.f, me.f % 2 AS d, (rf.vy * (lufs - rf.mx) * (lufs - rf.mx) - 2 * rf.c * (lufs - rf.mx) * (crest - rf.my) + rf.vx * (crest - rf.my) * (crest - rf.my)) / (rf.vx * rf.vy - rf.c * rf.c) dr,
+(ow.vy * (lufs - ow.mx) * (lufs - ow.mx) - 2 * ow.c * (lufs - ow.mx) * (crest - ow.my) + ow.vx * (crest - ow.my) * (crest - ow.my)) / (ow.vx * ow.vy - ow.c * ow.c) dw, ln(rf.vx * rf.vy - rf.c * rf.c) lr, ln(ow.vx * ow.vy - ow.c * ow.c) lw FROM me JOIN ow ON ow.d = me.f % 2, rf WHERE me.f % 4 <> 0),
+od AS (SELECT f, d, (dw + lw - dr - lr) / 2 + ln(0.001 / 0.999) o, dr < 5.991 AS inside FROM sc)
+SELECT d AS dataset, f AS file_id, round(o, 4) AS log_odds, inside, row_number() OVER (PARTITION BY d ORDER BY o DESC, f) AS rank_in_dataset, count(*) OVER (PARTITION BY d) AS sources_in_dataset FROM od""")
+def f7_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Files of 25 vectors, each fourth one of the reference population: a run measures half of them, the next one the rest, then they are ranked."""
+    b = joins.prefix_offsets(G.blocks(spark, d).withColumn("one", F.lit(1)), "file_id", "one", "k")
+    f = F.floor(F.col("k") / 25)
+    b = b.select(f.alias("file_id"), F.lit(4000).alias("sr"), ((F.col("k") - f * 25) * 64).cast("long").alias("start"), F.array(F.transform("samples", lambda v: v * (1 + f % 3))).alias("samples"))
+    b = kept(b)
+    first = kept(spectral.loudness_measures(b.filter("file_id % 3 <> 1")))
+    m = kept(spectral.loudness_measures(b, first)).withColumn("dataset", F.col("file_id") % 2)
+    x = spectral.profile_ranking(m, "dataset", F.col("file_id") % 4 == 0, 1e-3)
+    return x.select("dataset", "file_id", F.round("log_odds", 4).alias("log_odds"), "inside", "rank_in_dataset", "sources_in_dataset")
+
+
 @query("f13_mix_weights", "SELECT DISTINCT label AS song, vec_id % 4 AS stem, round(1 + vec_id % 4, 2)::DOUBLE AS weight FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL")
 def f13(spark: SparkSession, d: str) -> DataFrame:
     """The master is the stems at gains 1 to 4, which the fit gives back."""
