@@ -234,6 +234,15 @@ def test_a_repeated_id_adds_no_rows_to_the_sample(spark, tables):
     assert once.top is not None and twice.prior == once.prior and len(twice.top.w) == len(once.top.w)
 
 
+def test_a_repeated_id_is_one_text_of_the_toxicity_sample(tables):
+    docs, labels = (t.select(*c) for t, c in zip(tables, (("doc_id", "text"), ("doc_id", "toxic")), strict=True))
+    again = docs.filter("doc_id < 60")
+    for _ in range(4):
+        again = again.unionByName(again)
+    once, often = T.fit_toxicity(docs, labels), T.fit_toxicity(docs.unionByName(again), labels)
+    assert once.top is not None and np.allclose(once.crf.w, often.crf.w) and np.allclose(once.top.w, often.top.w)
+
+
 def test_toxicity_sample_is_not_crowded_out_by_a_long_text(spark, tables):
     docs, labels = (t.select(*c) for t, c in zip(tables, (("doc_id", "text"), ("doc_id", "toxic")), strict=True))
     early = spark.range(10**9, 10**9 + 500_000).orderBy(F.xxhash64("id")).first()["id"]  # first of all in hash order

@@ -250,7 +250,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     """Fit on at most `per_class` labelled rows of each class (those of `labels` where `usable` holds).
 
     The ids are chosen from labels and sizes of texts, so that only these rows' texts reach the driver. Null labels, ids
-    and texts teach nothing; empty texts are rows like any other; empty tables are without labels; of an id with two labels the larger counts. Without labelled texts of both classes the model
+    and texts teach nothing; empty texts are rows like any other; empty tables are without labels; of an id with two labels the larger counts, of one
+    with several texts the first by bytes. Without labelled texts of both classes the model
     scores every text with the share of toxic labels. If all texts of a class are too long for its half of SAMPLE_BYTES,
     that is an error.
     """
@@ -264,7 +265,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     sizes = sizes.select("id", "y", F.when(F.col("size") > LONG_TEXT_BYTES, F.col("size")).otherwise(0).alias("long"))
     first = lambda y: sizes.filter(F.col("y") == y).orderBy("long", F.xxhash64("id"), "id").limit(per_class)
     chosen = stored(first(1).unionByName(first(0)), "sample")
-    rows = texts.join(F.broadcast(chosen), "id")
+    # one row an id, so that a repeated one fills neither the sample nor a task
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y", "long").agg(F.min("text").alias("text"))
     size = F.sum(F.octet_length("text")).over(_by_class())
     rows = rows.withColumn("so_far", size).filter(F.col("so_far") <= SAMPLE_BYTES // 2).select("id", "text", "y").orderBy("id", "text").collect()
     if len({r["y"] for r in rows}) < 2 and (lost := {r["y"] for r in chosen.select("y").distinct().collect()} - {r["y"] for r in rows}):
