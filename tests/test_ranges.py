@@ -76,11 +76,43 @@ def test_segments_of_a_file_in_a_hundred_chunks(spark):
     assert rows(S.runs(df, "k", "idx", F.col("level") > 2)) == rows(S.runs(df, "k", "idx", F.col("level") > 2, chunk=6))
     spans = df.select("k", F.col("idx").alias("start"), (F.col("idx") + F.col("level")).alias("end")).sample(0.3, 4)
     assert rows(S.merged(spans, "k")) == rows(S.merged(spans, "k", chunk=9))
+    opens = dict(low=("min", F.col("level")), peak=("max", F.col("level")), n=("sum", F.lit(1)), tops=("any", F.col("level") >= 9))
+    want = S.runs(df, "k", "idx", F.col("level") > 2, **opens)
+    assert rows(want) == rows(S.runs(df, "k", "idx", F.col("level") > 2, chunk=3, **opens))
+    assert all(r["n"] == r["end"] - r["start"] and r["tops"] == (r["peak"] >= 9) and r["low"] > 2 for r in want.collect())
+    w = Window.partitionBy("k").orderBy("idx")
+    last = F.when(F.col("level") > 8, F.col("idx"))
+    assert rows(S.filled_forward(df, "k", "idx", last, "at", chunk=4)) == rows(df.withColumn("at", F.last(last, True).over(w)))
     whole = df.filter("k = 'x'")
+    means = whole.select("k", F.col("idx").alias("start"), F.avg("level").over(w.rowsBetween(0, 7)).alias("m"), F.max("idx").over(w.rowsBetween(0, 7)).alias("_e")).filter("_e = start + 7").drop("_e")
+    for chunk in (None, 3, 50):  # windows longer than a chunk, and shorter
+        assert rows(S.sliding(whole, "k", "idx", 8, chunk, m=lambda v: F.avg("level").over(v))) == rows(means)
     assert rows(S.window_energy(whole, "k", "idx", F.col("level"), 5)) == rows(S.window_energy(whole, "k", "idx", F.col("level"), 5, chunk=6))
 
 
-def test_no_window_over_rows_is_by_file_alone(spark):
+@pytest.mark.parametrize("seed", range(4))
+def test_unions_in_chunks_are_those_of_a_plain_scan(spark, seed):
+    """Spans that swallow whole chunks, equal starts, spans of one point, negative starts, and a null key."""
+    rng = random.Random(seed)
+    rows = [(rng.choice(["a", "a", "b", None]), s := float(rng.randint(-60, 200)), s + rng.choice([0.0, 0.5, 1.0, 2.0, 40.0])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, start double, end double").repartition(3)
+
+    def plain(keyed, begins):
+        found = []
+        for s, e in sorted(keyed):
+            if not found or begins(s, found[-1][1]):
+                found.append([s, e])
+            found[-1][1] = max(found[-1][1], e)
+        return [tuple(x) for x in found]
+
+    for begins, union in ((lambda s, e: s > e, lambda c: S.merged(df, "k", c)), (lambda s, e: s - e >= 3, lambda c: S.bridged(df, "k", 3, c))):
+        want = sorted((str(k), *x) for k in ("a", "b", None) for x in plain([(s, e) for kk, s, e in rows if kk == k], begins))
+        for chunk in (1, 7, None):
+            assert sorted((str(r["k"]), r["start"], r["end"]) for r in union(chunk).collect()) == want
+
+
+def test_no_window_over_rows_is_by_file_alone(spark, monkeypatch):
+    monkeypatch.setattr(S, "kept", lambda df: df)  # the plan as one
     df, _ = levels(spark)
     scans = [S.runs(df, "k", "idx", F.col("level") > 2), S.merged(df.withColumnsRenamed({"idx": "start", "level": "end"}), "k"), S.mean_step(df, "k", "idx", "level")]
     for x in scans:

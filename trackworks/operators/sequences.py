@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from trackworks.operators import ranges
 from trackworks.sources.scratch import kept
@@ -15,38 +16,53 @@ def _chunk(at: str, size: int | None) -> Column:
     return F.floor(F.col(at) / (size or ranges.CHUNK))
 
 
-def runs(df: DataFrame, key: str, idx: str, flag: Column, *aggs: Column, chunk: int | None = None) -> DataFrame:
-    """Maximal runs of consecutive idx where flag holds: key, start, end (exclusive), and aggs over the run's rows.
+#: How the folds of spans that become one are merged, by the kind of the fold.
+_MERGES = {"sum": F.sum, "max": F.max, "min": F.min, "any": F.bool_or}
 
-    Rows are numbered in chunks of `chunk` positions, so a long file is many tasks; runs over a chunk's end stay whole.
+
+def _unions(df: DataFrame, key: str, start: Column, end: Column, begins: Callable[[Column, Column], Column], chunk: int | None, **folds: tuple[str, Column]) -> DataFrame:
+    """Groups of spans: key, start, end (the least and the largest), and folds name=(sum, max, min or any, expression).
+
+    A span starts a group where `begins` (of its start and of the largest end before it) holds or nothing is before it;
+    `begins` must go on holding as starts grow. Spans are put together within chunks of starts, and what is left is written,
+    so the spans themselves are read and sorted once. A chunk's largest end and last start are one row; the rows of the
+    chunks before it tell which of its groups go on one that was open.
+    """
+    x = df.select(key, start.alias("start"), end.alias("end"), *[e.alias(n) for n, (_, e) in folds.items()]).withColumn("_chunk", _chunk("start", chunk))
+    near = Window.partitionBy(key, "_chunk").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    is_first = lambda before: F.coalesce(begins(F.col("start"), F.col(before)), F.lit(True))
+    x = x.withColumn("_before", F.max("end").over(near)).withColumn("_first", is_first("_before").cast("int"))
+    x = x.withColumn("_group", F.sum("_first").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    merges = [F.min("start").alias("start"), F.max("end").alias("end"), *[_MERGES[kind](n).alias(n) for n, (kind, _) in folds.items()]]
+    part = kept(x.groupBy(key, "_chunk", "_group").agg(*merges).drop("_group"))
+    earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
+    chunks = part.groupBy(key, "_chunk").agg(F.max("start").alias("start"), F.max("end").alias("_end")).withColumn("_before", F.max("_end").over(earlier))
+    chunks = chunks.withColumn("_open", F.last(F.when(is_first("_before"), F.col("start")), True).over(earlier))
+    y = part.alias("a").join(chunks.alias("b"), ranges.same([key, "_chunk"], "a", "b")).select("a.*", "b._before", "b._open")
+    return y.groupBy(key, F.when(is_first("_before"), F.col("start")).otherwise(F.col("_open")).alias("_group")).agg(*merges).drop("_group")
+
+
+def runs(df: DataFrame, key: str, idx: str, flag: Column, chunk: int | None = None, **folds: tuple[str, Column]) -> DataFrame:
+    """Maximal runs of consecutive idx where flag holds: key, start, end (exclusive), and folds name=(kind, expression) over the run's rows.
+
+    Rows are put together in chunks of `chunk` positions, so a long file is many tasks; runs over a chunk's end stay whole.
     """
-    on = ranges.carried(df.filter(flag), key, [idx], _chunk(idx, chunk), _island=("sum", F.lit(1)))
-    island = on.withColumn("_island", F.col(idx) - F.col("_island"))
-    return island.groupBy(key, "_island").agg(F.min(idx).alias("start"), (F.max(idx) + 1).alias("end"), *aggs).drop("_island")
+    return _unions(df.filter(flag), key, F.col(idx), F.col(idx) + 1, lambda s, before: s > before, chunk, **folds)
 
 
 def hysteresis_segments(df: DataFrame, key: str, idx: str, level: str, open_at: float, close_at: float, chunk: int | None = None) -> DataFrame:
     """Runs above close_at that hold at least one level at or above open_at."""
-    r = runs(df, key, idx, F.col(level) > close_at, F.bool_or(F.col(level) >= open_at).alias("_opens"), chunk=chunk)
-    return r.filter("_opens").drop("_opens")
-
-
-def _joined(df: DataFrame, key: str, breaks: Column, chunk: int | None) -> DataFrame:
-    g = df.withColumn("_new", F.coalesce(breaks.cast("int"), F.lit(1)))
-    g = ranges.carried(g, key, ["start", "end"], _chunk("start", chunk), _group=("sum", F.col("_new")))
-    return g.groupBy(key, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
+    return runs(df, key, idx, F.col(level) > close_at, chunk, _opens=("any", F.col(level) >= open_at)).filter("_opens").drop("_opens")
 
 
 def bridged(df: DataFrame, key: str, min_gap: float, chunk: int | None = None) -> DataFrame:
     """Sorted, disjoint spans with gaps shorter than min_gap closed."""
-    x = ranges.carried(df, key, ["start", "end"], _chunk("start", chunk), inclusive=False, _before=("last", F.col("end")))
-    return _joined(x, key, F.col("start") - F.col("_before") >= min_gap, chunk)
+    return _unions(df, key, F.col("start"), F.col("end"), lambda s, before: s - before >= min_gap, chunk)
 
 
 def merged(df: DataFrame, key: str, chunk: int | None = None) -> DataFrame:
     """Union of spans in any order: overlapping and touching ones become one."""
-    x = ranges.carried(df, key, ["start", "end"], _chunk("start", chunk), inclusive=False, _before=("max", F.col("end")))
-    return _joined(x, key, F.col("start") > F.col("_before"), chunk)
+    return _unions(df, key, F.col("start"), F.col("end"), lambda s, before: s > before, chunk)
 
 
 def with_tails(df: DataFrame, key: str, margin: float, limit: str, chunk: int | None = None) -> DataFrame:
@@ -55,14 +71,11 @@ def with_tails(df: DataFrame, key: str, margin: float, limit: str, chunk: int |
 
 
 def segments(df: DataFrame, key: str, idx: str, level: str, open_at: float, close_at: float, min_gap: int, min_len: int, margin: int, chunk: int | None = None) -> DataFrame:
-    """Activity segments of level envelopes: hysteresis, bridging, least length, tails; a long file is scanned in chunks.
-
-    Spans are few beside blocks; they are written after each step, as the next one reads them more than once.
-    """
+    """Activity segments of level envelopes: hysteresis, bridging, least length, tails; a long file is scanned in chunks."""
     n = df.groupBy(key).agg((F.max(idx) + 1).alias("_n"))
-    s = kept(hysteresis_segments(df, key, idx, level, open_at, close_at, chunk))
-    s = kept(bridged(s, key, min_gap, chunk).filter(F.col("end") - F.col("start") >= min_len).join(n, key))
-    return kept(with_tails(s, key, margin, "_n", chunk))
+    s = hysteresis_segments(df, key, idx, level, open_at, close_at, chunk)
+    s = bridged(s, key, min_gap, chunk).filter(F.col("end") - F.col("start") >= min_len).join(n, key)
+    return with_tails(s, key, margin, "_n", chunk)
 
 
 def segment_rows(seg: DataFrame, df: DataFrame, key: str, idx: str, level: str, chunk: int | None = None) -> DataFrame:
@@ -84,18 +97,22 @@ def rests(seg: DataFrame, key: str, chunk: int | None = None) -> DataFrame:
     return x.filter("_before is not null").select(key, F.col("_before").alias("start"), F.col("start").alias("end"), (F.col("start") - F.col("_before")).alias("gap"))
 
 
-def longest_run(df: DataFrame, key: str, idx: str, flag: Column) -> DataFrame:
+def longest_run(df: DataFrame, key: str, idx: str, flag: Column, chunk: int | None = None) -> DataFrame:
     """The longest run where flag holds and the share of such rows; 0 where there is none."""
-    r = runs(df, key, idx, flag).groupBy(key).agg(F.max(F.col("end") - F.col("start")).alias("longest"))
+    r = runs(df, key, idx, flag, chunk).groupBy(key).agg(F.max(F.col("end") - F.col("start")).alias("longest"))
     share = df.groupBy(key).agg(F.avg(F.coalesce(flag, F.lit(False)).cast("double")).alias("share"))
     return share.join(r, key, "left").na.fill({"longest": 0})
 
 
-def sliding(df: DataFrame, key: str, idx: str, k: int, **aggs) -> DataFrame:
-    """Aggregates over each full window of k consecutive rows, named by its first row: start, and aggs (function of the window)."""
-    w = Window.partitionBy(key).orderBy(idx).rowsBetween(0, k - 1)
-    out = {n: f(w) for n, f in aggs.items()}
-    return df.select(key, F.col(idx).alias("start"), *[c.alias(n) for n, c in out.items()], F.count(F.lit(1)).over(w).alias("_n")).filter(F.col("_n") == k).drop("_n")
+def sliding(df: DataFrame, key: str, idx: str, k: int, chunk: int | None = None, **aggs: Callable[[WindowSpec], Column]) -> DataFrame:
+    """Aggregates over each full window of k consecutive rows, named by its first row: start, and aggs (function of the window).
+
+    A chunk of positions also holds the k - 1 rows after it, so a long file is many tasks. Positions are whole numbers without gaps.
+    """
+    w = Window.partitionBy(key, "_chunk").orderBy(idx).rowsBetween(0, k - 1)
+    x = ranges.nearby(df, key, idx, 0, k - 1, chunk)
+    x = x.select(key, F.col(idx).alias("start"), "_own", *[f(w).alias(n) for n, f in aggs.items()], F.count(F.lit(1)).over(w).alias("_n"))
+    return x.filter((F.col("_n") == k) & F.col("_own")).drop("_n", "_own")
 
 
 def _next_pick(df: DataFrame, key: str, at: str, order: list, r: int, min_gap: float, wanted: Column | None = None) -> DataFrame:
@@ -133,8 +150,9 @@ def mean_step(df: DataFrame, key: str, idx: str, value: str, chunk: int | None =
     return d.groupBy(key).agg(F.avg("_d").alias("mean_step"))
 
 
-def filled_forward(df: DataFrame, key: str, order: list, value: Column, out: str) -> DataFrame:
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+def filled_forward(df: DataFrame, key: str, idx: str, value: Column, out: str, chunk: int | None = None) -> DataFrame:
+    """`df` with the last value that isn't null up to each row, carried from chunk to chunk."""
+    return ranges.carried(df, key, [idx], _chunk(idx, chunk), **{out: ("last", value)})
 
 
 def window_energy(df: DataFrame, key: str, idx: str, energy: Column, k: int, chunk: int | None = None) -> DataFrame:

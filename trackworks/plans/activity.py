@@ -183,7 +183,7 @@ def e23(spark: SparkSession, d: str) -> DataFrame:
 @query("e24_epoch_forward_fill", f"""WITH {B}, m AS (SELECT *, count(CASE WHEN class = 'purchase' THEN 1 END) OVER (PARTITION BY file_id ORDER BY idx ROWS UNBOUNDED PRECEDING) k FROM b)
 SELECT file_id, idx, CASE WHEN k = 0 THEN NULL ELSE max(CASE WHEN class = 'purchase' THEN idx END) OVER (PARTITION BY file_id ORDER BY idx ROWS UNBOUNDED PRECEDING) END AS epoch FROM m""")
 def e24(spark: SparkSession, d: str) -> DataFrame:
-    return S.filled_forward(blocks(spark, d), "file_id", ["idx"], F.when(F.col("class") == "purchase", F.col("idx")), "epoch").select("file_id", "idx", "epoch")
+    return S.filled_forward(blocks(spark, d), "file_id", "idx", F.when(F.col("class") == "purchase", F.col("idx")), "epoch").select("file_id", "idx", "epoch")
 
 
 @query("e25_epoch_elapsed", """WITH m AS (SELECT user_id, dayofmonth(ts) AS epoch, event_type, max(value) v FROM events GROUP BY 1, 2, 3) SELECT user_id AS run, epoch::INTEGER AS epoch, round(sum(v), 6) AS elapsed FROM m GROUP BY 1, 2""")
