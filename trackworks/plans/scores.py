@@ -79,10 +79,16 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
     return s.filter(F.col("present_a").isNotNull() & ~F.col("present_a").eqNullSafe(F.col("present_b")))
 
 
-@query("e1_rank_in_group", f"{_P} SELECT run, song, class, row_number() OVER (PARTITION BY run ORDER BY score DESC, song, class) AS rank, count(*) OVER (PARTITION BY run) AS n FROM cell")
+@query("e1_rank_in_group", f"""WITH {SCORES_SQL}, c AS (SELECT *, TRY_CAST(round(score * 100) AS BIGINT) cents FROM scores WHERE present),
+cell AS (SELECT run, song, class, CASE WHEN count(cents) = count(*) THEN sum(cents)::DOUBLE / count(*) ELSE avg(score) * 100 END score FROM c GROUP BY 1, 2, 3)
+SELECT run, song, class, row_number() OVER (PARTITION BY run ORDER BY score DESC, song, class) AS rank, count(*) OVER (PARTITION BY run) AS n FROM cell""")
 def e1(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("run")
-    return cells(spark, d).select("run", "song", "class", F.row_number().over(w.orderBy(F.col("score").desc(), "song", "class")).alias("rank"), F.count(F.lit(1)).over(w).alias("n"))
+    """Cells by their mean, then song and class. Scores are whole cents, added as such: sums of doubles depend on their order, and equal means would too."""
+    w, n = Window.partitionBy("run"), F.count(F.lit(1))
+    s = scores(spark, d).filter("present").withColumn("cents", F.round(F.col("score") * 100).try_cast("long"))
+    mean = F.when(F.count("cents") == n, F.sum("cents").cast("double") / n).otherwise(F.avg("score") * 100)
+    c = s.groupBy("run", "song", "class").agg(mean.alias("score"))
+    return c.select("run", "song", "class", F.row_number().over(w.orderBy(F.col("score").desc(), "song", "class")).alias("rank"), n.over(w).alias("n"))
 
 
 @query("e28_typical_song", f"{_P}, m AS (SELECT class, quantile_cont(score, 0.5) q FROM cell GROUP BY 1) SELECT class, run, song FROM cell JOIN m USING (class) QUALIFY row_number() OVER (PARTITION BY class ORDER BY abs(score - q), song, run) = 1")
