@@ -1,5 +1,6 @@
 """Rows whose order or last digit floating-point sums leave open: queries and their SQL agree, on what exact arithmetic gives."""
 
+import datetime
 import itertools
 
 import duckdb
@@ -30,3 +31,11 @@ def test_equal_means_rank_by_song_in_any_order_of_sums(spark, tmp_path):
     customers = {"c_custkey": list(range(10)), "c_mktsegment": ["A"] * 10}
     rows, sql = both(spark, tmp_path, "e1_rank_in_group", orders=orders, customer=customers)
     assert rows == sql == sorted([("F", 9, "1", 1, 8), *[("F", k, "1", k + 2, 8) for k in range(6)], ("F", 8, "1", 8, 8)])
+
+
+def test_covered_shares_round_halves_up_and_ends_on_a_bound_give_no_window(spark, tmp_path):
+    day = datetime.datetime(2024, 1, 2)
+    # file 0: 27 * 201 seconds up to midnight, a share of 0.0628125, and the rest of its two hours after it; file 1: an hour up to midnight exactly
+    events = {"event_id": [6, 10], "user_id": [0, 1], "event_type": ["click"] * 2, "ts": [day - datetime.timedelta(seconds=27 * 201), day - datetime.timedelta(hours=1)]}
+    rows, sql = both(spark, tmp_path, "c11_window_coverage", events=events)
+    assert rows == sql == [(0, 19723, 0.062813), (0, 19724, 0.020521), (1, 19723, 0.041667)]

@@ -174,11 +174,11 @@ def edge_silence(df: DataFrame, key: str, idx: str, active: Column) -> DataFrame
 
 
 def coverage(spans: DataFrame, key: str, window: float) -> DataFrame:
-    """Share of each tumbling window that a key's disjoint spans cover; only windows with some."""
-    w = F.explode(F.sequence(F.floor(F.col("start") / window).cast("long"), F.floor((F.col("end") - 1e-9) / window).cast("long")))
+    """Share of each tumbling window that a key's disjoint spans cover; only windows with some: a span that ends where one begins isn't in it."""
+    w = F.explode(F.sequence(F.floor(F.col("start") / window).cast("long"), F.floor(F.col("end") / window).cast("long")))
     x = spans.filter("end > start").select(key, "start", "end", w.alias("window"))
     part = F.least("end", (F.col("window") + 1) * window) - F.greatest("start", F.col("window") * window)
-    return x.groupBy(key, "window").agg((F.sum(part) / window).alias("cov"))
+    return x.filter(part > 0).groupBy(key, "window").agg((F.sum(part) / window).alias("cov"))
 
 
 def stratified_picks(df: DataFrame, key: str, at: str, score: str, low: float, high: float, bins: int, min_gap: float) -> DataFrame:
