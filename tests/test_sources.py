@@ -1,6 +1,7 @@
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trackworks.functions import logs as L
@@ -110,3 +111,17 @@ def test_programmes_blocks_and_credits(spark):
     assert [(r["number"], r["title"], r["line"]) for r in L.numbered_blocks(df, "k", "t").orderBy("pos").collect()] == [(1, "First", "x a"), (2, "Next", "flute/kim·lee drum/park voice/kim")]
     r = df.select(L.credits(df["t"], ["flute", "voice"], ["lee"]).alias("c")).first()["c"]
     assert [(x["instrument"], x["n"], x["players"]) for x in r] == [("flute", 1, ["kim"]), ("voice", 1, ["kim"])]
+
+
+def test_short_blocks_leave_a_task_together(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(2).uniform(-0.9, 0.9, (100, 2)).astype(np.float32)
+    blocks = [("a", k, 8000, x[k : k + 1], None) for k in range(100)] + [("b", None, None, None, "bad"), ("c", 0, 8000, x, None)]
+    (one,) = S._batches(blocks)
+    assert one.num_rows == 102 and one.column(4)[100].as_py() is None and np.array_equal(np.array(one.column(4)[101].as_py(), np.float32).T, x)
+    monkeypatch.setattr(S, "BATCH_SAMPLES", 40)
+    many = list(S._batches(blocks))
+    assert [b.num_rows for b in many] == [20, 20, 20, 20, 21, 1] and [r for b in many for r in b.to_pylist()] == one.to_pylist()
+    # Arrow batches that leave the decoding of 3,000 files are few
+    files = S.wav_files(spark.range(3000).selectExpr("id", "array(array(0.5, 0.25, 0.125)) channels").coalesce(1), "id", "channels", 8000)
+    sent = S.wav_blocks(files, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long")
+    assert sent.selectExpr("sum(n)", "count(1) < 10").first() == (9000, True)

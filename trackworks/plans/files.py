@@ -128,6 +128,7 @@ def _wavs(spark: SparkSession, d: str) -> DataFrame:
     """A WAV file of each vector, at half its level so that little is clipped, written as a table of bytes and read again."""
     e = table(spark, d, "embeddings", "vec_id", "embedding").filter("embedding is not null").withColumn("channels", F.array(F.transform("embedding", lambda x: x.cast("double") / 2)))
     path = scratch(spark, "wavs")
+    e = e.repartition("vec_id")  # a small file of vectors is much work
     files.wav_files(e, "vec_id", "channels", 8000).write.parquet(path)
     return spark.read.parquet(path)
 

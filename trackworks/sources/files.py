@@ -11,6 +11,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from trackworks.operators.columns import nfc
 BLOCK_FRAMES = 32_768
 #: Bytes of samples that a task reads from a file at a time.
 RANGE_BYTES = 32 << 20
+#: Samples and rows that decoded blocks leave a task by at a time; a block with more samples is a batch of its own.
+BATCH_SAMPLES, BATCH_ROWS = 1 << 20, 1 << 14
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -150,42 +153,66 @@ def read_wav_blocks(spark: SparkSession, path: str, block_frames: int = BLOCK_FR
     """The WAV files of a folder as wav_blocks gives them, read by ranges: a long file is many tasks, and none reads it whole."""
     ranges = wav_ranges(spark, path, block_frames, range_bytes)
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples():
-                if r.error is not None:
-                    yield _bad(r.path, r.error)
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["error"] is not None:
+                    yield r["path"], None, None, None, r["error"]
                     continue
-                size = int(r.channels * r.width)
-                with _opened(r.path) as file:
-                    for k in range(-(-int(r.frames) // block_frames)):
-                        n = min(block_frames, int(r.frames) - k * block_frames)
-                        part = _scaled(file.read_at(n * size, int(r.at) + k * block_frames * size), int(r.width), int(r.channels))
-                        yield pd.DataFrame([{"path": r.path, "block_idx": int(r.first_block) + k, "sr": int(r.sr), "n_frames": len(part), "samples": [c.tolist() for c in part.T], "error": None}])
+                size = r["channels"] * r["width"]
+                with _opened(r["path"]) as file:
+                    for k in range(-(-r["frames"] // block_frames)):
+                        n = min(block_frames, r["frames"] - k * block_frames)
+                        part = _scaled(file.read_at(n * size, r["at"] + k * block_frames * size), r["width"], r["channels"])
+                        yield r["path"], r["first_block"] + k, r["sr"], part, None
+
+    return ranges.repartition("path", "first_block").mapInArrow(lambda batches: _batches(rows(batches)), _BLOCKS)
+
 
-    return ranges.repartition("path", "first_block").mapInPandas(run, _BLOCKS)
+#: path, block_idx, sr, float32 samples [frames, channels], error
+Block = tuple[str, int | None, int | None, np.ndarray | None, str | None]
 
 
-def _bad(path: str, error: str) -> pd.DataFrame:
-    return pd.DataFrame([{"path": path, "block_idx": None, "sr": None, "n_frames": None, "samples": None, "error": error}]).astype({"block_idx": "Int32", "sr": "Int32", "n_frames": "Int32"})
+def _batches(blocks: Iterable[Block]) -> Iterator[pa.RecordBatch]:
+    """Blocks as Arrow batches of _BLOCKS: many short ones make a batch, so that what a batch costs isn't paid by each."""
+
+    def batch(own: list[Block]) -> pa.RecordBatch:
+        paths, idx, sr, parts, errors = zip(*own, strict=True)
+        n = [None if x is None else len(x) for x in parts]
+        channels = [0 if x is None else x.shape[1] for x in parts]
+        lengths = np.repeat([k or 0 for k in n], channels)
+        flat = np.concatenate([np.empty(0, np.float32), *(x.T.ravel() for x in parts if x is not None)])
+        each = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(flat, pa.float32()))
+        samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *channels]), pa.int32()), each, mask=pa.array([x is None for x in parts]))
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(idx, pa.int32()), pa.array(sr, pa.int32()), pa.array(n, pa.int32()), samples, pa.array(errors, pa.string())], names=["path", "block_idx", "sr", "n_frames", "samples", "error"])
+
+    own, size = [], 0
+    for b in blocks:
+        more = 0 if b[3] is None else b[3].size
+        if own and (size + more > BATCH_SAMPLES or len(own) >= BATCH_ROWS):
+            yield batch(own)
+            own, size = [], 0
+        own.append(b)
+        size += more
+    if own:
+        yield batch(own)
 
 
 def wav_blocks(files: DataFrame, block_frames: int = BLOCK_FRAMES) -> DataFrame:
     """A table of small PCM WAV files (path, content) as blocks of block_frames (the last one shorter), channel by channel; a bad file is one row with its error."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for p, content in zip(f["path"], f["content"], strict=True):
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
+        for batch in batches:
+            for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     sr, x = decode_pcm(content)
                 except Exception as e:  # noqa: BLE001  a bad file must not end the scan
-                    yield _bad(p, f"{type(e).__name__}: {e}")
+                    yield p, None, None, None, f"{type(e).__name__}: {e}"
                     continue
                 for k, at in enumerate(range(0, len(x), block_frames)):
-                    part = x[at : at + block_frames]
-                    yield pd.DataFrame([{"path": p, "block_idx": k, "sr": sr, "n_frames": len(part), "samples": [c.tolist() for c in part.T], "error": None}])
+                    yield p, k, sr, x[at : at + block_frames], None
 
-    return files.select("path", "content").mapInPandas(run, _BLOCKS)
+    return files.select("path", "content").mapInArrow(lambda batches: _batches(rows(batches)), _BLOCKS)
 
 
 def write_manifest(df: DataFrame, path: str, columns: list[str], order: list[str], csv_twin: bool = True) -> None:
