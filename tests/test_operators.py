@@ -217,3 +217,14 @@ def test_rules_must_match_and_reports_count(spark):
     assert gates.require_matched(rules.limit(0), df, ["k", "v"]).count() == 3
     report = gates.constraint_report(unique=gates.not_unique(df, "k"), present=gates.absent(df, "v"), fine=gates.absent(df, "k"))
     assert {r["rule"]: r["n"] for r in report.collect()} == {"unique": 1, "present": 1, "fine": 0}
+
+
+def test_clusters_look_at_anchors_one_by_one_only_for_songs_drawn(spark, monkeypatch):
+    fitting = sampling._fitting
+
+    def seen(sets, pairs):
+        assert sorted(pairs.columns) == ["class_a", "class_b", "song"] and pairs.count() == pairs.distinct().count()
+        return fitting(sets, pairs)
+
+    monkeypatch.setattr(sampling, "_fitting", seen)
+    assert clusters(spark, "uniform", 3)[3]

@@ -85,17 +85,17 @@ def normal(u: Column, v: Column) -> Column:
     return F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2.0 * 3.141592653589793 * v)
 
 
-def _anchor_choice(sets: DataFrame, anchors: DataFrame, spans: DataFrame, mode: str) -> DataFrame:
+def _anchor_choice(sets: DataFrame, pairs: DataFrame, held: DataFrame, mode: str) -> DataFrame:
     """(set, slot, song, total): songs that can anchor a set of classes, each in as many slots as its weight.
 
-    sets: set (text), left (array). A song can if it has an anchor of two of the set's classes. Its weight is 1, or its
-    classes in the set (overlap_weighted), or 1 for songs with most of them and 0 for others (greedy).
+    sets: set (text), left (array). pairs: song, class_a, class_b of its anchors, held: song, class; no row twice. A song
+    can if it has an anchor of two of the set's classes. Its weight is 1, or its classes in the set (overlap_weighted), or 1
+    for songs with most of them and 0 for others (greedy).
     """
-    eligible = _fitting(sets, anchors).select("set", "song").distinct()
+    eligible = _fitting(sets, pairs).select("set", "song").distinct()
     if mode == "uniform":
         x = eligible.withColumn("w", F.lit(1))
     else:
-        held = spans.select("song", "class").distinct()
         x = eligible.join(sets.select("set", F.explode("left").alias("class")), "set").join(held, ["song", "class"]).groupBy("set", "song").agg(F.count(F.lit(1)).cast("int").alias("w"))
         if mode == "greedy":
             x = x.withColumn("w", (F.col("w") == F.max("w").over(Window.partitionBy("set"))).cast("int")).filter("w = 1")
@@ -104,7 +104,7 @@ def _anchor_choice(sets: DataFrame, anchors: DataFrame, spans: DataFrame, mode:
     return x.select("set", "song", "total", F.explode(F.sequence(F.col("end") - F.col("w"), F.col("end") - 1)).alias("slot"))
 
 
-def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFrame, seed: int, window: float, mode: str = "uniform", least_cover: float = 0.25, melodic: list[str] | None = None, min_melodic: int = 0, store: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFrame, seed: int, window: float, mode: str = "uniform", least_cover: float = 0.25, melodic: list[str] | None = None, min_melodic: int = 0, store: Callable[[DataFrame], DataFrame] = kept, tables: bool = False) -> DataFrame:
     """Coherent clusters for items: a row a member (item, cluster, song, start, class, role), and a row a shortfall (item, cluster, reason).
 
     items: item, `classes` (array, no repeats) and `k`, how many of them clusters are to hold. anchors: song, class_a <
@@ -118,14 +118,17 @@ def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFra
     of its classes are melodic. Every draw is a hash, so partitioning changes nothing.
 
     Songs are drawn by (set of classes left, slot), so items meet songs by equality; there are as many sets as items have.
-    `store` keeps the tables that a round and the next ones read, so that plans stay short.
+    Anchors are only looked at one by one for the songs drawn. `store` keeps the tables that a round and the next ones read,
+    so that plans stay short; `tables` says that anchors and spans are stored ones already.
     """
     if mode not in ("uniform", "overlap_weighted", "greedy"):
         raise ValueError(f"mode is uniform, overlap_weighted or greedy, not {mode}")
     tune = (lambda c: c.isin(melodic)) if melodic else (lambda c: F.lit(False))
     if min_melodic:
         anchors = anchors.filter(tune(F.col("class_a")).cast("int") + tune(F.col("class_b")).cast("int") >= min_melodic)
-    anchors, spans = store(anchors), store(spans)
+    if not tables:
+        anchors, spans = store(anchors), store(spans)
+    pairs, held = store(anchors.select("song", "class_a", "class_b").distinct()), store(spans.select("song", "class").distinct())
     ends = spans.groupBy("song").agg(F.max("end").alias("_song_end"))
     state = items.select(item, F.array_sort("classes").alias("left"), F.least(F.col("k"), F.size("classes")).cast("int").alias("need"), F.lit(0).alias("cluster"), F.array().cast("array<string>").alias("spares"), F.lit(None).cast(spans.schema["song"].dataType).alias("song"), F.lit(None).cast("double").alias("start"))
     state = store(state)
@@ -135,14 +138,15 @@ def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFra
     for r in range(rounds):
         active = state.filter("need >= 2").withColumn("set", F.concat_ws("\x1f", "left"))
         sets = active.select("set", "left").distinct()
-        choice = store(_anchor_choice(sets, anchors, spans, mode))
+        choice = store(_anchor_choice(sets, pairs, held, mode))
         totals = choice.select("set", "total").distinct()
         a = active.select(item, "left", "need", "set", "cluster").join(F.broadcast(totals), "set", "left")  # a row a set of classes
         a = a.withColumn("slot", F.floor(draw(seed, F.col(item), f"song{r}") * F.col("total"))).drop("total").join(choice.drop("total"), ["set", "slot"], "left").drop("slot")
         a = store(a)
         mine = a.filter("song is not null")
         # an anchor of the song, in proportion to its length
-        lengths = _fitting(sets, anchors).withColumn("len", F.col("end") - F.col("start"))
+        drawn = mine.select("set", "left", "song").distinct().join(anchors, "song")
+        lengths = drawn.filter(F.array_contains("left", F.col("class_a")) & F.array_contains("left", F.col("class_b"))).withColumn("len", F.col("end") - F.col("start"))
         at = Window.partitionBy("set", "song").orderBy("start", "end", "class_a", "class_b")
         lengths = lengths.withColumns({"upto": F.sum("len").over(at.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("len").over(Window.partitionBy("set", "song"))})
         u = mine.join(lengths.select("set", "song", F.col("start").alias("_s"), F.col("end").alias("_e"), "len", "upto", "all"), ["set", "song"]).withColumn("_t", draw(seed, F.col(item), f"span{r}") * F.col("all"))
@@ -152,10 +156,11 @@ def cluster_fill(items: DataFrame, item: str, anchors: DataFrame, spans: DataFra
         v = draw(seed, F.col(item), f"window{r}")
         start = F.when(F.col("_e") - F.col("_s") >= window, F.col("_s") + v * (F.col("_e") - window - F.col("_s"))).otherwise(low + v * (high - low))
         u = store(u.select(item, "left", "need", "cluster", "song", start.alias("start")))
-        # classes left that cover enough of the window; windows and spans meet in stretches of its length
-        stretch = lambda x, y: F.explode(F.sequence(F.floor(x / window), F.floor(y / window))).alias("_b")
+        # classes left that cover enough of the window; windows and spans meet in stretches of a few of them, which most spans lie within
+        long = 8 * window
+        stretch = lambda x, y: F.explode(F.sequence(F.floor(x / long), F.floor(y / long))).alias("_b")
         near = u.select(item, "left", "song", "start", stretch(F.col("start"), F.col("start") + window)).join(spans.filter("end > start").select("song", F.col("class"), F.col("start").alias("_s"), F.col("end").alias("_e"), stretch(F.col("start"), F.col("end"))), ["song", "_b"])
-        part = F.least("_e", F.col("start") + window, (F.col("_b") + 1) * window) - F.greatest("_s", "start", F.col("_b") * window)
+        part = F.least("_e", F.col("start") + window, (F.col("_b") + 1) * long) - F.greatest("_s", "start", F.col("_b") * long)
         heard = near.filter(F.array_contains("left", F.col("class"))).groupBy(item, "class").agg(F.sum(F.greatest(part, F.lit(0.0))).alias("_cov")).filter(F.col("_cov") > least_cover * window)
         key = F.concat_ws(":", F.col(item).cast("string"), "class")
         ranked = F.struct(F.lit(1).alias("late"), draw(seed, key, f"thin{r}").alias("u"), F.col("class").alias("class"), tune(F.col("class")).alias("tune"))
@@ -188,7 +193,7 @@ def _short(df: DataFrame, item: str, spans: DataFrame) -> DataFrame:
 
 
 def _fitting(sets: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Anchors of two classes of a set, for each set: set, song, start, end, class_a, class_b."""
+    """Anchors of two classes of a set, or songs' pairs of such classes, for each set."""
     own = sets.select("set", F.explode("left").alias("class_a")).join(sets.select("set", F.explode("left").alias("class_b")), "set").filter("class_a < class_b")
     return own.join(anchors, ["class_a", "class_b"])
 

@@ -233,9 +233,13 @@ def e30(spark: SparkSession, d: str) -> DataFrame:
 _ANCHOR = f"WITH {A.SPANS}, m1 AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY file_id, class ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END n FROM sp), m2 AS (SELECT *, sum(n) OVER (PARTITION BY file_id, class ORDER BY s, e ROWS UNBOUNDED PRECEDING) q FROM m1), mg AS (SELECT file_id, class, min(s) s, max(e) e FROM m2 GROUP BY file_id, class, q)"
 
 
-def _anchors(spark: SparkSession, d: str) -> DataFrame:
+def _by_class(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of a file and class, merged; written, as all that reads them reads them more than once."""
     sp = A.spans(spark, d).withColumn("k", F.struct("file_id", "class"))
-    m = S.merged(sp, "k").select("k.file_id", "k.class", "start", "end")
+    return kept(S.merged(sp, "k").select("k.file_id", "k.class", "start", "end"))
+
+
+def _anchors(m: DataFrame) -> DataFrame:
     a = m.select("file_id", F.col("class").alias("class_a"), "start", "end")
     b = m.select("file_id", F.col("class").alias("class_b"), "start", "end")
 
@@ -250,7 +254,7 @@ def _anchors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g11_anchor_index", f"""{_ANCHOR} SELECT a.file_id, a.class AS class_a, b.class AS class_b, greatest(a.s, b.s) AS start, least(a.e, b.e) AS "end" FROM mg a JOIN mg b ON a.file_id = b.file_id AND a.class < b.class WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 900""")
 def g11(spark: SparkSession, d: str) -> DataFrame:
-    return _anchors(spark, d)
+    return _anchors(_by_class(spark, d))
 
 
 @query("h7_segment_invariants", f"WITH {A.SEGS} SELECT count(CASE WHEN e - s < {A.LEAST} THEN 1 END) AS undershoot, count(CASE WHEN e > n THEN 1 END) AS past_end, round(quantile_cont(e - s - {A.LEAST}, 0.95), 6) AS overshoot_p95 FROM sg JOIN nb USING (file_id)")
@@ -311,31 +315,39 @@ def b17(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.size(names).alias("n"), line.alias("credit"))
 
 
-def _clusters(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    """Users are items that want as many of their event types as come in clusters of others' joint activity, hours long."""
-    from trackworks.operators import sampling
+def _cluster_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, anchors and spans of cluster fills, written once for all modes.
 
+    Users are items that want as many of their event types as come in clusters of others' joint activity, hours long.
+    """
     items = table(spark, d, "events", "user_id", "event_type").groupBy(F.col("user_id").alias("item")).agg(F.sort_array(F.collect_set("event_type")).alias("classes")).withColumn("k", F.size("classes"))
-    spans = A.spans(spark, d).select(F.col("file_id").alias("song"), "class", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
-    merged = S.merged(spans.withColumn("k", F.struct("song", "class")).drop("song", "class"), "k").select("k.song", "k.class", "start", "end")
-    anchors = _anchors(spark, d).select(F.col("file_id").alias("song"), "class_a", "class_b", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
-    x = sampling.cluster_fill(items, "item", anchors, merged, 31, 7200.0, mode, store=kept)
+    m = _by_class(spark, d)
+    ends = [F.col(c).cast("double").alias(c) for c in ("start", "end")]
+    anchors = _anchors(m).select(F.col("file_id").alias("song"), "class_a", "class_b", *ends)
+    return kept(items), kept(anchors), m.select(F.col("file_id").alias("song"), "class", *ends)
+
+
+def _clusters(tables: tuple[DataFrame, DataFrame, DataFrame], mode: str) -> DataFrame:
+    from trackworks.operators import sampling
+
+    items, anchors, spans = tables
+    x = sampling.cluster_fill(items, "item", anchors, spans, 31, 7200.0, mode, store=kept, tables=True)
     return x.withColumn("start", F.round("start", 3))
 
 
 @query("g12_cluster_fill")
 def g12(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d, "uniform")
+    return _clusters(_cluster_tables(spark, d), "uniform")
 
 
 @query("g12_cluster_fill_weighted")
 def g12_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d, "overlap_weighted")
+    return _clusters(_cluster_tables(spark, d), "overlap_weighted")
 
 
 @query("g12_cluster_fill_greedy")
 def g12_greedy(spark: SparkSession, d: str) -> DataFrame:
-    return _clusters(spark, d, "greedy")
+    return _clusters(_cluster_tables(spark, d), "greedy")
 
 
 #: Items: a user and the classes of their events; anchors: two classes heard together; nf: items of two or more classes that no anchor fits.
@@ -352,7 +364,7 @@ def g12_breaks(spark: SparkSession, d: str) -> DataFrame:
     heard = S.merged(spans, "k").select("k.song", "k.class", F.col("start").alias("_s"), F.col("end").alias("_e"))
     out = []
     for mode in ("uniform", "overlap_weighted", "greedy"):
-        x = kept(_clusters(spark, d, mode))
+        x = kept(_clusters(_cluster_tables(spark, d), mode))
         picks = x.filter("class is not null")
         own = picks.join(items, "item")
         cover = picks.filter("role = 'member'").join(heard, ["song", "class"]).groupBy("item", "cluster", "class").agg(F.sum(F.greatest(F.lit(0.0), F.least(F.col("_e"), F.col("start") + 7200) - F.greatest("_s", "start"))).alias("s"))
