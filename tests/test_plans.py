@@ -51,3 +51,12 @@ def test_windows_over_rows_are_by_chunk_or_cell(spark, sf_dir, name, monkeypatch
     monkeypatch.setattr(sequences, "kept", lambda df: df)  # the plan as one
     for keys, order in re.findall(r"windowspecdefinition\((.*?), (\w+)#\d+L? ASC", REGISTRY.queries[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()):
         assert "_chunk" in keys or "_cell" in keys or order in ("_chunk", "_cell") or (keys.startswith("user_id") and order == "ts"), (keys, order)
+
+
+def test_modes_of_a_fill_share_its_tables(spark, sf_dir, monkeypatch):
+    from trackworks.plans import activity
+
+    spans, calls = activity.spans, []
+    monkeypatch.setattr(activity, "spans", lambda *a: calls.append(a) or spans(*a))
+    text = plan(spark, sf_dir, "g12_rule_breaks")
+    assert len(calls) == 1 and "events.parquet" not in text

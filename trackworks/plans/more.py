@@ -359,26 +359,28 @@ it AS (SELECT user_id item, list(DISTINCT event_type) classes FROM events GROUP
 FROM nf, (SELECT unnest(['uniform', 'overlap_weighted', 'greedy']) mode), (SELECT unnest(['no_anchor', 'items', 'class_twice', 'class_of_another_item', 'over_k', 'not_heard', 'two_songs_in_a_cluster']) rule)""")
 def g12_breaks(spark: SparkSession, d: str) -> DataFrame:
     """How often a fill breaks one of its rules (never), by mode; and what doesn't depend on draws: items asked for, and those that no anchor fits."""
-    items = table(spark, d, "events", "user_id", "event_type").groupBy(F.col("user_id").alias("item")).agg(F.collect_set("event_type").alias("classes")).filter(F.size("classes") >= 2)
-    spans = A.spans(spark, d).withColumn("k", F.struct(F.col("file_id").alias("song"), "class")).drop("song", "class")
-    heard = S.merged(spans, "k").select("k.song", "k.class", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    out = []
-    for mode in ("uniform", "overlap_weighted", "greedy"):
-        x = kept(_clusters(_cluster_tables(spark, d), mode))
-        picks = x.filter("class is not null")
-        own = picks.join(items, "item")
-        cover = picks.filter("role = 'member'").join(heard, ["song", "class"]).groupBy("item", "cluster", "class").agg(F.sum(F.greatest(F.lit(0.0), F.least(F.col("_e"), F.col("start") + 7200) - F.greatest("_s", "start"))).alias("s"))
-        rules = {
-            "no_anchor": x.filter("reason = 'no_eligible_anchor' and cluster = 0"),
-            "items": x.select("item").distinct(),
-            "class_twice": picks.groupBy("item", "class").count().filter("count > 1"),
-            "class_of_another_item": own.filter(~F.array_contains("classes", F.col("class"))),
-            "over_k": own.groupBy("item", F.size("classes").alias("k")).count().filter("count > k"),
-            "not_heard": cover.filter(F.col("s") <= 0.25 * 7200 - 0.01),
-            "two_songs_in_a_cluster": picks.filter("role = 'member'").groupBy("item", "cluster").agg(F.countDistinct("song", "start").alias("n")).filter("n > 1"),
-        }
-        out += [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), F.lit(rule).alias("rule"), "n") for rule, df in rules.items()]
-    return functools.reduce(DataFrame.unionByName, out)
+    tables = _cluster_tables(spark, d)
+    items = tables[0].filter(F.size("classes") >= 2).select("item", "classes")
+    heard = tables[2].select("song", "class", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    modes = ("uniform", "overlap_weighted", "greedy")
+    x = kept(functools.reduce(DataFrame.unionByName, [_clusters(tables, m).withColumn("mode", F.lit(m)) for m in modes]))
+    picks = x.filter("class is not null")
+    members = picks.filter("role = 'member'")
+    own = picks.join(items, "item")
+    cover = members.join(heard, ["song", "class"]).groupBy("mode", "item", "cluster", "class").agg(F.sum(F.greatest(F.lit(0.0), F.least(F.col("_e"), F.col("start") + 7200) - F.greatest("_s", "start"))).alias("s"))
+    rules = {
+        "no_anchor": x.filter("reason = 'no_eligible_anchor' and cluster = 0"),
+        "items": x.select("mode", "item").distinct(),
+        "class_twice": picks.groupBy("mode", "item", "class").count().filter("count > 1"),
+        "class_of_another_item": own.filter(~F.array_contains("classes", F.col("class"))),
+        "over_k": own.groupBy("mode", "item", F.size("classes").alias("k")).count().filter("count > k"),
+        "not_heard": cover.filter(F.col("s") <= 0.25 * 7200 - 0.01),
+        "two_songs_in_a_cluster": members.groupBy("mode", "item", "cluster").agg(F.countDistinct("song", "start").alias("n")).filter("n > 1"),
+    }
+    broken = functools.reduce(DataFrame.unionByName, [df.select("mode", F.lit(rule).alias("rule")) for rule, df in rules.items()])
+    n = broken.groupBy("mode", "rule").agg(F.count(F.lit(1)).alias("n"))
+    every = spark.createDataFrame([(m, r) for m in modes for r in rules], "mode string, rule string")
+    return every.join(F.broadcast(n), ["mode", "rule"], "left").na.fill({"n": 0})  # a row a mode and rule
 
 
 _ITEM = C.draw_sql(32, "vec_id", "start")
