@@ -140,3 +140,44 @@ def test_double_vectors_keep_their_precision(spark):
     rows = [(1, a.tolist(), 0), (2, at(0.98 + 1e-9), 0), (3, (1e200 * np.array(at(0.98 - 1e-9))).tolist(), 0)]
     r = {x["vec_id"]: x["n_links"] for x in E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98).collect()}
     assert r == {1: 1, 2: 2, 3: 1}  # 2 and 3 are near each other, 3 not to 1
+
+
+def test_cells_lose_no_link_and_have_few_guests():
+    """Each pair of shards was searched before, so a class met half of the 40 shards."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(3000, 16))
+    x = np.concatenate([x, x + rng.normal(scale=0.15, size=(3000, 16)) * rng.uniform(0, 1, size=(3000, 1)), x[7] + rng.normal(scale=0.3, size=(300, 16))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows, cells = E._cells(x, x[:40], 0.98)
+    assert (np.unique(rows) == np.arange(len(x))).all() and len(rows) < 5 * len(x)
+    at = {}
+    for r, c in zip(rows.tolist(), cells.tolist(), strict=True):
+        at.setdefault(r, []).append(c)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+    apart = [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if at[i][0] != at[j][0]]
+    assert len(apart) > 100 and all(at[i][0] in at[j] or at[j][0] in at[i] for i, j in apart)
+
+
+def test_a_large_group_goes_part_by_part_and_each_link_counts_once(spark, monkeypatch):
+    monkeypatch.setattr(E, "STRETCH", 1)
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(size=(300, 16)), rng.normal(size=16) + rng.normal(scale=0.1, size=(500, 16))])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    want = brute(rows, 0.98)
+    assert max(n for n, _ in want.values()) > 250 and len({n for n, _ in want.values()}) > 50
+    tasks = []
+    r = E.near_duplicate_vectors(spark.createDataFrame(rows, KIND.replace("float", "double")), 0.98, shard_rows=100, audit=lambda df: tasks.extend(df.collect()))
+    assert {y["vec_id"]: (y["n_links"], y["component_id"]) for y in r.collect()} == want
+    assert len(tasks) > 20
+
+
+def test_a_full_beam_is_not_widened_where_comparing_all_is_cheaper():
+    """Rows of large groups went through beams of four times the width, up to an eighth of the shard."""
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(size=(4000, 16)), rng.normal(size=16) + rng.normal(scale=0.05, size=(800, 16))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    g, beams = E.Graph(x), []
+    beam = g.search
+    g.search = lambda q, width, own=None: beams.append((len(q), width)) or beam(q, width, own)
+    found = sum(len(ids) for _, ids in E.links_of(g, x, 0.98)[0])
+    assert found == (x @ x.T >= 0.98 - E.SINGLE).sum() and max(w for n, w in beams) <= E.SEARCH_BEAM
